@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 
 import numpy as np
@@ -51,7 +52,8 @@ def _pack(ids: list[list[int]]) -> bytes:
     return len(lengths).to_bytes(4, "little") + lengths + pack_ints(np.fromiter((x for y in ids for x in y), np.uint32))
 
 
-def _assembled(rows, results):
+def _documents(rows, results, ranked):
+    """The ids of each document, as little-endian unsigned 32-bit integers."""
     lengths, ids = [], []
     for r in results:
         n = int.from_bytes(r[:4], "little")
@@ -60,15 +62,31 @@ def _assembled(rows, results):
     length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     blob = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     start = np.cumsum(length) - length
-    out: dict[str, list] = {"n_tokens": [], "ids": []}
+    length, start = length[ranked], start[ranked]
     for _, seq, _ in rows:
-        s = unpack_ints(seq).astype(np.int64)
+        s = unpack_ints(seq)
         n = length[s]
-        total = int(n.sum())
-        at = np.arange(total) + np.repeat(start[s] - (np.cumsum(n) - n), n)
-        out["n_tokens"].append(total)
-        out["ids"].append(blob[at].astype("<u4").tobytes())
-    return out
+        at = np.arange(int(n.sum())) + np.repeat(start[s] - (np.cumsum(n) - n), n)
+        yield blob[at].astype("<u4")
+
+
+def _assembled(rows, results, ranked):
+    ids = list(_documents(rows, results, ranked))
+    return {"n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
+
+
+@functools.lru_cache(2)
+def token_bytes(path: str) -> list[bytes]:
+    """The table of token bytes, by id."""
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return table
+
+
+def decoded(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in ids.tolist()])
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,20 +112,26 @@ def decode(df: DataFrame, ranks: str, id_col: str = "id", ids_col: str = "ids",
     arrow = arrow_schema(schema)
 
     def run(batches):
-        table = [b""] * (max(read_ranks(ranks).values()) + 1)
-        for token, i in read_ranks(ranks).items():
-            table[i] = token
+        table = token_bytes(ranks)
         for whole in batches:
-            for i, j in slices(whole.column(whole.num_columns - 1).cast(pa.binary()), 8 << 20):
+            for i, j in slices(whole.column(whole.num_columns - 1), 4 << 20):
                 batch = whole.slice(i, j - i)
-                ids = batch.column(batch.num_columns - 1).to_pylist()
-                text = [b"".join([table[k] for k in np.frombuffer(b or b"", "<u4").tolist()]) for b in ids]
+                text = [decoded(np.frombuffer(b or b"", "<u4"), table) for b in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.binary())], schema=arrow)
 
     return df.select(F.col(id_col).alias("id"), *keep, F.col(ids_col).alias("ids")).mapInArrow(run, schema)
 
 
 def op7(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    e = encode(docs, ranks, pattern).select("id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
-    d = decode(e, ranks, keep=("n_tokens", "ids_sha256"))
-    return d.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encoding and decoding in one pass over the assembled ids, of which only digests are returned."""
+
+    def digests(rows, results, ranked):
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for ids in _documents(rows, results, ranked):
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decoded(ids, token_bytes(ranks))).hexdigest())
+        return out
+
+    columns = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return encoded(docs, "doc_id", "text", _UNIT.findall, Encoder(ranks, pattern), _pack, digests, columns, name="bpe").withColumnRenamed("id", "doc_id")

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 
 from ._common import arrow_schema, id_type, keyed_text, slices, stored
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 # Python's \S also counts four control characters as space; here only Unicode White_Space ends a word
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD = re.compile(f"[^{_SPACE}]+")
@@ -42,29 +42,41 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Packed ids of texts for a tokenizer that drops white space. Words seen before come from a cache of
-    bounded size; a text with one of the tokenizer's special strings goes to the library whole."""
+    """Packed ids of texts for a tokenizer that drops white space. Words seen before come from two caches of
+    bounded size: words of the older one move to the younger when they are met again, and when
+    that is full it takes the older one's place. A text with one of the tokenizer's special strings
+    goes to the library whole."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else _WORD.findall(t) for t in texts]
-        new = list({w for words in split if words for w in words} - self.known.keys())
+        words = set().union(*(w for w in split if w))
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        missing = words - self.young.keys()
+        for w in missing & self.old.keys():
+            self.young[w] = self.old[w]
+        new = list(missing - self.old.keys())
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
-                new = list({w for words in split if words for w in words})
-            self.known.update(zip(new, self._ids(new)))
-        get = self.known.__getitem__
+            self.young.update(zip(new, self._ids(new)))
+        get = self.young.__getitem__
         return [self._ids([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
 
+@functools.lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, crc32, part, rank, n_bytes): the pieces of each document; ``rank`` counts the
     pieces of one length in one stored part. Stored, as ranks hold for this one run only."""
@@ -76,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         from pyspark import TaskContext
 
         part, seen, close = TaskContext.get().partitionId(), Counter(), np.array([end_id], "<u4").tobytes()
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
         for batch in batches:
             for i, j in slices(batch.column(1), 2 << 20):
                 rows: list[list] = [[] for _ in arrow.names]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, packing, token_counts
+from . import byte_bpe, chat, html_text, imatch, jaccard_join, neighbours, packing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,22 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 documents, conversations, embeddings, pages, labels = map(_table, ("documents", "conversations", "embeddings", "pages", "labels"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op1(documents(spark, sf_dir))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op2(conversations(spark, sf_dir))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.op3(embeddings(spark, sf_dir))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.op4(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op6(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,7 +47,28 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_chat_format, op6_token_counts, op7_byte_bpe, op8_best_fit_packing)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op10(pages(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_chat_format,
+        op3_nearest_neighbours,
+        op4_fingerprints,
+        op6_token_counts,
+        op7_byte_bpe,
+        op8_best_fit_packing,
+        op9_toxicity,
+        op10_html_text,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": """

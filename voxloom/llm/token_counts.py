@@ -47,8 +47,9 @@ class PieceCounter:
         return counts
 
 
-def _sums(rows, results):
+def _sums(rows, results, ranked):
     table = np.concatenate([unpack_ints(r) for r in results]) if results else np.zeros(0, np.uint32)
+    table = table[ranked]
     out: dict[str, list] = {"n_bytes": [], "n_tokens": []}
     for n_bytes, seq, freq in rows:
         ids = np.cumsum(unpack_ints(seq).astype(np.int64))

@@ -14,18 +14,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_schema, id_type, keyed_text, n_parts, slices, stored
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+LEVEL = 3
 
 
 def pack_ints(x: np.ndarray) -> bytes:
     """Unsigned 32-bit integers, byte planes apart, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpack_ints(b: bytes) -> np.ndarray:
@@ -35,7 +37,7 @@ def unpack_ints(b: bytes) -> np.ndarray:
 
 def pack_words(words: list[bytes]) -> bytes:
     lengths = pack_ints(np.fromiter(map(len, words), np.uint32, len(words)))
-    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=1).compress(b"".join(words))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(words))
 
 
 def unpack_words(b: bytes) -> list[bytes]:
@@ -59,11 +61,17 @@ def _blocks(split: Callable[[str], list[str]], buckets: int, counts_only: bool,
         def flush():
             nonlocal block, numbers, held, size
             words = [w.encode("utf-8", "surrogatepass") for w in numbers]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int64)  # a word's number, counted bucket by bucket
+            by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))[by_word]
+            dealt = np.argsort(bucket, kind="stable")
+            order, ends = by_word[dealt], np.searchsorted(bucket[dealt], np.arange(buckets + 1))
+            place = np.empty(len(words), np.int64)  # where a word is, bucket by bucket
             place[order] = np.arange(len(words))
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            # frequent words get small numbers, which take little room in the sequences
+            met = np.bincount(np.concatenate([ids for _, ids, _ in held]), minlength=len(words))
+            ranked = np.argsort(-met, kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[ranked] = np.arange(len(words))
             rows: dict[str, list] = {k: [] for k in schema.names}
 
             def add(**x):
@@ -73,8 +81,9 @@ def _blocks(split: Callable[[str], list[str]], buckets: int, counts_only: bool,
             for k in range(buckets):
                 if ends[k] < ends[k + 1]:
                     add(block=block, bucket=k, vocab=pack_words([words[i] for i in order[ends[k] : ends[k + 1]].tolist()]))
+            add(block=block, bucket=-2, seq=pack_ints(place[ranked]))
             for key, ids, n_bytes in held:
-                seq = place[ids]
+                seq = rank[ids]
                 if counts_only:
                     seq, freq = np.unique(seq, return_counts=True)
                     add(block=block, bucket=-1, id=key, n_bytes=n_bytes, seq=pack_ints(np.diff(seq, prepend=0)), freq=pack_ints(freq))
@@ -89,7 +98,7 @@ def _blocks(split: Callable[[str], list[str]], buckets: int, counts_only: bool,
                 for key, text in zip(ids[i:j], batch.column(1).slice(i, j - i).to_pylist()):
                     words = split(text)
                     get = numbers.setdefault
-                    held.append((key, np.fromiter((get(w, len(numbers)) for w in words), np.int64, len(words)), n := len(text.encode())))
+                    held.append((key, np.fromiter((get(w, len(numbers)) for w in words), np.int32, len(words)), n := len(text.encode())))
                     size += n
                     if size >= BLOCK_BYTES:
                         yield flush()
@@ -106,14 +115,14 @@ def encoded(
     split: Callable[[str], list[str]],
     encoder: Callable[[], Callable[[list[bytes]], list]],
     pack: Callable[[list], bytes],
-    finish: Callable[[Iterator[tuple], list[bytes]], dict],
+    finish: Callable[[Iterator[tuple], list[bytes], np.ndarray], dict],
     out: str,
     counts_only: bool = False,
     name: str = "words",
 ) -> DataFrame:
     """``split`` cuts a text; ``encoder()`` gives a function from distinct words to results; ``pack`` makes
-    the results of a vocabulary bytes; ``finish`` gets a block's documents (id, n_bytes, seq, freq) and
-    the packed results in bucket order, and returns the columns of ``out`` after the id."""
+    the results of a vocabulary bytes; ``finish`` gets a block's documents (n_bytes, seq, freq), the
+    packed results in bucket order and where in these each word number is, and returns the columns ``out``."""
     spark = docs.sparkSession
     kind = id_type(docs, id_col)
     schema = f"block bigint, bucket int, id {kind}, n_bytes bigint, seq binary, freq binary, vocab binary"
@@ -139,8 +148,10 @@ def encoded(
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
+        order, left = left.filter(pc.equal(left.column("bucket"), -2)), left.filter(pc.equal(left.column("bucket"), -1))
         rows = zip(*(left.column(c).to_pylist() for c in ("n_bytes", "seq", "freq")))
-        return pa.Table.from_pydict({"id": left.column("id"), **finish(rows, right.column("result").to_pylist())}, schema=final)
+        ranked = unpack_ints(order.column("seq")[0].as_py()).astype(np.int64)
+        return pa.Table.from_pydict({"id": left.column("id"), **finish(rows, right.column("result").to_pylist(), ranked)}, schema=final)
 
-    own = blocks.where(F.col("bucket") < 0).select("block", "id", "n_bytes", "seq", "freq")
+    own = blocks.where(F.col("bucket") < 0).select("block", "bucket", "id", "n_bytes", "seq", "freq")
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, f"id {kind}, {out}")
