@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, html_text, imatch, jaccard_join, neighbours, packing, token_counts, toxicity
+from . import byte_bpe, chat, html_text, imatch, jaccard_join, neighbours, packing, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.op4(documents(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op5(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op6(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
         op2_chat_format,
         op3_nearest_neighbours,
         op4_fingerprints,
+        op5_suffix_array_dedup,
         op6_token_counts,
         op7_byte_bpe,
         op8_best_fit_packing,
