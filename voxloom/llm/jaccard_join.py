@@ -294,5 +294,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75, id_col
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those whose component has a smaller id; one row per id.
+    Rows with a null id stay."""
+    found = near_duplicates(docs, k, threshold, id_col, text_col)
+    kept = stored(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows")), "kept")
+    named = docs.where(F.col(id_col).isNotNull())
+    out = named.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    if not kept.where("rows > 1").isEmpty():
+        out = out.dropDuplicates([id_col])
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op1(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).withColumnRenamed("id", "doc_id")

@@ -90,14 +90,16 @@ def _join(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in table.column(column).to_pylist())])
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """(home, id, sub, text): ``sub`` tells rows with one id apart, ``home`` deals documents out."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def numbered(docs: DataFrame, id_col: str, text_col: str, parts: int, keep: list[str]) -> DataFrame:
+    """(home, id, sub, text, extra): ``sub`` tells rows with one id apart, ``home`` deals documents out, and ``extra``
+    holds the columns ``keep``, if there are any."""
+    extra = [F.struct(*(F.col(c) for c in keep)).alias("extra")] if keep else []
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
     sub = F.lit(0)
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
         sub = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("text"), "text"))
     home = F.pmod(F.coalesce("id", F.lit(0)).bitwiseXOR(F.shiftright(F.coalesce("id", F.lit(0)), 6)).bitwiseXOR(F.shiftright(F.coalesce("id", F.lit(0)), 13)), F.lit(parts))
-    return rows.select(home.cast("int").alias("home"), "id", sub.cast("int").alias("sub"), "text")
+    return rows.select(home.cast("int").alias("home"), "id", sub.cast("int").alias("sub"), "text", *(["extra"] if keep else []))
 
 
 # --- 1: hashes of stretches ---------------------------------------------------------------------------------
@@ -194,7 +196,7 @@ def _judge(parts: int):
 
 # --- texts, packed by home ----------------------------------------------------------------------------------
 
-_TEXTS = "home int, ids binary, valid binary, subs binary, lengths binary, blob binary"
+_TEXTS = "home int, ids binary, valid binary, subs binary, lengths binary, blob binary, extra binary"
 
 
 def _pack_texts(parts: int):
@@ -216,7 +218,7 @@ def _pack_texts(parts: int):
                 data, bounds = text_bytes(part.column("text").chunk(0))
                 valid = np.asarray(part.column("id").is_valid())
                 ids = np.asarray(part.column("id").fill_null(0), np.int64)
-                values = (h, ids.tobytes(), valid.tobytes(), np.asarray(part.column("sub"), np.int32).tobytes(), np.diff(bounds).tobytes(), squeeze(data.tobytes()))
+                values = (h, ids.tobytes(), valid.tobytes(), np.asarray(part.column("sub"), np.int32).tobytes(), np.diff(bounds).tobytes(), squeeze(data.tobytes()), _to_bytes(part.column("extra").chunk(0)) if "extra" in part.column_names else None)
                 for c, v in zip(columns, values):
                     c.append(v)
             return _batch(columns, arrow)
@@ -235,12 +237,23 @@ def _pack_texts(parts: int):
     return run
 
 
+def _to_bytes(rows: pa.StructArray) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("extra", rows.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([rows], ["extra"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(b: bytes) -> pa.StructArray:
+    return pa.ipc.open_stream(b).read_next_batch().column(0)
+
+
 def _unpack_texts(table: pa.Table):
-    """Row by row of the packed texts: ids, valid, subs, data, bounds."""
-    for ids, valid, subs, lengths, blob in zip(*(table.column(c).to_pylist() for c in ("ids", "valid", "subs", "lengths", "blob"))):
+    """Row by row of the packed texts: ids, valid, subs, data, bounds, extra."""
+    for ids, valid, subs, lengths, blob, extra in zip(*(table.column(c).to_pylist() for c in ("ids", "valid", "subs", "lengths", "blob", "extra"))):
         bounds = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int64))))
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8) if bounds[-1] else np.zeros(0, np.uint8)
-        yield np.frombuffer(ids, np.int64), np.frombuffer(valid, bool), np.frombuffer(subs, np.int32), data, bounds
+        yield np.frombuffer(ids, np.int64), np.frombuffer(valid, bool), np.frombuffer(subs, np.int32), data, bounds, extra
 
 
 # --- 2: shards ----------------------------------------------------------------------------------------------
@@ -264,7 +277,7 @@ def _cut(parts: int):
         a_id, a_sub, bucket, place, kind = asked["ids"][order], asked["subs"][order], bucket[order], place[order], kind[order]
         columns: list[list] = [[] for _ in arrow.names]
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for ids, valid, subs, data, bounds in _unpack_texts(texts):
+        for ids, valid, subs, data, bounds, _ in _unpack_texts(texts):
             lo = 0
             while lo < len(ids):  # a bounded number of bytes at a time
                 hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + CHUNK, "right")) - 1)
@@ -356,51 +369,77 @@ def _search():
 # --- 3: removal ---------------------------------------------------------------------------------------------
 
 
-def _remove(keep_text: bool, schema: str):
+def _spans(table: pa.Table):
+    """A function that gives the kept bytes of a document and the number of its removed runs."""
+    s_id, s_sub, s_from, s_to = (_join(table, c, k) for c, k in (("ids", np.int64), ("subs", np.int32), ("starts", np.int64), ("ends", np.int64)))
+    order = np.lexsort((s_from, s_sub, s_id))
+    s_id, s_sub, s_from, s_to = s_id[order], s_sub[order], s_from[order], s_to[order]
+
+    def kept(ids, valid, subs, data, bounds):
+        left, right = np.searchsorted(s_id, ids), np.searchsorted(s_id, ids, "right")
+        for r in range(len(ids)):
+            text = data[bounds[r] : bounds[r + 1]]
+            x = np.arange(left[r], right[r]) if valid[r] else left[:0]
+            x = x[s_sub[x] == subs[r]]
+            if len(x):
+                change = np.bincount(s_from[x], minlength=len(text) + 1) - np.bincount(s_to[x], minlength=len(text) + 1)
+                covered = np.cumsum(change)[: len(text)] > 0
+                yield len(text), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum()), text[~covered].tobytes()
+            else:
+                yield len(text), 0, text.tobytes()
+
+    return kept
+
+
+def _removed(docs: DataFrame, finish, schema, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """``finish`` gets a group's rows of packed texts and the function of ``_spans``, and returns its output."""
+    parts = n_parts(docs.sparkSession)
+    rows = numbered(docs, id_col, text_col, parts, keep)
+    plain = rows.select("home", "id", "sub", "text")
+    replies = plain.mapInArrow(_hash_blocks(parts), _HASHES).groupBy("bucket").applyInArrow(_judge(parts), _REPLY)
+    asked = plain.mapInArrow(_pack_texts(parts), _TEXTS)
+    cut = stored(asked.groupBy("home").cogroup(replies.groupBy("home")).applyInArrow(_cut(parts), _CUT), "stretches")
+    found = cut.where("shard >= 0").groupBy("shard").applyInArrow(_search(), _FOUND)
+    spans = cut.where("shard < 0").select(*arrow_schema(_FOUND).names).unionByName(found)
+    texts = rows.mapInArrow(_pack_texts(parts), _TEXTS)
+    return texts.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(lambda key, t, s: finish(t, _spans(s)), schema)
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
+    schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     arrow = arrow_schema(schema)
 
-    def run(key, texts: pa.Table, spans: pa.Table) -> pa.Table:
-        s_id, s_sub, s_from, s_to = (_join(spans, c, k) for c, k in (("ids", np.int64), ("subs", np.int32), ("starts", np.int64), ("ends", np.int64)))
-        order = np.lexsort((s_from, s_sub, s_id))
-        s_id, s_sub, s_from, s_to = s_id[order], s_sub[order], s_from[order], s_to[order]
+    def finish(texts: pa.Table, kept) -> pa.Table:
         columns: list[list] = [[] for _ in arrow.names]
-        for ids, valid, subs, data, bounds in _unpack_texts(texts):
-            left, right = np.searchsorted(s_id, ids), np.searchsorted(s_id, ids, "right")
-            for r in range(len(ids)):
-                text = data[bounds[r] : bounds[r + 1]]
-                runs = 0
-                kept = text
-                if valid[r] and right[r] > left[r]:
-                    x = np.arange(left[r], right[r])
-                    x = x[s_sub[x] == subs[r]]
-                    change = np.bincount(s_from[x], minlength=len(text) + 1) - np.bincount(s_to[x], minlength=len(text) + 1)
-                    covered = np.cumsum(change)[: len(text)] > 0
-                    runs = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum()) if len(covered) else 0
-                    kept = text[~covered]
-                raw = kept.tobytes()
-                values = (int(ids[r]) if valid[r] else None, int(subs[r]), len(text), len(text) - len(raw), runs, raw if keep_text else hashlib.sha256(raw).hexdigest())
-                for c, v in zip(columns, values):
+        for part in _unpack_texts(texts):
+            for key, ok, (n, runs, left) in zip(part[0].tolist(), part[1].tolist(), kept(*part[:5])):
+                for c, v in zip(columns, (key if ok else None, n, n - len(left), runs, hashlib.sha256(left).hexdigest())):
                     c.append(v)
         return pa.Table.from_batches([_batch(columns, arrow)], schema=arrow)
 
-    return run
+    return _removed(docs, finish, schema, id_col, text_col, []).withColumn("id", F.col("id").cast(id_type(docs, id_col)))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """(id, sub, n_bytes, n_removed, n_spans, kept): ``kept`` are the bytes that are left, or their SHA-256 in hex.
-    ``sub`` counts the rows of one id, in the order of their texts, and is 0 if no id is repeated."""
-    parts = n_parts(docs.sparkSession)
-    rows = numbered(docs, id_col, text_col, parts)
-    replies = rows.mapInArrow(_hash_blocks(parts), _HASHES).groupBy("bucket").applyInArrow(_judge(parts), _REPLY)
-    texts = rows.mapInArrow(_pack_texts(parts), _TEXTS)
-    cut = stored(texts.groupBy("home").cogroup(replies.groupBy("home")).applyInArrow(_cut(parts), _CUT), "stretches")
-    found = cut.where("shard >= 0").groupBy("shard").applyInArrow(_search(), _FOUND)
-    spans = cut.where("shard < 0").select(*arrow_schema(_FOUND).names).unionByName(found)
-    schema = f"id bigint, sub int, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'binary' if keep_text else 'string'}"
-    out = texts.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(_remove(keep_text, schema), schema)
-    return out.withColumn("id", F.col("id").cast(id_type(docs, id_col)))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, the text without its removed bytes; what a removal leaves of a
+    character in several bytes goes as well. A null text stays null."""
+    keep = docs.columns
+    schema = docs.schema
+    arrow = arrow_schema(schema)
+    at = keep.index(text_col)
+
+    def finish(texts: pa.Table, kept) -> pa.Table:
+        out = []
+        for part in _unpack_texts(texts):
+            columns = _from_bytes(part[5]).flatten()
+            old = columns[at].is_valid().to_pylist()
+            columns[at] = pa.array([left.decode("utf-8", "ignore") if ok else None for ok, (_, _, left) in zip(old, kept(*part[:5]))], pa.string())
+            out.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
+        return pa.Table.from_batches(out, schema=arrow)
+
+    return _removed(docs, finish, schema, id_col, text_col, keep)
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    out = deduplicate(docs, keep_text=False)
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+    return measure(docs).withColumnRenamed("id", "doc_id")

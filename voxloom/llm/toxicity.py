@@ -192,6 +192,20 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return score_rows(keyed_text(docs, id_col, text_col), model).select("id", "score")
 
 
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the limit."""
+
+    def run(batches):
+        automaton = model.automaton()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            for i, j in slices(texts, _BLOCK):
+                clean = [model.score(*model.features(fold(t or ""), automaton)) < limit for t in texts.slice(i, j - i).to_pylist()]
+                yield batch.slice(i, j - i).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
