@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 
 from ._common import arrow_schema, id_type, keyed_text, slices, stored
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 # Python's \S also counts four control characters as space; here only Unicode White_Space ends a word
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD = re.compile(f"[^{_SPACE}]+")
@@ -50,24 +50,42 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Words are handed over many at a time with a digit of its own token between them, and cut there again."""
+        lone = [w for w in words if "0" in w]
+        out = dict(zip(lone, self._ids(lone)))
+        plain = [w for w in words if "0" not in w] if lone else words
+        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" 0 ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.zero) * 4
+            if len(cuts) != len(group) - 1:
+                out.update(zip(group, self._ids(group)))
+                continue
+            raw = ids.tobytes()
+            out.update(zip(group, map(raw.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))))
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else _WORD.findall(t) for t in texts]
-        words = set().union(*(w for w in split if w))
+        words = list(set().union(*(w for w in split if w)))
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        missing = words - self.young.keys()
-        for w in missing & self.old.keys():
-            self.young[w] = self.old[w]
-        new = list(missing - self.old.keys())
-        if new:
-            self.young.update(zip(new, self._ids(new)))
-        get = self.young.__getitem__
+        own = dict(zip(words, map(self.young.get, words)))  # small, so looking up in it is cheap
+        missing = [w for w, ids in own.items() if ids is None]
+        if missing:
+            met = {w: ids for w, ids in zip(missing, map(self.old.get, missing)) if ids is not None}
+            met.update(self._words([w for w in missing if w not in met] if met else missing))
+            own.update(met)
+            self.young.update(met)
+        get = own.__getitem__
         return [self._ids([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
 
