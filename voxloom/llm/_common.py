@@ -33,6 +33,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """Like ``stored``, in ``parts`` buckets by ``key``: grouping by the key needs no further shuffle of these rows.
+    A task writes a file for each bucket that its rows fall in, so rows of a key should come together."""
+    spark = df.sparkSession
+    table = f"voxloom_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parts, key).option("path", f"{checkpoint_root(spark).rstrip('/')}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and the frame knows them
+    return out
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, id_type, keyed_text, n_parts, slices, stored
+from ._common import arrow_schema, bucketed, id_type, keyed_text, n_parts, slices
 
 BLOCK_BYTES = 16 << 20
 LEVEL = 3
@@ -128,7 +128,7 @@ def encoded(
     schema = f"block bigint, bucket int, id {kind}, n_bytes bigint, seq binary, freq binary, vocab binary"
     arrow = arrow_schema(schema)
     parts = n_parts(spark)
-    blocks = stored(keyed_text(docs, id_col, text_col).mapInArrow(_blocks(split, parts, counts_only, arrow), schema), name)
+    blocks = bucketed(keyed_text(docs, id_col, text_col).mapInArrow(_blocks(split, parts, counts_only, arrow), schema), "block", parts, name)
     vocab = blocks.where(F.col("bucket") >= 0).select("block", "bucket", "vocab").repartition(parts, "bucket")
 
     def encode(batches):
