@@ -110,6 +110,17 @@ def test_terms_by_broadcast_and_by_index_agree(spark):
     assert (5, "deep learning") in rows(b)
 
 
+def test_options(spark):
+    texts = spark.createDataFrame([(1, "networks net,"), (2, "a net here"), (3, "the net"), (4, None)], "k int, t string")
+    terms = spark.createDataFrame([("net",)], "term string")
+    for most in (100, 0):
+        assert sorted(rows(dictionary.matches(texts, terms, "k", "t", word_boundary=True, most=most))) == [(2, "net"), (3, "net")]
+    d = spark.createDataFrame([("dog", "[TRANSLATE:dog]", 2)], "k string, v string, o int")
+    assert dictionary.usable_entries(d, "k", "v", "o").count() == 0 and dictionary.usable_entries(d, "k", "v", "o", strict_reference=True).count() == 1
+    s = spark.createDataFrame([("d", i, x, i * 2.5, i * 2.5 + 5) for i, x in enumerate("aabb")], "doc string, seg_idx int, language string, start_time double, end_time double")
+    assert [(r.start_time, r.end_time) for r in segments.merge_runs(s, clip_overlap=True).orderBy("run").collect()] == [(0.0, 5.0), (5.0, 12.5)]
+
+
 def test_tagging_longest_first_and_restoring(spark):
     d = spark.createDataFrame([("Deep Net and net and deep",)], "text string")
     r = dictionary.tag_terms(d, "text", [("net", "N"), ("deep net", "DN"), ("deep", "D")]).first()

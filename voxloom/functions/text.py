@@ -74,8 +74,9 @@ def is_stub(value: Column) -> Column:
     return value.startswith("[TRANSLATE:")
 
 
-def usable(value: Column) -> Column:
-    return (value != "") & ~value.startswith("[NEEDS_") & ~is_stub(value)
+def usable(value: Column, stubs: bool = False) -> Column:
+    kept = (value != "") & ~value.startswith("[NEEDS_")
+    return kept if stubs else kept & ~is_stub(value)
 
 
 def scrub_ipa(ipa: Column) -> Column:

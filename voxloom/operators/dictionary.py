@@ -11,12 +11,17 @@ from ..functions import text as fn
 MOST_BROADCAST = 10_000
 
 
-def matches(corpus: DataFrame, terms: DataFrame, key: str, text: str, gram: int = 4, words: bool = False, most: int = MOST_BROADCAST) -> DataFrame:
+def matches(corpus: DataFrame, terms: DataFrame, key: str, text: str, gram: int = 4, words: bool = False, most: int = MOST_BROADCAST, word_boundary: bool = False, padded: bool = False) -> DataFrame:
     """(key, term) for each term that is a substring of the lower-cased trimmed text; with ``words`` also for terms all of
     whose words the text has. A few terms are broadcast and looked for in each text; many are found by
-    their first letters (terms shorter than ``gram`` are few, and broadcast)."""
-    body = corpus.select(key, F.lower(F.trim(text)).alias("_t"))
+    their first letters (terms shorter than ``gram`` are few, and broadcast). With ``word_boundary`` a term
+    has to be whole words of the text."""
+    body = corpus.select(key, (F.col(text) if padded else F.lower(F.trim(text))).alias("_t"))
     terms = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
+    if word_boundary:
+        whole = lambda c: F.concat(F.lit(" "), F.array_join(fn.words(F.col(c)), " "), F.lit(" "))
+        found = matches(body.withColumn("_t", whole("_t")), terms.withColumn("term", whole("term")), key, "_t", gram, most=most, padded=True)
+        return found.withColumn("term", F.trim("term"))
     hit = F.contains("_t", "term")
     if words:
         hit = hit | (F.size(F.array_except(fn.words(F.col("term")), F.col("_w"))) == 0)
@@ -43,9 +48,10 @@ def unmined(terms: DataFrame, found: DataFrame) -> DataFrame:
     return terms.select("term").distinct().join(found.select("term").distinct(), "term", "left_anti").orderBy("term")
 
 
-def usable_entries(dictionary: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """(key, value): keys lower-cased and trimmed, stubs and empty entries dropped, the last of equal keys."""
-    d = dictionary.select(F.lower(F.trim(key)).alias("key"), F.trim(value).alias("value"), F.col(order).alias("at")).where((F.col("key") != "") & fn.usable(F.col("value")))
+def usable_entries(dictionary: DataFrame, key: str, value: str, order: str, strict_reference: bool = False) -> DataFrame:
+    """(key, value): keys lower-cased and trimmed, stubs and empty entries dropped, the last of equal keys. With
+    ``strict_reference`` stubs for translation stay, as entries of their own."""
+    d = dictionary.select(F.lower(F.trim(key)).alias("key"), F.trim(value).alias("value"), F.col(order).alias("at")).where((F.col("key") != "") & fn.usable(F.col("value"), strict_reference))
     return d.groupBy("key").agg(F.max_by("value", "at").alias("value"))
 
 

@@ -17,13 +17,18 @@ def with_run(df: DataFrame, doc: str = "doc", idx: str = "seg_idx", label: str =
     return df.withColumn("_new", F.when(before.eqNullSafe(F.col(label)), 0).otherwise(1)).withColumn("run", F.sum("_new").over(_by(doc, idx).rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-def merge_runs(df: DataFrame) -> DataFrame:
-    """(doc, run, language, start_time, end_time, n): consecutive segments of one language; the end is that of the last."""
-    return (
+def merge_runs(df: DataFrame, clip_overlap: bool = False) -> DataFrame:
+    """(doc, run, language, start_time, end_time, n): consecutive segments of one language; the end is that of the last. With
+    ``clip_overlap`` a run ends where the next one begins, if that is earlier."""
+    runs = (
         with_run(df)
         .groupBy("doc", "run")
         .agg(F.first("language").alias("language"), F.min_by("start_time", "seg_idx").alias("start_time"), F.max_by("end_time", "seg_idx").alias("end_time"), F.count("*").alias("n"))
     )
+    if not clip_overlap:
+        return runs
+    after = F.lead("start_time").over(_by("doc", "run"))
+    return runs.withColumn("end_time", F.least("end_time", after))
 
 
 def frame_runs(df: DataFrame) -> DataFrame:
