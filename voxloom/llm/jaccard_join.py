@@ -8,9 +8,10 @@
    documents have nothing in their prefix that another one has, and leave.
 3. Nodes that share a prefix shingle are candidates, if the length and positional filters let them pass.
    First each node is tried against one leader among its candidates, a few times over, and links join
-   nodes into components; only then all candidates that are still in different components are tried,
-   so that a large group of copies costs a few pairs for each of them and not the square.
-4. A pair is verified on the shared shingles of both, after the suffix filter.
+   nodes into components. Only then all candidates that are still in different components are tried:
+   nodes are gathered in blocks by their leaders, and each two blocks that share a prefix shingle are
+   compared once, so that a large group of copies gives a few rows of blocks and not the square of pairs.
+4. A pair is verified on the shared shingles of both, with leaders after the suffix filter.
 
 Defined cases: null, empty and blank text has the empty set and is linked with nothing; rows with a null id
 get their size and a null component; rows with one id are one document for the links; repeated rows
@@ -30,7 +31,8 @@ from .components import components
 from .hashing import mix, shingle_hashes, word_hashes
 
 CHUNK, BLOCK = 4 << 20, 24 << 20
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+BLOCK_NODES = 512
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -230,11 +232,63 @@ def _suffix_filter(x: np.ndarray, y: np.ndarray, need: int) -> bool:
     return int(np.minimum(np.bincount((x & bits).astype(np.int64), minlength=4), np.bincount((y & bits).astype(np.int64), minlength=4)).sum()) >= need
 
 
+def _blocks_compared(entries: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of the nodes of ``entries``."""
+    # nodes take the smallest mark that goes round among their tokens' nodes, so that groups have few marks
+    marked = entries.select("token", "node", "root", F.xxhash64("node").alias("lead"))
+    for _ in range(2):
+        by_token = marked.groupBy("token").agg(F.min("lead").alias("_l"))
+        by_node = marked.join(by_token, "token").groupBy("node", "root").agg(F.min("_l").alias("lead"))
+        marked = stored(marked.select("token", "node").join(by_node, "node"), "marked")
+    nodes = marked.select("node", "root", "lead").distinct()
+    sizes = nodes.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("k"))
+    placed = stored(nodes.join(sizes, "lead").select("node", "root", F.xxhash64("lead", F.pmod(F.xxhash64("node"), "k")).alias("block")), "blocks")
+    # tokens of one set of blocks ask for the same pairs
+    met = entries.select("token", "node").join(placed.select("node", "block"), "node").groupBy("token").agg(F.sort_array(F.collect_set("block")).alias("met")).select("met").distinct()
+    pairs = met.select(F.posexplode("met").alias("i", "x"), "met").select("x", F.explode(F.slice("met", F.col("i") + 1, F.size("met"))).alias("y")).distinct()
+    side = lambda x: placed.join(shared, "node").groupBy(F.col("block").alias(x)).agg(F.collect_list(F.struct("node", "root", "n", "shared")).alias(f"of_{x}"))
+    arrow = arrow_schema("a bigint, b bigint")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found: tuple[list, list] = ([], [])
+        for left, right, same in zip(table.column("of_x").to_pylist(), table.column("of_y").to_pylist(), (x == y for x, y in zip(table.column("x").to_pylist(), table.column("y").to_pylist()))):
+            parent: dict[int, int] = {}
+
+            def find(r: int) -> int:
+                while parent.setdefault(r, r) != r:
+                    r = parent[r]
+                return r
+
+            sets = [np.frombuffer(d["shared"], np.uint64) for d in right]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            known, place = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(size) - size
+            m = np.array([d["n"] for d in right])
+            flag = np.zeros(len(known), bool)
+            for i, d in enumerate(left):
+                x = np.frombuffer(d["shared"], np.uint64)
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                at = at[known[at] == x]
+                flag[at] = True
+                common = np.add.reduceat(flag[place].astype(np.int64), starts)
+                flag[at] = False
+                need = np.ceil((m + d["n"]) * (threshold / (1 + threshold)) - 1e-9)
+                for j in np.flatnonzero(common >= need).tolist():
+                    r, q = find(d["root"]), find(right[j]["root"])
+                    if r != q and (i < j or not same):
+                        parent[max(r, q)] = min(r, q)
+                        found[0].append(d["node"])
+                        found[1].append(right[j]["node"])
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in found], schema=arrow)
+
+    return pairs.join(side("x"), "x").join(side("y"), "y").groupBy("x", "y").applyInArrow(compare, "a bigint, b bigint")
+
+
 def links(shared: DataFrame, threshold: float, rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(node, root) for each linked node."""
     spark = shared.sparkSession
     prefix = stored(_prefixes(shared), "prefix")
-    tried = found = None
+    found = None
     roots = spark.createDataFrame([], "node bigint, root bigint")
 
     def rooted() -> DataFrame:
@@ -243,35 +297,32 @@ def links(shared: DataFrame, threshold: float, rounds: int = LEADER_ROUNDS) -> D
         mixed = p.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
         return stored(p.join(mixed, "token", "left_semi"), "entries")
 
-    def attempt(pairs: DataFrame):
-        nonlocal tried, found, roots
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        new = stored(_verified(pairs, shared, threshold), "links")
-        tried, found = (pairs, new) if tried is None else (tried.union(pairs), found.union(new))
+    def linked(new: DataFrame) -> bool:
+        nonlocal found, roots
+        new = stored(new, "links")
+        if new.isEmpty():
+            return False
+        found = new if found is None else found.union(new)
         roots = components(found)
-        return not new.isEmpty()
-
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        return True
 
-    entries = rooted()
+    entries, tried = rooted(), None
     for r in range(rounds):
         if entries.isEmpty():
             return roots
         turn = F.xxhash64("node", F.lit(r))
         leaders = entries.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("its")), turn).alias("l")).select("token", "l.*")
         met = entries.join(leaders, "token").where((F.col("root") != F.col("its")) & _possible(threshold))
-        best = met.groupBy("node", "other").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
-        linked = attempt(ordered(best).distinct())
-        entries = rooted()
-        if not linked:
+        best = stored(met.groupBy("node", "other").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("other", F.struct("c", "other")).alias("other")), "best")
+        pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        more = linked(_verified(pairs, shared, threshold))
+        entries = rooted() if more else entries
+        if not more:
             break
-    if entries.isEmpty():
-        return roots
-    other = entries.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("its"))
-    rest = entries.join(other, "token").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("its")) & _possible(threshold))
-    attempt(ordered(rest).distinct())
+    if not entries.isEmpty():
+        linked(_blocks_compared(entries, shared, threshold))
     return roots
 
 
