@@ -320,7 +320,7 @@ def test_toxicity_is_learned_and_folded(spark):
     model = toxicity.fit(d, labels, phrases=("zorgish fruit",))
     s = {r.id: r.score for r in toxicity.toxicity(spark.createDataFrame([(0, "a zorgish fruit"), (1, "a zorgish")], "doc_id bigint, text string"), model).collect()}
     assert s[0] < 0.5 < s[1]
-    assert {r.score for r in toxicity.op9(d, labels.where("toxic = 0")).collect()} == {toxicity.Model().score(0, 0)}
+    assert {r.score for r in toxicity.op9(d, labels.where("toxic = 0")).collect()} == {toxicity.Model().score(0, 0, 0)}
 
 
 # --- 10 ---

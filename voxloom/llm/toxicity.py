@@ -5,7 +5,7 @@ to the letters that they stand for, drops invisible characters and leaves words
 The lexicon holds words and beginnings of words, weighted by the log-odds of toxic documents,
 learned from labelled rows; longer forms that speak against toxicity are exceptions and cancel the match
 inside them, and so do the exception phrases given by the caller. A document's score is a
-logistic function of its weights' sum and of that sum per word.
+logistic function of its weights' sum, of that sum per word, and of its largest weight.
 
 Bounds: the lexicon and the logistic function are fitted on about ``fit_rows`` labelled rows at most, chosen by
 a hash of their id; the lexicon has at most ``max_patterns`` entries. Scoring covers whole texts.
@@ -60,7 +60,7 @@ def patterns(word: str) -> list[str]:
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: dict[str, float] = field(default_factory=dict)
-    logistic: tuple[float, float, float] = (-20.0, 0.0, 0.0)
+    logistic: tuple[float, ...] = (-20.0, 0.0, 0.0, 0.0)
 
     def automaton(self):
         import ahocorasick
@@ -73,15 +73,18 @@ class Model:
         return a
 
     @staticmethod
-    def features(folded: str, automaton) -> tuple[float, float]:
-        total = max(0.0, sum(w for _, w in automaton.iter(folded))) if len(automaton) else 0.0
+    def features(folded: str, automaton) -> tuple[float, float, float]:
+        """Of the weights matched: their sum, the sum per word, and the largest; all 0 where exceptions cancel the sum."""
+        found = [w for _, w in automaton.iter(folded)] if len(automaton) else []
+        total = sum(found)
+        if total <= 1e-9:
+            return 0.0, 0.0, 0.0
         words = max(1, folded.count(" ") - 1)
-        return math.log1p(total), math.log1p(100 * total / words)
+        return math.log1p(total), math.log1p(100 * total / words), max(found)
 
-    def score(self, x: float, y: float) -> float:
-        a, b, c = self.logistic
-        z = max(-700.0, min(700.0, a + b * x + c * y))
-        return 1 / (1 + math.exp(-z))
+    def score(self, *features: float) -> float:
+        z = self.logistic[0] + sum(a * x for a, x in zip(self.logistic[1:], features))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, train: Column | None, fit_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -151,8 +154,8 @@ def fit(
     for phrase in phrases:
         folded = fold(phrase)
         model.exceptions[folded] = -sum(w for _, w in automaton.iter(folded))
-    found = score_rows(rows.withColumn("id", F.monotonically_increasing_id()), model, "label").select("x", "y", "label").toPandas()
-    x = np.column_stack([np.ones(len(found)), found.x, found.y])
+    found = score_rows(rows.withColumn("id", F.monotonically_increasing_id()), model, "label").select("x", "y", "z", "label").toPandas()
+    x = np.column_stack([np.ones(len(found)), found.x, found.y, found.z])
     model.logistic = tuple(_newton(x, found.label.to_numpy(np.float64)).tolist())
     return model
 
@@ -170,9 +173,9 @@ def _newton(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> np.ndarray
 
 
 def score_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """(id, *keep, x, y, score) for rows with columns id and text."""
+    """(id, *keep, x, y, z, score) for rows with columns id and text."""
     kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"id {id_type(rows, 'id')}{kinds}, x double, y double, score double"
+    schema = f"id {id_type(rows, 'id')}{kinds}, x double, y double, z double, score double"
     arrow = arrow_schema(schema)
 
     def run(batches):
@@ -180,8 +183,8 @@ def score_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
         for batch in batches:
             for i, j in slices(batch.column(0), _BLOCK):
                 part = batch.slice(i, j - i)
-                xy = [model.features(fold(t), automaton) for t in part.column(0).to_pylist()]
-                columns = [*part.columns[1:], pa.array([x for x, _ in xy], pa.float64()), pa.array([y for _, y in xy], pa.float64()), pa.array([model.score(*v) for v in xy], pa.float64())]
+                found = [model.features(fold(t), automaton) for t in part.column(0).to_pylist()]
+                columns = [*part.columns[1:], *(pa.array([f[k] for f in found], pa.float64()) for k in range(3)), pa.array([model.score(*f) for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return rows.select("text", "id", *keep).mapInArrow(run, schema)
