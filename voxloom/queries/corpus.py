@@ -238,7 +238,7 @@ def job_nbest_rescore(t):
 
 @query(
     """WITH r AS (SELECT doc_id, rank() OVER (ORDER BY n_chars) AS k FROM documents)
-SELECT doc_id, k + 0.3 * 2.0 + 3.0 * (doc_id % 2) AS score FROM r"""
+SELECT doc_id, k::DOUBLE + 0.3::DOUBLE * 2 + 3.0::DOUBLE * (doc_id % 2) AS score FROM r"""
 )
 def fn_combine_scores(t):
     # ranks from counts per distinct value, so that the ordered window is over distinct values
