@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 
 from ._common import arrow_schema, id_type, keyed_text, slices, stored
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 # Python's \S also counts four control characters as space; here only Unicode White_Space ends a word
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD = re.compile(f"[^{_SPACE}]+")
@@ -54,6 +54,12 @@ class WordIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def rest(self) -> None:
+        """At the end of a task: keep one cache only, so that an idle worker holds little."""
+        self.old = {}
+        if len(self.young) > CACHE_WORDS:
+            self.young = {}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -119,6 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                             column.append(v)
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, arrow)], schema=arrow)
+        encode.rest()
 
     return stored(keyed_text(docs, id_col, text_col).mapInArrow(run, schema), "pieces")
 
