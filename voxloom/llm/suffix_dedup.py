@@ -35,6 +35,7 @@ from .hashing import _powers, mix, text_bytes
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, SEED = 50, 20
+SHARDS = 4  # for each bucket of minimisers
 CHUNK, BLOCK = 2 << 20, 16 << 20
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -307,7 +308,7 @@ def _cut(parts: int):
                 if not chosen:
                     continue
                 chosen, kinds = np.concatenate(chosen), np.concatenate(kinds)
-                shard = np.where(kinds == 0, -1, b[chosen]).astype(np.int32)
+                shard = np.where(kinds == 0, -1, b[chosen].astype(np.int64) * SHARDS + (minimiser[chosen] % np.uint64(SHARDS)).astype(np.int64)).astype(np.int32)
                 again = np.argsort(shard, kind="stable")
                 chosen, shard = chosen[again], shard[again]
                 for f, e in zip(*_groups(shard)):
