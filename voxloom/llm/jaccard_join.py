@@ -30,7 +30,7 @@ from ._common import arrow_schema, id_type, keyed_text, n_parts, slices, stored
 from .components import components
 from .hashing import mix, shingle_hashes, word_hashes
 
-CHUNK, BLOCK = 4 << 20, 24 << 20
+CHUNK, BLOCK = 2 << 20, 10 << 20
 LEADER_ROUNDS = 2
 BLOCK_NODES = 512
 _LOW = np.uint64((1 << 40) - 1)
