@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,12 +12,32 @@ from pyspark.sql import Window as W
 _ALPHABET = "".join(map(chr, [*range(0x4E00, 0x4E00 + 20_000), *range(0xAC00, 0xAC00 + 11_000)]))
 
 
+def edits(reference: list, hypothesis: list) -> int:
+    """Edit distance of two lists, row by row over numbers for their items."""
+    number: dict = {}
+    r, h = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (reference, hypothesis))
+    at = np.arange(len(h) + 1)
+    row = at
+    for i, w in enumerate(r, 1):
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (h != w))))
+        # insertions go on from the best place to the left
+        row = np.minimum.accumulate(new - at) + at
+    return int(row[-1])
+
+
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of two word arrays. Each distinct word of the pair becomes a letter, so that the built-in distance on
-    letters counts words; pairs of more than 31,000 distinct words give null."""
+    letters counts words; pairs with more distinct words than letters go to a kernel on word numbers."""
+
+    @F.arrow_udf("int")
+    def many(r: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or b is None else edits(a, b) for a, b in zip(r.to_pylist(), h.to_pylist())], pa.int32())
+
     words = F.array_distinct(F.concat(reference, hypothesis))
     spell = lambda x: F.array_join(F.transform(x, lambda w: F.substring(F.lit(_ALPHABET), F.array_position(words, w).cast("int"), F.lit(1))), "")
-    return F.when(F.size(words) <= len(_ALPHABET), F.levenshtein(spell(reference), spell(hypothesis)))
+    few = F.size(words) <= len(_ALPHABET)
+    # the kernel is handed every row, so the others are nulls to it
+    return F.when(few, F.levenshtein(spell(reference), spell(hypothesis))).otherwise(many(F.when(~few, reference), F.when(~few, hypothesis)))
 
 
 def wer(pairs: DataFrame, group: str, reference: str, hypothesis: str) -> DataFrame:
