@@ -1,11 +1,15 @@
 """Queries over whole inputs, against brute force on small tables of their own."""
 
+import math
+from datetime import datetime, timedelta
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from voxloom.functions import text as fn
-from voxloom.operators import evaluation
+from voxloom.operators import evaluation, segments, signal
 
 
 def _edits(a, b):
@@ -41,3 +45,31 @@ def test_word_edits_of_more_words_than_letters(spark):
     assert [r.e for r in d.collect()] == [31_003, 2, 1]
     for a, b in (("kitten", "sitting"), ("", "ab"), ("ab", ""), ("abcdef", "azced")):
         assert evaluation.edits(list(a), list(b)) == _edits(a, b)
+
+
+EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
+
+
+def test_alignment_of_whole_contours(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    values = {0: [math.sin(i / 9) for i in range(230)], 1: [math.sin(i / 8) for i in range(210)]}
+    events = [(1000 * u + i, start + timedelta(seconds=i), u, "view", v) for u, x in values.items() for i, v in enumerate(x)]
+    table(spark, tmp_path, "events", events, EVENT)
+    rng = np.random.default_rng(3)
+    clips = {0: rng.normal(size=(620, 2)), 1: rng.normal(size=(610, 2))}
+    table(spark, tmp_path, "embeddings", [(1000 * c + i, v.tolist(), c) for c, x in clips.items() for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    want = signal.path(np.array(values[0]), np.array(values[1]))
+    got = entry.queries()["job_align_series"](spark, str(tmp_path)).orderBy("path_ord").collect()
+    assert [(r.src_idx, r.tgt_idx) for r in got] == want
+    last = dict(want)
+    warped = entry.queries()["job_warp_contour"](spark, str(tmp_path)).collect()
+    assert {r.frame_idx: r.value for r in warped} == {i: values[1][last[i]] for i in range(230)}
+    steps = signal.path(clips[0][:, 0], clips[1][:, 0])
+    mcd = signal.MCD * np.mean([np.linalg.norm(clips[0][i] - clips[1][j]) for i, j in steps])
+    assert entry.queries()["job_mcd_corpus"](spark, str(tmp_path)).first().mcd == pytest.approx(mcd, abs=1e-3)
+
+
+def test_one_stride_for_a_pair(spark):
+    side = lambda n: spark.createDataFrame([(0, i) for i in range(n)], "pair int, frame_idx int")
+    a, b = segments.stride_pair(side(35), side(12), most=10)
+    assert [sorted(r.frame_idx for r in x.collect()) for x in (a, b)] == [list(range(0, 35, 3)), [0, 3, 6, 9]]

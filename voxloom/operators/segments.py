@@ -86,6 +86,15 @@ def stride(df: DataFrame, most: int = 5000, doc: str = "doc", idx: str = "frame_
     return df.withColumn("stride", k).where(F.col(idx) % F.col("stride") == 0)
 
 
+def stride_pair(a: DataFrame, b: DataFrame, most: int = 5000, pair: str = "pair", idx: str = "frame_idx") -> tuple[DataFrame, DataFrame]:
+    """Every k-th frame of both sides, with one k for a pair: that of its longer side."""
+    both = a.select(F.col(pair).alias(pair), F.lit(0).alias("_side")).unionAll(b.select(F.col(pair).alias(pair), F.lit(1).alias("_side")))
+    n = both.groupBy(pair, "_side").count()
+    k = n.groupBy(pair).agg(F.greatest(F.lit(1), F.floor(F.max("count") / most)).alias("_k"))
+    every = lambda x: x.join(k, pair).where(F.col(idx) % F.col("_k") == 0).drop("_k")
+    return every(a), every(b)
+
+
 def split_by_group(df: DataFrame, group: Column, seed: str = "42", shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """Adds ``split``, by a hash of the group, so that pieces of one recording stay together; no shuffle."""
     k = F.conv(F.substring(F.md5(F.concat(group.cast("string"), F.lit(seed)).cast("binary")), 1, 6), 16, 10).cast("int") % 1000

@@ -166,29 +166,28 @@ def job_curate_tts(t):
 
 
 def contours(t):
-    """The first 200 values of each user; neighbouring users are pairs."""
-    s = spine(t).where("seg_idx < 200").select(F.floor(F.col("doc") / 2).alias("pair"), F.col("seg_idx").alias("frame_idx"), "value", (F.col("doc") % 2).alias("side"))
+    """The values of each user; neighbouring users are pairs."""
+    s = spine(t).select(F.floor(F.col("doc") / 2).alias("pair"), F.col("seg_idx").alias("frame_idx"), "value", (F.col("doc") % 2).alias("side"))
     return s.where("side = 0").drop("side"), s.where("side = 1").drop("side")
 
 
 @query()
 def job_align_series(t):
     """Dynamic time warping: beyond SQL; unit tests hold it against a plain recurrence."""
-    return op.align(*contours(t))
+    return op.align(*segments.stride_pair(*contours(t)))
 
 
 @query()
 def job_warp_contour(t):
     a, b = contours(t)
-    return op.warp(op.align(a, b), a, b)
+    return op.warp(op.align(*segments.stride_pair(a, b)), a, b)
 
 
 @query()
 def job_mcd_corpus(t):
     """Distortion of aligned pairs of clips, frames matched by their first coefficient."""
     v = vectors(t).select(F.floor(F.col("doc") / 2).alias("pair"), "frame_idx", F.col("x").alias("value"), F.col("embedding").alias("vec"), "doc")
-    v = segments.stride(v, 300, "doc").drop("stride")
-    a, b = v.where("doc % 2 = 0"), v.where("doc % 2 = 1")
+    a, b = segments.stride_pair(v.where("doc % 2 = 0"), v.where("doc % 2 = 1"))
     p = op.align(a, b)
     pairs = p.join(a.select("pair", F.col("frame_idx").alias("src_idx"), F.col("vec").alias("vec_a")), ["pair", "src_idx"]).join(b.select("pair", F.col("frame_idx").alias("tgt_idx"), F.col("vec").alias("vec_b")), ["pair", "tgt_idx"])
     return op.mcd(pairs).select("pair", F.round("mcd", 4).alias("mcd"))
