@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from voxloom.functions import text as fn
-from voxloom.operators import evaluation, segments, signal
+from voxloom.operators import dictionary, evaluation, segments, signal
 
 
 def _edits(a, b):
@@ -73,3 +73,25 @@ def test_one_stride_for_a_pair(spark):
     side = lambda n: spark.createDataFrame([(0, i) for i in range(n)], "pair int, frame_idx int")
     a, b = segments.stride_pair(side(35), side(12), most=10)
     assert [sorted(r.frame_idx for r in x.collect()) for x in (a, b)] == [list(range(0, 35, 3)), [0, 3, 6, 9]]
+
+
+def test_terms_are_mined_from_all_documents(spark, tmp_path):
+    # by count: wonder (stub entry, k = 3), zephyr, kettle; only wonder and kettle come with other documents
+    texts = [(1, "zephyr zephyr zephyr zephyr zephyr", "fr"), (2, "kettle kettle kettle kettle", "de"), (3, "wonder wonder wonder", "en"), (7, "kettle", "es"), (8, "zephyr", "en")]
+    many = " ".join(f"{a}{b}common {a}{b}common" for a in "abcd" for b in "abcdef")  # two each: the last ones are no terms
+    table(spark, tmp_path, "documents", [*texts, (9, many, "it")], "doc_id bigint, text string, lang string")
+    got = {r.term: r.value for r in entry.queries()["join_dictionary_lookup"](spark, str(tmp_path)).collect()}
+    assert (got["zephyr"], got["kettle"], got["wonder"]) == ("fr", "de", "en")
+    # 27 words; the first 20 are mined, then the exact entry or a stub for every third
+    rest = [f"{a}{b}common" for a in "abcd" for b in "abcdef"]
+    for k, word in enumerate(["zephyr", "kettle", "wonder", *rest], 1):
+        if k > 3:
+            assert got[word] == ("it" if k <= 20 else f"[TRANSLATE:{word}]" if k % 3 == 0 else word.upper())
+
+
+def test_lookup_falls_through(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    terms = frame([("Mined",), ("Exact",), ("Lower",), ("None",)], ["term"])
+    entries = frame([("Mined", "x"), ("Exact", "e"), ("exact", "no"), ("lower", "l")], ["key", "value"])
+    got = dictionary.lookup(terms, entries, frame([("Mined", "m")], ["term", "value"]))
+    assert {r.term: r.value for r in got.collect()} == {"Mined": "m", "Exact": "e", "Lower": "l", "None": "[TRANSLATE:None]"}

@@ -77,7 +77,8 @@ _MINED = _USABLE + ", mined AS (SELECT term, arg_min(lang, doc_id) AS value FROM
 
 @query(_MINED + " SELECT d60.term, coalesce(mined.value, us.value, '[TRANSLATE:' || d60.term || ']') AS value FROM d60 LEFT JOIN mined USING (term) LEFT JOIN us ON us.key = d60.term")
 def join_dictionary_lookup(t):
-    found = op.term_first(t("documents").where("doc_id % 7 = 0"), terms(t), "doc_id", "text", "lang").where("term < 'n'").withColumnRenamed("lang", "value")
+    """Mined from all documents; the SQL mines a seventh of them, and terms before n only."""
+    found = op.term_first(t("documents"), terms(t), "doc_id", "text", "lang").withColumnRenamed("lang", "value")
     return op.lookup(frequent(t, 60), usable(t), found)
 
 
