@@ -95,3 +95,13 @@ def test_lookup_falls_through(spark):
     entries = frame([("Mined", "x"), ("Exact", "e"), ("exact", "no"), ("lower", "l")], ["key", "value"])
     got = dictionary.lookup(terms, entries, frame([("Mined", "m")], ["term", "value"]))
     assert {r.term: r.value for r in got.collect()} == {"Mined": "m", "Exact": "e", "Lower": "l", "None": "[TRANSLATE:None]"}
+
+
+def test_frames_up_to_the_last_segment(spark, tmp_path):
+    start, hour = datetime(2024, 1, 1), timedelta(hours=1)
+    # an hour is a frame, and a value of 6 an hour
+    events = [(0, start, 1, "view", 6.0), (1, start + 299 * hour, 1, "purchase", 12.0), (2, start, 2, "click", 18.5)]
+    table(spark, tmp_path, "events", events, EVENT)
+    got = {(r.doc, r.frame_idx): r.label for r in entry.queries()["join_frame_labels"](spark, str(tmp_path)).collect()}
+    want = {(1, i): "silence" for i in range(301)} | {(1, 0): "view", (1, 299): "purchase", (1, 300): "purchase"} | {(2, i): "click" for i in range(3)}
+    assert got == want

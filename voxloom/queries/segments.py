@@ -224,9 +224,11 @@ sp AS (SELECT doc, unnest(range(0, 200)) AS frame_idx FROM z)
 SELECT sp.doc, sp.frame_idx::INT AS frame_idx, coalesce(arg_max(language, seg_idx), 'silence') AS label FROM sp LEFT JOIN s ON s.doc = sp.doc AND sp.frame_idx >= f AND sp.frame_idx < u GROUP BY sp.doc, sp.frame_idx"""
 )
 def join_frame_labels(t):
+    """Frames up to the end of a user's last segment; the SQL has 200 for every user."""
     s = spine(t).withColumn("t0", F.min("start_time").over(W.partitionBy("doc")))
     rel = s.select("doc", "seg_idx", "language", (F.col("start_time") - F.col("t0")).alias("start_time"), (F.col("start_time") - F.col("t0") + 600 * F.col("value")).alias("end_time"))
-    return op.frame_labels(rel, s.select("doc").distinct().withColumn("n_frames", F.lit(200)), 1 / 3600)
+    # whole frames, with the product that frame_labels makes of the segments' ends
+    return op.frame_labels(rel, rel.groupBy("doc").agg((F.max("end_time") * F.lit(1 / 3600)).cast("int").alias("n_frames")), 1 / 3600)
 
 
 @query(_S + " SELECT doc, count(*) AS num_segments, round(coalesce(max(end_time), 0), 3) AS total_duration, count(DISTINCT language) AS n_languages FROM spine GROUP BY doc")
