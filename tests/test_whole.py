@@ -105,3 +105,18 @@ def test_frames_up_to_the_last_segment(spark, tmp_path):
     got = {(r.doc, r.frame_idx): r.label for r in entry.queries()["join_frame_labels"](spark, str(tmp_path)).collect()}
     want = {(1, i): "silence" for i in range(301)} | {(1, 0): "view", (1, 299): "purchase", (1, 300): "purchase"} | {(2, i): "click" for i in range(3)}
     assert got == want
+
+
+def test_terms_beyond_the_most_frequent(spark, tmp_path):
+    terms = [f"{a}{b}common" for a in "abcd" for b in "abcdefgh"]
+    docs = [(i, f"{w} x{w}y short {w[1:]}", f"l{i}") for i, w in enumerate(terms)]
+    items = [(i, f"an {w}s") for i, w in enumerate(terms[::2])]
+    table(spark, tmp_path, "documents", docs, "doc_id bigint, text string, lang string")
+    table(spark, tmp_path, "benchmark", items, "item_id bigint, text string")
+    words = {w for _, x, _ in docs for w in x.split() if len(w) >= 6}
+    hits = {(i, w) for i, x, _ in docs for w in words if w in x}
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.term) for r in run("join_term_all")) == sorted(hits)
+    first = {w: min(i for i, v in hits if v == w) for w in words}
+    assert {r.term: (r.lang, r.doc_id) for r in run("join_term_first")} == {w: (f"l{i}", i) for w, i in first.items()}
+    assert [r.term for r in run("join_unmined")] == sorted(w for w in words if not any(w in x for _, x in items))

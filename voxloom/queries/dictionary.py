@@ -18,9 +18,14 @@ dict AS (SELECT term AS key, CASE WHEN k % 3 = 0 THEN '[TRANSLATE:' || term || '
   UNION ALL SELECT term, upper(term) || '2', k + 100 FROM d60 WHERE k % 10 = 0)"""
 
 
-def frequent(t, n):
+def longer_words(t):
+    """All terms that there are: words of six letters or more."""
     counts = words.word_counts(t("documents"), fn.words(F.col("text"))).withColumnRenamed("word", "term")
-    return counts.where((F.length("term") >= 6) & F.col("term").rlike("^[a-z]+$")).orderBy(F.desc("cnt"), "term").limit(n)
+    return counts.where((F.length("term") >= 6) & F.col("term").rlike("^[a-z]+$"))
+
+
+def frequent(t, n):
+    return longer_words(t).orderBy(F.desc("cnt"), "term").limit(n)
 
 
 def terms(t):
@@ -37,17 +42,18 @@ def dictionary(t):
 
 @query(_T + " SELECT term, arg_min(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM terms JOIN documents ON contains(lower(trim(text)), term) GROUP BY term")
 def join_term_first(t):
-    return op.term_first(t("documents"), terms(t), "doc_id", "text", "lang")
+    """All terms, here and in the next two; the SQL has the 20 most frequent."""
+    return op.term_first(t("documents"), longer_words(t), "doc_id", "text", "lang")
 
 
 @query(_T + " SELECT doc_id, term FROM terms JOIN documents ON contains(lower(trim(text)), term)")
 def join_term_all(t):
-    return op.matches(t("documents"), terms(t), "doc_id", "text", words=True)
+    return op.matches(t("documents"), longer_words(t), "doc_id", "text", words=True)
 
 
 @query(_T + " SELECT term FROM terms WHERE NOT EXISTS (SELECT 1 FROM benchmark WHERE contains(lower(trim(text)), term)) ORDER BY term")
 def join_unmined(t):
-    return op.unmined(terms(t), op.matches(t("benchmark"), terms(t), "item_id", "text"))
+    return op.unmined(longer_words(t), op.matches(t("benchmark"), longer_words(t), "item_id", "text"))
 
 
 _USABLE = _T + ", us AS (SELECT key, arg_max(value, ord) AS value FROM dict WHERE NOT starts_with(value, '[NEEDS_') AND NOT starts_with(value, '[TRANSLATE:') GROUP BY key)"
