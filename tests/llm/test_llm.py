@@ -129,6 +129,16 @@ def test_op2_digests(spark):
     assert got[-1].n_turns == 2 and got[-1].loss_sha256 == sha("<|im_end|><|im_start|>assistant ok") and got[2].turns_sha256 == sha("\nx\n")
 
 
+def test_op2_folds_its_rows_as_events(spark, monkeypatch):
+    logs, fold = [], chat.fold_events
+    monkeypatch.setattr(chat, "fold_events", lambda events, *a, **b: logs.append(events) or fold(events, *a, **b))
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "<|b"), (None, 0, None, None), (None, 1, "user", "c")]
+    got = {r.conv_id: r for r in chat.op2(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert {(r.conv_id, r.seq, r.kind) for r in logs[0].collect()} == {(1, 0, "delta"), (None, 0, "delta"), (None, 1, "delta"), (-1, 0, "delta"), (-1, 1, "delta")}
+    assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256(b"assistant\n<|b\nuser\na\nuser\na\n").hexdigest()
+    assert got[None].n_turns == 2 and got[None].turns_sha256 == hashlib.sha256(b"\n\nuser\nc\n").hexdigest()
+
+
 # --- 3 ---
 
 

@@ -107,15 +107,10 @@ def op2(conversations: DataFrame) -> DataFrame:
         F.lit(hostile).alias("text"),
     )
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(own)
-    # each row is the one event of its message: the log of a conversation is its rows by turn
-    messages = rows.select(
-        F.col("conv_id").alias("conv"),
-        F.col("turn").alias("seq"),
-        F.lit(0).alias("message"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    out = render(messages).select("conv", "formatted", "loss_spans", parse(F.col("formatted")).alias("read"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    # each row is the one event of its own message; rows of one turn are numbered, so that they stay messages of their own
+    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))))
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.struct("turn", nth.alias("nth")).alias("message"), F.lit("delta").alias("kind"), "role", "text")
+    out = render(fold_events(events)).select("conv", "formatted", "loss_spans", parse(F.col("formatted")).alias("read"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     flat = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         F.col("conv").alias("conv_id"),
