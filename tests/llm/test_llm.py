@@ -333,6 +333,34 @@ def test_toxicity_is_learned_and_folded(spark):
     assert {r.score for r in toxicity.op9(d, labels.where("toxic = 0")).collect()} == {toxicity.Model().score(0, 0, 0)}
 
 
+def test_exceptions_cancel_before_the_largest_weight():
+    model = toxicity.Model({" strong": 9.0, " weak": 1.0}, {" strongly ": -9.0, " weak tea ": -1.0})
+    of = lambda text: model.features(toxicity.fold(text), model.automaton())
+    assert of("strongly weak")[2] == 1 and of("strongly weak") == of("calmly weak")
+    assert of("strong weak")[2] == 9 and of("strongly strong")[2] == 9
+    assert of("weak tea strongly") == (0, 0, 0)
+
+
+def test_exceptions_of_clean_rows(spark):
+    rows, marks = [], []
+    for i in range(600):
+        words, toxic = RNG.choice(WORDS[:6], 30).tolist(), i % 4 == 0
+        if toxic:
+            words[5] = ["zorgish", "blemmer"][i % 8 // 4]
+        elif i % 20 == 1:
+            words[5] = "zorgishness"
+        elif i % 20 == 2:
+            words[5:7] = ["blemmer", "pie"]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    d, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.fit(d, labels)
+    a = model.automaton()
+    worst = lambda text: model.features(toxicity.fold(text), a)[2]
+    assert worst("a zorgish") > 0 and worst("a blemmer") > 0
+    assert worst("a zorgishness") == 0 and worst("some blemmer pie") == 0
+
+
 # --- 10 ---
 
 

@@ -3,8 +3,8 @@
 Folding lower-cases, takes compatibility forms and homoglyphs to Latin letters, digits and signs inside words
 to the letters that they stand for, drops invisible characters and leaves words parted by one space.
 The lexicon holds words and beginnings of words, weighted by the log-odds of toxic documents,
-learned from labelled rows; longer forms that speak against toxicity are exceptions and cancel the match
-inside them, and so do the exception phrases given by the caller. A document's score is a
+learned from labelled rows; longer forms and phrases of two or three words that speak against toxicity are
+exceptions and cancel the matches inside them, and so do the exception phrases given by the caller. A document's score is a
 logistic function of its weights' sum, of that sum per word, and of its largest weight.
 
 Bounds: the lexicon and the logistic function are fitted on about ``fit_rows`` labelled rows at most, chosen by
@@ -20,7 +20,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -67,15 +69,23 @@ class Model:
 
         a = ahocorasick.Automaton()
         for word, w in {**self.weights, **self.exceptions}.items():
-            a.add_word(word, w)
+            a.add_word(word, (w, len(word), word in self.exceptions))
         if len(a):
             a.make_automaton()
         return a
 
     @staticmethod
     def features(folded: str, automaton) -> tuple[float, float, float]:
-        """Of the weights matched: their sum, the sum per word, and the largest; all 0 where exceptions cancel the sum."""
-        found = [w for _, w in automaton.iter(folded)] if len(automaton) else []
+        """Of the weights matched outside exceptions: their sum, the sum per word, and the largest; all 0 without any."""
+        hits = list(automaton.iter(folded)) if len(automaton) else []
+        spans = sorted((at - n, at) for at, (_, n, exception) in hits if exception)
+        starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+        def cancelled(a: int, b: int) -> bool:
+            k = bisect_right(starts, a)
+            return k > 0 and reach[k - 1] >= b
+
+        found = [w for at, (w, n, exception) in hits if not exception and not cancelled(at - n, at)]
         total = sum(found)
         if total <= 1e-9:
             return 0.0, 0.0, 0.0
@@ -115,6 +125,39 @@ def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+def _around(rows: DataFrame, weights: frozenset[str]) -> DataFrame:
+    """(pattern, bad, good): toxic and clean documents with each longer form of a weighted entry, and with each phrase of
+    two or three words around a word that has one."""
+    arrow = arrow_schema("pattern string, label int, n bigint")
+
+    def longer(word: str) -> list[str]:
+        forms = patterns(word)
+        least = min((len(p) for p in forms if p in weights), default=None)
+        return [] if least is None else [p for p in forms if len(p) >= least]
+
+    def run(batches):
+        from collections import Counter
+
+        for batch in batches:
+            for i, j in slices(batch.column(0), _BLOCK):
+                seen: Counter = Counter()
+                known: dict[str, list[str]] = {}
+                for text, label in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist()):
+                    words, found = fold(text).split(), set()
+                    for k, word in enumerate(words):
+                        if word not in known:
+                            known[word] = longer(word)
+                        if known[word]:
+                            found.update(known[word])
+                            found.update(f" {' '.join(words[a : a + n])} " for n in (2, 3) for a in range(max(0, k - n + 1), min(k, len(words) - n) + 1))
+                    seen.update((p, label) for p in found if p not in weights)
+                yield pa.RecordBatch.from_pydict({"pattern": [p for p, _ in seen], "label": [y for _, y in seen], "n": list(seen.values())}, schema=arrow)
+
+    n = rows.select("text", "label").mapInArrow(run, "pattern string, label int, n bigint")
+    of = lambda y: F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0))
+    return n.groupBy("pattern").agg(of(1).alias("bad"), of(0).alias("good"))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -144,16 +187,19 @@ def fit(
         if odds[p] > shorter + 1.0 or not shorter:
             weights[p] = odds[p] - shorter
     weights = dict(sorted(weights.items(), key=lambda x: (-toxic[x[0]] * x[1], x[0]))[:max_patterns])
-    exceptions = {}
-    for p in odds:
-        inside = sum(weights.get(p[:k], 0.0) for k in range(SHORTEST + 1, len(p)))
-        if inside and odds[p] < 0 and p not in weights and not any(p[:k] in exceptions for k in range(len(p))):
-            exceptions[p] = -inside
-    model = Model(weights, exceptions)
-    automaton = model.automaton()
+    # forms and phrases that clean rows have relatively more often; three clean rows at least
+    share = (F.col("bad") + 0.5) / (bad + 1) < (F.col("good") + 0.5) / (good + 1)
+    against = [r["pattern"] for r in _around(rows, frozenset(weights)).where((F.col("good") >= 3) & share).select("pattern").collect()]
+    automaton = Model(weights).automaton()
+    inside = lambda p: -sum(x[0] for _, x in automaton.iter(p))
+    exceptions: dict[str, float] = {}
+    for p in sorted(against, key=lambda p: (len(p), p)):
+        # the longer form of an exception has no more to cancel
+        if not any(p[:k] in exceptions for k in range(SHORTEST + 1, len(p))) or " " in p.strip():
+            exceptions[p] = inside(p)
     for phrase in phrases:
-        folded = fold(phrase)
-        model.exceptions[folded] = -sum(w for _, w in automaton.iter(folded))
+        exceptions[fold(phrase)] = inside(fold(phrase))
+    model = Model(weights, exceptions)
     found = score_rows(rows.withColumn("id", F.monotonically_increasing_id()), model, "label").select("x", "y", "z", "label").toPandas()
     x = np.column_stack([np.ones(len(found)), found.x, found.y, found.z])
     model.logistic = tuple(_newton(x, found.label.to_numpy(np.float64)).tolist())
