@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SEP = np.zeros(256, bool)
-_SEP[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _tables: list[np.ndarray] = []
@@ -25,10 +25,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    if not _tables or len(_tables[0]) < n:
-        size = max(n, 1 << 22)
-        _tables[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (_BASE, _INVERSE)]
-    return _tables
+    """The first powers of the base and of its inverse, ``n`` of them at least; tables for longer texts are not kept."""
+    if _tables and len(_tables[0]) >= n:
+        return _tables
+    size = max(n, 1 << 20)
+    made = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (_BASE, _INVERSE)]
+    if size == 1 << 20:
+        _tables[:] = made
+    return made
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +47,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (no ASCII white space; A-Z lower-cased) and the bounds of each row's words."""
-    data, bounds = text_bytes(column)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from each start to its end."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    if lower:
-        data = _LOWER[data]
-    gap = _SEP[data]
+    power, inverse = _powers(max(n, 1))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start])
+
+
+def edges(gap: np.ndarray, bounds: np.ndarray, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs outside ``gap``; runs end where a row ends, and between bytes i and i + 1 if ``split[i]``."""
+    n = len(gap)
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0] = after[-1] = True
     before[1:], after[:-1] = gap[:-1], gap[1:]
@@ -59,11 +66,22 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     inner = inner[(inner > 0) & (inner < n)]
     before[inner] = True
     after[inner - 1] = True
-    start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start]), np.searchsorted(start, bounds)
+    if split is not None:
+        before[1:] |= split
+        after[:-1] |= split
+    return np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+
+
+def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (no ASCII white space; A-Z lower-cased) and the bounds of each row's words."""
+    data, bounds = text_bytes(column)
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    if lower:
+        data = LOWER[data]
+    start, end = edges(SPACE[data], bounds)
+    return span_hashes(data, start, end), np.searchsorted(start, bounds)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
