@@ -48,6 +48,17 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def groups_for(docs: DataFrame, text_col: str, each: int) -> int:
+    """How many groups of about ``each`` bytes the texts make: as many as there are shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(n_parts(docs.sparkSession), -(-size // each))
+
+
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """Dealt by ``key`` to as many partitions as there are groups, so that a task holds few groups however many there are."""
+    return df.repartition(groups, key)
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty), under names of our own, so that other columns can't clash."""
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

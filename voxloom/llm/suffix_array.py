@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .hashing import _powers, mix
+from .hashing import mix, span_hashes
 
 
 def classify(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,26 @@ def _sort_runs(rank: np.ndarray, position: np.ndarray, run: int, depth: int) ->
 
 
 def suffix_array(data: np.ndarray, depth: int = 50) -> np.ndarray:
-    """The suffix array of bytes, in order of the first ``depth``."""
+    """The suffix array of bytes, in order of the first ``depth``. Suffixes that begin with ``depth`` equal bytes or more don't differ
+    in these, so a longer run is sorted as one of that length, and its other suffixes follow the first that is left:
+    runs take as many steps as the depth at most, whatever their length."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], data[1:] != data[:-1])))
+    over = np.maximum(np.diff(np.append(first, len(data))) - depth, 0)
+    if not over.any():
+        return _sorted(data, depth)
+    kept = np.ones(len(data), bool)
+    kept[np.repeat(first - (np.cumsum(over) - over), over) + np.arange(over.sum())] = False
+    place = np.flatnonzero(kept)
+    size = np.ones(len(data), np.int64)
+    size[(first + over)[over > 0]] += over[over > 0]
+    sa = place[_sorted(data[place], depth)]
+    size = size[sa]
+    return np.repeat(sa, size) - (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+
+
+def _sorted(data: np.ndarray, depth: int) -> np.ndarray:
     s = np.concatenate((data.astype(np.int16) + 1, np.zeros(1, np.int16)))
     width = 257
     less, lms = classify(s)
@@ -116,9 +135,7 @@ def suffix_array(data: np.ndarray, depth: int = 50) -> np.ndarray:
     ordered = sa[is_lms[sa]]
     # equal substrings get equal names: told by hash and length, in the order found
     end = np.append(lms[1:] + 1, len(s))
-    power, inverse = _powers(len(s) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(1)) * power[: len(s)], dtype=np.uint64)))
-    code = mix((total[end] - total[lms]) * inverse[lms] + (end - lms).astype(np.uint64))
+    code = mix(span_hashes(s, lms, end) + (end - lms).astype(np.uint64))
     number = np.empty(len(s), np.int64)
     number[lms] = np.arange(len(lms))
     o = number[ordered]

@@ -4,15 +4,20 @@ Every string of 50 bytes is dealt by its minimiser, the smallest hash among its
 have equal minimisers wherever they are. Neighbouring strings with one minimiser travel together, as
 a stretch of text.
 
-1. Stretches go out as two hashes (of the minimiser and of their content), packed, and are counted by
-   minimiser. A minimiser of one document only is done. A stretch whose whole content a smaller document
-   has is removed. Of each other content that shares its minimiser with different ones, the stretch of its
-   smallest document goes on to the next step.
-2. These stretches are cut from the texts and dealt to shards by minimiser. A shard's suffix array is made by
-   induced sorting, and its permuted common prefixes tell which strings of 50 bytes are equal.
+1. Within a block of documents, a stretch that a smaller document has byte by byte is removed, and one copy
+   stays to stand for all. So a passage of very many documents gives one entry a block from here on.
+   The entries go out as two hashes (of the minimiser and of the content), packed, and are counted by
+   minimiser. A minimiser of one document only is done. A stretch whose whole content a smaller document of another
+   block has, by both hashes, is removed. Of each other content that shares its minimiser with different ones, the stretch
+   of its smallest document goes on to the next step.
+2. These stretches are cut from the texts and dealt to shards by minimiser; those of a minimiser with very
+   many contents (what comes before and after a very common line) by a hash of the bytes around it instead, which equal
+   strings share as well. A shard's suffix array is made by induced sorting, and its permuted common
+   prefixes tell which strings of 50 bytes are equal.
 3. The removed stretches meet the texts again.
 
-Texts travel compressed. No step holds more than a shard, a bucket of hashes, or the documents of a home.
+Texts travel compressed. The numbers of homes, buckets and shards follow from the bytes of all texts, and no step holds more
+than one of these, or a block of documents, or one document.
 
 Defined cases: null and empty texts have 0 bytes; documents shorter than the length lose nothing; rows with a
 null id neither lose anything nor count as smaller ones; rows with equal ids don't remove from each other;
@@ -25,45 +30,74 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import arrow_schema, id_type, n_parts, slices, stored
-from .hashing import _powers, mix, text_bytes
+from ._common import arrow_schema, dealt, groups_for, id_type, slices, stored
+from .hashing import mix, span_hashes, text_bytes
 from .suffix_array import permuted_common_prefixes, suffix_array
+from .words import pack_ints, unpack_ints
 
 LENGTH, SEED = 50, 20
 SHARDS = 4  # for each bucket of minimisers
-CHUNK, BLOCK = 2 << 20, 16 << 20
+HOME_BYTES = 16 << 20  # of text for each home, and for each bucket
+CHUNK, BLOCK = 1 << 20, 16 << 20
+HOT = 2048  # entries of a minimiser from which its strings are dealt by the bytes around it
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed: int = SEED):
-    """Of all rows: row, start, bytes, minimiser and content hash of each stretch, in text order."""
-    n, count = len(data), np.maximum(np.diff(bounds) - length + 1, 0)
-    if not count.any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    least = mix((total[seed:] - total[:-seed]) * inverse[: n - seed + 1])
+def _seeds(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the seed at each byte, and the smallest of those within the string of the full length from there."""
+    at = np.arange(len(data) - seed + 1)
+    seeds = least = span_hashes(data, at, at + seed)
     width, span = length - seed + 1, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    return seeds, least
+
+
+def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed: int = SEED):
+    """Of all rows: row, start, bytes, minimiser and content hash of each stretch, in text order."""
+    count = np.maximum(np.diff(bounds) - length + 1, 0)
+    if not count.any():
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    least = _seeds(data, length, seed)[1]
     at = np.repeat(bounds[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     row = np.repeat(np.arange(len(count)), count)
     value = least[at]
     first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]))))
     start, end = at[first], at[np.append(first[1:], len(at)) - 1] + length
-    content = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    content = mix(span_hashes(data, start, end) + (end - start).astype(np.uint64))
     return row[first], start, end - start, mix(value[first]), content
 
 
+def parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int = LENGTH, seed: int = SEED):
+    """Stretches, each of one minimiser, in parts: number of the stretch, start, bytes and key of each part. The key
+    of a string is the hash of its minimiser's place with bytes before it, if the string has enough of these,
+    and with bytes after it otherwise, so that equal strings have equal keys; strings of one key that follow each other are a part."""
+    n = size - length + 1
+    owner = np.repeat(np.arange(len(start)), n)
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    seeds, least = _seeds(data, length, seed)
+    width = length - seed + 1
+    place = np.zeros(len(at), np.int64)  # the first of the smallest seeds
+    for k in range(width - 1, -1, -1):
+        place[seeds[at + k] == least[at]] = k
+    half = width // 2
+    low = place >= half
+    begin, end = at + place - np.where(low, half, 0), at + place + seed + np.where(low, 0, length - seed - half + 1)
+    key = mix(span_hashes(data, begin, end) + low.astype(np.uint64))
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))))
+    last = np.append(first[1:], len(at)) - 1
+    return owner[first], at[first], at[last] + length - at[first], key[first]
+
+
 def _planes(x: np.ndarray) -> bytes:
     return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()
 
@@ -73,6 +107,27 @@ def _unplane(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4", n).astype(np.uint64) | np.frombuffer(b, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
+def _pack_spans(key: np.ndarray, sub: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Spans of documents as four columns: ids and subs once for each run of spans of a document, starts, and lengths
+    with the numbers of spans of these runs."""
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))))
+    last = np.append(first[1:], len(key))
+    return key[first].astype(np.int64).tobytes(), sub[first].astype(np.int32).tobytes(), pack_ints(start), pack_ints(np.concatenate((last - first, end - start)))
+
+
+def _unpack_spans(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """The same, span by span: ids, subs, starts, ends; and the number of spans of each row."""
+    out: list[list] = [[np.zeros(0, k)] for k in (np.int64, np.int32, np.int64, np.int64)]
+    each = []
+    for ids, subs, starts, rest in zip(*(table.column(c).to_pylist() for c in ("ids", "subs", "starts", "ends"))):
+        key, sub, start, rest = np.frombuffer(ids, np.int64), np.frombuffer(subs, np.int32), unpack_ints(starts).astype(np.int64), unpack_ints(rest).astype(np.int64)
+        count, size = rest[: len(key)], rest[len(key) :]
+        for c, v in zip(out, (np.repeat(key, count), np.repeat(sub, count), start, start + size)):
+            c.append(v)
+        each.append(len(start))
+    return *map(np.concatenate, out), np.array(each, np.int64)
+
+
 def _bucket(minimiser: np.ndarray, parts: int) -> np.ndarray:
     return ((minimiser >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
 
@@ -88,25 +143,59 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _join(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in table.column(column).to_pylist())])
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in table.column(column).to_pylist() if b is not None)])
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, parts: int, keep: list[str]) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, text_col: str, parts: int, keep: list[Column]) -> DataFrame:
     """(home, id, sub, text, extra): ``sub`` tells rows with one id apart, ``home`` deals documents out, and ``extra``
     holds the columns ``keep``, if there are any."""
-    extra = [F.struct(*(F.col(c) for c in keep)).alias("extra")] if keep else []
+    extra = [F.struct(*(c.alias(f"c{i}") for i, c in enumerate(keep))).alias("extra")] if keep else []
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
     sub = F.lit(0)
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
         sub = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("text"), "text"))
-    home = F.pmod(F.coalesce("id", F.lit(0)).bitwiseXOR(F.shiftright(F.coalesce("id", F.lit(0)), 6)).bitwiseXOR(F.shiftright(F.coalesce("id", F.lit(0)), 13)), F.lit(parts))
+    home = F.pmod(F.coalesce(F.xxhash64("id"), F.lit(0)), F.lit(parts))
     return rows.select(home.cast("int").alias("home"), "id", sub.cast("int").alias("sub"), "text", *(["extra"] if keep else []))
 
 
 # --- 1: hashes of stretches ---------------------------------------------------------------------------------
 
-_HASHES = "bucket int, homes binary, ids binary, subs binary, counts binary, minimisers binary, contents binary"
-_REPLY = "home int, bucket int, ids binary, subs binary, counts binary, places binary, kinds binary"
+# rows of entries have a bucket; rows of removed stretches have starts and ends, and the number of their home as bucket
+_HASHES = "bucket int, home int, homes binary, ids binary, subs binary, counts binary, minimisers binary, contents binary, starts binary, ends binary"
+# rows of what is to go to the shards have tags; the others are removed stretches
+_REPLY = "home int, ids binary, subs binary, counts binary, tags binary, kinds binary, starts binary, ends binary"
+
+
+def _tags(minimiser: np.ndarray, content: np.ndarray, key: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    """What a stretch of a document is asked for by."""
+    return mix(mix((minimiser & _LOW) + (content & _LOW) * np.uint64(0x9E3779B97F4A7C15)) + key.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + sub.astype(np.uint64))
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches from a and from b are equal byte by byte."""
+    if not len(a):
+        return np.zeros(0, bool)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    differ = data[np.repeat(a, size) + within] != data[np.repeat(b, size) + within]
+    return ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+
+
+def _copies(data: np.ndarray, key: np.ndarray, sub: np.ndarray, start: np.ndarray, size: np.ndarray, minimiser: np.ndarray, content: np.ndarray):
+    """Of a block's stretches: those that a smaller document of the block has byte by byte, and the others
+    that stand for all, one of each document."""
+    order = np.lexsort((sub, key, content, minimiser))
+    m, c = minimiser[order], content[order]
+    new = np.concatenate(([True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])))
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = np.flatnonzero((key[order] > key[head]) & (size[order] == size[head]))
+    lost = np.zeros(len(order), bool)
+    for f in range(0, len(later), 1 << 16):
+        part = later[f : f + (1 << 16)]
+        lost[part] = _same_bytes(data, start[order[part]], start[head[part]], size[order[part]])
+    rest, once = order[~lost], ~lost
+    k, s = key[rest], sub[rest]
+    again = np.concatenate(([False], (m[once][1:] == m[once][:-1]) & (c[once][1:] == c[once][:-1]) & (k[1:] == k[:-1]) & (s[1:] == s[:-1])))
+    return np.sort(order[lost]), np.sort(rest[~again])
 
 
 def _hash_blocks(parts: int):
@@ -117,29 +206,43 @@ def _hash_blocks(parts: int):
 
         def flush():
             home, key, sub = (np.concatenate([h[i] for h in held]) for i in range(3))
-            shift = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
-            row = np.concatenate([h[3] + s for h, s in zip(held, shift)])
-            minimiser, content = (np.concatenate([h[i] for h in held]) for i in (4, 5))
-            bucket = _bucket(minimiser, parts)
-            order = np.argsort(bucket, kind="stable")  # text order within a bucket
-            ends = np.searchsorted(bucket[order], np.arange(parts + 1))
+            rows = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
+            bytes_ = np.cumsum([0] + [len(h[3]) for h in held[:-1]])
+            data = np.concatenate([h[3] for h in held])
+            base = np.concatenate([h[4][:-1] + b for h, b in zip(held, bytes_)])
+            row = np.concatenate([h[5] + s for h, s in zip(held, rows)])
+            start = np.concatenate([h[6] + b for h, b in zip(held, bytes_)])
+            length, minimiser, content = (np.concatenate([h[i] for h in held]) for i in (7, 8, 9))
             columns: list[list] = [[] for _ in arrow.names]
-            for b in range(parts):
-                mine = order[ends[b] : ends[b + 1]]
-                if len(mine):
-                    first, end = _groups(row[mine])
-                    who = row[mine][first]
-                    values = (b, home[who].tobytes(), key[who].tobytes(), sub[who].tobytes(), (end - first).astype(np.int32).tobytes(), _planes(minimiser[mine] & _LOW), _planes(content[mine] & _LOW))
-                    for c, v in zip(columns, values):
-                        c.append(v)
+
+            def add(**x):
+                for c, name in zip(columns, arrow.names):
+                    c.append(x.get(name))
+
+            lost, kept = _copies(data, key[row], sub[row], start, length, minimiser, content)
+            where = home[row[lost]]
+            order = np.argsort(where, kind="stable")
+            for f, e in zip(*_groups(where[order])):
+                mine = lost[order[f:e]]
+                who, at = row[mine], start[mine] - base[row[mine]]
+                packed = dict(zip(("ids", "subs", "starts", "ends"), _pack_spans(key[who], sub[who], at, at + length[mine])))
+                add(bucket=int(where[order[f]]), home=int(where[order[f]]), **packed)
+            row, minimiser, content = row[kept], minimiser[kept], content[kept]
+            bucket = _bucket(minimiser, parts)
+            order = np.argsort(bucket, kind="stable")
+            for f, e in zip(*_groups(bucket[order])):
+                mine = order[f:e]
+                first, end = _groups(row[mine])
+                who = row[mine][first]
+                add(bucket=int(bucket[mine[0]]), homes=home[who].tobytes(), ids=key[who].tobytes(), subs=sub[who].tobytes(), counts=(end - first).astype(np.int32).tobytes(), minimisers=_planes(minimiser[mine] & _LOW), contents=_planes(content[mine] & _LOW))
             return _batch(columns, arrow)
 
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
             for i, j in slices(batch.column(3), CHUNK):
                 part = batch.slice(i, j - i)
-                row, _, _, minimiser, content = stretches(*text_bytes(part.column(3)))
-                held.append((*(np.asarray(part.column(k)) for k in range(3)), row, minimiser, content))
+                data, bounds = text_bytes(part.column(3))
+                held.append((*(np.asarray(part.column(k)) for k in range(3)), data.copy(), bounds, *stretches(data, bounds)))
                 size += part.nbytes
                 if size >= BLOCK:
                     yield flush()
@@ -151,45 +254,37 @@ def _hash_blocks(parts: int):
 
 
 def _judge(parts: int):
-    """Which stretches of a bucket are removed whole (kind 0), and which go to a shard (kind 1)."""
+    """What becomes of the entries of a bucket: a smaller document has the whole stretch (kind 0); or it goes to a shard, by
+    minimiser (kind 1) or by the bytes around it (kind 2). Of equal contents only that of the smallest document does."""
     arrow = arrow_schema(_REPLY)
 
     def run(table: pa.Table) -> pa.Table:
+        done = table.filter(pc.is_valid(table.column("home")))
+        columns: list[list] = [done.column(name).to_pylist() if name in done.column_names else [None] * len(done) for name in arrow.names]
+        table = table.filter(pc.is_null(table.column("home")))
         count = _join(table, "counts", np.int32)
         home, key, sub = (np.repeat(_join(table, c, k), count) for c, k in (("homes", np.int32), ("ids", np.int64), ("subs", np.int32)))
-        place = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
-        minimiser, content = (np.concatenate([_unplane(b) for b in table.column(c).to_pylist()]) for c in ("minimisers", "contents"))
+        minimiser, content = (np.concatenate([np.zeros(0, np.uint64), *(_unplane(b) for b in table.column(c).to_pylist())]) for c in ("minimisers", "contents"))
         order = np.argsort(minimiser, kind="stable")
-        m = minimiser[order]
-        first, end = _groups(m)
-        low, high = np.minimum.reduceat(key[order], first), np.maximum.reduceat(key[order], first)
-        order = order[np.repeat(low != high, end - first)]  # a minimiser of several documents
-        order = order[np.lexsort((content[order], minimiser[order]))]
-        m, c, k = minimiser[order], content[order], key[order]
-        if not len(order):
-            return pa.Table.from_batches([], schema=arrow)
-        new = np.concatenate(([True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])))
-        one = np.flatnonzero(new)
-        least = np.minimum.reduceat(k, one)[np.cumsum(new) - 1]
-        first, end = _groups(m)
-        contents = np.repeat(np.add.reduceat(new.astype(np.int64), first), end - first)
-        whole, open_ = k > least, (k == least) & (contents > 1)
-        kind = np.where(whole, 0, 1)[whole | open_].astype(np.uint8)
-        order = order[whole | open_]
-        again = np.lexsort((place[order], sub[order], key[order], home[order]))
-        order, kind = order[again], kind[again]
-        ends = np.searchsorted(home[order], np.arange(parts + 1))
-        bucket = table.column("bucket")[0].as_py()
-        columns: list[list] = [[] for _ in arrow.names]
-        for h in range(parts):
-            mine = order[ends[h] : ends[h + 1]]
-            if len(mine):
-                k, s = key[mine], sub[mine]
-                first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))))
-                n = np.diff(np.append(first, len(mine)))
-                values = (h, bucket, k[first].tobytes(), s[first].tobytes(), n.astype(np.int32).tobytes(), place[mine].astype(np.int32).tobytes(), kind[ends[h] : ends[h + 1]].tobytes())
-                for c, v in zip(columns, values):
-                    c.append(v)
+        first, end = _groups(minimiser[order])
+        if len(first):
+            low, high = np.minimum.reduceat(key[order], first), np.maximum.reduceat(key[order], first)
+            order = order[np.repeat(low != high, end - first)]  # minimisers of several documents
+        if len(order):
+            order = order[np.lexsort((content[order], minimiser[order]))]
+            m, c, k = minimiser[order], content[order], key[order]
+            new = np.concatenate(([True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])))
+            least = np.minimum.reduceat(k, np.flatnonzero(new))[np.cumsum(new) - 1]
+            first, end = _groups(m)
+            contents = np.repeat(np.add.reduceat(new.astype(np.int64), first), end - first)
+            kind = np.where(k > least, 0, np.where(contents > HOT, 2, np.where(contents > 1, 1, 3))).astype(np.uint8)
+            order, kind = order[kind < 3], kind[kind < 3]
+            again = np.argsort(home[order], kind="stable")
+            order, kind = order[again], kind[again]
+            tags = _tags(minimiser[order], content[order], key[order], sub[order])
+            for f, e in zip(*_groups(home[order])):
+                for column, v in zip(columns, (int(home[order[f]]), None, None, None, tags[f:e].tobytes(), kind[f:e].tobytes(), None, None)):
+                    column.append(v)
         return pa.Table.from_batches([_batch(columns, arrow)], schema=arrow)
 
     return run
@@ -240,7 +335,7 @@ def _pack_texts(parts: int):
 
 def _to_bytes(rows: pa.StructArray) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("extra", rows.type)])) as out:
+    with pa.ipc.new_stream(sink, pa.schema([("extra", rows.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(pa.RecordBatch.from_arrays([rows], ["extra"]))
     return sink.getvalue().to_pybytes()
 
@@ -267,61 +362,49 @@ def _cut(parts: int):
     arrow = arrow_schema(_CUT)
 
     def run(key, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(replies) or not len(texts):
-            return pa.Table.from_batches([], schema=arrow)
-        n = _join(replies, "counts", np.int32)
-        asked = {c: np.repeat(_join(replies, c, k), n) for c, k in (("ids", np.int64), ("subs", np.int32))}
-        sizes = [int(np.frombuffer(b, np.int32).sum()) for b in replies.column("counts").to_pylist()]
-        bucket = np.repeat(np.asarray(replies.column("bucket")), sizes)
-        place, kind = _join(replies, "places", np.int32), _join(replies, "kinds", np.uint8)
-        order = np.lexsort((place, bucket, asked["subs"], asked["ids"]))
-        a_id, a_sub, bucket, place, kind = asked["ids"][order], asked["subs"][order], bucket[order], place[order], kind[order]
         columns: list[list] = [[] for _ in arrow.names]
+
+        def add(*values):
+            for c, v in zip(columns, (key[0].as_py(), *values)):
+                c.append(v)
+
+        done = replies.filter(pc.is_valid(replies.column("starts")))
+        for row in zip(*(done.column(c).to_pylist() for c in ("ids", "subs", "starts", "ends"))):
+            add(*row, -1, b"")
+        tags, kinds = _join(replies, "tags", np.uint64), _join(replies, "kinds", np.uint8)
+        order = np.argsort(tags, kind="stable")
+        tags, kinds = tags[order], kinds[order]
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for ids, valid, subs, data, bounds, _ in _unpack_texts(texts):
+        for ids, valid, subs, data, bounds, _ in _unpack_texts(texts) if len(tags) else ():
             lo = 0
             while lo < len(ids):  # a bounded number of bytes at a time
                 hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + CHUNK, "right")) - 1)
                 part_ids, part_subs, ok = ids[lo:hi], subs[lo:hi], valid[lo:hi]
-                part = data[bounds[lo] : bounds[hi]]
-                inner = bounds[lo : hi + 1] - bounds[lo]
+                part, inner = data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
                 lo = hi
-                # the replies of these documents
-                left, right = np.searchsorted(a_id, part_ids), np.searchsorted(a_id, part_ids, "right")
-                if not (right > left)[ok].any():
-                    continue
-                row, start, size, minimiser, _ = stretches(part, inner)
-                b = _bucket(minimiser, parts)
-                by = np.lexsort((start, b, row))
-                row_, b_ = row[by], b[by]
-                first = np.flatnonzero(np.concatenate(([True], (row_[1:] != row_[:-1]) | (b_[1:] != b_[:-1])))) if len(by) else np.zeros(0, np.int64)
-                base = {(r, q): f for r, q, f in zip(row_[first].tolist(), b_[first].tolist(), first.tolist())}
-                chosen, kinds = [], []
-                for r in np.flatnonzero(ok & (right > left)).tolist():
-                    x = np.arange(left[r], right[r])
-                    x = x[a_sub[x] == part_subs[r]]
-                    if len(x):
-                        edge = np.flatnonzero(np.concatenate(([True], bucket[x][1:] != bucket[x][:-1])))
-                        begin = np.array([base[r, q] for q in bucket[x][edge].tolist()])
-                        chosen.append(by[np.repeat(begin, np.diff(np.append(edge, len(x)))) + place[x]])
-                        kinds.append(kind[x])
-                if not chosen:
-                    continue
-                chosen, kinds = np.concatenate(chosen), np.concatenate(kinds)
-                shard = np.where(kinds == 0, -1, b[chosen].astype(np.int64) * SHARDS + (minimiser[chosen] % np.uint64(SHARDS)).astype(np.int64)).astype(np.int32)
+                row, start, size, minimiser, content = stretches(part, inner)
+                own = _tags(minimiser, content, part_ids[row], part_subs[row])
+                at = np.minimum(np.searchsorted(tags, own), len(tags) - 1)
+                asked = (tags[at] == own) & ok[row]
+                kind = np.where(asked, kinds[at], 3)
+                gone = np.flatnonzero(kind == 0)
+                if len(gone):
+                    who, s = row[gone], start[gone] - inner[row[gone]]
+                    add(*_pack_spans(part_ids[who], part_subs[who], s, s + size[gone]), -1, b"")
+                plain, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+                shard = (_bucket(minimiser[plain], parts).astype(np.int64) * SHARDS + (minimiser[plain] % np.uint64(SHARDS)).astype(np.int64)).astype(np.int32)
+                row_, start_, size_ = row[plain], start[plain], size[plain]
+                if len(hot):
+                    nth, s, n, k = parted(part, start[hot], size[hot])
+                    row_, start_, size_ = np.concatenate((row_, row[hot][nth])), np.concatenate((start_, s)), np.concatenate((size_, n))
+                    shard = np.concatenate((shard, (k % np.uint64(parts * SHARDS)).astype(np.int32)))
                 again = np.argsort(shard, kind="stable")
-                chosen, shard = chosen[again], shard[again]
-                for f, e in zip(*_groups(shard)):
-                    mine = chosen[f:e]
-                    who, s = row[mine], start[mine]
-                    blob = b""
-                    if shard[f] >= 0:
-                        at = np.repeat(s - (np.cumsum(size[mine]) - size[mine]), size[mine]) + np.arange(size[mine].sum())
-                        blob = squeeze(part[at].tobytes())
-                    s = (s - inner[who]).astype(np.int64)
-                    values = (key[0].as_py(), part_ids[who].tobytes(), part_subs[who].tobytes(), s.tobytes(), (s + size[mine]).tobytes(), int(shard[f]), blob)
-                    for c, v in zip(columns, values):
-                        c.append(v)
+                for f, e in zip(*_groups(shard[again])):
+                    mine = again[f:e]
+                    who, s, n = row_[mine], start_[mine], size_[mine]
+                    at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    s = s - inner[who]
+                    add(*_pack_spans(part_ids[who], part_subs[who], s, s + n), int(shard[mine[0]]), squeeze(part[at].tobytes()))
         return pa.Table.from_batches([_batch(columns, arrow)], schema=arrow)
 
     return run
@@ -335,8 +418,8 @@ def _search():
     arrow = arrow_schema(_FOUND)
 
     def run(table: pa.Table) -> pa.Table:
-        key, sub, start, end = _join(table, "ids", np.int64), _join(table, "subs", np.int32), _join(table, "starts", np.int64), _join(table, "ends", np.int64)
-        home = np.repeat(np.asarray(table.column("home")), [len(b) // 8 for b in table.column("ids").to_pylist()])
+        key, sub, start, end, each = _unpack_spans(table)
+        home = np.repeat(np.asarray(table.column("home")), each)
         data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(b) for b in table.column("blob").to_pylist()), np.uint8)
         size = end - start
         base = np.cumsum(size) - size
@@ -359,7 +442,7 @@ def _search():
         columns: list[list] = [[] for _ in arrow.names]
         for i, j in zip(*_groups(home[o][order])):
             mine = order[i:j]
-            values = (int(home[o][mine[0]]), key[o][mine].tobytes(), sub[o][mine].tobytes(), f[mine].tobytes(), t[mine].tobytes())
+            values = (int(home[o][mine[0]]), *_pack_spans(key[o][mine], sub[o][mine], f[mine], t[mine]))
             for c, v in zip(columns, values):
                 c.append(v)
         return pa.Table.from_batches([_batch(columns, arrow)], schema=arrow)
@@ -372,7 +455,7 @@ def _search():
 
 def _spans(table: pa.Table):
     """A function that gives the kept bytes of a document and the number of its removed runs."""
-    s_id, s_sub, s_from, s_to = (_join(table, c, k) for c, k in (("ids", np.int64), ("subs", np.int32), ("starts", np.int64), ("ends", np.int64)))
+    s_id, s_sub, s_from, s_to, _ = _unpack_spans(table)
     order = np.lexsort((s_from, s_sub, s_id))
     s_id, s_sub, s_from, s_to = s_id[order], s_sub[order], s_from[order], s_to[order]
 
@@ -392,18 +475,18 @@ def _spans(table: pa.Table):
     return kept
 
 
-def _removed(docs: DataFrame, finish, schema, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+def _removed(docs: DataFrame, finish, schema, id_col: str, text_col: str, keep: list[Column]) -> DataFrame:
     """``finish`` gets a group's rows of packed texts and the function of ``_spans``, and returns its output."""
-    parts = n_parts(docs.sparkSession)
+    parts = groups_for(docs, text_col, HOME_BYTES)
     rows = numbered(docs, id_col, text_col, parts, keep)
     plain = rows.select("home", "id", "sub", "text")
-    replies = plain.mapInArrow(_hash_blocks(parts), _HASHES).groupBy("bucket").applyInArrow(_judge(parts), _REPLY)
+    replies = dealt(plain.mapInArrow(_hash_blocks(parts), _HASHES), "bucket", parts).groupBy("bucket").applyInArrow(_judge(parts), _REPLY)
     asked = plain.mapInArrow(_pack_texts(parts), _TEXTS)
-    cut = stored(asked.groupBy("home").cogroup(replies.groupBy("home")).applyInArrow(_cut(parts), _CUT), "stretches")
-    found = cut.where("shard >= 0").groupBy("shard").applyInArrow(_search(), _FOUND)
+    cut = stored(dealt(asked, "home", parts).groupBy("home").cogroup(dealt(replies, "home", parts).groupBy("home")).applyInArrow(_cut(parts), _CUT), "stretches")
+    found = dealt(cut.where("shard >= 0"), "shard", parts).groupBy("shard").applyInArrow(_search(), _FOUND)
     spans = cut.where("shard < 0").select(*arrow_schema(_FOUND).names).unionByName(found)
     texts = rows.mapInArrow(_pack_texts(parts), _TEXTS)
-    return texts.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(lambda key, t, s: finish(t, _spans(s)), schema)
+    return dealt(texts, "home", parts).groupBy("home").cogroup(dealt(spans, "home", parts).groupBy("home")).applyInArrow(lambda key, t, s: finish(t, _spans(s)), schema)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -425,17 +508,18 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, the text without its removed bytes; what a removal leaves of a
     character in several bytes goes as well. A null text stays null."""
-    keep = docs.columns
     schema = docs.schema
     arrow = arrow_schema(schema)
-    at = keep.index(text_col)
+    # the text travels once: of its column only whether it was null goes with the others
+    keep = [F.col(c).isNull() if c == text_col else F.col(c) for c in docs.columns]
+    at = docs.columns.index(text_col)
 
     def finish(texts: pa.Table, kept) -> pa.Table:
         out = []
         for part in _unpack_texts(texts):
             columns = _from_bytes(part[5]).flatten()
-            old = columns[at].is_valid().to_pylist()
-            columns[at] = pa.array([left.decode("utf-8", "ignore") if ok else None for ok, (_, _, left) in zip(old, kept(*part[:5]))], pa.string())
+            null = columns[at].to_pylist()
+            columns[at] = pa.array([None if gone else left.decode("utf-8", "ignore") for gone, (_, _, left) in zip(null, kept(*part[:5]))], pa.string())
             out.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
