@@ -1,15 +1,22 @@
 """Main text of web pages by composite text density.
 
 For every node of a page's tree: its characters per tag, corrected by the share of linked characters and
-tags. The density sum of a node is that of its children. The node with the largest sum is the
-main text; going up from it, the smallest density on the way to the body is the threshold, and it grows
-to its parent while the parent has another child at least that dense, or up to the article
-that it is part of. Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are cut out of the tree beforehand.
+tags. The density sum of a node is that of its children, and the node with the largest sum is the core of
+the main text. The smallest density on its way up to the body is the threshold.
+
+- The core grows to the outermost article (or main part) around it that is at least as dense as what is around
+  that: an article of links and short lines doesn't take its place.
+- From there it grows on to its parent while that has other children at least as dense as the threshold, or headings,
+  and takes those and what lies between them.
+
+Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments are no
+part of it. Tags and roles that say so are cut out of the tree beforehand. Names of classes count for containers only,
+as whole names, and only where the density agrees: a container that has the core of the text stays, whatever its
+name (of reader comments only if there is no other text).
 
 Defined cases: null or empty html, and pages without text, give an empty text; unclosed, stray and unknown tags
-are taken as browsers take them; a null id stays null; repeated rows each give a row; an empty table
-gives no rows; further columns are ignored; pages of any length are read whole.
+are taken much as browsers take them; a null id stays null; repeated rows each give a row; an empty table
+gives no rows; further columns are ignored; pages of any length are read whole, in time linear in it.
 """
 
 from __future__ import annotations
@@ -24,9 +31,9 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_schema, id_type, slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_NAME = re.compile(r"[a-z]+")
 _set = lambda names: frozenset(names.split())
 # fixed values of HTML
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
@@ -37,87 +44,136 @@ BLOCK = _set(
 )
 ENDS_P = BLOCK - _set("body html option td th tr tbody thead tfoot")
 CLOSES = {"li": _set("li"), "dd": _set("dd dt"), "dt": _set("dd dt"), "option": _set("option"), "tr": _set("tr td th"), "td": _set("td th"), "th": _set("td th"), "tbody": _set("tbody thead tfoot tr td th"), "tfoot": _set("tbody thead tfoot tr td th")}
-SCOPE = _set("body html table ul ol dl div article section main aside nav header footer select blockquote")
+# what an end that is only implied doesn't reach beyond
+P_SCOPE = _set("html body table td th button object")
+TABLE_SCOPE = _set("html body table")
+ITEM_SCOPE = _set("html body table ul ol dl article section main aside nav header footer select blockquote")
+CLOSING = {
+    t: [*([(_set("p"), P_SCOPE)] if t in ENDS_P else []), *([(CLOSES[t], ITEM_SCOPE if t in ("li", "dd", "dt", "option") else TABLE_SCOPE)] if t in CLOSES else [])]
+    for t in ENDS_P | CLOSES.keys()
+}
 CUT_TAGS = _set("nav aside footer form script style noscript template iframe object svg math button select dialog menu head title textarea input canvas audio video")
 CUT_ROLES = _set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form")
-CUT_NAMES = _set(
-    "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu "
-    "nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond share sharing sidebar signup "
+CONTAINERS = _set("div section ul ol dl table ins center details fieldset figure span")
+COMMENTS = _set("comment comments disqus respond")
+CUT_NAMES = COMMENTS | _set(
+    "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs consent cookie cookies footer masthead menu "
+    "nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription toolbar widget"
 )
+# what a name may hold besides these
+QUALIFIERS = _set("site page top bottom left right list box block area section wrapper wrap container inner slot unit post item bar links global primary secondary thread header")
+HEADINGS = _set("h1 h2 h3 h4 h5 h6 hgroup")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "cut", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: str = ""):
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
+    def children(self) -> list[Node]:
+        return [x for x in self.items if isinstance(x, Node)]
+
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _named(value: str) -> str:
+    """Whether a class or id is the name of something that is no main text: ``comments``, ``other`` or nothing."""
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if all(x in CUT_NAMES or x in QUALIFIERS for x in parts) and not CUT_NAMES.isdisjoint(parts):
+            return "other" if COMMENTS.isdisjoint(parts) else "comments"
+    return ""
+
+
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
+    """Whether an element is cut out, and what its names call it."""
     if tag in CUT_TAGS or (tag == "header" and not inside_article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not CUT_NAMES.isdisjoint(_NAME.findall(value)):
-            return True
-        if name == "role" and value in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+        return True, ""
+    named = ""
+    if attributes and tag not in ("html", "body", "article", "main"):
+        for name, value in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name in ("class", "id") and tag in CONTAINERS:
+                named = named or _named(value)
+            if name == "role" and value in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                return True, named
+    return False, named
 
 
 def parse(html: str) -> Node:
-    """The tree of a page: elements and texts."""
+    """The tree of a page: elements and texts. Where each tag is open is known, so nothing is searched for."""
     root = Node("html", None)
-    at, position, articles, n = root, 0, 0, len(html)
-
-    def close(node: Node) -> Node:
-        nonlocal at, articles
-        while at is not node:
-            articles -= at.tag in ("article", "main")
-            at = at.parent
-        articles -= at.tag in ("article", "main")
-        at = at.parent
-        return at
+    stack = [root]
+    open_: dict[str, list[int]] = {}
+    limits: dict[frozenset, list[int]] = {scope: [0] for scope in (P_SCOPE, ITEM_SCOPE, TABLE_SCOPE, BLOCK)}
+    position, n, body, broken = 0, len(html), False, False
+
+    def enter(node: Node) -> None:
+        open_.setdefault(node.tag, []).append(len(stack))
+        for scope, depths in limits.items():
+            if node.tag in scope:
+                depths.append(len(stack))
+        stack.append(node)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            open_[tag].pop()
+            for scope, depths in limits.items():
+                if tag in scope:
+                    depths.pop()
 
     while position < n:
-        m = _TOKEN.search(html, position)
-        if not m:
-            at.items.append(html[position:])
+        start = html.find("<", position)
+        if start < 0:
+            stack[-1].items.append(html[position:])
             break
-        if m.start() > position:
-            at.items.append(html[position : m.start()])
-        position = m.end()
-        if not m[2]:
+        after = html[start + 1 : start + 2]
+        if after in ("!", "?"):
+            if start > position:
+                stack[-1].items.append(html[position:start])
+            end = html.find("-->", start + 4) + 2 if html.startswith("<!--", start) else html.find(">", start)
+            position = end + 1 if end >= start else n
             continue
-        tag = m[2].lower()
-        if m[1]:
-            x = at
-            while x is not None and x.tag != tag:
-                x = None if x.tag in ("table", "article", "main") and tag in ("p", "li", "b", "i", "a", "span") else x.parent
-            if x is not None and x is not root and tag not in ("html", "body"):
-                close(x)
+        m = None
+        if after.isalpha() or after == "/":
+            m = None if broken else _TAG.match(html, start)
+            if m is None:
+                m = _PLAIN_TAG.match(html, start)
+                broken = broken or m is not None  # a quote that never ends: from here on quotes don't count
+        if m is None:
+            stack[-1].items.append(html[position : start + 1])
+            position = start + 1
+            if html.find(">", position) < 0:  # no tag can follow
+                stack[-1].items.append(html[position:])
+                break
+            continue
+        if start > position:
+            stack[-1].items.append(html[position:start])
+        position, tag = m.end(), m[1].lower()
+        if after == "/":
+            depths = open_.get(tag)
+            inner = P_SCOPE if tag in BLOCK else BLOCK
+            if depths and tag != "body" and (tag in inner or limits[inner][-1] < depths[-1]):
+                close(depths[-1])
             continue
         if tag in ("html", "body"):
-            if tag == "body" and at.tag != "body" and not any(isinstance(x, Node) and x.tag == "body" for x in root.items):
-                at = root
-                at.items.append(Node("body", root))
-                at = at.items[-1]
+            if tag == "body" and not body:
+                body = True
+                close(1)
+                node = Node("body", root)
+                root.items.append(node)
+                enter(node)
             continue
-        ends = _set("p") if tag in ENDS_P else CLOSES.get(tag)
-        if ends:
-            x = at
-            while x is not root and x.tag not in ends and (x.tag not in SCOPE or (tag in ("tr", "td", "th", "tbody", "tfoot") and x.tag != "table")):
-                x = x.parent
-            if x.tag in ends:
-                close(x)
-        node = Node(tag, at, _unwanted(tag, m[3], articles > 0))
-        at.items.append(node)
+        for ends, scope in CLOSING.get(tag, ()):
+            depths = [open_[t][-1] for t in ends if open_.get(t) and open_[t][-1] > limits[scope][-1]]
+            if depths:
+                close(min(depths))
+        node = Node(tag, stack[-1], *_unwanted(tag, m[2], bool(open_.get("article") or open_.get("main"))))
+        stack[-1].items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, position)
             stop = end.start() if end else n
@@ -125,9 +181,8 @@ def parse(html: str) -> Node:
                 node.items.append(html[position:stop])
             close_at = html.find(">", stop)
             position = close_at + 1 if end and close_at >= 0 else n
-        elif tag not in VOID and not m[3].endswith("/") or tag in ENDS_P - VOID:
-            articles += tag in ("article", "main")
-            at = node
+        elif tag not in VOID and not (m[2].endswith("/") and tag not in BLOCK):
+            enter(node)
     return root
 
 
@@ -136,13 +191,13 @@ def _walk(root: Node) -> list[Node]:
     out = [root]
     for node in out:
         node.items = [x for x in node.items if isinstance(x, str) or not x.cut]
-        out += [x for x in node.items if isinstance(x, Node)]
+        out += node.children()
     return out
 
 
 def _measure(nodes: list[Node], body: Node) -> None:
     for node in reversed(nodes):
-        children = [x for x in node.items if isinstance(x, Node)]
+        children = node.children()
         node.chars = sum(len("".join(x.split())) for x in node.items if isinstance(x, str)) + sum(x.chars for x in children)
         node.tags = len(children) + sum(x.tags for x in children)
         linked = node.tag == "a"
@@ -151,29 +206,67 @@ def _measure(nodes: list[Node], body: Node) -> None:
     share = body.link_chars / max(body.chars, 1)
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
+        node.density = 0.0
         if c:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             node.density = c / t * math.log(c / max(lc, 1) * t / max(lt, 1) + 1e-9) / math.log(max(base, 1.0) + 1.0)
-        node.total = sum(x.density for x in node.items if isinstance(x, Node))
+        node.total = sum(x.density for x in node.children())
+
+
+def _core(nodes: list[Node]) -> Node:
+    """The node with the largest density sum, the outermost of equals; of pages without tags the body."""
+    best = max(nodes, key=lambda x: x.total)
+    return best if best.total > 0 else nodes[0]
+
+
+def _path(node: Node, body: Node) -> list[Node]:
+    out = [node]
+    while out[-1] is not body:
+        out.append(out[-1].parent)
+    return out
+
 
+def _without_named(body: Node) -> list[Node]:
+    """The nodes left without containers whose names and densities say that they are no main text; measured."""
+    nodes = _walk(body)
+    for kind in ("comments", "other"):
+        named = [x for x in nodes if x.named == kind]
+        if not named:
+            continue
+        _measure(nodes, body)
+        if kind == "comments":
+            outer = [x for x in named if not any(y.named == kind for y in _path(x, body)[1:])] if len(named) < 50 else named[:1]
+            keep = sum(x.chars for x in outer) >= body.chars
+            held = set(map(id, named)) if keep else set()
+        else:
+            held = set(map(id, _path(_core(nodes), body)))
+        for x in named:
+            x.cut = id(x) not in held
+        nodes = _walk(body)
+    _measure(nodes, body)
+    return nodes
 
-def _main(nodes: list[Node], body: Node) -> Node:
-    best = max(nodes, key=lambda x: x.total)  # the first of equals: the outermost
-    if best.total <= 0:
-        return body
-    path = [best]
-    while path[-1] is not body and path[-1].parent is not None:
-        path.append(path[-1].parent)
+
+def _main(nodes: list[Node], body: Node) -> list[Node]:
+    """The subtrees of the main text, in page order."""
+    best = _core(nodes)
+    path = _path(best, body)
     threshold = min(x.density for x in path)
-    articles = [x for x in path if x.tag in ("article", "main")]
-    if articles:
-        return articles[-1]
-    while best is not body and best.parent is not None and any(isinstance(x, Node) and x is not best and x.density >= threshold and x.chars > x.link_chars for x in best.parent.items):
+    for k in range(len(path) - 1, -1, -1):  # the outermost first
+        if path[k].tag in ("article", "main") and path[k].density >= min((x.density for x in path[k + 1 :]), default=0.0):
+            best = path[k]
+            break
+    while best is not body and best.tag not in BLOCK:  # an inline element is part of its block
+        best = best.parent
+    chosen = [best]
+    while best is not body:
+        children = best.parent.children()
+        of_text = [x is best or (x.chars > 2 * x.link_chars and (x.density >= threshold or x.tag in HEADINGS)) for x in children]
+        if sum(of_text) > 1:
+            first, last = of_text.index(True), len(of_text) - 1 - of_text[::-1].index(True)
+            chosen = [y for x in children[first : last + 1] for y in (chosen if x is best else [x] if x.chars > 2 * x.link_chars or not x.chars else [])]
         best = best.parent
-    if best.tag not in BLOCK:  # an inline element is part of its block
-        while best.tag not in BLOCK and best.parent is not None:
-            best = best.parent
-    return best
+    return chosen
 
 
 def blocks(node: Node) -> list[str]:
@@ -210,9 +303,8 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     body = next((x for x in root.items if isinstance(x, Node) and x.tag == "body"), root)
-    nodes = _walk(body)
-    _measure(nodes, body)
-    return "\n\n".join(blocks(_main(nodes, body)))
+    nodes = _without_named(body)
+    return "\n\n".join(text for node in _main(nodes, body) for text in blocks(node))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
