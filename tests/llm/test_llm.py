@@ -212,6 +212,45 @@ def test_suffix_dedup_of_repeated_ids(spark):
     assert got == [(2, False), (2, False), (2, False), (3, True)]
 
 
+@pytest.mark.parametrize("hot", [0, 3, 10**9])
+def test_suffix_dedup_across_bounds(spark, monkeypatch, hot):
+    """Blocks, chunks and homes of a few documents, and minimisers that are all, partly or never dealt by what is around them."""
+    for name, v in (("CHUNK", 1500), ("BLOCK", 4000), ("HOME_BYTES", 5000), ("HOT", hot)):
+        monkeypatch.setattr(suffix_dedup, name, v)
+    line, long = "permission is granted to any person who gets a copy of this", sentence(200)
+    rows = [(int(i), f"{sentence(int(RNG.integers(0, 30)))} {line} {sentence(int(RNG.integers(0, 30)))}") for i in RNG.permutation(120)]
+    rows += [(200 + i, long[7 * i : 7 * i + 400]) for i in range(20)] + [(300, "a" * 700), (301, "a" * 900 + "b"), (302, "ab" * 300), (303, "ab" * 200 + "c"), (304, None), (305, long), (306, long), (306, long)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op5(d).collect()}
+    assert got == {(i, *v) for i, v in removed(rows[:-1]).items()}
+
+
+def test_parts_of_equal_strings_have_equal_keys():
+    data = np.frombuffer((sentence(80) + "a" * 120 + sentence(80)).encode(), np.uint8)
+    both = np.concatenate((data, data[100:900]))
+    bounds = np.array([0, len(data), len(both)])
+    row, start, size, _, _ = suffix_dedup.stretches(both, bounds)
+    nth, begin, n, key = suffix_dedup.parted(both, start, size)
+    of = {int(p): int(k) for s, m, k in zip(begin, n, key) for p in range(s, s + m - 49)}
+    assert sorted(of) == [p for a, b in zip(bounds, bounds[1:]) for p in range(a, b - 49)]
+    assert all(of[100 + p] == of[len(data) + p] for p in range(751)) and len(set(of.values())) > 20
+
+
+def test_long_runs_take_little_time():
+    import time
+
+    t = time.process_time()
+    two = np.concatenate((np.full(10**6, 97, np.uint8), np.full(10**6, 98, np.uint8)))
+    sa = suffix_array(two)
+    assert time.process_time() - t < 5 and sorted(sa.tolist()) == list(range(len(two)))
+    b = two.tobytes()
+    assert all(b[x : x + 50] <= b[y : y + 50] for x, y in zip(sa[::9973], sa[9973::9973]))
+    for n in (120, 260):
+        d = np.repeat(RNG.integers(0, 3, 12), RNG.integers(1, n // 4, 12)).astype(np.uint8)
+        sa, b = suffix_array(d, 10).tolist(), d.tobytes()
+        assert sorted(sa) == list(range(len(d))) and [b[i : i + 10] for i in sa] == sorted(b[i : i + 10] for i in range(len(d)))
+
+
 def test_suffix_array():
     for n in (1, 2, 30, 200):
         for k in (1, 2, 5):
@@ -305,6 +344,22 @@ def test_packing(spark, docs, empty):
     assert packing.op8(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("room", [None, (40, 200)])
+def test_word_ids_are_those_of_the_library(monkeypatch, room):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    if room:  # buffers that are full all the time
+        monkeypatch.setattr(packing, "CACHE_WORDS", room[0])
+        monkeypatch.setattr(packing, "CACHE_IDS", room[1])
+    path = P.path("word_bpe_49k.json")
+    own, library = packing.WordIds(path), Tokenizer.from_file(path)
+    letters = [*"aB'sTdLmrev0123 .,-_\t\n<=", "\u00a0", "é", "É", "×", "ß", "Σ", "K", "\u0301", "\u030c", "\u0338", "<|endoftext|>", "\x1c", "\x85", "🙂", "'ll", "Ⅷ", "٣"]
+    some = ["".join(RNG.choice(letters, n)) for n in RNG.integers(0, 40, 3000)] + ["ab" * 600, "ab" * 600 + "c", "é" * 700, "", "x" * 5000]
+    got = [x.tolist() for a in range(0, len(some), 100) for x in own(pa.array(some[a : a + 100], pa.string()))]
+    assert got == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
 # --- 9 ---
 
 
