@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as fn
 from voxloom.operators import corpus, dictionary, evaluation, segments, signal
+from voxloom.operators.ordered import running_sums
 
 
 def rows(df, *order):
@@ -23,14 +24,15 @@ def test_pairs_keep_whitespace_only_sides_and_last_duplicates(spark):
 
 def test_ngrams_of_short_sentences(spark):
     d = spark.createDataFrame([("a b",), ("",), (None,), ("a",)], "text string")
-    got = corpus.ngram_counts(d, fn.words(F.col("text"))).select("n", F.array_join("gram", " "), "cnt")
+    got = corpus.ngram_counts(d, fn.words(F.col("text")))
     assert rows(got, "n", "cnt") == [(1, "b", 1), (1, "a", 2), (2, "a b", 1)]
 
 
 def test_language_model_sums_to_one(spark):
     d = spark.createDataFrame([("a b a c",), ("b a b",), ("c a b a",)], "text string")
     model = corpus.kneser_ney(corpus.ngram_counts(d, fn.words(F.col("text")))).collect()
-    p = {tuple(r.gram): r.p for r in model}
+    p = {tuple(r.gram.split(" ")): r.p for r in model}
+    assert {r.gram: r.n for r in model} == {" ".join(g): len(g) for g in p} and max(map(len, p)) == 3
     assert sum(v for g, v in p.items() if len(g) == 1) == pytest.approx(1)
 
 
@@ -101,20 +103,55 @@ def test_prf_with_an_absent_class(spark):
     assert got["c"].f1 == 0 and got["a"].precision == 1 and got["a"].recall == 0.5 and got["a"].macro_f1 == pytest.approx((2 / 3 + 2 / 3) / 3)
 
 
-def test_terms_by_broadcast_and_by_index_agree(spark):
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["Neural network here", "net", "", None, "networks of abc", "learning deep"])], "k int, t string")
-    terms = spark.createDataFrame([("network",), ("net",), ("deep learning",), ("abc",)], "term string")
-    for words in (False, True):
-        a, b = (dictionary.matches(texts, terms, "k", "t", words=words, most=m) for m in (100, 0))
-        assert sorted(rows(a)) == sorted(rows(b))
-    assert (5, "deep learning") in rows(b)
+def test_terms_against_plain_loops(spark):
+    import random
+
+    draw = random.Random(4)
+    some = [" ".join("".join(draw.choices("abc", k=draw.randint(1, 4))) for _ in range(draw.randint(0, 7))) for _ in range(40)]
+    texts = [*some, "Neural network here", "net", "", None, "networks of  abc", "learning deep", " a  b\nc "]
+    looked = ["network", "net", "deep learning", "abc", "a", "b c", "a b c", "", "ab cab", "a  b", "b\nc", "AB", *some[:5]]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    terms = spark.createDataFrame([(x,) for x in looked], "term string")
+    body = {k: (t or "").strip(" ").lower() for k, t in enumerate(texts)}
+    clean = {x.lower() for x in looked if x}
+    inside = {(k, x) for k, t in body.items() for x in clean if x in t}
+    got = rows(dictionary.matches(d, terms, "k", "t"))
+    assert len(got) == len(set(got)) and set(got) == inside
+    every = {(k, x) for k, t in body.items() for x in clean if " " in x and set(x.split()) <= set(t.split())}
+    assert set(rows(dictionary.matches(d, terms, "k", "t", words=True))) == inside | every
+    spaced = lambda x: f" {' '.join(x.split())} "
+    whole = {(k, " ".join(x.split())) for k, t in body.items() for x in clean if spaced(x) in spaced(t)}
+    assert set(rows(dictionary.matches(d, terms, "k", "t", word_boundary=True))) == whole
+    first = {x: min(k for k, y in inside if y == x) for _, x in inside}
+    got = dictionary.term_first(d.withColumn("v", F.concat(F.lit("v"), "k")), terms, "k", "t", "v").collect()
+    assert {r.term: (r.v, r.k) for r in got} == {x: (f"v{k}", k) for x, k in first.items()}
+
+
+def test_running_sums_of_a_skewed_order(spark):
+    values = [10.0**9, *(i / 7 for i in range(300)), -5.0]
+    d = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v double, c int")
+    for down in (False, True):
+        got = {r.v: r.c_before for r in running_sums(d, "v", ["c"], descending=down).collect()}
+        at = 0
+        for v, c in sorted(((v, i % 3) for i, v in enumerate(values)), reverse=down):
+            assert got[v] == at
+            at += c
+
+
+def test_error_rates_overall_and_concatenated(spark):
+    d = spark.createDataFrame([("a", 1, 0, "x y", "x z"), ("a", 1, 1, "z", "y z"), ("b", 1, 2, "q", "q"), ("b", 2, 0, "", "w")], "g string, doc int, i int, r string, h string")
+    p = d.select("g", "doc", "i", fn.words(F.col("r")).alias("r"), fn.words(F.col("h")).alias("h"))
+    assert {r.g: (r.edits, r.words) for r in evaluation.wer(p, "g", "r", "h").collect()} == {"a": (2, 3), "b": (0, 1), "overall": (2, 4)}
+    whole = evaluation.concatenated(p, ["doc", "g"], "i", ["r", "h"])
+    assert {r.g: (r.edits, r.words) for r in evaluation.wer(whole, "g", "r", "h").collect()} == {"a": (1, 3), "b": (0, 1), "overall": (1, 4)}
+    assert [r.h for r in whole.where("g = 'a'").collect()] == [["x", "z", "y", "z"]]
+    assert evaluation.wer(p.where("g = 'c'"), "g", "r", "h").count() == 0
 
 
 def test_options(spark):
     texts = spark.createDataFrame([(1, "networks net,"), (2, "a net here"), (3, "the net"), (4, None)], "k int, t string")
     terms = spark.createDataFrame([("net",)], "term string")
-    for most in (100, 0):
-        assert sorted(rows(dictionary.matches(texts, terms, "k", "t", word_boundary=True, most=most))) == [(2, "net"), (3, "net")]
+    assert sorted(rows(dictionary.matches(texts, terms, "k", "t", word_boundary=True))) == [(2, "net"), (3, "net")]
     d = spark.createDataFrame([("dog", "[TRANSLATE:dog]", 2)], "k string, v string, o int")
     assert dictionary.usable_entries(d, "k", "v", "o").count() == 0 and dictionary.usable_entries(d, "k", "v", "o", strict_reference=True).count() == 1
     s = spark.createDataFrame([("d", i, x, i * 2.5, i * 2.5 + 5) for i, x in enumerate("aabb")], "doc string, seg_idx int, language string, start_time double, end_time double")
@@ -132,7 +169,7 @@ def test_tagging_longest_first_and_restoring(spark):
 def test_dictionary_keys_and_phonetics(spark):
     d = spark.createDataFrame([(" Cat", "x", 0), ("cat", "y", 1), ("dog", "[TRANSLATE:dog]", 2), ("", "z", 3)], "k string, v string, o int")
     assert rows(dictionary.usable_entries(d, "k", "v", "o")) == [("cat", "y")]
-    table = [("sch", "S"), ("s", "s"), ("ch", "X"), ("c", "k")]
+    table = [("sch", "S"), ("s", "s"), ("ch", "X"), ("c", "k"), ("c", "k"), ("s", "a"), (None, "n"), ("x", None)]
     words = ["schach", "sc", "", "xyz", "ab"]
     got = dictionary.phonetise(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(table, "key string, value string"), spark.createDataFrame([("ab", "AB")], "key string, value string"))
     assert dict(rows(got)) == {"schach": "SaX", "sc": "sk", "": "", "xyz": "xyz", "ab": "AB"}
@@ -145,7 +182,7 @@ def test_silent_and_short_clips(spark):
     assert d.select(signal.peak_normalize(F.col("x"))).first()[0] == [0, 0, 0, 0]
 
 
-def test_fft_kernel_agrees_with_the_native_transform(spark):
+def test_spectrum_kernel(spark):
     x = np.random.default_rng(0).normal(size=(3, 64))
     f = spark.createDataFrame([("c", i, v.tolist()) for i, v in enumerate(x)], "clip string, frame_idx int, vec array<double>")
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)

@@ -30,7 +30,7 @@ def test_error_rates_of_whole_turns(spark, tmp_path):
     turns = [long, long.replace("w35", "x"), long + " é", long + " à", " " * 70 + "late", "b"]
     table(spark, tmp_path, "conversations", [(1, i, "user", x) for i, x in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
     pairs = list(zip(turns, turns[1:]))
-    got = entry.queries()["agg_wer"](spark, str(tmp_path)).first()
+    got = entry.queries()["agg_wer"](spark, str(tmp_path)).where("mode = 'pairs' AND role = 'overall'").first()
     assert (got.edits, got.words) == (sum(_edits(a.split(), b.split()) for a, b in pairs), sum(len(a.split()) for a, _ in pairs))
     cer = {r.turn: r.cer for r in entry.queries()["agg_cer"](spark, str(tmp_path)).collect()}
     assert cer == {i: pytest.approx(_edits(a, b) / len(a), abs=1e-4) for i, (a, b) in enumerate(pairs)}
@@ -75,20 +75,6 @@ def test_one_stride_for_a_pair(spark):
     assert [sorted(r.frame_idx for r in x.collect()) for x in (a, b)] == [list(range(0, 35, 3)), [0, 3, 6, 9]]
 
 
-def test_terms_are_mined_from_all_documents(spark, tmp_path):
-    # by count: wonder (stub entry, k = 3), zephyr, kettle; only wonder and kettle come with other documents
-    texts = [(1, "zephyr zephyr zephyr zephyr zephyr", "fr"), (2, "kettle kettle kettle kettle", "de"), (3, "wonder wonder wonder", "en"), (7, "kettle", "es"), (8, "zephyr", "en")]
-    many = " ".join(f"{a}{b}common {a}{b}common" for a in "abcd" for b in "abcdef")  # two each: the last ones are no terms
-    table(spark, tmp_path, "documents", [*texts, (9, many, "it")], "doc_id bigint, text string, lang string")
-    got = {r.term: r.value for r in entry.queries()["join_dictionary_lookup"](spark, str(tmp_path)).collect()}
-    assert (got["zephyr"], got["kettle"], got["wonder"]) == ("fr", "de", "en")
-    # 27 words; the first 20 are mined, then the exact entry or a stub for every third
-    rest = [f"{a}{b}common" for a in "abcd" for b in "abcdef"]
-    for k, word in enumerate(["zephyr", "kettle", "wonder", *rest], 1):
-        if k > 3:
-            assert got[word] == ("it" if k <= 20 else f"[TRANSLATE:{word}]" if k % 3 == 0 else word.upper())
-
-
 def test_lookup_falls_through(spark):
     frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     terms = frame([("Mined",), ("Exact",), ("Lower",), ("None",)], ["term"])

@@ -20,10 +20,12 @@ def tokens(text: Column, punctuation: str = r"[!-/:-@\[-`{-~।॥]") -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens; none if there are fewer."""
-    return F.when(
-        F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<array<string>>"))
+    """All runs of n tokens, joined by spaces; none if there are fewer. Each gram is a shorter one and a token."""
+    out = tokens
+    for k in range(1, n):
+        rest = lambda x, m: F.slice(x, m, F.greatest(F.size(x) - (m - 1), F.lit(0)))
+        out = F.zip_with(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), rest(tokens, F.lit(k + 1)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def pair_key(source: Column, target: Column) -> Column:

@@ -33,11 +33,15 @@ def dedup_pairs(df: DataFrame, source: str, target: str, order: str) -> DataFram
     return keyed.groupBy("pair_key").agg(F.min_by("row", "at").alias("row")).select("pair_key", "row.*")
 
 
+def gram_size(gram: Column) -> Column:
+    return F.length(gram) - F.length(F.replace(gram, F.lit(" "), F.lit(""))) + 1
+
+
 def ngram_counts(df: DataFrame, tokens: Column, max_n: int = 3) -> DataFrame:
-    """(n, gram, cnt) of all grams inside a sentence, from one scan and one shuffle."""
+    """(n, gram, cnt) of all grams inside a sentence, tokens joined by spaces (tokens have none), from one scan and one shuffle."""
     grams = F.concat(*(fn.ngrams(F.col("t"), n) for n in range(1, max_n + 1)))
     g = df.select(tokens.alias("t")).select(F.explode(grams).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("cnt")).select(F.size("gram").alias("n"), "gram", "cnt")
+    return g.groupBy("gram").agg(F.count("*").alias("cnt")).select(gram_size(F.col("gram")).alias("n"), "gram", "cnt")
 
 
 def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
@@ -80,8 +84,9 @@ def speaker_stats(df: DataFrame, speaker: str, duration: str, gender: str, order
 
 
 def terms_by_domain(df: DataFrame, domain: str, term: str, order: str) -> DataFrame:
-    """(term_key, domain): the first domain of each term, whatever its case."""
-    return df.groupBy(F.lower(term).alias("term_key")).agg(F.min_by(domain, order).alias("domain"))
+    """(term_key, domain, domain_terms): the first domain of each term, whatever its case, and how many terms that has."""
+    first = df.groupBy(F.lower(term).alias("term_key")).agg(F.min_by(domain, order).alias("domain"))
+    return first.join(first.groupBy("domain").agg(F.count("*").alias("domain_terms")), "domain").select("term_key", "domain", "domain_terms")
 
 
 def balance_classes(df: DataFrame, label: str, key: str, seed: str = "42") -> DataFrame:
@@ -103,9 +108,10 @@ def balance_classes(df: DataFrame, label: str, key: str, seed: str = "42") -> Da
 def kneser_ney(counts: DataFrame, discount: float = 0.75) -> DataFrame:
     """(n, gram, p, backoff) for orders 1 to 3 from ``ngram_counts``: interpolated Kneser-Ney with one discount. Lower orders
     count the words that a gram is seen after; unigrams are shares of all distinct bigrams."""
-    head, tail = F.slice("gram", 1, F.size("gram") - 1), F.slice("gram", 2, F.size("gram") - 1)
+    head = F.regexp_replace("gram", r" [^ ]*\z", "")
+    tail = F.substring(F.col("gram"), F.locate(" ", "gram") + 1, F.length("gram"))
     follows = counts.where("n > 1").groupBy(tail.alias("gram")).agg(F.count("*").alias("c"))  # continuation counts
-    uni = follows.where(F.size("gram") == 1)
+    uni = follows.where(gram_size(F.col("gram")) == 1)
     total = uni.agg(F.sum("c").alias("t"))
     p1 = uni.join(F.broadcast(total)).select("gram", (F.col("c") / F.col("t")).alias("p"))
 
@@ -120,20 +126,20 @@ def kneser_ney(counts: DataFrame, discount: float = 0.75) -> DataFrame:
     def backoffs(own: DataFrame) -> DataFrame:
         return own.groupBy(head.alias("gram")).agg((F.lit(discount) * F.count("*") / F.sum("c")).alias("backoff"))
 
-    c2 = follows.where(F.size("gram") == 2)
+    c2 = follows.where(gram_size(F.col("gram")) == 2)
     c3 = counts.where("n = 3").select("gram", F.col("cnt").alias("c"))
     p2 = higher(c2, p1)
     p3 = higher(c3, p2)
     p = p1.union(p2).union(p3)
-    return p.join(backoffs(c2).union(backoffs(c3)), "gram", "left").select(F.size("gram").alias("n"), "gram", "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"))
+    return p.join(backoffs(c2).union(backoffs(c3)), "gram", "left").select(gram_size(F.col("gram")).alias("n"), "gram", "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"))
 
 
 def lm_scores(sentences: DataFrame, model: DataFrame, key: str, tokens: Column, floor: float = 1e-7) -> DataFrame:
     """(key, n_words, score): log10 probability of each sentence; a word takes its longest known gram, times the back-off
     weights of the contexts that were left; unknown words have ``floor``."""
     w = sentences.select(key, tokens.alias("t")).select(key, F.posexplode_outer("t").alias("i", "w"), "t")
-    at = lambda n: F.when(F.col("i") >= n - 1, F.slice("t", F.col("i") - (n - 2), F.lit(n)))
-    context = lambda n: F.when(F.col("i") >= n, F.slice("t", F.col("i") - (n - 1), F.lit(n)))
+    at = lambda n: F.when(F.col("i") >= n - 1, F.array_join(F.slice("t", F.col("i") - (n - 2), F.lit(n)), " "))
+    context = lambda n: F.when(F.col("i") >= n, F.array_join(F.slice("t", F.col("i") - (n - 1), F.lit(n)), " "))
     rows = w.select(key, "i", "w", at(1).alias("g1"), at(2).alias("g2"), at(3).alias("g3"), context(1).alias("k1"), context(2).alias("k2"))
     for g in ("g1", "g2", "g3"):
         rows = rows.join(model.select(F.col("gram").alias(g), F.col("p").alias(f"p_{g}")), g, "left")

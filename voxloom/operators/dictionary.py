@@ -7,41 +7,83 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 
-#: Up to so many terms are broadcast; more are found by the index of their first letters.
-MOST_BROADCAST = 10_000
+#: Terms are found by their first letters.
+GRAM = 4
 
 
-def matches(corpus: DataFrame, terms: DataFrame, key: str, text: str, gram: int = 4, words: bool = False, most: int = MOST_BROADCAST, word_boundary: bool = False, padded: bool = False) -> DataFrame:
-    """(key, term) for each term that is a substring of the lower-cased trimmed text; with ``words`` also for terms all of
-    whose words the text has. A few terms are broadcast and looked for in each text; many are found by
-    their first letters (terms shorter than ``gram`` are few, and broadcast). With ``word_boundary`` a term
-    has to be whole words of the text."""
-    body = corpus.select(key, (F.col(text) if padded else F.lower(F.trim(text))).alias("_t"))
-    terms = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
+def _clean(terms: DataFrame) -> DataFrame:
+    return terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
+
+
+def _in_words(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term) for terms without a space that are substrings of the distinct words ``vocabulary``: joined on the
+    first letters of the term and every piece of so many letters of the word, then verified."""
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("word") - i + 1)), lambda n: F.substring("word", i, n))))
+    pieces = vocabulary.where("word <> ''").select("word", F.explode(F.array_distinct(starts)).alias("_g"))
+    heads = terms.select("term", F.substring("term", 1, GRAM).alias("_g"))
+    return pieces.join(heads, "_g").where(F.contains("word", "term")).select("word", "term")
+
+
+def _phrases(body: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, _v, term) for terms of several words: joined on the letters around the term's first space, at most three on each
+    side, which the text has at one of its spaces, then verified."""
+    around = lambda a, b, i, j: F.concat(F.right(a, F.least(i, F.length(a))), F.lit(" "), F.left(b, F.least(j, F.length(b))))
+    w = F.split("_t", " ")
+    sides = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda k: F.struct(F.get(w, k - 1).alias("a"), F.get(w, k).alias("b")))
+    sizes = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(4)))
+    keys = F.array_distinct(F.flatten(F.transform(F.when(F.size(w) > 1, sides), lambda s: F.transform(sizes, lambda z: around(s["a"], s["b"], z["i"], z["j"])))))
+    first, rest = F.substring_index("term", " ", 1), F.split("term", " ")[1]
+    heads = terms.select("term", around(first, rest, F.lit(3), F.lit(3)).alias("_g"))
+    found = body.select("key", F.explode(keys).alias("_g")).join(heads, "_g").select("key", "term").distinct()
+    return found.join(body, "key").where(F.contains("_t", "term")).select("key", "_v", "term")
+
+
+def _all_words(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, _v, term) for terms of several words all of which the text has, anywhere."""
+    own = terms.select("term", F.array_distinct(fn.words(F.col("term"))).alias("w")).select("term", F.size("w").alias("_n"), F.explode("w").alias("word"))
+    return words.join(own, "word").groupBy("key", "term", "_n").agg(F.count("*").alias("_c"), F.first("_v").alias("_v")).where("_c = _n").select("key", "_v", "term")
+
+
+def _found(corpus: DataFrame, terms: DataFrame, key: str, text: str, value: str | None, words: bool, word_boundary: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words of each text (key, _v, word), the terms in them (word, term), and phrases of each text (key, _v, term)."""
+    body = corpus.select(F.col(key).alias("key"), (F.col(value) if value else F.lit(None)).alias("_v"), F.lower(F.trim(text)).alias("_t"))
+    terms = _clean(terms)
+    if word_boundary:
+        spaced = lambda c: F.array_join(fn.words(F.col(c)), " ")
+        body, terms = body.withColumn("_t", spaced("_t")), terms.select(spaced("term").alias("term")).where("term <> ''").distinct()
+    several = terms.where(F.contains("term", F.lit(" ")))
+    single = terms.where(~F.contains("term", F.lit(" ")))
+    tokens = body.select("key", "_v", F.explode(F.array_distinct(F.split("_t", " "))).alias("word"))
     if word_boundary:
-        whole = lambda c: F.concat(F.lit(" "), F.array_join(fn.words(F.col(c)), " "), F.lit(" "))
-        found = matches(body.withColumn("_t", whole("_t")), terms.withColumn("term", whole("term")), key, "_t", gram, most=most, padded=True)
-        return found.withColumn("term", F.trim("term"))
-    hit = F.contains("_t", "term")
+        pairs = single.select(F.col("term").alias("word"), "term")
+        whole = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+        phrases = _phrases(body.withColumn("_t", whole("_t")), several.withColumn("term", F.concat("term", F.lit(" ")))).withColumn("term", F.rtrim("term"))
+        phrases = phrases.join(body.select("key", "_t"), "key").where(F.contains(whole("_t"), whole("term"))).drop("_t")
+    else:
+        pairs = _in_words(tokens.select("word").distinct(), single)
+        phrases = _phrases(body, several)
     if words:
-        hit = hit | (F.size(F.array_except(fn.words(F.col("term")), F.col("_w"))) == 0)
-        body = body.withColumn("_w", F.array_distinct(fn.words(F.col("_t"))))
-    if terms.limit(most + 1).count() <= most:
-        return body.join(F.broadcast(terms), hit).select(key, "term")
-    short, long = terms.where(F.length("term") < gram), terms.where(F.length("term") >= gram)
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - (gram - 1), F.lit(1))), lambda i: F.substring("_t", i, F.lit(gram))))
-    by_start = body.withColumn("_g", F.explode(starts)).join(long.withColumn("_g", F.substring("term", 1, gram)), "_g").where(F.contains("_t", "term")).select(key, "term")
-    out = by_start.union(body.join(F.broadcast(short), F.contains("_t", "term")).select(key, "term"))
-    if words:  # by the longest word, then all the others
-        probe = terms.withColumn("_p", F.element_at(F.array_sort(F.transform(fn.words(F.col("term")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"])
-        out = out.union(body.withColumn("_p", F.explode("_w")).join(probe, "_p").where(F.size(F.array_except(fn.words(F.col("term")), F.col("_w"))) == 0).select(key, "term"))
-    return out.distinct()
+        own = body.select("key", "_v", F.explode(F.array_distinct(fn.words(F.col("_t")))).alias("word"))
+        phrases = phrases.union(_all_words(own, several))
+    return tokens, pairs, phrases
+
+
+def matches(corpus: DataFrame, terms: DataFrame, key: str, text: str, words: bool = False, word_boundary: bool = False) -> DataFrame:
+    """(key, term) for each term that is a substring of the lower-cased trimmed text; with ``words`` also for terms all of
+    whose words the text has; with ``word_boundary`` a term has to be whole words of the text. Terms of one word are looked
+    for in the distinct words of the corpus, so that the work on them grows with the vocabulary; all joins
+    are on equal keys, however many terms there are. Keys are distinct."""
+    tokens, pairs, phrases = _found(corpus, terms, key, text, None, words, word_boundary)
+    return tokens.join(pairs, "word").select("key", "term").union(phrases.select("key", "term")).distinct().withColumnRenamed("key", key)
 
 
 def term_first(corpus: DataFrame, terms: DataFrame, key: str, text: str, value: str, **how) -> DataFrame:
-    """(term, value) from the first row, by key, that has the term."""
-    m = matches(corpus, terms, key, text, **how).join(corpus.select(key, value), key)
-    return m.groupBy("term").agg(F.min_by(value, key).alias(value), F.min(key).alias(key))
+    """(term, value, key) from the first row, by key, that has the term: the first row of each word is known before the
+    words are joined to terms."""
+    tokens, pairs, phrases = _found(corpus, terms, key, text, value, how.pop("words", False), how.pop("word_boundary", False), **how)
+    first = tokens.groupBy("word").agg(F.min("key").alias("key"), F.min_by("_v", "key").alias("_v"))
+    hits = first.join(pairs, "word").select("term", "key", "_v").union(phrases.select("term", "key", "_v"))
+    return hits.groupBy("term").agg(F.min_by("_v", "key").alias(value), F.min("key").alias(key))
 
 
 def unmined(terms: DataFrame, found: DataFrame) -> DataFrame:
@@ -102,10 +144,14 @@ def grapheme_overrides(df: DataFrame, key: str, value: str, script: str = "[ऀ-
 
 
 def phonetise(words: DataFrame, table: DataFrame, overrides: DataFrame, longest: int = 3) -> DataFrame:
-    """(word, ipa) by greedy longest match of a grapheme table, which is broadcast (a script has a few hundred at most);
-    unknown letters stay; whole-word ``overrides`` win. Distinct words only are phonetised."""
-    entries = table.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
-    w = words.select("word").distinct().join(F.broadcast(entries))
+    """(word, ipa) by greedy longest match of a grapheme table; unknown letters stay; whole-word ``overrides`` win. Of equal
+    keys of the table the largest value counts. Distinct words only are phonetised, each with the entries of the table that its
+    own pieces have, so that the table may have any size."""
+    w = words.select("word").where("word IS NOT NULL").distinct()
+    entries = table.where("key IS NOT NULL AND value IS NOT NULL").groupBy("key").agg(F.max("value").alias("value"))
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), lambda i: F.array(*(F.substring("word", i, F.lit(n)) for n in range(1, longest + 1))))))
+    own = w.select("word", F.explode(pieces).alias("key")).join(entries, "key").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    w = w.join(own, "word", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,string>")))
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("ipa"))
 
     def fold(acc, _):
@@ -119,4 +165,4 @@ def phonetise(words: DataFrame, table: DataFrame, overrides: DataFrame, longest:
 
     ipa = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), start, fold)["ipa"]
     spelt = w.select(F.col("word").alias("key"), ipa.alias("value"))
-    return override(spelt, overrides).select(F.col("key").alias("word"), F.col("value").alias("ipa"))
+    return override(spelt, overrides.groupBy("key").agg(F.max("value").alias("value"))).select(F.col("key").alias("word"), F.col("value").alias("ipa"))

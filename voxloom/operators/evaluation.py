@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .ordered import running_sums
 
 # one letter for each distinct word of a pair: 31,000 letters of the basic plane
 _ALPHABET = "".join(map(chr, [*range(0x4E00, 0x4E00 + 20_000), *range(0xAC00, 0xAC00 + 11_000)]))
@@ -40,19 +41,24 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
     return F.when(few, F.levenshtein(spell(reference), spell(hypothesis))).otherwise(many(F.when(~few, reference), F.when(~few, hypothesis)))
 
 
-def wer(pairs: DataFrame, group: str, reference: str, hypothesis: str) -> DataFrame:
-    """(group, edits, words, wer) over word arrays: pooled edits by pooled words. Pairs with an empty side don't count."""
-    p = pairs.where((F.size(reference) > 0) & (F.size(hypothesis) > 0)).select(group, word_edits(F.col(reference), F.col(hypothesis)).alias("e"), F.size(reference).alias("n"))
-    return p.groupBy(group).agg(F.sum("e").alias("edits"), F.sum("n").alias("words")).withColumn("wer", F.round(F.col("edits") / F.col("words"), 4))
+def wer(pairs: DataFrame, group: str, reference: str, hypothesis: str, overall: str = "overall") -> DataFrame:
+    """(group, edits, words, wer) over word arrays: pooled edits by pooled words, and a row for all groups. Pairs with
+    an empty side don't count."""
+    p = pairs.where((F.size(reference) > 0) & (F.size(hypothesis) > 0)).select(F.coalesce(F.col(group), F.lit("")).alias(group), word_edits(F.col(reference), F.col(hypothesis)).alias("e"), F.size(reference).alias("n"))
+    out = p.rollup(group).agg(F.sum("e").alias("edits"), F.sum("n").alias("words"), F.grouping(group).alias("_all")).where("words IS NOT NULL")
+    return out.select(F.when(F.col("_all") == 1, overall).otherwise(F.col(group)).alias(group), "edits", "words", F.round(F.col("edits") / F.col("words"), 4).alias("wer"))
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(reference, hypothesis) / F.greatest(F.length(reference), F.lit(1))
 
 
-def concatenated(pairs: DataFrame, doc: str, idx: str, text: str) -> DataFrame:
-    """The texts of a document as one, in order: for error rates that align a document once."""
-    return pairs.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(idx, text))).alias("x")).select(doc, F.array_join(F.transform("x", lambda s: s[text]), " ").alias(text))
+def concatenated(pairs: DataFrame, keys: list[str], idx: str, texts: list[str]) -> DataFrame:
+    """Word arrays of the rows with equal ``keys`` as one each, in order, for error rates that align a document once. A group
+    is one document's texts in one language, which the alignment needs whole."""
+    rows = F.array_sort(F.collect_list(F.struct(idx, *texts)))
+    one = lambda c: F.flatten(F.transform("_x", lambda s: s[c])).alias(c)
+    return pairs.groupBy(*keys).agg(rows.alias("_x")).select(*keys, *map(one, texts))
 
 
 def confusion_matrix(df: DataFrame, gold: str, predicted: str, labels: list) -> DataFrame:
@@ -74,17 +80,13 @@ def prf(df: DataFrame, gold: str, predicted: str, labels: list) -> DataFrame:
 
 
 def roc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(score, fpr, tpr) per distinct score, highest first: rows are counted per score before anything is ordered, and the
-    running sums go over ranges of scores first and then within each range."""
+    """(score, fpr, tpr) per distinct score, highest first: rows are counted per score before anything is ordered."""
     by = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    edges = by.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    r = by.join(F.broadcast(edges)).withColumn("range", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("hi") - F.col("score")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(0))
-    sums = r.groupBy("range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))  # 1024 rows at most
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select("range", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    within = W.partitionBy("range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = r.join(F.broadcast(base), "range").select("score", "all_p", "all_n", (F.col("p0") + F.sum("p").over(within)).alias("tp"), (F.col("n0") + F.sum("n").over(within)).alias("k"))
-    return c.select("score", ((F.col("k") - F.col("tp")) / F.nullif(F.col("all_n") - F.col("all_p"), F.lit(0))).alias("fpr"), (F.col("tp") / F.nullif(F.col("all_p"), F.lit(0))).alias("tpr"))
+    c = running_sums(by, "score", ["p", "n"], descending=True)
+    all_ = c.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    tp, k = F.col("p_before") + F.col("p"), F.col("n_before") + F.col("n")
+    c = c.join(F.broadcast(all_))  # one row
+    return c.select("score", ((k - tp) / F.nullif(F.col("all_n") - F.col("all_p"), F.lit(0))).alias("fpr"), (tp / F.nullif(F.col("all_p"), F.lit(0))).alias("tpr"))
 
 
 def eer(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -124,15 +126,11 @@ def best_epoch(df: DataFrame, group: str, epoch: str, metric: str, largest: bool
 
 def metric_gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """metrics: (metric, value); thresholds: (metric, threshold, largest). Adds pass, null without a threshold."""
-    rows = metrics.join(F.broadcast(thresholds), "metric", "left")
+    rows = metrics.join(thresholds, "metric", "left")
     ok = F.when(F.col("largest"), F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
     return rows.withColumn("pass", F.when(F.col("threshold").isNotNull(), ok)).drop("largest")
 
 
-def gate_summary(gates: DataFrame) -> DataFrame:
-    return gates.agg(F.count_if("pass").alias("passed"), F.count_if(~F.col("pass")).alias("failed"), F.count_if(F.col("pass").isNull()).alias("skipped"))
-
-
 def coverage(df: DataFrame, group: str, filled: Column, least: float = 0.8) -> DataFrame:
     share = F.count_if(filled) / F.greatest(F.count("*"), F.lit(1))
     return df.groupBy(group).agg(F.count("*").alias("total"), F.count_if(filled).alias("filled"), F.round(share, 3).alias("coverage"), (share >= least).alias("pass"))

@@ -1,7 +1,7 @@
 """Signals as array columns and frames as rows: levels, spectra, cepstra, distortion and alignment.
 
-Clips have samples in an array; frames are rows (clip, frame_idx, vec). All but the two kernels named below are
-built-in functions: the FFT for frames of more than 64 samples, and the alignment recurrence."""
+Clips have samples in an array; frames are rows (clip, frame_idx, vec). Spectra, filters and cepstra are matrix products in
+one Arrow kernel over batches of frames, and the alignment recurrence is one over a pair; the rest are built-in functions."""
 
 from __future__ import annotations
 
@@ -95,30 +95,31 @@ def frames_of(df: DataFrame, clip: str, samples: str, size: int, hop: int) -> Da
     return df.select(clip, samples, F.posexplode(starts).alias("frame_idx", "_s")).select(F.col(clip).alias("clip"), "frame_idx", F.slice(samples, F.col("_s") + 1, F.lit(size)).alias("vec"))
 
 
-def power_spectrum(frames: DataFrame, size: int) -> DataFrame:
-    """(clip, frame_idx, power) of Hann-windowed frames of ``size`` samples, size // 2 + 1 bins."""
-    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / size) for i in range(size)]
-    if size <= 64:
-        bins = [([w * math.cos(2 * math.pi * k * i / size) for i, w in enumerate(window)], [w * math.sin(2 * math.pi * k * i / size) for i, w in enumerate(window)]) for k in range(size // 2 + 1)]
-        part = lambda x, row: _sum(F.zip_with(x, row, lambda a, b: a.cast("double") * b))
-        table = F.array(*(F.struct(F.array(*map(F.lit, c)).alias("c"), F.array(*map(F.lit, s)).alias("s")) for c, s in bins))
-        power = F.transform(table, lambda r: F.pow(part(F.col("vec"), r["c"]), 2) + F.pow(part(F.col("vec"), r["s"]), 2))
-        return frames.select("clip", "frame_idx", power.alias("power"))
-    kind = frames.schema["clip"].dataType.simpleString()
+def by_frame(frames: DataFrame, size: int, kernel, name: str = "vec") -> DataFrame:
+    """(clip, frame_idx, name): ``kernel`` maps a matrix of frames of ``size`` samples, a batch at a time; frames of another
+    size, or with nulls, are left out."""
+    schema = f"clip {frames.schema['clip'].dataType.simpleString()}, frame_idx {frames.schema['frame_idx'].dataType.simpleString()}, {name} array<double>"
 
     def run(batches):
-        hann = np.array(window)
-        for pdf in batches:
-            if len(pdf):
-                pdf["power"] = list(np.abs(np.fft.rfft(np.stack(pdf["vec"].to_numpy()) * hann, axis=1)) ** 2)
-                yield pdf[["clip", "frame_idx", "power"]]
+        for batch in batches:
+            if len(batch):
+                out = kernel(np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, size))
+                ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=["clip", "frame_idx", name])
+
+    whole = frames.where((F.size("vec") == size) & F.forall("vec", lambda v: v.isNotNull()))
+    return whole.select("clip", "frame_idx", F.col("vec").cast("array<double>")).mapInArrow(run, schema)
 
-    return frames.select("clip", "frame_idx", "vec").mapInPandas(run, f"clip {kind}, frame_idx int, power array<double>")
 
+def spectrum(size: int):
+    """Powers of Hann-windowed frames, size // 2 + 1 bins."""
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    return lambda x: np.abs(np.fft.rfft(x * window, axis=1)) ** 2
 
-def apply_matrix(x: Column, matrix: list[list[float]]) -> Column:
-    table = F.array(*(F.array(*map(F.lit, map(float, row))) for row in matrix))
-    return F.transform(table, lambda row: _sum(F.zip_with(x, row, lambda a, b: a * b)))
+
+def power_spectrum(frames: DataFrame, size: int) -> DataFrame:
+    """(clip, frame_idx, power)"""
+    return by_frame(frames, size, spectrum(size), "power")
 
 
 def linear_filters(n: int, bins: int) -> list[list[float]]:
@@ -145,17 +146,18 @@ def dct_matrix(n: int, size: int) -> list[list[float]]:
     return [[math.sqrt((1 if k == 0 else 2) / size) * math.cos(math.pi * k * (2 * i + 1) / (2 * size)) for i in range(size)] for k in range(n)]
 
 
-def lfcc(spectra: DataFrame, n: int, bins: int) -> DataFrame:
-    """(clip, frame_idx, vec): logarithms of 2 n linear filters, the first n cosine coefficients."""
-    bands = F.transform(apply_matrix(F.col("power"), linear_filters(2 * n, bins)), lambda v: F.log(v + 1e-8))
-    return spectra.select("clip", "frame_idx", apply_matrix(bands, dct_matrix(n, 2 * n)).alias("vec"))
+def lfcc(frames: DataFrame, size: int, n: int) -> DataFrame:
+    """(clip, frame_idx, vec): logarithms of 2 n linear filters, the first n cosine coefficients, in one kernel."""
+    power, filters, cosines = spectrum(size), np.array(linear_filters(2 * n, size // 2 + 1)).T, np.array(dct_matrix(n, 2 * n)).T
+    return by_frame(frames, size, lambda x: np.log(power(x) @ filters + 1e-8) @ cosines)
 
 
-def logmel(spectra: DataFrame, n: int, bins: int, rate: float) -> DataFrame:
+def logmel(frames: DataFrame, size: int, n: int, rate: float) -> DataFrame:
     """(clip, frame_idx, vec): decibels of mel filters, relative to the loudest of the clip."""
-    bands = spectra.select("clip", "frame_idx", F.transform(apply_matrix(F.col("power"), mel_filters(n, bins, rate)), lambda v: F.greatest(v, F.lit(1e-10))).alias("b"))
+    power, filters = spectrum(size), np.array(mel_filters(n, size // 2 + 1, rate)).T
+    bands = by_frame(frames, size, lambda x: np.log10(np.maximum(power(x) @ filters, 1e-10)), "b")
     top = bands.groupBy("clip").agg(F.max(F.array_max("b")).alias("top"))  # combined before it is shuffled; one row a clip
-    return bands.join(top, "clip").select("clip", "frame_idx", F.transform("b", lambda v: 10 * F.log10(v / F.col("top"))).alias("vec"))
+    return bands.join(top, "clip").select("clip", "frame_idx", F.transform("b", lambda v: 10 * (v - F.col("top"))).alias("vec"))
 
 
 def spectral_subtraction(spectra: DataFrame, noise_frames: int = 10, over: float = 2.0, floor: float = 0.01) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as fn
 from ..operators import corpus as op
+from ..operators.ordered import running_sums
 from .registry import query
 
 _W = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')"
@@ -63,7 +64,7 @@ counts AS (SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram)"""
 
 @query(_COUNTS + " SELECT n, array_to_string(gram, ' ') AS gram, cnt FROM counts")
 def agg_ngram_counts(t):
-    return op.ngram_counts(t("documents"), doc_words()).select("n", F.array_join("gram", " ").alias("gram"), "cnt")
+    return op.ngram_counts(t("documents"), doc_words())
 
 
 @query(f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY word")
@@ -130,10 +131,13 @@ def agg_speaker_stats(t):
     return op.speaker_stats(t("documents"), "source", "n_chars", "lang", "doc_id").withColumn("total_duration_sec", F.col("total_duration_sec").cast("long"))
 
 
-@query(f"SELECT lower(word) AS term_key, arg_min(source, doc_id) AS domain FROM (SELECT DISTINCT source, doc_id, {_U}[1] AS word FROM documents) WHERE word IS NOT NULL GROUP BY 1")
+@query(
+    f"""WITH f AS (SELECT lower(word) AS term_key, arg_min(source, doc_id) AS domain FROM (SELECT source, doc_id, unnest({_U}) AS word FROM documents) GROUP BY 1)
+SELECT term_key, domain, count(*) OVER (PARTITION BY domain) AS domain_terms FROM f"""
+)
 def agg_terms_by_domain(t):
-    first = t("documents").select("source", "doc_id", F.get(fn.words(F.col("text"), lower=False), F.lit(0)).alias("word")).where("word IS NOT NULL")
-    return op.terms_by_domain(first, "source", "word", "doc_id")
+    terms = t("documents").select("source", "doc_id", F.explode(fn.words(F.col("text"), lower=False)).alias("word"))
+    return op.terms_by_domain(terms, "source", "word", "doc_id")
 
 
 @query(
@@ -209,7 +213,7 @@ def benchmark_scores(t):
 
 @query(_KN + " SELECT n, array_to_string(gram, ' ') AS gram, round(p, 7) AS p, round(backoff, 7) AS backoff FROM model")
 def agg_lm_estimate(t):
-    return language_model(t).select("n", F.array_join("gram", " ").alias("gram"), F.round("p", 7).alias("p"), F.round("backoff", 7).alias("backoff"))
+    return language_model(t).select("n", "gram", F.round("p", 7).alias("p"), F.round("backoff", 7).alias("backoff"))
 
 
 @query(_SCORE + " SELECT item_id, n_words, round(score, 5) AS score FROM score")
@@ -241,9 +245,9 @@ def job_nbest_rescore(t):
 SELECT doc_id, k::DOUBLE + 0.3::DOUBLE * 2 + 3.0::DOUBLE * (doc_id % 2) AS score FROM r"""
 )
 def fn_combine_scores(t):
-    # ranks from counts per distinct value, so that the ordered window is over distinct values
+    # ranks from counts per distinct value
     sizes = t("documents").groupBy("n_chars").agg(F.count("*").alias("c"))
-    ranks = sizes.select("n_chars", (F.coalesce(F.sum("c").over(W.orderBy("n_chars").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).alias("k"))
+    ranks = running_sums(sizes, "n_chars", ["c"]).select("n_chars", (F.col("c_before") + 1).alias("k"))
     return t("documents").join(ranks, "n_chars").select("doc_id", fn.combine_scores(F.col("k").cast("double"), F.lit(2.0), (F.col("doc_id") % 2).cast("double")).alias("score"))
 
 
@@ -271,9 +275,8 @@ def fn_pick_key(t):
   cnt = 0 AS unseen FROM f"""
 )
 def job_ngram_prep(t):
-    """Clean text, count grams once, and take the terms' bias table from the unigrams among them."""
-    counts = op.ngram_counts(op.filter_nonblank(t("documents").select("text"), "text"), doc_words())
-    uni = counts.where("n = 1").select(F.get("gram", F.lit(0)).alias("word"), "cnt")
+    """Clean text, count words, and take the terms' bias table from them."""
+    uni = op.word_counts(op.filter_nonblank(t("documents").select("text"), "text"), doc_words())
     terms = t("benchmark").select(F.explode(doc_words()).alias("term")).distinct()
     f = op.term_frequency(terms, uni)
     return f.select("term", "cnt", fn.bias_4bin(F.col("freq")).alias("bias"), (F.col("cnt") == 0).alias("unseen"))

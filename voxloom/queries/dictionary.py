@@ -1,5 +1,4 @@
-"""Queries on technical terms: the most frequent longer words of the corpus are the terms, and their upper-case forms stand
-for translations."""
+"""Queries on technical terms: the longer words of the corpus are the terms, and their upper-case forms stand for translations."""
 
 from __future__ import annotations
 
@@ -11,49 +10,41 @@ from ..operators import dictionary as op
 from .registry import query
 
 _W = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')"
-_T = f"""WITH freq AS (SELECT word AS term, count(*) AS cnt FROM (SELECT unnest({_W}) AS word FROM documents) WHERE length(word) >= 6 AND regexp_matches(word, '^[a-z]+$') GROUP BY word),
-terms AS (SELECT term, cnt FROM freq ORDER BY cnt DESC, term LIMIT 20),
-d60 AS (SELECT term, row_number() OVER (ORDER BY cnt DESC, term) AS k FROM (SELECT * FROM freq ORDER BY cnt DESC, term LIMIT 60)),
-dict AS (SELECT term AS key, CASE WHEN k % 3 = 0 THEN '[TRANSLATE:' || term || ']' ELSE upper(term) END AS value, k AS ord FROM d60
-  UNION ALL SELECT term, upper(term) || '2', k + 100 FROM d60 WHERE k % 10 = 0)"""
+_T = f"""WITH terms AS (SELECT word AS term, count(*) AS cnt FROM (SELECT unnest({_W}) AS word FROM documents) WHERE length(word) >= 6 AND regexp_matches(word, '^[a-z]+$') GROUP BY word),
+dict AS (SELECT term AS key, CASE WHEN cnt % 3 = 0 THEN '[TRANSLATE:' || term || ']' ELSE upper(term) END AS value, 1 AS ord FROM terms
+  UNION ALL SELECT term, upper(term) || '2', 2 FROM terms WHERE length(term) % 5 = 0)"""
+# terms within the distinct words of a table: equal first six letters at some place, then the whole term
+_IN = """, {0}_words AS (SELECT DISTINCT unnest(string_split(lower(trim(text)), ' ')) AS w FROM {0}), {0}_in AS (
+  SELECT DISTINCT w, term FROM (SELECT w, unnest(range(1, greatest(length(w) - 4, 1))) AS i FROM {0}_words) JOIN terms ON substr(term, 1, 6) = substr(w, i, 6) WHERE contains(w, term))"""
+_HITS = _T + _IN.format("documents") + ", hits AS (SELECT DISTINCT doc_id, lang, term FROM (SELECT doc_id, lang, unnest(string_split(lower(trim(text)), ' ')) AS w FROM documents) JOIN documents_in USING (w))"
 
 
-def longer_words(t):
-    """All terms that there are: words of six letters or more."""
+def terms(t):
+    """All words of six letters or more."""
     counts = words.word_counts(t("documents"), fn.words(F.col("text"))).withColumnRenamed("word", "term")
     return counts.where((F.length("term") >= 6) & F.col("term").rlike("^[a-z]+$"))
 
 
-def frequent(t, n):
-    return longer_words(t).orderBy(F.desc("cnt"), "term").limit(n)
-
-
-def terms(t):
-    return frequent(t, 20)
-
-
 def dictionary(t):
-    """Stubs for every third term, a second entry for every tenth."""
-    ranked = frequent(t, 60).agg(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("c"), "term"))).alias("x")).select(F.posexplode("x").alias("k", "e")).select((F.col("k") + 1).alias("k"), "e.term")
-    first = ranked.select(F.col("term").alias("key"), F.when(F.col("k") % 3 == 0, fn.stub(F.col("term"))).otherwise(F.upper("term")).alias("value"), F.col("k").alias("ord"))
-    second = ranked.where("k % 10 = 0").select("term", F.concat(F.upper("term"), F.lit("2")), F.col("k") + 100)
+    """Stubs for terms whose count is a multiple of three, a second entry for lengths that are one of five."""
+    first = terms(t).select(F.col("term").alias("key"), F.when(F.col("cnt") % 3 == 0, fn.stub(F.col("term"))).otherwise(F.upper("term")).alias("value"), F.lit(1).alias("ord"))
+    second = terms(t).where(F.length("term") % 5 == 0).select("term", F.concat(F.upper("term"), F.lit("2")), F.lit(2))
     return first.union(second)
 
 
-@query(_T + " SELECT term, arg_min(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM terms JOIN documents ON contains(lower(trim(text)), term) GROUP BY term")
+@query(_HITS + " SELECT term, arg_min(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM hits GROUP BY term")
 def join_term_first(t):
-    """All terms, here and in the next two; the SQL has the 20 most frequent."""
-    return op.term_first(t("documents"), longer_words(t), "doc_id", "text", "lang")
+    return op.term_first(t("documents"), terms(t), "doc_id", "text", "lang")
 
 
-@query(_T + " SELECT doc_id, term FROM terms JOIN documents ON contains(lower(trim(text)), term)")
+@query(_HITS + " SELECT doc_id, term FROM hits")
 def join_term_all(t):
-    return op.matches(t("documents"), longer_words(t), "doc_id", "text", words=True)
+    return op.matches(t("documents"), terms(t), "doc_id", "text", words=True)
 
 
-@query(_T + " SELECT term FROM terms WHERE NOT EXISTS (SELECT 1 FROM benchmark WHERE contains(lower(trim(text)), term)) ORDER BY term")
+@query(_T + _IN.format("benchmark") + " SELECT term FROM terms WHERE term NOT IN (SELECT term FROM benchmark_in) ORDER BY term")
 def join_unmined(t):
-    return op.unmined(longer_words(t), op.matches(t("benchmark"), longer_words(t), "item_id", "text"))
+    return op.unmined(terms(t), op.matches(t("benchmark"), terms(t), "item_id", "text"))
 
 
 _USABLE = _T + ", us AS (SELECT key, arg_max(value, ord) AS value FROM dict WHERE NOT starts_with(value, '[NEEDS_') AND NOT starts_with(value, '[TRANSLATE:') GROUP BY key)"
@@ -78,14 +69,14 @@ def fn_stub(t):
     return terms(t).select("term", fn.stub(F.col("term")).alias("stub"), fn.stub(F.col("term"), True).alias("needed"))
 
 
-_MINED = _USABLE + ", mined AS (SELECT term, arg_min(lang, doc_id) AS value FROM terms JOIN documents ON contains(lower(trim(text)), term) WHERE doc_id % 7 = 0 AND term < 'n' GROUP BY term)"
+_MINED = _USABLE + _IN.format("benchmark") + """, mined AS (SELECT term, 'item' || min(item_id) AS value FROM (SELECT item_id, unnest(string_split(lower(trim(text)), ' ')) AS w FROM benchmark) JOIN benchmark_in USING (w) GROUP BY term)"""
 
 
-@query(_MINED + " SELECT d60.term, coalesce(mined.value, us.value, '[TRANSLATE:' || d60.term || ']') AS value FROM d60 LEFT JOIN mined USING (term) LEFT JOIN us ON us.key = d60.term")
+@query(_MINED + " SELECT terms.term, coalesce(mined.value, us.value, '[TRANSLATE:' || terms.term || ']') AS value FROM terms LEFT JOIN mined USING (term) LEFT JOIN us ON us.key = terms.term")
 def join_dictionary_lookup(t):
-    """Mined from all documents; the SQL mines a seventh of them, and terms before n only."""
-    found = op.term_first(t("documents"), terms(t), "doc_id", "text", "lang").withColumnRenamed("lang", "value")
-    return op.lookup(frequent(t, 60), usable(t), found)
+    """All terms of the documents, mined from the benchmark."""
+    items = t("benchmark").withColumn("value", F.concat(F.lit("item"), "item_id"))
+    return op.lookup(terms(t), usable(t), op.term_first(items, terms(t), "item_id", "text", "value"))
 
 
 @query(_USABLE + ", o AS (SELECT DISTINCT key, 'new' AS value FROM us WHERE key > 'm' UNION ALL SELECT 'unknownterm', 'x') SELECT us.key, coalesce(o.value, us.value) AS value FROM us LEFT JOIN o USING (key)")
@@ -95,11 +86,11 @@ def join_override(t):
     return op.override(u, over.union(over.limit(1).select(F.lit("unknownterm"), F.lit("x"))))
 
 
-@query(_USABLE + ", s AS (SELECT value AS key, lower(value) || '!' AS value FROM us WHERE key > 'm') SELECT term, us.value AS middle, coalesce(s.value, '?' || us.value) AS value FROM d60 JOIN us ON us.key = term LEFT JOIN s ON s.key = us.value")
+@query(_USABLE + ", s AS (SELECT value AS key, lower(value) || '!' AS value FROM us WHERE key > 'm') SELECT term, us.value AS middle, coalesce(s.value, '?' || us.value) AS value FROM terms JOIN us ON us.key = term LEFT JOIN s ON s.key = us.value")
 def join_bridge(t):
     u = usable(t)
     second = u.where("key > 'm'").select(F.col("value").alias("key"), F.concat(F.lower("value"), F.lit("!")).alias("value"))
-    return op.bridge(frequent(t, 60), u, second, F.concat(F.lit("?"), F.col("middle")))
+    return op.bridge(terms(t), u, second, F.concat(F.lit("?"), F.col("middle")))
 
 
 # a fixed dictionary of letter groups, longest first where they overlap

@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as fn
 from ..operators import evaluation as op
-from .registry import query
+from ..sources import sinks
+from ..sources.storage import scratch
+from . import signal  # noqa: F401  its queries are part of the evaluation
+from .registry import ORACLE_SQL, QUERIES, query
 from .segments import _S, spine
 
-_W = "list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r]+'), lambda x: x <> '')[1:20]"
-_P = f"""WITH p AS (SELECT role, conv_id, turn, {_W.format('text')} AS r, {_W.format('nxt')} AS h, substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 60) AS rc, substr(regexp_replace(nxt, '[^ -~]', '?', 'g'), 1, 60) AS hc
+_W = "list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r]+'), lambda x: x <> '')"
+_P = f"""p AS (SELECT role, conv_id, turn, {_W.format('text')} AS r, {_W.format('nxt')} AS h, text AS rc, nxt AS hc
   FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL)"""
+# edit distances of all pairs at once, one antidiagonal of their tables a step: cur[i + 1] is the cell (i, d - i)
+_DP = """x AS (SELECT row_number() OVER () AS id, * FROM ({pairs}) WHERE len(r) > 0 AND len(h) > 0),
+dp AS (SELECT id, 0 AS d, list_transform(range(0, len(r) + 1), lambda i: 0) AS cur, list_transform(range(0, len(r) + 1), lambda i: 0) AS prev FROM x
+  UNION ALL SELECT dp.id, d + 1, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN d + 1 < i OR d + 1 - i > len(h) THEN 0 WHEN i = 0 THEN d + 1 WHEN d + 1 = i THEN i
+    ELSE least(cur[i] + 1, cur[i + 1] + 1, prev[i] + (r[i] <> h[d + 1 - i])::INT) END), cur FROM dp JOIN x ON x.id = dp.id AND d < len(r) + len(h)),
+e AS (SELECT mode, role, len(r) AS n, cur[len(r) + 1] AS e FROM dp JOIN x ON x.id = dp.id AND d = len(r) + len(h))"""
+_WER = (
+    "WITH RECURSIVE "
+    + _P
+    + ", c AS (SELECT 'concatenated' AS mode, role, flatten(list(r ORDER BY turn)) AS r, flatten(list(h ORDER BY turn)) AS h FROM p GROUP BY conv_id, role), "
+    + _DP.format(pairs="SELECT 'pairs' AS mode, role, r, h FROM p UNION ALL SELECT * FROM c")
+    + " SELECT mode, coalesce(role, 'overall') AS role, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, round(sum(e) / sum(n), 4) AS wer FROM e GROUP BY GROUPING SETS ((mode, role), (mode))"
+)
+# for the distance of characters each distinct one of a pair becomes a letter of one byte, as the built-in distance counts bytes
+_LETTERS = "list_aggregate(list_transform(string_split({}, ''), lambda x: chr(list_position(list_distinct(string_split(rc || hc, '')), x)::INT)), 'string_agg', '')"
 
 
 def turn_pairs(t):
-    """Whole turns with the next one of their conversation. The SQL of these three queries cuts them for DuckDB (20 words, 60 masked characters)."""
+    """Whole turns with the next one of their conversation."""
     after = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
     pairs = t("conversations").withColumn("nxt", after).where("nxt IS NOT NULL")
     return pairs.select("role", "conv_id", "turn", fn.words(F.col("text")).alias("r"), fn.words(F.col("nxt")).alias("h"), F.col("text").alias("rc"), F.col("nxt").alias("hc"))
 
 
-@query(
-    _P
-    + """, e AS (SELECT role, len(r) AS n, levenshtein(list_aggregate(list_transform(r, lambda x: chr((33 + list_position(list_distinct(list_concat(r, h)), x))::INT)), 'string_agg', ''),
-  list_aggregate(list_transform(h, lambda x: chr((33 + list_position(list_distinct(list_concat(r, h)), x))::INT)), 'string_agg', '')) AS e FROM p WHERE len(r) > 0 AND len(h) > 0)
-SELECT role, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, round(sum(e) / sum(n), 4) AS wer FROM e GROUP BY role"""
-)
+def error_rates(t):
+    p = turn_pairs(t)
+    each = op.wer(p, "role", "r", "h").select(F.lit("pairs").alias("mode"), "*")
+    return each.union(op.wer(op.concatenated(p, ["conv_id", "role"], "turn", ["r", "h"]), "role", "r", "h").select(F.lit("concatenated").alias("mode"), "*"))
+
+
+@query(_WER)
 def agg_wer(t):
-    return op.wer(turn_pairs(t), "role", "r", "h")
+    """Turn by turn, and with the texts of a role in a conversation as one; each role and overall."""
+    return error_rates(t)
 
 
-@query(_P + " SELECT conv_id, turn, round(levenshtein(rc, hc) / greatest(length(rc), 1), 4) AS cer FROM p")
+@query(f"WITH {_P} SELECT conv_id, turn, round(levenshtein({_LETTERS.format('rc')}, {_LETTERS.format('hc')}) / greatest(length(rc), 1), 4) AS cer FROM p")
 def agg_cer(t):
     return turn_pairs(t).select("conv_id", "turn", F.round(op.cer(F.col("rc"), F.col("hc")), 4).alias("cer"))
 
 
-@query(_P + " SELECT conv_id, turn FROM p WHERE trim(rc) <> '' AND trim(hc) <> ''")
+@query("WITH " + _P + " SELECT conv_id, turn FROM p WHERE trim(rc) <> '' AND trim(hc) <> ''")
 def filter_text_pairs(t):
     return turn_pairs(t).where((F.trim("rc") != "") & (F.trim("hc") != "")).select("conv_id", "turn")
 
@@ -132,11 +154,6 @@ def agg_metric_gates(t):
     return source_metrics(t).select("metric", F.round("value", 3).alias("value"), "threshold", "pass")
 
 
-@query(_GATES + " SELECT count(*) FILTER (WHERE value <= threshold) AS passed, count(*) FILTER (WHERE value > threshold) AS failed, count(*) FILTER (WHERE threshold IS NULL) AS skipped FROM m")
-def sink_eval_report(t):
-    return op.gate_summary(source_metrics(t))
-
-
 @query("SELECT source, count(*) AS total, count(quality) AS filled, round(count(quality) / greatest(count(*), 1), 3) AS coverage, count(quality) / greatest(count(*), 1) >= 0.4 AS pass FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def agg_coverage_checks(t):
     rows = t("documents").select("doc_id", "source").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
@@ -153,14 +170,60 @@ def join_required_inventory(t):
     return op.required_inventory(t("documents").select("doc_id", "source"), t("labels"), "doc_id", "source")
 
 
-@query(
-    _G
-    + """, w AS (SELECT 'accuracy' AS metric, avg((gold = pred)::INT) AS value, 0.15::DOUBLE AS threshold FROM g UNION ALL SELECT 'mean_chars', avg(n_chars), NULL FROM g)
-SELECT metric, round(value, 4) AS value, threshold, value >= threshold AS pass FROM w"""
+# what is measured: metric, SQL of the value, threshold, whether that is the largest value that passes
+_MEASURED = [
+    ("wer_assistant", f"(SELECT wer FROM ({_WER}) WHERE mode = 'concatenated' AND role = 'assistant')", "0.15", True),
+    ("wer_user", f"(SELECT wer FROM ({_WER}) WHERE mode = 'concatenated' AND role = 'user')", "0.25", True),
+    ("wer_overall", f"(SELECT wer FROM ({_WER}) WHERE mode = 'concatenated' AND role = 'overall')", None, True),
+    ("mcd", f"(SELECT avg(mcd) FROM ({ORACLE_SQL['agg_mcd']}))", "8.0", True),
+    ("switches_within", f"(SELECT pct_within FROM ({ORACLE_SQL['agg_switch_accuracy']}))", "50.0", False),
+    ("eer", f"(SELECT eer FROM ({ORACLE_SQL['agg_eer']}))", "0.1", True),
+    ("snr_at_min", f"(SELECT min(snr_at_min) FROM ({ORACLE_SQL['agg_min_flip']}))", "40.0", False),
+    ("dictionary", f"(SELECT min(entries) FROM ({ORACLE_SQL['agg_dictionary_size']}))", "500.0", False),
+    ("required", f"(SELECT avg((n_missing = 0)::INT) FROM ({ORACLE_SQL['join_required_inventory']}))", "1.0", False),
+    ("accuracy", f"(SELECT max(accuracy) FROM ({ORACLE_SQL['agg_prf']}))", None, False),
+    ("macro_f1", f"(SELECT max(macro_f1) FROM ({ORACLE_SQL['agg_prf']}))", None, False),
+]
+_EVALUATED = (
+    "WITH m AS ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS metric, round({sql}::DOUBLE, 4) AS value, {limit or 'NULL'}::DOUBLE AS threshold, {str(largest).upper()} AS largest" for name, sql, limit, largest in _MEASURED)
+    + "), g AS (SELECT metric, value, threshold, CASE WHEN largest THEN value <= threshold ELSE value >= threshold END AS pass FROM m)"
 )
+
+
+def evaluated(t):
+    """(metric, value, threshold, pass): every measure is a row of its own table; the table of gates has a row for each."""
+    of = lambda name: QUERIES[name](t.spark, t.sf_dir)
+    rates = error_rates(t).where("mode = 'concatenated'")
+    one = lambda df, name, value: df.select(F.lit(name).alias("metric"), F.round(value.cast("double"), 4).alias("value"))
+    wer = rates.where(F.col("role").isin("assistant", "user", "overall")).select(F.concat(F.lit("wer_"), "role").alias("metric"), F.round("wer", 4).alias("value"))
+    prf = op.prf(gold(t), "gold", "pred", [0, 1, 2]).agg(F.max("accuracy").alias("accuracy"), F.max("macro_f1").alias("macro_f1"))
+    parts = [
+        wer,
+        one(of("agg_mcd").agg(F.avg("mcd").alias("v")), "mcd", F.col("v")),
+        one(of("agg_switch_accuracy"), "switches_within", F.col("pct_within")),
+        one(of("agg_eer"), "eer", F.col("eer")),
+        one(of("agg_min_flip").agg(F.min("snr_at_min").alias("v")), "snr_at_min", F.col("v")),
+        one(of("agg_dictionary_size").agg(F.min("entries").alias("v")), "dictionary", F.col("v")),
+        one(of("join_required_inventory").agg(F.avg((F.col("n_missing") == 0).cast("int")).alias("v")), "required", F.col("v")),
+        prf.unpivot([], ["accuracy", "macro_f1"], "metric", "value").withColumn("value", F.round("value", 4)),
+    ]
+    gates = t.spark.createDataFrame([(name, float(limit) if limit else None, largest) for name, _, limit, largest in _MEASURED], "metric string, threshold double, largest boolean")
+    return op.metric_gates(reduce(lambda a, b: a.union(b), parts), gates)
+
+
+@query(_EVALUATED + " SELECT * FROM g")
 def job_evaluate(t):
-    """Metrics of the predictions against their gates, as one long table."""
-    g = gold(t).agg(F.avg((F.col("gold") == F.col("pred")).cast("double")).alias("accuracy"), F.avg("n_chars").alias("mean_chars"))
-    metrics = g.unpivot([], ["accuracy", "mean_chars"], "metric", "value")
-    thresholds = metrics.where("metric = 'accuracy'").select("metric", F.lit(0.15).alias("threshold"), F.lit(False).alias("largest"))
-    return op.metric_gates(metrics, thresholds).withColumn("value", F.round("value", 4))
+    """All metrics against their gates."""
+    return evaluated(t)
+
+
+@query(
+    _EVALUATED
+    + """ SELECT * FROM g UNION ALL SELECT 'passed', count(*) FILTER (WHERE pass), NULL, NULL FROM g UNION ALL SELECT 'failed', count(*) FILTER (WHERE NOT pass), NULL, NULL FROM g
+UNION ALL SELECT 'skipped', count(*) FILTER (WHERE pass IS NULL), NULL, NULL FROM g"""
+)
+def sink_eval_report(t):
+    """The report of all metrics, written with its summary and read back."""
+    path = sinks.report(evaluated(t), scratch(t.spark, "report"))
+    return t.spark.read.schema("metric STRING, value DOUBLE, threshold DOUBLE, pass BOOLEAN").json(path)

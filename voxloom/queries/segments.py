@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import text as fn
 from ..operators import segments as op
+from ..operators.dictionary import tag_terms
+from .dictionary import _PAIRS, _TAG
 from .registry import query
 
 _S = """WITH spine AS (SELECT user_id AS doc, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seg_idx, event_type AS language,
@@ -220,11 +223,11 @@ def agg_switch_accuracy(t):
 @query(
     _S
     + """, z AS (SELECT doc, min(start_time) AS t0 FROM spine GROUP BY doc), s AS (SELECT doc, seg_idx, language, trunc((start_time - t0) / 3600)::INT AS f, trunc((start_time - t0 + 600 * value) / 3600)::INT AS u FROM spine JOIN z USING (doc)),
-sp AS (SELECT doc, unnest(range(0, 200)) AS frame_idx FROM z)
+n AS (SELECT doc, trunc(max(start_time - t0 + 600 * value) * (1 / 3600::DOUBLE))::INT AS n FROM spine JOIN z USING (doc) GROUP BY doc), sp AS (SELECT doc, unnest(range(0, n)) AS frame_idx FROM n)
 SELECT sp.doc, sp.frame_idx::INT AS frame_idx, coalesce(arg_max(language, seg_idx), 'silence') AS label FROM sp LEFT JOIN s ON s.doc = sp.doc AND sp.frame_idx >= f AND sp.frame_idx < u GROUP BY sp.doc, sp.frame_idx"""
 )
 def join_frame_labels(t):
-    """Frames up to the end of a user's last segment; the SQL has 200 for every user."""
+    """Frames up to the end of a user's last segment."""
     s = spine(t).withColumn("t0", F.min("start_time").over(W.partitionBy("doc")))
     rel = s.select("doc", "seg_idx", "language", (F.col("start_time") - F.col("t0")).alias("start_time"), (F.col("start_time") - F.col("t0") + 600 * F.col("value")).alias("end_time"))
     # whole frames, with the product that frame_labels makes of the segments' ends
@@ -280,12 +283,21 @@ def drop_empty_segments(t):
 
 
 @query(
-    """WITH s AS (SELECT conv_id AS doc, turn AS seg_idx, role, text, lag(role) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT doc, count(*) AS num_segments, coalesce(sum((p <> role)::INT), 0)::BIGINT AS n_switches, string_agg(role || ':' || length(text), ' ' ORDER BY seg_idx) AS segments FROM s WHERE trim(text) <> '' GROUP BY doc"""
+    f"""WITH tg AS ({_TAG.replace("doc_id", "conv_id, turn").replace("documents", "conversations WHERE trim(text) <> ''")}),
+l AS (SELECT conv_id AS doc, turn AS seg_idx, t5 AS tagged, n5 AS n_terms, trim(u5) AS used, CASE WHEN own + rest > 0 AND own / (own + rest) > 0.05 THEN 'accented' ELSE 'plain' END AS language FROM (
+  SELECT *, len(regexp_extract_all(text, '[À-ÿ]')) AS own, len(regexp_extract_all(text, '[a-zA-Z]')) AS rest FROM tg JOIN conversations USING (conv_id, turn))),
+s AS (SELECT *, lag(language) OVER w AS p, lead(language) OVER w AS f FROM l WINDOW w AS (PARTITION BY doc ORDER BY seg_idx))
+SELECT doc, count(*) AS num_segments, coalesce(sum((p <> language)::INT), 0)::BIGINT AS n_switches, sum(n_terms)::BIGINT AS n_terms,
+  md5(string_agg(language || ':' || used || ':' || tagged || CASE WHEN f <> language THEN ' |' ELSE '' END, chr(10) ORDER BY seg_idx)) AS segments FROM s GROUP BY doc"""
 )
 def job_transcript_enrich(t):
-    """Segments marked with switches and nested back into documents."""
-    rows = t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("seg_idx"), F.col("role").alias("language"), F.col("text").alias("ipa"), F.length("text").alias("n")).where(F.trim("text") != "")
-    marked = op.code_switch_marks(rows)
-    doc = marked.groupBy("doc").agg(F.count("*").alias("num_segments"), F.sum(F.col("code_switch_before").cast("long")).alias("n_switches"), F.array_sort(F.collect_list(F.struct("seg_idx", "language", "n"))).alias("segments"))
-    return doc.withColumn("segments", F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["language"], s["n"].cast("string"))), " "))
+    """Segments without blank text, labelled anew by their script, with terms tagged and switches marked, nested back into documents."""
+    rows = t("conversations").where(F.trim("text") != "").select(F.col("conv_id").alias("doc"), F.col("turn").alias("seg_idx"), "text")
+    rows = rows.withColumn("language", fn.script_language(F.col("text"), "[À-ÿ]", "accented", other="plain", share=0.05))
+    marked = op.code_switch_marks(tag_terms(rows, "text", _PAIRS), "tagged")
+    used = F.array_join(F.transform("used", lambda e: e["target"]), " ")
+    segment = F.concat_ws(":", "language", used, "tagged").alias("segment")
+    doc = marked.groupBy("doc").agg(
+        F.count("*").alias("num_segments"), F.sum(F.col("code_switch_before").cast("long")).alias("n_switches"), F.sum(F.size("used").cast("long")).alias("n_terms"), F.array_sort(F.collect_list(F.struct("seg_idx", segment))).alias("segments")
+    )
+    return doc.withColumn("segments", F.md5(F.array_join(F.transform("segments", lambda s: s["segment"]), "\n").cast("binary")))

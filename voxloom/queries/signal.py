@@ -95,9 +95,12 @@ sp AS (SELECT clip, frame_idx, list_transform(range(0, 33), lambda k: pow(list_s
 )
 
 
+def frames(t):
+    return vectors(t).select(F.col("doc").alias("clip"), "frame_idx", F.col("embedding").alias("vec"))
+
+
 def spectra(t):
-    frames = vectors(t).select(F.col("doc").alias("clip"), "frame_idx", F.col("embedding").alias("vec"))
-    return op.power_spectrum(frames, 64)
+    return op.power_spectrum(frames(t), 64)
 
 
 @query(_POWER + " SELECT clip, frame_idx, list_transform(power, lambda p: round(p, 6)) AS power FROM sp")
@@ -115,12 +118,12 @@ def _apply_sql(x, matrix):
 
 @query(_POWER + f", b AS (SELECT clip, frame_idx, list_transform({_apply_sql('power', op.mel_filters(8, 33, 16000.0))}, lambda v: greatest(v, 1e-10)) AS b FROM sp), m AS (SELECT clip, max(list_max(b)) AS top FROM b GROUP BY clip) SELECT clip, frame_idx, list_transform(b, lambda v: round(10 * log10(v / top), 5)) AS vec FROM b JOIN m USING (clip)")
 def job_logmel(t):
-    return op.logmel(spectra(t), 8, 33, 16000.0).select("clip", "frame_idx", rounded("vec", 5).alias("vec"))
+    return op.logmel(frames(t), 64, 8, 16000.0).select("clip", "frame_idx", rounded("vec", 5).alias("vec"))
 
 
 @query(_POWER + f", b AS (SELECT clip, frame_idx, list_transform({_apply_sql('power', op.linear_filters(8, 33))}, lambda v: ln(v + 1e-8)) AS b FROM sp) SELECT clip, frame_idx, list_transform({_apply_sql('b', op.dct_matrix(4, 8))}, lambda v: round(v, 5)) AS vec FROM b")
 def job_lfcc(t):
-    return op.lfcc(spectra(t), 4, 33).select("clip", "frame_idx", rounded("vec", 5).alias("vec"))
+    return op.lfcc(frames(t), 64, 4).select("clip", "frame_idx", rounded("vec", 5).alias("vec"))
 
 
 @query(

@@ -65,10 +65,28 @@ def scan_metric_json(t):
     return readers.metric_documents(t.spark, sinks.text_lines(t("documents").select(F.to_json(doc).alias("value")), scratch(t.spark, "metrics")))
 
 
-@query("SELECT source AS name, list_sort(list(DISTINCT lang)) AS languages, list_sort(list(DISTINCT CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'valid' END)) AS splits, count(*) AS rows FROM documents GROUP BY source HAVING list_contains(list(DISTINCT lang), 'de')")
+@query(
+    """WITH r AS (SELECT source AS name, 'data/raw/' || source AS path, min(lang) AS config, list_sort(list(DISTINCT CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'valid' END)) AS splits,
+  list_sort(list(DISTINCT lang)) AS languages, CASE WHEN bool_or(contains(text, 'MIT License')) THEN 'MIT' ELSE 'CC0' END AS license, CASE WHEN avg(n_chars) >= 2000 THEN 'high' ELSE 'medium' END AS priority,
+  CASE WHEN count(DISTINCT lang) > 1 THEN ['1.1', '2.2'] ELSE ['1.2'] END AS tasks, count(*) > 1 AS enabled FROM documents GROUP BY source)
+SELECT * FROM r WHERE enabled AND list_contains(languages, 'de') AND list_contains(tasks, '2.2')"""
+)
 def scan_dataset_registry(t):
-    docs = t("documents").withColumn("split", F.when(F.col("doc_id") % 10 < 8, "train").otherwise("valid"))
-    return readers.dataset_registry(docs, "source", "lang", "split").where(F.array_contains("languages", "de"))
+    """The corpora of the documents, written as a registry; those enabled for a language and a task."""
+    split = F.when(F.col("doc_id") % 10 < 8, "train").otherwise("valid")
+    several = F.count_distinct("lang") > 1
+    rows = t("documents").groupBy(F.col("source").alias("name")).agg(
+        F.concat(F.lit("data/raw/"), F.first("source")).alias("path"),
+        F.min("lang").alias("config"),
+        F.sort_array(F.collect_set(split)).alias("splits"),
+        F.sort_array(F.collect_set("lang")).alias("languages"),
+        F.when(F.bool_or(F.contains("text", F.lit("MIT License"))), "MIT").otherwise("CC0").alias("license"),
+        F.when(F.avg("n_chars") >= 2000, "high").otherwise("medium").alias("priority"),
+        F.when(several, F.array(F.lit("1.1"), F.lit("2.2"))).otherwise(F.array(F.lit("1.2"))).alias("tasks"),
+        (F.count("*") > 1).alias("enabled"),
+    )
+    registry = readers.dataset_registry(t.spark, sinks.jsonl(rows, scratch(t.spark, "registry")))
+    return registry.where(F.col("enabled") & F.array_contains("languages", "de") & F.array_contains("tasks", "2.2"))
 
 
 _LJ = "trim(regexp_replace(text, '[|\\n\\r]', ' ', 'g'))"

@@ -53,6 +53,6 @@ def metric_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("eer", "test_eer").alias("eer"), F.coalesce("snr_db", "snr", "snr_at_min_db").alias("snr"))
 
 
-def dataset_registry(corpora: DataFrame, name: str, language: str, split: str) -> DataFrame:
-    """(name, languages, splits, rows): the corpora of a table of documents, to be filtered by ``array_contains``."""
-    return corpora.groupBy(F.col(name).alias("name")).agg(F.sort_array(F.collect_set(language)).alias("languages"), F.sort_array(F.collect_set(split)).alias("splits"), F.count("*").alias("rows"))
+def dataset_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry of corpora, one JSON object a corpus, with its languages, splits and tasks as arrays."""
+    return spark.read.schema(schemas.REGISTRY).json(path)

@@ -10,5 +10,5 @@ CHUNK = "spectrogram_path STRING, label_path STRING, language STRING, duration_s
 FEATURE = "audio_path STRING, feature_path STRING, n_frames INT, n_coeffs INT"
 TRADE_OFF = "iteration INT, epsilon DOUBLE, snr_db DOUBLE, flipped BOOLEAN, predicted_label STRING"
 METRICS = "eer DOUBLE, test_eer DOUBLE, snr_db DOUBLE, snr DOUBLE, snr_at_min_db DOUBLE"
-REGISTRY = "name STRING, path STRING, config STRING, splits ARRAY<STRING>, languages ARRAY<STRING>, license STRING, priority STRING, tasks ARRAY<STRING>"
+REGISTRY = "name STRING, path STRING, config STRING, splits ARRAY<STRING>, languages ARRAY<STRING>, license STRING, priority STRING, tasks ARRAY<STRING>, enabled BOOLEAN"
 WAVEFORM = "clip_id STRING, speaker_id STRING, sr INT, samples ARRAY<FLOAT>"

@@ -51,3 +51,11 @@ def arrays(df: DataFrame, path: str, by: list[str]) -> str:
 def key_values(df: DataFrame, path: str) -> str:
     df.write.parquet(path)
     return path
+
+
+def report(gates: DataFrame, path: str) -> str:
+    """The metrics and their gates (metric, value, threshold, pass), and the numbers that passed, failed and were skipped, as JSON."""
+    kinds = (("passed", F.col("pass")), ("failed", ~F.col("pass")), ("skipped", F.col("pass").isNull()))
+    counts = gates.agg(*(F.count_if(c).cast("double").alias(name) for name, c in kinds)).unpivot([], [name for name, _ in kinds], "metric", "value")
+    gates.select("metric", F.col("value").cast("double"), "threshold", "pass").unionByName(counts, allowMissingColumns=True).write.json(path)
+    return path
