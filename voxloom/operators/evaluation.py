@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from .ordered import running_sums
 
-# one letter for each distinct word of a pair: 31,000 letters of the basic plane
-_ALPHABET = "".join(map(chr, [*range(0x4E00, 0x4E00 + 20_000), *range(0xAC00, 0xAC00 + 11_000)]))
-
-
 def edits(reference: list, hypothesis: list) -> int:
     """Edit distance of two lists, row by row over numbers for their items."""
     number: dict = {}
     r, h = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (reference, hypothesis))
+    r, h = (r, h) if len(r) <= len(h) else (h, r)  # the distance is symmetric, and rows cost more than their length
     at = np.arange(len(h) + 1)
     row = at
     for i, w in enumerate(r, 1):
@@ -27,18 +24,13 @@ def edits(reference: list, hypothesis: list) -> int:
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two word arrays. Each distinct word of the pair becomes a letter, so that the built-in distance on
-    letters counts words; pairs with more distinct words than letters go to a kernel on word numbers."""
+    """Edit distance of two word arrays, of any number of words, in an Arrow kernel."""
 
     @F.arrow_udf("int")
-    def many(r: pa.Array, h: pa.Array) -> pa.Array:
+    def distance(r: pa.Array, h: pa.Array) -> pa.Array:
         return pa.array([None if a is None or b is None else edits(a, b) for a, b in zip(r.to_pylist(), h.to_pylist())], pa.int32())
 
-    words = F.array_distinct(F.concat(reference, hypothesis))
-    spell = lambda x: F.array_join(F.transform(x, lambda w: F.substring(F.lit(_ALPHABET), F.array_position(words, w).cast("int"), F.lit(1))), "")
-    few = F.size(words) <= len(_ALPHABET)
-    # the kernel is handed every row, so the others are nulls to it
-    return F.when(few, F.levenshtein(spell(reference), spell(hypothesis))).otherwise(many(F.when(~few, reference), F.when(~few, hypothesis)))
+    return distance(reference, hypothesis)
 
 
 def wer(pairs: DataFrame, group: str, reference: str, hypothesis: str, overall: str = "overall") -> DataFrame:

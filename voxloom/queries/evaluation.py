@@ -32,7 +32,7 @@ _WER = (
     + " SELECT mode, coalesce(role, 'overall') AS role, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, round(sum(e) / sum(n), 4) AS wer FROM e GROUP BY GROUPING SETS ((mode, role), (mode))"
 )
 # for the distance of characters each distinct one of a pair becomes a letter of one byte, as the built-in distance counts bytes
-_LETTERS = "list_aggregate(list_transform(string_split({}, ''), lambda x: chr(list_position(list_distinct(string_split(rc || hc, '')), x)::INT)), 'string_agg', '')"
+_LETTERS = "list_aggregate(list_transform(string_split({}, ''), lambda x: chr(list_position(k, x)::INT)), 'string_agg', '')"
 
 
 def turn_pairs(t):
@@ -54,7 +54,10 @@ def agg_wer(t):
     return error_rates(t)
 
 
-@query(f"WITH {_P} SELECT conv_id, turn, round(levenshtein({_LETTERS.format('rc')}, {_LETTERS.format('hc')}) / greatest(length(rc), 1), 4) AS cer FROM p")
+@query(
+    f"""WITH {_P}, q AS MATERIALIZED (SELECT *, list_distinct(string_split(rc || hc, '')) AS k FROM p)
+SELECT conv_id, turn, round(levenshtein({_LETTERS.format('rc')}, {_LETTERS.format('hc')}) / greatest(length(rc), 1), 4) AS cer FROM q"""
+)
 def agg_cer(t):
     return turn_pairs(t).select("conv_id", "turn", F.round(op.cer(F.col("rc"), F.col("hc")), 4).alias("cer"))
 
