@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +61,49 @@ def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
     return df.repartition(groups, key)
 
 
+def tidy(run):
+    """A worker's function that gives memory back to the system when it ends: workers stay for later tasks, and what one stage
+    has needed is not to be kept through the next ones."""
+
+    def release():
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    if inspect.isgeneratorfunction(run):
+
+        def batches(rows):
+            yield from run(rows)
+            release()
+
+        return batches
+
+    if len(inspect.signature(run).parameters) == 1:  # as many parameters as Spark looks for
+
+        def group(rows):
+            out = run(rows)
+            release()
+            return out
+
+        return group
+
+    def groups(key, left, right):
+        out = run(key, left, right)
+        release()
+        return out
+
+    return groups
+
+
+def parted_batch(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``limit`` bytes, which is what the JVM holds of it at a time."""
+    step = max(1, int(len(batch) * limit / max(batch.nbytes, 1)))
+    for i in range(0, len(batch), step):
+        yield batch.slice(i, step)
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty), under names of our own, so that other columns can't clash."""
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

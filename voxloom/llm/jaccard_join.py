@@ -10,8 +10,10 @@
    First each node is tried against one leader among its candidates, a few times over, and links join
    nodes into components. Only then all candidates that are still in different components are tried:
    nodes are gathered in blocks by their leaders, and each two blocks that share a prefix shingle are
-   compared once, so that a large group of copies gives a few rows of blocks and not the square of pairs.
-4. A pair is verified on the shared shingles of both, with leaders after the suffix filter.
+   joined once, by the same prefixes and filters, so that a large group of copies gives a few rows of blocks
+   and not the square of pairs.
+4. A pair that passes the suffix filter is verified on the shared shingles of both, once: pairs tried with a leader
+   are known to the blocks.
 
 Defined cases: null, empty and blank text has the empty set and is linked with nothing; rows with a null id
 get their size and a null component; rows with one id are one document for the links; repeated rows
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, id_type, keyed_text, n_parts, slices, stored
+from ._common import arrow_schema, dealt, groups_for, id_type, keyed_text, parted_batch, slices, stored, tidy
 from .components import components
 from .hashing import mix, shingle_hashes, word_hashes
 
-CHUNK, BLOCK = 2 << 20, 10 << 20
+CHUNK, BLOCK = 1 << 20, 8 << 20
+GROUP_BYTES = 8 << 20  # of text for each bucket of shingles and each home of nodes
 LEADER_ROUNDS = 2
-BLOCK_NODES = 512
+BLOCK_NODES, BLOCK_BYTES = 512, 1 << 20  # of nodes and of their shared shingles in a block
+SUFFIX_DEPTH = 3
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -59,7 +63,7 @@ def document_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
                 _, bounds, node = _sets(batch.column(1).slice(i, j - i), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(node)], schema=arrow)
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return keyed_text(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -74,9 +78,9 @@ def _unplane(b: bytes) -> np.ndarray:
 
 def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(node, n, own, prefix, shared): the nodes whose prefix holds a shingle that another node has; ``shared`` are
-    all such shingles of it, rarest first, ``own`` the number of the others, ``prefix`` how many of
-    ``shared`` belong to the prefix. Stored."""
-    parts = n_parts(docs.sparkSession)
+    all such shingles of it as tokens in ascending order, which is from rare to frequent, ``own`` the number of the others,
+    ``prefix`` how many of ``shared`` belong to the prefix. Stored."""
+    parts = groups_for(docs, text_col, GROUP_BYTES)
     block_schema = "bucket int, nodes binary, sizes binary, counts binary, hashes binary"
     arrow = arrow_schema(block_schema)
 
@@ -111,10 +115,10 @@ def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text
                 held.append(_sets(part, k))
                 size += part.nbytes
                 if size >= BLOCK:
-                    yield flush()
+                    yield from parted_batch(flush())
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from parted_batch(flush())
 
     reply_schema = "home int, bucket int, nodes binary, sizes binary, counts binary, hashes binary, classes binary"
     reply_arrow = arrow_schema(reply_schema)
@@ -139,7 +143,7 @@ def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text
         df = np.diff(np.append(first, len(h)))
         df = np.repeat(df, df)
         h, node, size, df = h[df > 1], node[df > 1], size[df > 1], df[df > 1]
-        grade = np.minimum(255, np.round(8 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
+        grade = np.minimum(255, np.round(6 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
         home = (node.view(np.uint64) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((node, home))
         ends = np.searchsorted(home[order], np.arange(parts + 1))
@@ -160,8 +164,9 @@ def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text
         join = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()])
         count = join("counts", np.int32)
         node, size, grade = np.repeat(join("nodes", np.int64), count), np.repeat(join("sizes", np.int64), count), join("classes", np.uint8)
-        h = np.concatenate([_unplane(b) | np.uint64(k) << np.uint64(40) for b, k in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist())])
-        order = np.lexsort((h, grade, node))
+        h = np.concatenate([_unplane(b) + (np.uint64(k) << np.uint64(40)) for b, k in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist())])
+        h = mix(h) >> np.uint64(9) | grade.astype(np.uint64) << np.uint64(55)  # tokens: the frequency first; positive as signed integers
+        order = np.lexsort((h, node))
         node, size, h = node[order], size[order], h[order]
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         ends = np.append(first, len(node))
@@ -172,9 +177,9 @@ def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text
         shared = [h[ends[i] : ends[i + 1]].tobytes() for i in rows]
         return pa.Table.from_arrays([pa.array(node[first][rows]), pa.array(n[rows]), pa.array(own[rows]), pa.array(prefix[rows].astype(np.int32)), pa.array(shared, pa.binary())], schema=out_arrow)
 
-    dealt = keyed_text(docs, id_col, text_col).mapInArrow(blocks, block_schema)
-    replies = dealt.groupBy("bucket").applyInArrow(frequencies, reply_schema)
-    return stored(replies.groupBy("home").applyInArrow(gather, out_schema), "shared")
+    entries = keyed_text(docs, id_col, text_col).mapInArrow(tidy(blocks), block_schema)
+    replies = dealt(entries, "bucket", parts).groupBy("bucket").applyInArrow(tidy(frequencies), reply_schema)
+    return stored(dealt(replies, "home", parts).groupBy("home").applyInArrow(tidy(gather), out_schema), "shared")
 
 
 def _prefixes(shared: DataFrame) -> DataFrame:
@@ -200,6 +205,34 @@ def _possible(threshold: float):
     return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (F.least(at, to) + F.least(n - at, m - to) >= need)
 
 
+def most_in_common(x: np.ndarray, y: np.ndarray, depth: int = SUFFIX_DEPTH) -> int:
+    """An upper bound of what two ascending arrays have in common, by splitting both at the middle token of the second."""
+    if not depth or len(x) < 2 or len(y) < 2:
+        return min(len(x), len(y))
+    k = len(y) // 2
+    i = int(np.searchsorted(x, y[k]))
+    met = int(i < len(x) and x[i] == y[k])
+    return most_in_common(x[:i], y[:k], depth - 1) + met + most_in_common(x[i + met :], y[k + 1 :], depth - 1)
+
+
+def similar(x: np.ndarray, y: np.ndarray, n: int, m: int, at: int, to: int, threshold: float) -> bool:
+    """Whether two sets of sizes n and m, with shared tokens x and y, are as similar as the threshold. At their first common
+    token, x[at] and y[to], the positional filter bounds what can follow by what is left, the suffix filter by halves of it."""
+    need = int(np.ceil((n + m) * threshold / (1 + threshold) - 1e-9))
+    x, y = x[at + 1 :], y[to + 1 :]
+    if 1 + min(len(x), len(y)) < need or 1 + most_in_common(x, y) < need:
+        return False
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    found = np.searchsorted(y, x)
+    return 1 + int((y[np.minimum(found, len(y) - 1)] == x).sum()) >= need if len(y) else need <= 1
+
+
+def _first_common(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
+    i = np.searchsorted(x, y)
+    met = np.flatnonzero(x[np.minimum(i, len(x) - 1)] == y)
+    return (int(i[met[0]]), int(met[0])) if len(met) else None
+
+
 def _verified(pairs: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
     side = lambda x: shared.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"))
@@ -209,79 +242,124 @@ def _verified(pairs: DataFrame, shared: DataFrame, threshold: float) -> DataFram
     def run(batches):
         for batch in batches:
             keep = []
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")]
-            for i, (n, m, x, y) in enumerate(zip(*cols)):
-                need = int(np.ceil((n + m) * threshold / (1 + threshold) - 1e-9))
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(x), len(y)) < need or not _suffix_filter(x, y, need):
-                    continue
-                both = np.concatenate((x, y))
-                both.sort()
-                if int((both[1:] == both[:-1]).sum()) >= need:
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("n_a", "n_b", "s_a", "s_b")]
+            for i in range(len(batch)):
+                n, m, x, y = (c[i].as_py() for c in cols)
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                first = _first_common(x, y)
+                if first and similar(x, y, n, m, *first, threshold):
                     keep.append(i)
             rows = batch.take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in ("a", "b")], schema=arrow)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema)
-
-
-def _suffix_filter(x: np.ndarray, y: np.ndarray, need: int) -> bool:
-    """Shingles fall in four classes by two of their bits; both sets can have no more in common than the
-    smaller number of each class."""
-    bits = np.uint64(3)
-    return int(np.minimum(np.bincount((x & bits).astype(np.int64), minlength=4), np.bincount((y & bits).astype(np.int64), minlength=4)).sum()) >= need
-
-
-def _blocks_compared(entries: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join the components of the nodes of ``entries``."""
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(run), schema)
+
+
+_PACK = "block bigint, nodes binary, roots binary, sizes binary, prefixes binary, counts binary, tokens binary, tried binary, tries binary"
+
+
+def _packed(table: pa.Table, arrow: pa.Schema) -> pa.Table:
+    """A block as one row: of its nodes the names, roots, sizes, prefix lengths, shared tokens and pairs tried before."""
+    one = lambda c, kind: np.asarray(table.column(c), kind).tobytes()
+    shared = table.column("shared").to_pylist()
+    tried = [t or [] for t in table.column("tried").to_pylist()]
+    row = [
+        table.column("block")[0].as_py(), one("node", np.int64), one("root", np.int64), one("n", np.int64), one("prefix", np.int32),
+        np.array([len(b) // 8 for b in shared], np.int32).tobytes(), b"".join(shared), np.array([o for t in tried for o in t], np.int64).tobytes(), np.array([len(t) for t in tried], np.int32).tobytes(),
+    ]
+    return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
+
+
+class Pack:
+    """The nodes of a packed block, and the places of tokens in their prefixes."""
+
+    def __init__(self, row: dict, side: str):
+        part = lambda c, kind: np.frombuffer(row[f"{c}_{side}"], kind)
+        self.nodes, self.roots, self.sizes = (part(c, np.int64) for c in ("nodes", "roots", "sizes"))
+        self.prefixes, count = part("prefixes", np.int32).astype(np.int64), part("counts", np.int32).astype(np.int64)
+        self.tokens = part("tokens", np.int64)
+        self.ends = np.cumsum(count)
+        self.starts = self.ends - count
+        tried, tries = part("tried", np.int64), part("tries", np.int32)
+        self.tried = set(zip(np.repeat(self.nodes, tries).tolist(), tried.tolist()))
+
+    def set(self, i: int) -> np.ndarray:
+        return self.tokens[self.starts[i] : self.ends[i]]
+
+    def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of the prefixes in order, the nodes that they are from, and their places."""
+        p = self.prefixes
+        owner = np.repeat(np.arange(len(p)), p)
+        place = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
+        token = self.tokens[np.repeat(self.starts, p) + place]
+        order = np.lexsort((place, token))
+        return token[order], owner[order], place[order]
+
+
+def _compared(left: Pack, right: Pack, same: bool, threshold: float):
+    """Links (a, b) between nodes of two blocks that are in different components so far."""
+    parent: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while parent.setdefault(r, r) != r:
+            r = parent[r]
+        return r
+
+    token, owner, place = right.index()
+    for i in range(len(left.nodes)):
+        x, n = left.set(i), int(left.sizes[i])
+        own = x[: left.prefixes[i]]
+        lo, hi = np.searchsorted(token, own), np.searchsorted(token, own, "right")
+        size = hi - lo
+        if not size.any():
+            continue
+        hits = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        j, first = np.unique(owner[hits], return_index=True)  # own tokens ascend, so the first hit is the first common token
+        at, to = np.repeat(np.arange(len(own)), size)[first], place[hits[first]]
+        m = right.sizes[j]
+        least = np.maximum(n, m)
+        need = np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+        left_over = np.minimum(len(x) - at, (right.ends - right.starts)[j] - to)
+        ok = (np.minimum(n, m) >= least * threshold - 1e-9) & (left_over >= need)
+        if same:
+            ok &= j > i
+        name = int(left.nodes[i])
+        for k in np.flatnonzero(ok).tolist():
+            other = int(right.nodes[j[k]])
+            r, q = find(int(left.roots[i])), find(int(right.roots[j[k]]))
+            if r == q or (name, other) in left.tried or (other, name) in right.tried:
+                continue
+            if similar(x, right.set(int(j[k])), n, int(m[k]), int(at[k]), int(to[k]), threshold):
+                parent[max(r, q)] = min(r, q)
+                yield name, other
+
+
+def _blocks_compared(entries: DataFrame, shared: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of the nodes of ``entries``; ``tried`` are pairs (node, other) verified before."""
     # nodes take the smallest mark that goes round among their tokens' nodes, so that groups have few marks
     marked = entries.select("token", "node", "root", F.xxhash64("node").alias("lead"))
     for _ in range(2):
         by_token = marked.groupBy("token").agg(F.min("lead").alias("_l"))
         by_node = marked.join(by_token, "token").groupBy("node", "root").agg(F.min("_l").alias("lead"))
         marked = stored(marked.select("token", "node").join(by_node, "node"), "marked")
-    nodes = marked.select("node", "root", "lead").distinct()
-    sizes = nodes.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("k"))
+    nodes = marked.select("node", "root", "lead").distinct().join(shared.select("node", F.length("shared").alias("bytes")), "node")
+    sizes = nodes.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).alias("k"))
     placed = stored(nodes.join(sizes, "lead").select("node", "root", F.xxhash64("lead", F.pmod(F.xxhash64("node"), "k")).alias("block")), "blocks")
     # tokens of one set of blocks ask for the same pairs
     met = entries.select("token", "node").join(placed.select("node", "block"), "node").groupBy("token").agg(F.sort_array(F.collect_set("block")).alias("met")).select("met").distinct()
     pairs = met.select(F.posexplode("met").alias("i", "x"), "met").select("x", F.explode(F.slice("met", F.col("i") + 1, F.size("met"))).alias("y")).distinct()
-    side = lambda x: placed.join(shared, "node").groupBy(F.col("block").alias(x)).agg(F.collect_list(F.struct("node", "root", "n", "shared")).alias(f"of_{x}"))
+    others = tried.groupBy("node").agg(F.collect_set("other").alias("tried"))  # one a leader round
+    rows = placed.join(shared, "node").join(others, "node", "left").select("block", "node", "root", "n", "prefix", "shared", "tried")
+    pack_arrow = arrow_schema(_PACK)
+    packs = stored(rows.groupBy("block").applyInArrow(tidy(lambda table: _packed(table, pack_arrow)), _PACK), "packs")
+    side = lambda x: packs.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in packs.columns[1:]))
     arrow = arrow_schema("a bigint, b bigint")
 
     def compare(table: pa.Table) -> pa.Table:
-        found: tuple[list, list] = ([], [])
-        for left, right, same in zip(table.column("of_x").to_pylist(), table.column("of_y").to_pylist(), (x == y for x, y in zip(table.column("x").to_pylist(), table.column("y").to_pylist()))):
-            parent: dict[int, int] = {}
-
-            def find(r: int) -> int:
-                while parent.setdefault(r, r) != r:
-                    r = parent[r]
-                return r
-
-            sets = [np.frombuffer(d["shared"], np.uint64) for d in right]
-            size = np.fromiter(map(len, sets), np.int64, len(sets))
-            known, place = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.cumsum(size) - size
-            m = np.array([d["n"] for d in right])
-            flag = np.zeros(len(known), bool)
-            for i, d in enumerate(left):
-                x = np.frombuffer(d["shared"], np.uint64)
-                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                at = at[known[at] == x]
-                flag[at] = True
-                common = np.add.reduceat(flag[place].astype(np.int64), starts)
-                flag[at] = False
-                need = np.ceil((m + d["n"]) * (threshold / (1 + threshold)) - 1e-9)
-                for j in np.flatnonzero(common >= need).tolist():
-                    r, q = find(d["root"]), find(right[j]["root"])
-                    if r != q and (i < j or not same):
-                        parent[max(r, q)] = min(r, q)
-                        found[0].append(d["node"])
-                        found[1].append(right[j]["node"])
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in found], schema=arrow)
-
-    return pairs.join(side("x"), "x").join(side("y"), "y").groupBy("x", "y").applyInArrow(compare, "a bigint, b bigint")
+        found = [link for row in table.to_pylist() for link in _compared(Pack(row, "x"), Pack(row, "y"), row["x"] == row["y"], threshold)]
+        return pa.Table.from_arrays([pa.array([link[k] for link in found], pa.int64()) for k in (0, 1)], schema=arrow)
+
+    return pairs.join(side("x"), "x").join(side("y"), "y").groupBy("x", "y").applyInArrow(tidy(compare), "a bigint, b bigint")
 
 
 def links(shared: DataFrame, threshold: float, rounds: int = LEADER_ROUNDS) -> DataFrame:
@@ -306,7 +384,7 @@ def links(shared: DataFrame, threshold: float, rounds: int = LEADER_ROUNDS) -> D
         roots = components(found)
         return True
 
-    entries, tried = rooted(), None
+    entries, tried, asked = rooted(), None, spark.createDataFrame([], "node bigint, other bigint")
     for r in range(rounds):
         if entries.isEmpty():
             return roots
@@ -317,12 +395,13 @@ def links(shared: DataFrame, threshold: float, rounds: int = LEADER_ROUNDS) -> D
         pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
+        asked = asked.union(best)
         more = linked(_verified(pairs, shared, threshold))
         entries = rooted() if more else entries
         if not more:
             break
     if not entries.isEmpty():
-        linked(_blocks_compared(entries, shared, threshold))
+        linked(_blocks_compared(entries, shared, asked, threshold))
     return roots
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import arrow_schema, id_type, keyed_text, slices, stored
+from ._common import arrow_schema, id_type, keyed_text, slices, stored, tidy
 from .hashing import LOWER, SPACE, edges, span_hashes, text_bytes
 
 #: Words that a Python worker keeps the ids of, and ids kept for them, at most: 60 MB of arrays.
@@ -234,7 +234,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, arrow)], schema=arrow)
 
-    return stored(keyed_text(docs, id_col, text_col).mapInArrow(run, schema), "pieces")
+    return stored(keyed_text(docs, id_col, text_col).mapInArrow(tidy(run), schema), "pieces")
 
 
 class Capacities:

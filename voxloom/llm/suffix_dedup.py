@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import arrow_schema, dealt, groups_for, id_type, slices, stored
+from ._common import arrow_schema, dealt, groups_for, id_type, parted_batch, slices, stored, tidy
 from .hashing import mix, span_hashes, text_bytes
 from .suffix_array import permuted_common_prefixes, suffix_array
 from .words import pack_ints, unpack_ints
@@ -44,7 +44,7 @@ from .words import pack_ints, unpack_ints
 LENGTH, SEED = 50, 20
 SHARDS = 4  # for each bucket of minimisers
 HOME_BYTES = 16 << 20  # of text for each home, and for each bucket
-CHUNK, BLOCK = 1 << 20, 16 << 20
+CHUNK, BLOCK = 1 << 20, 8 << 20
 HOT = 2048  # entries of a minimiser from which its strings are dealt by the bytes around it
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -245,10 +245,10 @@ def _hash_blocks(parts: int):
                 held.append((*(np.asarray(part.column(k)) for k in range(3)), data.copy(), bounds, *stretches(data, bounds)))
                 size += part.nbytes
                 if size >= BLOCK:
-                    yield flush()
+                    yield from parted_batch(flush())
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from parted_batch(flush())
 
     return run
 
@@ -325,10 +325,10 @@ def _pack_texts(parts: int):
                 held.append(part)
                 size += part.nbytes
                 if size >= BLOCK:
-                    yield flush()
+                    yield from parted_batch(flush())
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from parted_batch(flush())
 
     return run
 
@@ -480,13 +480,13 @@ def _removed(docs: DataFrame, finish, schema, id_col: str, text_col: str, keep:
     parts = groups_for(docs, text_col, HOME_BYTES)
     rows = numbered(docs, id_col, text_col, parts, keep)
     plain = rows.select("home", "id", "sub", "text")
-    replies = dealt(plain.mapInArrow(_hash_blocks(parts), _HASHES), "bucket", parts).groupBy("bucket").applyInArrow(_judge(parts), _REPLY)
-    asked = plain.mapInArrow(_pack_texts(parts), _TEXTS)
-    cut = stored(dealt(asked, "home", parts).groupBy("home").cogroup(dealt(replies, "home", parts).groupBy("home")).applyInArrow(_cut(parts), _CUT), "stretches")
-    found = dealt(cut.where("shard >= 0"), "shard", parts).groupBy("shard").applyInArrow(_search(), _FOUND)
+    replies = dealt(plain.mapInArrow(tidy(_hash_blocks(parts)), _HASHES), "bucket", parts).groupBy("bucket").applyInArrow(tidy(_judge(parts)), _REPLY)
+    asked = plain.mapInArrow(tidy(_pack_texts(parts)), _TEXTS)
+    cut = stored(dealt(asked, "home", parts).groupBy("home").cogroup(dealt(replies, "home", parts).groupBy("home")).applyInArrow(tidy(_cut(parts)), _CUT), "stretches")
+    found = dealt(cut.where("shard >= 0"), "shard", parts).groupBy("shard").applyInArrow(tidy(_search()), _FOUND)
     spans = cut.where("shard < 0").select(*arrow_schema(_FOUND).names).unionByName(found)
-    texts = rows.mapInArrow(_pack_texts(parts), _TEXTS)
-    return dealt(texts, "home", parts).groupBy("home").cogroup(dealt(spans, "home", parts).groupBy("home")).applyInArrow(lambda key, t, s: finish(t, _spans(s)), schema)
+    texts = rows.mapInArrow(tidy(_pack_texts(parts)), _TEXTS)
+    return dealt(texts, "home", parts).groupBy("home").cogroup(dealt(spans, "home", parts).groupBy("home")).applyInArrow(tidy(lambda key, t, s: finish(t, _spans(s))), schema)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

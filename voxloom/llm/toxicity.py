@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, id_type, keyed_text, slices, stored
+from ._common import arrow_schema, id_type, keyed_text, slices, stored, tidy
 
 # fixed values: letters that look like Latin ones, and digits and signs written for letters
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһκονρτυχαεικпмтвнк", "aeopcyxijsdhkovptuxaeiknmtbhk")
@@ -39,7 +39,7 @@ _SIGN = re.compile(r"(?<=\w)[@$!|](?=\w)")
 _DIGIT = re.compile(r"(?<=[^\W\d_])\d+|\d+(?=[^\W\d_])")
 _GAP = re.compile(r"[\W_]+")
 SHORTEST, LONGEST = 4, 9
-_BLOCK = 8 << 20
+_BLOCK = 1 << 20
 
 
 def fold(text: str) -> str:
@@ -122,7 +122,7 @@ def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
                     seen.update(found if only is None else found & only)
                 yield pa.RecordBatch.from_pydict({"pattern": list(seen), "n": list(seen.values())}, schema=arrow)
 
-    return rows.select("text").mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(tidy(run), "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def _around(rows: DataFrame, weights: frozenset[str]) -> DataFrame:
@@ -153,7 +153,7 @@ def _around(rows: DataFrame, weights: frozenset[str]) -> DataFrame:
                     seen.update((p, label) for p in found if p not in weights)
                 yield pa.RecordBatch.from_pydict({"pattern": [p for p, _ in seen], "label": [y for _, y in seen], "n": list(seen.values())}, schema=arrow)
 
-    n = rows.select("text", "label").mapInArrow(run, "pattern string, label int, n bigint")
+    n = rows.select("text", "label").mapInArrow(tidy(run), "pattern string, label int, n bigint")
     of = lambda y: F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0))
     return n.groupBy("pattern").agg(of(1).alias("bad"), of(0).alias("good"))
 
@@ -233,7 +233,7 @@ def score_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
                 columns = [*part.columns[1:], *(pa.array([f[k] for f in found], pa.float64()) for k in range(3)), pa.array([model.score(*f) for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return rows.select("text", "id", *keep).mapInArrow(run, schema)
+    return rows.select("text", "id", *keep).mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str
                 clean = [model.score(*model.features(fold(t or ""), automaton)) < limit for t in texts.slice(i, j - i).to_pylist()]
                 yield batch.slice(i, j - i).filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(column: str) -> Column:
