@@ -91,10 +91,52 @@ def test_jaccard_join_of_a_chain_of_copies(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = jaccard_join.op1(d).collect()
     assert len(got) == len(rows)
-    want = linked([x for x in rows if x != rows[-1]] + [])
-    assert len({r.component_id for r in got if r.doc_id < 100 or r.doc_id == 200}) <= len({want[i][1] for i in want if i < 100 or i == 200})
+    # the two rows of document 7 stand for one document
+    sets, ids = [shingles(t) for _, t in rows], [i for i, _ in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if ids[a] == ids[b] or 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [x if r == y else r for r in root]
+    least = {r: min(i for i, q in zip(ids, root) if q == r) for r in root}
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, least[r]) for i, r in zip(ids, root))
     kept = jaccard_join.keep_one(d)
-    assert kept.columns == d.columns and kept.count() == len({r.component_id for r in got})
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_jaccard_join_across_bounds(spark, monkeypatch, rounds):
+    """Blocks and groups of a few nodes; without leader rounds the blocks find every link."""
+    for name, v in (("CHUNK", 900), ("BLOCK", 3000), ("GROUP_BYTES", 4000), ("BLOCK_NODES", 3), ("BLOCK_BYTES", 2000)):
+        monkeypatch.setattr(jaccard_join, name, v)
+    rows = []
+    for g in range(12):
+        base = [f"w{g % 4}_{x}" for x in range(int(RNG.integers(20, 60)))]
+        for k in range(6):
+            words = list(base)
+            for at in RNG.integers(0, len(base), int(RNG.integers(0, 4))):
+                words[at] = f"n{g}_{k}_{at}"
+            rows.append((100 * g + k, " ".join(words)))
+    rows += [(5000 + i, " ".join(f"u{i}_{x}" for x in range(12)) + " and a line that very many of them have in common here") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    shared = jaccard_join.shared_shingles(d, 5, 0.75, "doc_id", "text")
+    node = {r.id: r.node for r in jaccard_join.document_sets(d, 5, "doc_id", "text").collect()}
+    root = {r.node: r.root for r in jaccard_join.links(shared, 0.75, rounds).collect()}
+    want = linked(rows)
+    for i in want:
+        for j in want:
+            assert (root.get(node[i], node[i]) == root.get(node[j], node[j])) == (want[i][1] == want[j][1])
+
+
+def test_suffix_filter_is_an_upper_bound():
+    for _ in range(300):
+        x, y = (np.unique(RNG.integers(0, 60, RNG.integers(1, 40))) for _ in range(2))
+        both = len(np.intersect1d(x, y))
+        assert all(jaccard_join.most_in_common(x, y, k) >= both for k in range(5)) and jaccard_join.most_in_common(x, y, 20) <= min(len(x), len(y))
+        if both:
+            at, to = jaccard_join._first_common(x, y)
+            assert x[at] == y[to] and jaccard_join.similar(x, y, len(x), len(y), at, to, 0.4) == (both >= int(np.ceil((len(x) + len(y)) * 0.4 / 1.4 - 1e-9)))
 
 
 def test_components(spark):
