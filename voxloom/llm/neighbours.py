@@ -1,22 +1,22 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-Vectors become binary codes: the signs of their coordinates after centring, a projection on the principal
-axes and a rotation that is learned to bring them near the corners of a cube. A code is split into
-substrings. Two codes within Hamming distance r agree up to r // m bits in at least one of their m
-substrings, so looking up all substrings that near to a query's in the tables of substrings finds every
-code within r. These are ranked by the exact distance of the original vectors.
-
-The table of vectors is dealt to blocks; each has its own tables of substrings for its rows, and
-all queries go to all blocks, which give back only their nearest. Blocks are of bounded size, so no value
-of a substring, however frequent, makes a task larger than a block. A query whose block holds
-fewer than ``k`` codes within the radius is compared with that whole block, so none of the nearest is missing
-for want of candidates.
-
-The rotation and the radius are fitted on about ``fit_rows`` vectors at most: the radius is the smallest
+Vectors become binary codes: the signs of their coordinates after centring and several rotations, each learned to bring the
+vectors near the corners of a cube; eight bits for each coordinate. A code is split into substrings of 16 bits.
+By the pigeonhole principle two codes within Hamming distance r, split in m substrings, differ in one of these by at most
+the threshold of its table, where the thresholds add up to r - m + 1; so looking up all substrings that near to
+a query's in the tables of substrings finds every code within r. Whole codes are compared next, and those within r are
+ranked by the exact distance of the original vectors.
+
+Rows are dealt to blocks of bounded size, each with its own tables, so no value of a substring, however frequent, makes a
+task larger than a block. The stated queries are held against all blocks, which give back only their nearest. A
+query with fewer than ``k`` codes within the radius, counted over all blocks, is asked again with every code in the radius: what
+is found doesn't depend on how rows are dealt.
+
+The rotations and the radius are fitted on about ``fit_rows`` vectors at most: the radius is the smallest
 one within which the wanted share of true neighbours lies, measured by brute force on that sample.
 Every row is indexed.
 
-Defined cases: vectors that are null, zero, of another length than the first, or that hold a null or a
+Defined cases: vectors that are null, zero, of another length than most, or that hold a null or a
 non-finite component take no part; rows with a null id take no part; ties in distance go to the smaller
 id; a query's own row is no candidate, other rows with equal vectors are; rows repeated with id and vector
 count once; without candidates a query has no rows; further columns are ignored.
@@ -30,11 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import arrow_schema, n_parts, stored
+from ._common import arrow_schema, n_parts, stored, tidy
 
-BITS = 8  # of a substring
+ROTATIONS = 8  # bits for each coordinate
 BLOCK_ROWS = 1 << 16
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -49,45 +48,53 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Codes:
-    """Centring, projection and learned rotation to binary codes of whole bytes."""
+    """Centring and learned rotations to binary codes of whole 16-bit words."""
 
     def __init__(self, x: np.ndarray, rounds: int = 30, seed: int = 7):
         self.mean = x.mean(0)
-        centred = x - self.mean
+        centred, width = x - self.mean, x.shape[1]
         axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
-        self.bits = max(8, x.shape[1] // 8 * 8)
-        if axes.shape[1] < self.bits:  # short vectors: more random directions
-            axes = np.column_stack([axes, np.random.default_rng(seed).normal(size=(x.shape[1], self.bits - axes.shape[1]))])
-        self.axes = axes[:, : self.bits]
-        z = centred @ self.axes
-        rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.bits, self.bits)))[0]
-        for _ in range(rounds):
-            u, _, vt = np.linalg.svd(z.T @ np.where(z @ rotation >= 0, 1.0, -1.0))
-            rotation = u @ vt
-        self.map = self.axes @ rotation
+        bits = max(16, -(-width // 16) * 16)
+        maps = []
+        for k in range(ROTATIONS):
+            draw = np.random.default_rng((seed, k))
+            # widths that are no multiple of 16 are filled up with random directions
+            own = np.column_stack([axes, draw.normal(size=(width, bits - width))]) if bits > width else axes
+            z = centred @ own
+            rotation = np.linalg.qr(draw.normal(size=(bits, bits)))[0]
+            for _ in range(rounds):
+                u, _, vt = np.linalg.svd(z.T @ np.where(z @ rotation >= 0, 1.0, -1.0))
+                rotation = u @ vt
+            maps.append(own @ rotation)
+        self.map = np.column_stack(maps)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        """One byte per substring."""
-        return np.packbits((x - self.mean) @ self.map >= 0, axis=1)
+        """The substrings of each vector's code, 16 bits each."""
+        return np.packbits((x - self.mean) @ self.map >= 0, axis=1).view(np.uint16)
+
+
+def hamming(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(codes ^ code).sum(1, dtype=np.int64)
 
 
 class Tables:
-    """The tables of substrings of one block."""
+    """The tables of substrings of one block: the values that occur, and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
-        self.ends = [np.searchsorted(codes[o, s], np.arange(257)) for s, o in enumerate(self.order)]
+        self.order = [np.argsort(c, kind="stable") for c in codes.T]
+        self.values, self.counts = zip(*(np.unique(c, return_counts=True) for c in codes.T))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code is within the radius: candidates from every table, checked on whole codes."""
-        near = radius // len(code)
+        """All rows whose code is within the radius: looked up in every table, checked on whole codes."""
+        m = len(code)
+        low, more = divmod(max(radius - m + 1, -m), m)  # the thresholds of the tables add up to radius - m + 1
         hit = np.zeros(len(self.codes), bool)
-        for s, own in enumerate(code):
-            for value in np.flatnonzero(_POP[np.arange(256) ^ own] <= near):
-                hit[self.order[s][self.ends[s][value] : self.ends[s][value + 1]]] = True
+        for t in range(m):
+            near = np.bitwise_count(self.values[t] ^ code[t]) <= low + (t < more)
+            hit[self.order[t][np.repeat(near, self.counts[t])]] = True
         rows = np.flatnonzero(hit)
-        return rows[_POP[self.codes[rows] ^ code].sum(1, dtype=np.int64) <= radius]
+        return rows[hamming(self.codes[rows], code) <= radius]
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -111,11 +118,8 @@ def fit(vectors: DataFrame, k: int, recall: float, fit_rows: int = 20_000, probe
         d = _distances(x, x[i])
         d[i] = np.inf
         best = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
-        radii += _POP[own[best] ^ own[i]].sum(1, dtype=np.int64).tolist()
-    radius = int(np.quantile(radii, recall, method="higher")) if radii else 0
-    # a whole number of bits per substring less one is what a lookup covers anyway
-    m = own.shape[1]
-    return codes, radius // m * m + m - 1
+        radii += hamming(own[best], own[i]).tolist()
+    return codes, int(np.quantile(radii, recall, method="higher")) if radii else 0
 
 
 def search(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = 20_000) -> DataFrame:
@@ -137,34 +141,43 @@ def search(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97,
         flat = column.combine_chunks()
         return np.asarray(flat.flatten(), np.float64).reshape(-1, width)
 
-    def nearest(table: pa.Table) -> pa.Table:
-        is_query = np.asarray(table.column("query"))
-        ids, x = np.asarray(table.column("id"), np.int64), matrix(table.column("v"))
-        q_ids, q = ids[is_query], x[is_query]
-        ids, x = ids[~is_query], x[~is_query]
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        found = ([], [], [])
-        if len(ids) and len(q_ids):
-            tables = Tables(codes(x))
-            for query, v, code in zip(q_ids.tolist(), q, codes(q)):
-                near = tables.within(code, radius)
-                near = near[ids[near] != query]
-                if len(near) < k:
-                    near = np.flatnonzero(ids != query)
-                d = _distances(x[near], v)
-                if len(d) > k:
-                    cut = np.partition(d, k - 1)[k - 1]
-                    near, d = near[d <= cut], d[d <= cut]
-                best = np.lexsort((ids[near], d))[:k]
-                found[0].extend([query] * len(best))
-                found[1].extend(ids[near[best]].tolist())
-                found[2].extend(d[best].tolist())
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(found, arrow)], schema=arrow)
-
-    dealt = vectors.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "id", "v")
-    asked = vectors.where(queries).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v")
-    parts = dealt.unionByName(asked).groupBy("block").applyInArrow(nearest, out)
+    def nearest(radius: int):
+        def run(table: pa.Table) -> pa.Table:
+            """The nearest of a block for each query, of those within the radius."""
+            is_query = np.asarray(table.column("query"))
+            ids, x = np.asarray(table.column("id"), np.int64), matrix(table.column("v"))
+            q_ids, q = ids[is_query], x[is_query]
+            ids, x = ids[~is_query], x[~is_query]
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            found = ([], [], [])
+            if len(ids) and len(q_ids):
+                tables = Tables(codes(x))
+                for query, v, code in zip(q_ids.tolist(), q, codes(q)):
+                    near = tables.within(code, radius)
+                    near = near[ids[near] != query]
+                    d = _distances(x[near], v)
+                    if len(d) > k:
+                        cut = np.partition(d, k - 1)[k - 1]
+                        near, d = near[d <= cut], d[d <= cut]
+                    best = np.lexsort((ids[near], d))[:k]
+                    for column, values in zip(found, ([query] * len(best), ids[near[best]].tolist(), d[best].tolist())):
+                        column.extend(values)
+            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(found, arrow)], schema=arrow)
+
+        return tidy(run)
+
+    dealt = vectors.distinct().select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "id", "v")
+
+    def asked(own: DataFrame, radius: int, name: str) -> DataFrame:
+        to_all = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v")
+        return stored(dealt.unionByName(to_all).repartition(blocks, "block").groupBy("block").applyInArrow(nearest(radius), out), name)
+
+    own = vectors.where(queries).distinct()
+    first = asked(own, radius, "near")
+    enough = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = own.join(enough, "id", "left_anti")
+    parts = first if short.isEmpty() else first.join(enough, F.col("query_id") == F.col("id"), "left_semi").unionByName(asked(short, codes.map.shape[1], "rest"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = parts.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
