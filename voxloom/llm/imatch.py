@@ -7,8 +7,9 @@ the lexicon gives one hash of the terms that it keeps, and the fingerprint is al
 eight rates, from one term in 4 to one in 2048, so that for texts of any length some of them keep a
 few terms; the share of equal hashes among these falls off smoothly as texts come apart.
 
-Not more than mean distinct terms / ``low`` terms can be in the lexicon, whatever the number of documents;
-if very long documents make it larger than ``max_terms``, the lower end of the band is doubled until it fits.
+The band is the same at every size. A term of the lexicon is in ``low`` of all documents at least, so there are no more of
+them than mean distinct terms of a document / ``low``, whatever the number of documents: as 64-bit hashes, at 500 distinct
+terms a document, 4 MB at most. That is what goes to the driver and, as a broadcast, to the executors.
 
 Defined cases: null text is empty; equal texts have equal fingerprints; a text without a term of the lexicon
 is fingerprinted by all its terms, one without terms has the fingerprint of zeros; equal fingerprints
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, id_type, keyed_text, n_parts, slices, stored
+from ._common import arrow_schema, id_type, keyed_text, n_parts, slices, tidy
 from .hashing import mix, word_hashes
 
 # a subset of rate r keeps one term in 2**r
 RATES, EACH = (2, 4, 6, 7, 8, 9, 10, 11), 8
 SUBSETS = len(RATES) * EACH
-CHUNK, BLOCK = 2 << 20, 24 << 20
+CHUNK, BLOCK = 1 << 20, 16 << 20
 
 
 def _distinct(column: pa.Array) -> list[np.ndarray]:
@@ -40,8 +41,8 @@ def _distinct(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(words[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1, max_terms: int = 1 << 20, text_col: str = "text") -> np.ndarray:
-    """The sorted hashes of the terms in the band, counted over all documents; at most ``max_terms``."""
+def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1, text_col: str = "text") -> np.ndarray:
+    """The sorted hashes of the terms in the band, counted over all documents."""
     schema = "term bigint, df bigint"
     arrow = arrow_schema(schema)
 
@@ -65,13 +66,9 @@ def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1, max_terms: i
 
     n = docs.count()
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counts = texts.mapInArrow(count, schema).groupBy("term").agg(F.sum("df").alias("df"))
-    band = stored(counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))), "lexicon")
-    while (size := band.count()) > max_terms:
-        low *= 2
-        band = band.where(F.col("df") >= low * n)
-    del size
-    return np.sort(np.array([r["term"] for r in band.select("term").collect()], np.int64).view(np.uint64))
+    counts = texts.mapInArrow(tidy(count), schema).groupBy("term").agg(F.sum("df").alias("df"))
+    band = counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n)))
+    return np.sort(np.asarray(band.select("term").toArrow().column("term"), np.int64).view(np.uint64))
 
 
 class Fingerprints:
@@ -193,7 +190,7 @@ def fingerprint_pairs(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id"
                         schema=arrow,
                     )
 
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema)
+    return with_next(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def op4(docs: DataFrame) -> DataFrame:
