@@ -7,8 +7,9 @@ learned from labelled rows; longer forms and phrases of two or three words that
 exceptions and cancel the matches inside them, and so do the exception phrases given by the caller. A document's score is a
 logistic function of its weights' sum, of that sum per word, and of its largest weight.
 
-Bounds: the lexicon and the logistic function are fitted on about ``fit_rows`` labelled rows at most, chosen by
-a hash of their id; the lexicon has at most ``max_patterns`` entries. Scoring covers whole texts.
+Bound: the lexicon and the logistic function are fitted on about ``fit_rows`` labelled rows at most, chosen by
+a hash of their id, and on all their text; what is learned from these is not bounded otherwise. Entries are in at least
+``least_rows`` toxic rows and ``least_share`` of them. Scoring covers all rows and whole texts.
 
 Defined cases: null, empty and blank text scores as a text without matches; ids without text or label don't
 take part in the fit; labels of one class only, or none, score 0 everywhere; repeated rows each give a
@@ -98,13 +99,21 @@ class Model:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, train: Column | None, fit_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(text, label) of the rows to fit on, texts folded. Stored."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     if train is not None:
         known = known.where(train)
     share = min(1.0, fit_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = keyed_text(docs, id_col, text_col).join(known, "id").select("text", (F.col("label") > 0).cast("int").alias("label"))
-    return stored(rows, "labelled")
+    arrow = arrow_schema("text string, label int")
+
+    def run(batches):
+        for batch in batches:
+            for i, j in slices(batch.column(0), _BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in batch.column(0).slice(i, j - i).to_pylist()], pa.string()), batch.column(1).slice(i, j - i)], schema=arrow)
+
+    return stored(rows.mapInArrow(tidy(run), "text string, label int"), "labelled")
 
 
 def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
@@ -118,7 +127,7 @@ def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
             for i, j in slices(batch.column(0), _BLOCK):
                 seen: Counter = Counter()
                 for text in batch.column(0).slice(i, j - i).to_pylist():
-                    found = {p for w in set(fold(text).split()) for p in patterns(w)}
+                    found = {p for w in set(text.split()) for p in patterns(w)}
                     seen.update(found if only is None else found & only)
                 yield pa.RecordBatch.from_pydict({"pattern": list(seen), "n": list(seen.values())}, schema=arrow)
 
@@ -143,7 +152,7 @@ def _around(rows: DataFrame, weights: frozenset[str]) -> DataFrame:
                 seen: Counter = Counter()
                 known: dict[str, list[str]] = {}
                 for text, label in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist()):
-                    words, found = fold(text).split(), set()
+                    words, found = text.split(), set()
                     for k, word in enumerate(words):
                         if word not in known:
                             known[word] = longer(word)
@@ -163,7 +172,8 @@ def fit(
     labels: DataFrame,
     train: Column | None = None,
     fit_rows: int = 20_000,
-    max_patterns: int = 5_000,
+    least_rows: int = 3,
+    least_share: float = 0.004,
     least_odds: float = 2.0,
     phrases: tuple[str, ...] = (),
     id_col: str = "doc_id",
@@ -176,8 +186,8 @@ def fit(
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return Model()
-    often = _counted(rows.where("label = 1"), None).where(F.col("n") >= max(3, 0.004 * bad))
-    toxic = {r["pattern"]: r["n"] for r in often.orderBy(F.desc("n"), "pattern").limit(20 * max_patterns).collect()}
+    often = _counted(rows.where("label = 1"), None).where(F.col("n") >= max(least_rows, least_share * bad))
+    toxic = {r["pattern"]: r["n"] for r in often.collect()}
     clean = {r["pattern"]: r["n"] for r in _counted(rows.where("label = 0"), frozenset(toxic)).collect()}
     odds = {p: math.log((n + 0.5) / (bad + 1)) - math.log((clean.get(p, 0) + 0.5) / (good + 1)) for p, n in toxic.items()}
     weights: dict[str, float] = {}
@@ -186,10 +196,9 @@ def fit(
         # a longer form has to say clearly more than its beginning
         if odds[p] > shorter + 1.0 or not shorter:
             weights[p] = odds[p] - shorter
-    weights = dict(sorted(weights.items(), key=lambda x: (-toxic[x[0]] * x[1], x[0]))[:max_patterns])
-    # forms and phrases that clean rows have relatively more often; three clean rows at least
+    # forms and phrases that clean rows have relatively more often; ``least_rows`` clean rows at least
     share = (F.col("bad") + 0.5) / (bad + 1) < (F.col("good") + 0.5) / (good + 1)
-    against = [r["pattern"] for r in _around(rows, frozenset(weights)).where((F.col("good") >= 3) & share).select("pattern").collect()]
+    against = [r["pattern"] for r in _around(rows, frozenset(weights)).where((F.col("good") >= least_rows) & share).select("pattern").collect()]
     automaton = Model(weights).automaton()
     inside = lambda p: -sum(x[0] for _, x in automaton.iter(p))
     exceptions: dict[str, float] = {}
@@ -200,7 +209,7 @@ def fit(
     for phrase in phrases:
         exceptions[fold(phrase)] = inside(fold(phrase))
     model = Model(weights, exceptions)
-    found = score_rows(rows.withColumn("id", F.monotonically_increasing_id()), model, "label").select("x", "y", "z", "label").toPandas()
+    found = score_rows(rows.withColumn("id", F.monotonically_increasing_id()), model, "label", folded=True).select("x", "y", "z", "label").toPandas()
     x = np.column_stack([np.ones(len(found)), found.x, found.y, found.z])
     model.logistic = tuple(_newton(x, found.label.to_numpy(np.float64)).tolist())
     return model
@@ -218,7 +227,7 @@ def _newton(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> np.ndarray
     return beta
 
 
-def score_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
+def score_rows(rows: DataFrame, model: Model, *keep: str, folded: bool = False) -> DataFrame:
     """(id, *keep, x, y, z, score) for rows with columns id and text."""
     kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"id {id_type(rows, 'id')}{kinds}, x double, y double, z double, score double"
@@ -229,7 +238,7 @@ def score_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
         for batch in batches:
             for i, j in slices(batch.column(0), _BLOCK):
                 part = batch.slice(i, j - i)
-                found = [model.features(fold(t), automaton) for t in part.column(0).to_pylist()]
+                found = [model.features(t if folded else fold(t), automaton) for t in part.column(0).to_pylist()]
                 columns = [*part.columns[1:], *(pa.array([f[k] for f in found], pa.float64()) for k in range(3)), pa.array([model.score(*f) for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
