@@ -425,14 +425,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75, id_col
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, without those whose component has a smaller id; one row per id.
-    Rows with a null id stay."""
+    """The rows of ``docs``, with all their columns, without those whose component has a smaller id; of rows with one id the
+    one with the smallest text, equal ones by a hash of their columns. Rows with a null id stay."""
     found = near_duplicates(docs, k, threshold, id_col, text_col)
     kept = stored(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows")), "kept")
     named = docs.where(F.col(id_col).isNotNull())
     out = named.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
     if not kept.where("rows > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
+        row, order = F.struct(*docs.columns), F.struct(F.coalesce(text_col, F.lit("")), F.xxhash64(*docs.columns))
+        out = out.groupBy(F.col(id_col).alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
     return out.unionByName(docs.where(F.col(id_col).isNull()))
 
 
