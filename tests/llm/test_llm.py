@@ -181,6 +181,18 @@ def test_op2_folds_its_rows_as_events(spark, monkeypatch):
     assert got[None].n_turns == 2 and got[None].turns_sha256 == hashlib.sha256(b"\n\nuser\nc\n").hexdigest()
 
 
+def test_op2_of_odd_tables(spark):
+    kind = "conv_id bigint, turn bigint, role string, text string, seq int, message string, kind string, conv int"
+    long = "x\\<|" * 40_000
+    rows = [(1, 0, "user", "b", 0, "m", "edit", 3), (1, 0, "user", "a", 0, "m", "edit", 3), (1, 0, "user", "a", 9, None, "regenerate", 3), (1, 1, "assistant", long, 0, "m", None, None), (2, None, "assistant", "<|nl|>\n", 0, "m", "edit", 3)]
+    d = spark.createDataFrame(rows, kind)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.conv_id: r for r in chat.op2(d).collect()}
+    assert got[1].n_turns == 4 and got[1].turns_sha256 == sha(f"user\na\nuser\na\nuser\nb\nassistant\n{long}\n")
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(long), sha(long)) and got[2].turns_sha256 == sha("assistant\n<|nl|>\n\n")
+    assert [r.conv_id for r in chat.op2(d.limit(0)).collect()] == [-1]
+
+
 # --- 3 ---
 
 
@@ -188,7 +200,7 @@ def test_neighbours(spark):
     x = RNG.normal(size=(400, 24))
     x[7], x[9] = x[0], x[0]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    rows += [(1000, None, 1), (1001, [0.0] * 24, 1), (1002, [float("nan")] * 24, 1), (1003, [None] + [1.0] * 23, 1), (1100, [1.0], 1), (3, x[3].tolist(), 1)]
+    rows += [(1000, None, 1), (1001, [0.0] * 24, 1), (1002, [float("nan")] * 24, 1), (1003, [None] + [1.0] * 23, 1), (1100, [1.0], 1), (None, x[5].tolist(), 1), (3, x[3].tolist(), 1)]
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, block int")
     got = neighbours.op3(d).collect()
     hits = 0
@@ -204,6 +216,28 @@ def test_neighbours(spark):
     assert neighbours.op3(d.where("vec_id > 999 AND vec_id < 1100")).count() == 0
 
 
+def test_pigeonhole_finds_every_code_within_the_radius():
+    codes = RNG.integers(0, 1 << 16, (500, 5)).astype(np.uint16)
+    codes[:50] = codes[0] ^ (1 << RNG.integers(0, 16, (50, 5))).astype(np.uint16)
+    tables = neighbours.Tables(codes)
+    for i in range(0, 500, 25):
+        distance = neighbours.hamming(codes, codes[i])
+        for radius in (0, 1, 4, 5, 9, 10, 23, 40, 80):
+            assert tables.within(codes[i], radius).tolist() == np.flatnonzero(distance <= radius).tolist()
+
+
+def test_neighbours_do_not_depend_on_the_blocks(spark, monkeypatch):
+    x = RNG.normal(size=(700, 32))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = []
+    for rows in (30, 1 << 16):
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", rows)
+        got.append(sorted(map(tuple, neighbours.op3(d).collect())))
+    assert got[0] == got[1] and len(got[0]) == 70
+    near = {(q, int(i)) for q in range(0, 700, 100) for i in np.argsort(((x - x[q]) ** 2).sum(1))[1:11]}
+    assert len({(r[0], r[2]) for r in got[0]} & near) >= 63  # recall of 0.9
+
+
 # --- 4 ---
 
 
@@ -219,7 +253,55 @@ def test_fingerprints(spark, docs, empty):
     assert all(len(v) == 1 for v in same.values())
     assert imatch.op4(empty).count() == 0
     one = imatch.op4(spark.createDataFrame([(5, "a b c d")], "doc_id bigint, text string")).first()
-    assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest() or one.n_chars == 7
+    assert one.n_chars == 7 and one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest()
+
+
+def plain_fingerprints(texts, looked):
+    """The method word by word, in Python integers: sets of terms, their document frequencies, the band, 64 subsets."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def term(w):
+        return mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) & mask)
+
+    terms = lambda t: set(re.findall(rb"[^\x20\x09-\x0d]+", t.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))))
+    df = Counter(w for t in texts for w in terms(t))
+    n = len(texts)
+    band = {w for w, c in df.items() if max(2.0, 0.001 * n) <= c <= max(2.0, 0.1 * n)}
+    out = []
+    for t in looked:
+        kept = sorted(map(term, terms(t) & band or terms(t)))
+        code = []
+        for s in range(64):
+            rate = (2, 4, 6, 7, 8, 9, 10, 11)[s // 8]
+            total = sum(mix(h) for h in kept if mix((h + 0x51ED270B * (s + 1)) & mask) % (1 << rate) == 0) & mask
+            code.append(mix(total) >> 48 | 1 if total else 0)
+        out.append(code)
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    groups = [[(x == y) for x, y in zip(a[i : i + 8], b[i : i + 8]) if x or y] for i in range(0, 64, 8)]
+    full = [sum(g) / len(g) for g in groups if len(g) >= 4]
+    return max(full) if full else sum(map(sum, groups)) / sum(map(len, groups))
+
+
+def test_fingerprints_against_plain_ones(spark):
+    rows = sorted((i, sentence(int(RNG.integers(0, 40))) + f" rare{i % 40} Rare{i % 15} own{i}") for i in range(60)) + [(100, ""), (101, "été 🙂 rare3"), (102, None)]
+    texts = [t or "" for _, t in rows]
+    news = [imatch.edited(a, b) for a, b in zip(texts, texts[1:] + texts[:1])]
+    want, changed = plain_fingerprints(texts, texts), plain_fingerprints(texts, news)
+    text = lambda code: "".join(f"{x:04x}" for x in code)
+    got = {r.doc_id: r for r in imatch.op4(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    for k, (i, _) in enumerate(rows):
+        assert got[i].fingerprint == text(want[k]) and got[i].edited_fingerprint == text(changed[k])
+        assert got[i].near_edited == pytest.approx(plain_likeness(want[k], changed[k])) and got[i].near_next == pytest.approx(plain_likeness(want[k], want[(k + 1) % len(rows)]))
 
 
 # --- 5 ---
@@ -438,6 +520,30 @@ def test_exceptions_cancel_before_the_largest_weight():
     assert of("weak tea strongly") == (0, 0, 0)
 
 
+def test_features_against_plain_search():
+    """Every occurrence of every entry by plain search, without those inside an exception."""
+    for _ in range(200):
+        draw = lambda n: "".join(RNG.choice(list("ab "), n))
+        weights = {draw(int(RNG.integers(1, 4))): float(RNG.integers(1, 9)) for _ in range(5)}
+        exceptions = {p: -1.0 for p in (draw(int(RNG.integers(2, 6))) for _ in range(3)) if p not in weights}
+        model, text = toxicity.Model(weights, exceptions), toxicity.fold(draw(30))
+        spots = lambda entries, text=text: [(i, i + len(p), p) for p in entries for i in range(len(text) - len(p) + 1) if text.startswith(p, i)]
+        spans = spots(exceptions)
+        found = [weights[p] for a, b, p in spots(weights) if not any(x <= a and b <= y for x, y, _ in spans)]
+        x, y, z = model.features(text, model.automaton())
+        words = max(1, len(text.split()))
+        assert z == max(found, default=0.0) and x == pytest.approx(np.log1p(sum(found))) and y == pytest.approx(np.log1p(100 * sum(found) / words) if found else 0)
+
+
+def test_toxicity_of_odd_tables(spark):
+    d = spark.createDataFrame([(1, "zorgish " * 50_000, 9, 0.5), (1, None, 9, 0.5), (2, "", None, None)], "doc_id bigint, text string, label int, score double")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y")], "doc_id bigint, toxic int, text string")
+    got = toxicity.op9(d, labels).collect()
+    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.op9(d.limit(0), labels).count() == 0 and toxicity.op9(d, labels.limit(0)).count() == 3
+    assert toxicity.keep_clean(d, toxicity.Model()).columns == d.columns
+
+
 def test_exceptions_of_clean_rows(spark):
     rows, marks = [], []
     for i in range(600):
@@ -479,6 +585,88 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+def plain_core(body):
+    """The node with the largest density sum, by the formula read node by node."""
+    import math
+
+    def count(node):
+        chars, tags, lc, lt = 0, 0, 0, 0
+        for x in node.items:
+            if isinstance(x, str):
+                chars += len("".join(x.split()))
+            else:
+                c, t, a, b = count(x)
+                chars, tags, lc, lt = chars + c, tags + t + 1, lc + a, lt + b + (x.tag == "a")
+        return (chars, tags, chars, tags) if node.tag == "a" else (chars, tags, lc, lt)
+
+    whole = count(body)
+
+    def density(node):
+        c, t, lc, lt = count(node)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + whole[2] / max(whole[0], 1) * c + math.e)
+        return c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1) + 1e-9) / math.log(max(base, 1.0) + 1.0)
+
+    every, rest = [], [body]
+    while rest:
+        every.append(rest.pop(0))
+        rest += every[-1].children()
+    return max(every, key=lambda x: sum(map(density, x.children())))
+
+
+P1, P2, P3 = (f"A paragraph number {k} of the article, with words enough to be dense and no link at all in it." for k in "123")
+LINKS = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        # nothing but density tells the text from the links
+        (f"<body><div><ul>{LINKS}</ul></div><div><p>{P1}<p>{P2}<p>{P3}</div><div><ul>{LINKS}</ul></div>", [P1, P2, P3]),
+        # an article of links beside the text, and one around it
+        (f"<body><article><ul>{LINKS}</ul></article><div><p>{P1}<p>{P2}<p>{P3}</div>", [P1, P2, P3]),
+        (f"<body><div><ul>{LINKS}</ul></div><article><h1>Title</h1><div><p>{P1}<p>{P2}</div><p>Short end.</p></article>", ["Title", P1, P2, "Short end."]),
+        (f"<body><div><h1>Title</h1><div><p>{P1}<p>{P2}</div></div><ul>{LINKS}</ul>", ["Title", P1, P2]),
+        # names of classes: whole ones, of containers, that don't hold the text
+        (f"<body><div class='page has-sidebar'><p>{P1}<p>{P2}</div>", [P1, P2]),
+        (f"<body><div class='sidebar'><p>{P1}<p>{P2}</div>", [P1, P2]),
+        (f"<article><p>{P1}</p><p class='social'>Kept.</p><div class='ad'>Buy this.</div><p>{P2}</p></article>", [P1, "Kept.", P2]),
+        (f"<body><div><p>{P1}<p>{P2}</div><div id='comments'>" + "".join(f"<div class=comment><p>{P3} {P3}</p></div>" for _ in range(9)) + "</div>", [P1, P2]),
+        (f"<body><div class='cookie-banner'>We use cookies.</div><div role='navigation'>{P3}</div><main><p>{P1}<p>{P2}</main>", [P1, P2]),
+        ("<article><p>one <b>two<p>three</b> four</article>", ["one two", "three four"]),
+        ("<ul><li>a<li>b<ul><li>c</ul></ul>", ["a", "b", "c"]),
+    ],
+)
+def test_density_and_names(html, want):
+    assert html_text.main_text(html) == "\n\n".join(want)
+
+
+def test_core_against_the_formula():
+    for _ in range(60):
+        parts = RNG.choice(["<div>", "</div>", "<p>", "<ul><li>", "</li></ul>", "<a href=x>", "</a>", "some words here ", "x", "<b>y</b>"], 40)
+        root = html_text.parse("<body>" + "".join(parts))
+        body = root.items[0]
+        nodes = html_text._walk(body)
+        html_text._measure(nodes, body)
+        assert html_text._core(nodes) is plain_core(body)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<p>a<li>" * 120_000, "<!a" * 300_000, "<a '" * 250_000, "<div>" * 200_000, "</b>" * 250_000, "<" * 10**6, "&amp;" * 200_000, "<b><p>" * 80_000 + "x"):
+        t = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - t < 15
+
+
+def test_extract_of_an_empty_table(spark):
+    d = spark.createDataFrame([], "page_id bigint, url string, html string, text string, n_chars int")
+    assert html_text.op10(d).count() == 0
+    assert html_text.op10(spark.createDataFrame([(1, "u", "<p>" + "word " * 400_000, "t", 5)], d.schema)).first().n_chars == 5 * 400_000 - 1
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>x</p>", "e"), (None, None, None, "e"), (2, "v", "<ul>" + "<li>item</li>" * 2000 + "</ul>", "e"), (1, "u", "<p>x</p>", "e")]
     got = html_text.op10(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
@@ -507,3 +695,23 @@ def test_pipeline(spark):
             assert all(r.text == old[r.doc_id] for r in by_id(docs) if r.doc_id in exact) and docs.count() == before.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in by_id(docs)}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id bigint, text string, lang string, node int, label int, n_chars bigint"
+    t = sentence(60)
+    rows = [(1, t, "en", 1, 1, 0), (1, t + " tail", "en", 1, 1, 0), (2, t, None, 1, 1, 0), (3, None, "en", 1, 1, 0), (None, t, "en", 1, 1, 0), (None, None, None, None, None, None), (4, "", "fr", 1, 1, 0), (5, sentence(50), "fr", 1, 1, 0)]
+    for name, some in (("full", rows), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id bigint, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(f(spark, docs, str(folder)).collect(), docs.schema)
+            assert [c for c, _ in docs.dtypes] == kind.replace(",", "").split()[::2]
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert sorted({r.doc_id for r in got if r.doc_id is not None}) == ([1, 3, 4, 5] if some else []) and sum(r.doc_id is None for r in got) == (2 if some else 0)
+        if some:
+            assert {r.doc_id: r.text for r in docs.collect()}[1] == t  # the smallest text of the rows with this id
