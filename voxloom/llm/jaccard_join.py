@@ -3,7 +3,8 @@
 1. Every document becomes the set of the 64-bit hashes of its shingles; documents with equal sets are one
    node from here on. Nodes keep only what others have too: the shingle hashes of blocks of documents
    are dealt by value, in packed arrays, and those found in two or more sets come back to their nodes
-   with their frequency. No intersection holds any other shingle.
+   with their frequency. No intersection holds any other shingle. A shingle that many sets of a block have is
+   one entry of the block, however many these are.
 2. A node's prefix is its n - ceil(t n) + 1 rarest shingles. Shingles of its own come first, so most
    documents have nothing in their prefix that another one has, and leave.
 3. Nodes that share a prefix shingle are candidates, if the length and positional filters let them pass.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ GROUP_BYTES = 8 << 20  # of text for each bucket of shingles and each home of no
 LEADER_ROUNDS = 2
 BLOCK_NODES, BLOCK_BYTES = 512, 1 << 20  # of nodes and of their shared shingles in a block
 SUFFIX_DEPTH = 3
+COMMON = 16  # sets of a block from which a shingle is counted for all of them at once
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -76,17 +79,24 @@ def _unplane(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4", n).astype(np.uint64) | np.frombuffer(b, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
+def _token(low: np.ndarray, bucket, grade: np.ndarray) -> np.ndarray:
+    """Tokens of shingles, ordered by frequency first; positive as signed integers."""
+    return mix(low + (np.uint64(bucket) << np.uint64(40) if isinstance(bucket, int) else bucket << np.uint64(40))) >> np.uint64(9) | grade.astype(np.uint64) << np.uint64(55)
+
+
 def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(node, n, own, prefix, shared): the nodes whose prefix holds a shingle that another node has; ``shared`` are
     all such shingles of it as tokens in ascending order, which is from rare to frequent, ``own`` the number of the others,
     ``prefix`` how many of ``shared`` belong to the prefix. Stored."""
     parts = groups_for(docs, text_col, GROUP_BYTES)
-    block_schema = "bucket int, nodes binary, sizes binary, counts binary, hashes binary"
+    block_schema = "bucket int, block bigint, nodes binary, sizes binary, counts binary, hashes binary, often binary, often_counts binary, often_buckets binary, members binary"
     arrow = arrow_schema(block_schema)
 
     def blocks(batches):
+        from pyspark import TaskContext
+
         held: list = []
-        size = 0
+        size, block = 0, TaskContext.get().partitionId() << 32
 
         def flush():
             flat = np.concatenate([f for f, _, _ in held])
@@ -97,16 +107,35 @@ def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text
             n, starts = n[first], starts[first]
             at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
             flat, owner = flat[at], np.repeat(np.arange(len(node)), n)
-            bucket = (flat >> np.uint64(40)) % np.uint64(parts)
-            order = np.argsort(bucket.astype(np.int32), kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(parts + 1).astype(np.uint64))
+            order = np.argsort(flat, kind="stable")
+            new = np.concatenate(([True], flat[order][1:] != flat[order][:-1])) if len(flat) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(flat)))
+            common = np.repeat(count >= COMMON, count)
+            # a shingle that many sets of the block have is one entry with their number; who they are stays with the block
+            often, often_count, members = flat[order[first]][count >= COMMON], count[count >= COMMON], owner[order[common]]
+            flat, owner = flat[order[~common]], owner[order[~common]]
+            often_bucket = ((often >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            by = np.argsort(often_bucket, kind="stable")
+            begin = np.cumsum(often_count) - often_count
+            members = members[np.repeat(begin[by] - (np.cumsum(often_count[by]) - often_count[by]), often_count[by]) + np.arange(len(members))]
+            often, often_count, often_bucket = often[by], often_count[by], often_bucket[by]
             rows: list[list] = [[] for _ in arrow.names]
-            for b in range(parts):
-                mine = order[ends[b] : ends[b + 1]]
-                if len(mine):
-                    who, count = np.unique(owner[mine], return_counts=True)
-                    for column, v in zip(rows, (b, node[who].tobytes(), n[who].tobytes(), count.astype(np.int32).tobytes(), _planes(flat[mine] & _LOW))):
-                        column.append(v)
+
+            def add(**x):
+                for column, name in zip(rows, arrow.names):
+                    column.append(x.get(name))
+
+            bucket = ((flat >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((owner, bucket))
+            ends = np.searchsorted(bucket[order], np.arange(parts + 1))
+            often_ends = np.searchsorted(often_bucket, np.arange(parts + 1))
+            for b in np.flatnonzero((np.diff(ends) > 0) | (np.diff(often_ends) > 0)).tolist():
+                mine, some = order[ends[b] : ends[b + 1]], slice(often_ends[b], often_ends[b + 1])
+                who, count = np.unique(owner[mine], return_counts=True)
+                add(bucket=b, block=block, nodes=node[who].tobytes(), sizes=n[who].tobytes(), counts=count.astype(np.int32).tobytes(), hashes=_planes(flat[mine] & _LOW), often=_planes(often[some] & _LOW), often_counts=often_count[some].astype(np.int32).tobytes())
+            if len(often):
+                add(bucket=int(block % parts), block=block, nodes=node.tobytes(), sizes=n.tobytes(), often=_planes(often & _LOW), often_counts=often_count.astype(np.int32).tobytes(), often_buckets=often_bucket.tobytes(), members=members.astype(np.int32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, arrow)], schema=arrow)
 
         for batch in batches:
@@ -116,58 +145,97 @@ def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text
                 size += part.nbytes
                 if size >= BLOCK:
                     yield from parted_batch(flush())
-                    held, size = [], 0
+                    held, size, block = [], 0, block + 1
         if held:
             yield from parted_batch(flush())
 
-    reply_schema = "home int, bucket int, nodes binary, sizes binary, counts binary, hashes binary, classes binary"
+    # rows with a home go there; of the others, those with members are the blocks' own, and the rest the grades for these
+    reply_schema = "home int, block bigint, bucket int, nodes binary, sizes binary, counts binary, tokens binary, grades binary, often binary, often_buckets binary, members binary"
     reply_arrow = arrow_schema(reply_schema)
 
-    def frequencies(table: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()])
-        count = join("counts", np.int32)
-        node, size = np.repeat(join("nodes", np.int64), count), np.repeat(join("sizes", np.int64), count)
-        h = np.concatenate([_unplane(b) for b in table.column("hashes").to_pylist()])
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        same = np.concatenate(([False], hs[1:] == hs[:-1]))
-        twice = same | np.concatenate((same[1:], [False]))
-        order = order[twice]  # only values met more than once need the exact order by node
-        h, node, size = h[order], node[order], size[order]
-        order = np.lexsort((node, h))
-        h, node, size = h[order], node[order], size[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, size = h[new], node[new], size[new]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-        df = np.diff(np.append(first, len(h)))
-        df = np.repeat(df, df)
-        h, node, size, df = h[df > 1], node[df > 1], size[df > 1], df[df > 1]
-        grade = np.minimum(255, np.round(6 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
+    def read(table: pa.Table, column: str, kind) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in table.column(column).to_pylist() if b is not None)])
+
+    def hashes(table: pa.Table, column: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(_unplane(b) for b in table.column(column).to_pylist() if b is not None)])
+
+    def to_homes(add, node: np.ndarray, size: np.ndarray, token: np.ndarray) -> None:
         home = (node.view(np.uint64) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((node, home))
         ends = np.searchsorted(home[order], np.arange(parts + 1))
-        rows: list[list] = [[] for _ in reply_arrow.names]
-        bucket = table.column("bucket")[0].as_py()
-        for p in range(parts):
+        for p in np.flatnonzero(np.diff(ends)).tolist():
             mine = order[ends[p] : ends[p + 1]]
-            if len(mine):
-                who, at, count = np.unique(node[mine], return_index=True, return_counts=True)
-                for column, v in zip(rows, (p, bucket, who.tobytes(), size[mine][at].tobytes(), count.astype(np.int32).tobytes(), _planes(h[mine]), grade[mine].tobytes())):
-                    column.append(v)
+            who, at, count = np.unique(node[mine], return_index=True, return_counts=True)
+            add(home=p, nodes=who.tobytes(), sizes=size[mine][at].tobytes(), counts=count.astype(np.int32).tobytes(), tokens=token[mine].tobytes())
+
+    def frequencies(table: pa.Table) -> pa.Table:
+        rows: list[list] = [[] for _ in reply_arrow.names]
+
+        def add(**x):
+            for column, name in zip(rows, reply_arrow.names):
+                column.append(x.get(name))
+
+        for row in table.filter(pc.is_valid(table.column("members"))).to_pylist():
+            add(block=row["block"], nodes=row["nodes"], sizes=row["sizes"], counts=row["often_counts"], often=row["often"], often_buckets=row["often_buckets"], members=row["members"])
+        table = table.filter(pc.is_null(table.column("members")))
+        if len(table):
+            bucket = table.column("bucket")[0].as_py()
+            count = read(table, "counts", np.int32)
+            node, size = np.repeat(read(table, "nodes", np.int64), count), np.repeat(read(table, "sizes", np.int64), count)
+            h = hashes(table, "hashes")
+            often, often_count = hashes(table, "often"), read(table, "often_counts", np.int32)
+            order = np.argsort(h, kind="stable")
+            hs = h[order]
+            same = np.concatenate(([False], hs[1:] == hs[:-1]))[: len(hs)]
+            twice = same | np.concatenate((same[1:], [False]))[: len(hs)]
+            twice |= np.isin(hs, often)
+            order = order[twice]  # only values met more than once need the exact order by node
+            h, node, size = h[order], node[order], size[order]
+            order = np.lexsort((node, h))
+            h, node, size = h[order], node[order], size[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+            h, node, size = h[new], node[new], size[new]
+            # all values with the number of sets that have them, once a block where many of a block do
+            value, back = np.unique(np.concatenate((h, often)), return_inverse=True)
+            df = np.bincount(back, np.concatenate((np.ones(len(h)), often_count)), minlength=len(value))
+            grade = np.minimum(255, np.round(6 * np.log2(np.maximum(df, 1)))).astype(np.uint8)[back]
+            own, often_grade = grade[: len(h)], grade[len(h) :]
+            shared = df[back[: len(h)]] > 1
+            to_homes(add, node[shared], size[shared], _token(h[shared], bucket, own[shared]))
+            at = 0
+            for block, b in zip(table.column("block").to_pylist(), table.column("often").to_pylist()):
+                if m := len(b) // 5:
+                    add(block=block, bucket=bucket, grades=often_grade[at : at + m].tobytes())
+                    at += m
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, reply_arrow)], schema=reply_arrow)
+
+    def expand(table: pa.Table) -> pa.Table:
+        """The tokens of a block's own sets, from the grades that came back for its shingles, bucket by bucket."""
+        rows: list[list] = [[] for _ in reply_arrow.names]
+
+        def add(**x):
+            for column, name in zip(rows, reply_arrow.names):
+                column.append(x.get(name))
+
+        mine = table.filter(pc.is_valid(table.column("members")))
+        if len(mine):
+            grade = read(table.filter(pc.is_valid(table.column("grades"))).sort_by("bucket"), "grades", np.uint8)
+            count, member = read(mine, "counts", np.int32), read(mine, "members", np.int32)
+            token = np.repeat(_token(hashes(mine, "often"), read(mine, "often_buckets", np.int32).astype(np.uint64), grade), count)
+            to_homes(add, read(mine, "nodes", np.int64)[member], read(mine, "sizes", np.int64)[member], token)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, reply_arrow)], schema=reply_arrow)
 
     out_schema = "node bigint, n bigint, own bigint, prefix int, shared binary"
     out_arrow = arrow_schema(out_schema)
 
     def gather(table: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()])
-        count = join("counts", np.int32)
-        node, size, grade = np.repeat(join("nodes", np.int64), count), np.repeat(join("sizes", np.int64), count), join("classes", np.uint8)
-        h = np.concatenate([_unplane(b) + (np.uint64(k) << np.uint64(40)) for b, k in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist())])
-        h = mix(h) >> np.uint64(9) | grade.astype(np.uint64) << np.uint64(55)  # tokens: the frequency first; positive as signed integers
+        count = read(table, "counts", np.int32)
+        node, size, h = np.repeat(read(table, "nodes", np.int64), count), np.repeat(read(table, "sizes", np.int64), count), read(table, "tokens", np.uint64)
         order = np.lexsort((h, node))
         node, size, h = node[order], size[order], h[order]
+        new = np.concatenate(([True], (node[1:] != node[:-1]) | (h[1:] != h[:-1])))  # a set in several blocks has its tokens once
+        node, size, h = node[new], size[new], h[new]
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         ends = np.append(first, len(node))
         n = size[first]
@@ -178,8 +246,10 @@ def shared_shingles(docs: DataFrame, k: int, threshold: float, id_col: str, text
         return pa.Table.from_arrays([pa.array(node[first][rows]), pa.array(n[rows]), pa.array(own[rows]), pa.array(prefix[rows].astype(np.int32)), pa.array(shared, pa.binary())], schema=out_arrow)
 
     entries = keyed_text(docs, id_col, text_col).mapInArrow(tidy(blocks), block_schema)
-    replies = dealt(entries, "bucket", parts).groupBy("bucket").applyInArrow(tidy(frequencies), reply_schema)
-    return stored(dealt(replies, "home", parts).groupBy("home").applyInArrow(tidy(gather), out_schema), "shared")
+    replies = stored(dealt(entries, "bucket", parts).groupBy("bucket").applyInArrow(tidy(frequencies), reply_schema), "replies")
+    from_blocks = dealt(replies.where("home IS NULL"), "block", parts).groupBy("block").applyInArrow(tidy(expand), reply_schema)
+    by_home = replies.where("home IS NOT NULL").unionByName(from_blocks).select("home", "nodes", "sizes", "counts", "tokens")
+    return stored(dealt(by_home, "home", parts).groupBy("home").applyInArrow(tidy(gather), out_schema), "shared")
 
 
 def _prefixes(shared: DataFrame) -> DataFrame:
