@@ -19,9 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, bucketed, id_type, keyed_text, n_parts, slices
+from ._common import arrow_schema, bucketed, groups_for, id_type, keyed_text, slices, tidy
 
 BLOCK_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20  # of text for each bucket of words: their number follows the corpus, so a bucket's distinct words are bounded
 LEVEL = 3
 
 
@@ -123,12 +124,11 @@ def encoded(
     """``split`` cuts a text; ``encoder()`` gives a function from distinct words to results; ``pack`` makes
     the results of a vocabulary bytes; ``finish`` gets a block's documents (n_bytes, seq, freq), the
     packed results in bucket order and where in these each word number is, and returns the columns ``out``."""
-    spark = docs.sparkSession
     kind = id_type(docs, id_col)
     schema = f"block bigint, bucket int, id {kind}, n_bytes bigint, seq binary, freq binary, vocab binary"
     arrow = arrow_schema(schema)
-    parts = n_parts(spark)
-    blocks = bucketed(keyed_text(docs, id_col, text_col).mapInArrow(_blocks(split, parts, counts_only, arrow), schema), "block", parts, name)
+    parts = groups_for(docs, text_col, BUCKET_BYTES)
+    blocks = bucketed(keyed_text(docs, id_col, text_col).mapInArrow(tidy(_blocks(split, parts, counts_only, arrow)), schema), "block", parts, name)
     vocab = blocks.where(F.col("bucket") >= 0).select("block", "bucket", "vocab").repartition(parts, "bucket")
 
     def encode(batches):
@@ -143,7 +143,7 @@ def encoded(
                 yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [bucket], "result": [pack([known[w] for w in words])]}, schema=replies)
 
     replies = arrow_schema("block bigint, bucket int, result binary")
-    answers = vocab.mapInArrow(encode, "block bigint, bucket int, result binary")
+    answers = vocab.mapInArrow(tidy(encode), "block bigint, bucket int, result binary")
     final = arrow_schema(f"id {kind}, {out}")
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
