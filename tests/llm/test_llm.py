@@ -105,10 +105,10 @@ def test_jaccard_join_of_a_chain_of_copies(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_jaccard_join_across_bounds(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, common", [(0, 2), (2, 4), (2, 16)])
+def test_jaccard_join_across_bounds(spark, monkeypatch, rounds, common):
     """Blocks and groups of a few nodes; without leader rounds the blocks find every link."""
-    for name, v in (("CHUNK", 900), ("BLOCK", 3000), ("GROUP_BYTES", 4000), ("BLOCK_NODES", 3), ("BLOCK_BYTES", 2000)):
+    for name, v in (("CHUNK", 900), ("BLOCK", 3000), ("GROUP_BYTES", 4000), ("BLOCK_NODES", 3), ("BLOCK_BYTES", 2000), ("COMMON", common)):
         monkeypatch.setattr(jaccard_join, name, v)
     rows = []
     for g in range(12):
