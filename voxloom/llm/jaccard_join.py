@@ -500,7 +500,8 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.75, id_col: str =
     found = near_duplicates(docs, k, threshold, id_col, text_col)
     kept = stored(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows")), "kept")
     named = docs.where(F.col(id_col).isNotNull())
-    out = named.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    # the ids that stay grow with the documents, so they are joined by a shuffle at every size, not broadcast
+    out = named.join(kept.select(F.col("id").alias(id_col)).hint("merge"), id_col, "left_semi").select(*docs.columns)
     if not kept.where("rows > 1").isEmpty():
         row, order = F.struct(*docs.columns), F.struct(F.coalesce(text_col, F.lit("")), F.xxhash64(*docs.columns))
         out = out.groupBy(F.col(id_col).alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
