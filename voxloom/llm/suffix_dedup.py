@@ -45,6 +45,7 @@ LENGTH, SEED = 50, 20
 SHARDS = 4  # for each bucket of minimisers
 HOME_BYTES = 16 << 20  # of text for each home, and for each bucket
 CHUNK, BLOCK = 1 << 20, 8 << 20
+NEARLY = 4  # places of a minimiser within a string that are dealt together
 HOT = 2048  # entries of a minimiser from which its strings are dealt by the bytes around it
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -78,9 +79,9 @@ def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed:
 
 
 def parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int = LENGTH, seed: int = SEED):
-    """Stretches, each of one minimiser, in parts: number of the stretch, start, bytes and key of each part. The key
-    of a string is the hash of its minimiser's place with bytes before it, if the string has enough of these,
-    and with bytes after it otherwise, so that equal strings have equal keys; strings of one key that follow each other are a part."""
+    """Stretches, each of one minimiser, in parts: number of the stretch, start, bytes and key of each part. Strings
+    whose minimiser is at nearly the same place within them are a part, and the key is the hash of the bytes that all these have, so
+    that equal strings have equal keys, and what is around a common line tells its strings apart."""
     n = size - length + 1
     owner = np.repeat(np.arange(len(start)), n)
     at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -89,10 +90,9 @@ def parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int =
     place = np.zeros(len(at), np.int64)  # the first of the smallest seeds
     for k in range(width - 1, -1, -1):
         place[seeds[at + k] == least[at]] = k
-    half = width // 2
-    low = place >= half
-    begin, end = at + place - np.where(low, half, 0), at + place + seed + np.where(low, 0, length - seed - half + 1)
-    key = mix(span_hashes(data, begin, end) + low.astype(np.uint64))
+    low = place - place % NEARLY
+    high = np.minimum(low + NEARLY, width) - 1
+    key = mix(span_hashes(data, at + place - low, at + place - high + length) + low.astype(np.uint64))
     first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))))
     last = np.append(first[1:], len(at)) - 1
     return owner[first], at[first], at[last] + length - at[first], key[first]
@@ -396,8 +396,14 @@ def _cut(parts: int):
                 row_, start_, size_ = row[plain], start[plain], size[plain]
                 if len(hot):
                     nth, s, n, k = parted(part, start[hot], size[hot])
-                    row_, start_, size_ = np.concatenate((row_, row[hot][nth])), np.concatenate((start_, s)), np.concatenate((size_, n))
-                    shard = np.concatenate((shard, (k % np.uint64(parts * SHARDS)).astype(np.int32)))
+                    who = row[hot][nth]
+                    # parts of a common passage are the same in very many documents: one stands for all of these
+                    lost, kept = _copies(part, part_ids[who], part_subs[who], s, n, k, span_hashes(part, s, s + n))
+                    if len(lost):
+                        by = lost[np.argsort(who[lost], kind="stable")]
+                        add(*_pack_spans(part_ids[who[by]], part_subs[who[by]], s[by] - inner[who[by]], s[by] - inner[who[by]] + n[by]), -1, b"")
+                    row_, start_, size_ = np.concatenate((row_, who[kept])), np.concatenate((start_, s[kept])), np.concatenate((size_, n[kept]))
+                    shard = np.concatenate((shard, (k[kept] % np.uint64(parts * SHARDS)).astype(np.int32)))
                 again = np.argsort(shard, kind="stable")
                 for f, e in zip(*_groups(shard[again])):
                     mine = again[f:e]
