@@ -235,9 +235,12 @@ def _without_named(body: Node) -> list[Node]:
             continue
         _measure(nodes, body)
         if kind == "comments":
-            outer = [x for x in named if not any(y.named == kind for y in _path(x, body)[1:])] if len(named) < 50 else named[:1]
-            keep = sum(x.chars for x in outer) >= body.chars
-            held = set(map(id, named)) if keep else set()
+            inside: set[int] = set()
+            for x in nodes:  # parents come first
+                if x.named == kind or id(x.parent) in inside:
+                    inside.add(id(x))
+            outermost = sum(x.chars for x in named if id(x.parent) not in inside)
+            held = inside if outermost >= body.chars else set()
         else:
             held = set(map(id, _path(_core(nodes), body)))
         for x in named:
