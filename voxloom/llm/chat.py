@@ -106,7 +106,8 @@ def op2(conversations: DataFrame) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(hostile).alias("text"),
     )
-    rows = conversations.select("conv_id", "turn", "role", "text").unionByName(own)
+    # dealt by conversation once: numbering, folding and rendering all find their rows together
+    rows = conversations.select("conv_id", "turn", "role", "text").unionByName(own).repartition("conv_id")
     # each row is the one event of its own message; rows of one turn are numbered, so that they stay messages of their own
     nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))))
     events = rows.select("conv_id", F.col("turn").alias("seq"), F.struct("turn", nth.alias("nth")).alias("message"), F.lit("delta").alias("kind"), "role", "text")
