@@ -1,4 +1,4 @@
-"""Corpora and n-grams: cleaning, hashing, counting, set operations, language-model estimates."""
+"""Corpora and n-grams: cleaning, hashing, counting, set operations."""
 
 from __future__ import annotations
 
@@ -100,55 +100,3 @@ def balance_classes(df: DataFrame, label: str, key: str, seed: str = "42") -> Da
     taken = sizes.withColumn("_before", before).join(F.broadcast(least)).where("_before < _least").drop("_n")
     rank = F.row_number().over(W.partitionBy(label, "_range").orderBy("_digest", key))
     return rows.join(taken, [label, "_range"]).withColumn("_rank", rank).where("_before + _rank <= _least").select(*df.columns)
-
-
-# --- language model -----------------------------------------------------------------------------------------
-
-
-def kneser_ney(counts: DataFrame, discount: float = 0.75) -> DataFrame:
-    """(n, gram, p, backoff) for orders 1 to 3 from ``ngram_counts``: interpolated Kneser-Ney with one discount. Lower orders
-    count the words that a gram is seen after; unigrams are shares of all distinct bigrams."""
-    head = F.regexp_replace("gram", r" [^ ]*\z", "")
-    tail = F.substring(F.col("gram"), F.locate(" ", "gram") + 1, F.length("gram"))
-    follows = counts.where("n > 1").groupBy(tail.alias("gram")).agg(F.count("*").alias("c"))  # continuation counts
-    uni = follows.where(gram_size(F.col("gram")) == 1)
-    total = uni.agg(F.sum("c").alias("t"))
-    p1 = uni.join(F.broadcast(total)).select("gram", (F.col("c") / F.col("t")).alias("p"))
-
-    def higher(own: DataFrame, lower: DataFrame) -> DataFrame:
-        """own: (gram, c); lower: (gram, p) of one order less."""
-        context = own.groupBy(head.alias("ctx")).agg(F.sum("c").alias("t"), F.count("*").alias("kinds"))
-        o = own.select("gram", "c", head.alias("ctx"), tail.alias("low"))
-        lower = lower.select(F.col("gram").alias("low"), F.col("p").alias("q"))
-        mass = F.lit(discount) * F.col("kinds") / F.col("t")
-        return o.join(context, "ctx").join(lower, "low", "left").select("gram", (F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("t") + mass * F.coalesce("q", F.lit(0.0))).alias("p"))
-
-    def backoffs(own: DataFrame) -> DataFrame:
-        return own.groupBy(head.alias("gram")).agg((F.lit(discount) * F.count("*") / F.sum("c")).alias("backoff"))
-
-    c2 = follows.where(gram_size(F.col("gram")) == 2)
-    c3 = counts.where("n = 3").select("gram", F.col("cnt").alias("c"))
-    p2 = higher(c2, p1)
-    p3 = higher(c3, p2)
-    p = p1.union(p2).union(p3)
-    return p.join(backoffs(c2).union(backoffs(c3)), "gram", "left").select(gram_size(F.col("gram")).alias("n"), "gram", "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"))
-
-
-def lm_scores(sentences: DataFrame, model: DataFrame, key: str, tokens: Column, floor: float = 1e-7) -> DataFrame:
-    """(key, n_words, score): log10 probability of each sentence; a word takes its longest known gram, times the back-off
-    weights of the contexts that were left; unknown words have ``floor``."""
-    w = sentences.select(key, tokens.alias("t")).select(key, F.posexplode_outer("t").alias("i", "w"), "t")
-    at = lambda n: F.when(F.col("i") >= n - 1, F.array_join(F.slice("t", F.col("i") - (n - 2), F.lit(n)), " "))
-    context = lambda n: F.when(F.col("i") >= n, F.array_join(F.slice("t", F.col("i") - (n - 1), F.lit(n)), " "))
-    rows = w.select(key, "i", "w", at(1).alias("g1"), at(2).alias("g2"), at(3).alias("g3"), context(1).alias("k1"), context(2).alias("k2"))
-    for g in ("g1", "g2", "g3"):
-        rows = rows.join(model.select(F.col("gram").alias(g), F.col("p").alias(f"p_{g}")), g, "left")
-    for k in ("k1", "k2"):
-        rows = rows.join(model.select(F.col("gram").alias(k), F.col("backoff").alias(f"b_{k}")), k, "left")
-    b1, b2 = F.coalesce("b_k1", F.lit(1.0)), F.coalesce("b_k2", F.lit(1.0))
-    p = F.coalesce(F.col("p_g3"), F.col("p_g2") * b2, F.coalesce("p_g1", F.lit(floor)) * b1 * b2)
-    return rows.groupBy(key).agg(F.count("w").alias("n_words"), F.coalesce(F.sum(F.when(F.col("w").isNotNull(), F.log10(p))), F.lit(0.0)).alias("score"))
-
-
-def perplexity(score: Column, n_words: Column) -> Column:
-    return F.pow(F.lit(10.0), -score / F.greatest(n_words, F.lit(1)))

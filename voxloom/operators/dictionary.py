@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 
-#: Terms are found by their first letters.
-GRAM = 4
+#: Phrases are found by so many letters on each side of their first space.
+SIDE = 6
 
 
 def _clean(terms: DataFrame) -> DataFrame:
@@ -16,25 +16,32 @@ def _clean(terms: DataFrame) -> DataFrame:
 
 
 def _in_words(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term) for terms without a space that are substrings of the distinct words ``vocabulary``: joined on the
-    first letters of the term and every piece of so many letters of the word, then verified."""
-    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("word") - i + 1)), lambda n: F.substring("word", i, n))))
-    pieces = vocabulary.where("word <> ''").select("word", F.explode(F.array_distinct(starts)).alias("_g"))
-    heads = terms.select("term", F.substring("term", 1, GRAM).alias("_g"))
-    return pieces.join(heads, "_g").where(F.contains("word", "term")).select("word", "term")
+    """(word, term) for terms without a space that are substrings of the distinct words ``vocabulary``: every piece of a word
+    that is as long as some term is looked up, so each joined row is a pair."""
+    lengths = terms.agg(F.collect_set(F.length("term"))).scalar()
+    rows = vocabulary.where("word <> ''").withColumn("_n", lengths)
+    sizes = F.filter("_n", lambda n: n <= F.length("word"))
+    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring("word", i, n))))
+    return rows.select("word", F.explode(F.array_distinct(pieces)).alias("term")).join(terms, "term").select("word", "term")
 
 
 def _phrases(body: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, _v, term) for terms of several words: joined on the letters around the term's first space, at most three on each
-    side, which the text has at one of its spaces, then verified."""
-    around = lambda a, b, i, j: F.concat(F.right(a, F.least(i, F.length(a))), F.lit(" "), F.left(b, F.least(j, F.length(b))))
+    """(key, _v, term) for terms of several words: joined on the letters around the term's first space, at most ``SIDE`` on each
+    side, which the text has at one of its spaces, then verified. Only numbers of letters that some term has are
+    looked up, none without such terms."""
+    first, rest = F.substring_index("term", " ", 1), F.split("term", " ")[1]
+    left, right = F.least(F.length(first), F.lit(SIDE)), F.least(F.length(rest), F.lit(SIDE))
+    around = lambda a, b, i, j: F.concat(F.right(a, i), F.lit(" "), F.left(b, j))
+    heads = terms.select("term", around(first, rest, left, right).alias("_g"))
+    shapes = terms.agg(F.collect_set(F.struct(left.alias("i"), right.alias("j")))).scalar()
     w = F.split("_t", " ")
     sides = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda k: F.struct(F.get(w, k - 1).alias("a"), F.get(w, k).alias("b")))
-    sizes = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(4)))
-    keys = F.array_distinct(F.flatten(F.transform(F.when(F.size(w) > 1, sides), lambda s: F.transform(sizes, lambda z: around(s["a"], s["b"], z["i"], z["j"])))))
-    first, rest = F.substring_index("term", " ", 1), F.split("term", " ")[1]
-    heads = terms.select("term", around(first, rest, F.lit(3), F.lit(3)).alias("_g"))
-    found = body.select("key", F.explode(keys).alias("_g")).join(heads, "_g").select("key", "term").distinct()
+    # distinct neighbours of all texts are cut, not each text's
+    near = body.select("key", F.explode(F.array_distinct(F.when(F.size(w) > 1, sides))).alias("s")).withColumn("_z", shapes).where(F.size("_z") > 0)
+    fits = lambda s: F.filter("_z", lambda z: (z["i"] <= F.length(s["a"])) & (z["j"] <= F.length(s["b"])))
+    cut = near.select("s", "_z").distinct().select("s", F.explode(F.array_distinct(F.transform(fits(F.col("s")), lambda z: around(F.col("s.a"), F.col("s.b"), z["i"], z["j"])))).alias("_g"))
+    pairs = cut.join(heads, "_g").select("s", "term").distinct()
+    found = near.join(pairs, "s").select("key", "term").distinct()
     return found.join(body, "key").where(F.contains("_t", "term")).select("key", "_v", "term")
 
 

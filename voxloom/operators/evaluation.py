@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,18 +11,40 @@ from pyspark.sql import functions as F
 
 from .ordered import running_sums
 
+#: Masks of words that are kept; those of rarer words are made again from their few places.
+_MASKS = 1024
+
+
 def edits(reference: list, hypothesis: list) -> int:
-    """Edit distance of two lists, row by row over numbers for their items."""
-    number: dict = {}
-    r, h = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (reference, hypothesis))
-    r, h = (r, h) if len(r) <= len(h) else (h, r)  # the distance is symmetric, and rows cost more than their length
-    at = np.arange(len(h) + 1)
-    row = at
-    for i, w in enumerate(r, 1):
-        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (h != w))))
-        # insertions go on from the best place to the left
-        row = np.minimum.accumulate(new - at) + at
-    return int(row[-1])
+    """Edit distance of two lists, bit-parallel (Myers): a column of the table is two integers of a bit for each item of one
+    list, the places where the distance rises and falls by one, and an item of the other list is a few operations on them."""
+    a, b = (reference, hypothesis) if len(reference) <= len(hypothesis) else (hypothesis, reference)
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a[head:]), reversed(b[head:]))) if x != y), len(a) - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a:
+        return len(b)
+    places: dict = {}
+    for i, w in enumerate(a):
+        places.setdefault(w, []).append(i)
+
+    @lru_cache(_MASKS)
+    def mask(word) -> int:
+        bits = np.zeros(len(a), np.uint8)
+        bits[places[word]] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    rise, fall = full, 0
+    for w in b:
+        same = mask(w) if w in places else 0
+        diagonal = (((same & rise) + rise) ^ rise) | same | fall
+        up, down = fall | (full & ~(diagonal | rise)), rise & diagonal
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        across = same | fall
+        rise, fall = down | (full & ~(across | up)), up & across
+    return distance
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
@@ -128,10 +152,15 @@ def coverage(df: DataFrame, group: str, filled: Column, least: float = 0.8) -> D
     return df.groupBy(group).agg(F.count("*").alias("total"), F.count_if(filled).alias("filled"), F.round(share, 3).alias("coverage"), (share >= least).alias("pass"))
 
 
-def dictionary_size(lines: DataFrame, group: str, line: str, least: int = 500) -> DataFrame:
-    """Entries of each dictionary: lines that are neither blank nor comments."""
-    ok = (F.trim(line) != "") & ~F.trim(line).startswith("#")
-    return lines.groupBy(group).agg(F.count_if(ok).alias("entries")).withColumn("pass", F.col("entries") >= least)
+def dictionary_size(lines: DataFrame, group: str, line: str, order: str, least: int = 500) -> DataFrame:
+    """(group, entries, pass): entries of each dictionary are its lines that are neither blank nor comments, without a header. The
+    first of them, by ``order``, is a header if it has tabs and all its cells are letters (spaces and ``_`` aside)."""
+    ok = F.col(line).rlike(r"\S") & ~F.startswith(F.col(line), F.lit("#"))
+    first = F.min_by(F.regexp_replace(F.col(line), r"^[ \t\r\n]+|[ \t\r\n]+$", ""), F.when(ok, F.col(order)))
+    counts = lines.groupBy(group).agg(F.count_if(ok).alias("_n"), F.min_by(line, F.when(ok, F.col(order))).alias("_raw"), first.alias("_first"))
+    cell = lambda c: F.regexp_replace(c, "[_ ]", "").rlike(r"^\p{L}+$")
+    header = F.contains("_raw", F.lit("\t")) & F.forall(F.split("_first", "\t"), cell)
+    return counts.select(group, (F.col("_n") - F.coalesce(header.cast("int"), F.lit(0))).alias("entries")).withColumn("pass", F.col("entries") >= least)
 
 
 def required_inventory(required: DataFrame, existing: DataFrame, key: str, group: str) -> DataFrame:

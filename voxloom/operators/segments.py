@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordered import nearest_marks, ranged
+
 
 def _by(doc: str, idx: str):
     return W.partitionBy(doc).orderBy(idx)
@@ -80,6 +82,17 @@ def delta(df: DataFrame, column: str, doc: str = "doc", idx: str = "frame_idx",
     return rows.withColumn(out, F.coalesce("_slope", edge)).drop("_slope")
 
 
+def with_deltas(df: DataFrame, column: str, doc: str = "doc", idx: str = "frame_idx", half: int = 4, order: int = 2) -> DataFrame:
+    """Adds ``features``: the value, its delta, the delta of that, and so on, ``order`` times; null in documents of fewer than 2 half + 1
+    frames, which have no full window."""
+    names = [column, *(f"_d{k}" for k in range(1, order + 1))]
+    rows = df
+    for before, name in zip(names, names[1:]):
+        rows = delta(rows, before, doc, idx, half, name)
+    values = F.array(*(F.col(n).cast("double") for n in names))
+    return rows.withColumn("features", F.when(F.forall(values, lambda v: v.isNotNull()), values)).drop(*names[1:])
+
+
 def stride(df: DataFrame, most: int = 5000, doc: str = "doc", idx: str = "frame_idx") -> DataFrame:
     """Every k-th frame, k = max(1, n // most)."""
     k = F.greatest(F.lit(1), F.floor(F.count("*").over(W.partitionBy(doc)) / most))
@@ -102,6 +115,38 @@ def split_by_group(df: DataFrame, group: Column, seed: str = "42", shares: tuple
     return df.withColumn("split", F.when(k < a, "train").when(k < b, "valid").otherwise("test"))
 
 
+def _placed(sizes: DataFrame, shares: tuple[float, float], least: int) -> DataFrame:
+    """Adds ``_train`` and ``_valid``, the ranks at which these splits of a class of ``_all`` rows end."""
+    part = lambda share: F.greatest(F.floor(F.col("_all") * F.lit(share)), F.lit(least))
+    return sizes.withColumn("_train", part(shares[0])).withColumn("_valid", F.col("_train") + part(shares[1]))
+
+
+def split_exact(df: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.1), label: str | None = None, least: int = 0, seed: str | None = "42") -> DataFrame:
+    """Adds ``split``: of the rows of each class (of all, without ``label``), in the order of a seeded hash of the key, floor(share * n)
+    are for training and for validation, ``least`` at least if there are so many, and the rest are for testing.
+    Without ``seed`` rows are taken in the order of the key itself. Keys are distinct in a class.
+
+    No class is sorted in one task: rows get their rank within a range of hashes (or a sampled range of keys), and
+    the rows of a class in earlier ranges are added to it."""
+    name = F.lit(0) if label is None else F.col(label)
+    rows = df.withColumn("_class", name)
+    if seed is None:
+        order, rows = [key], ranged(rows, F.asc(key))
+    else:
+        order = ["_digest", key]
+        digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary"))
+        rows = rows.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 3))
+    ranges = rows.groupBy("_class", "_range").agg(F.count("*").alias("_n"))  # 4096 rows a class, or one for each range of keys
+    whole = W.partitionBy("_class")
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = _placed(ranges.withColumn("_before", before).withColumn("_all", F.sum("_n").over(whole)), shares, least)
+    bases = bases.select(F.col("_class").alias("_c"), F.col("_range").alias("_r"), "_before", "_train", "_valid")
+    rank = F.row_number().over(W.partitionBy("_class", "_range").orderBy(*order)) + F.col("_before")
+    ranked = rows.join(bases, rows["_class"].eqNullSafe(F.col("_c")) & (rows["_range"] == F.col("_r"))).withColumn("_rank", rank)
+    split = F.when(F.col("_rank") <= F.col("_train"), "train").when(F.col("_rank") <= F.col("_valid"), "valid").otherwise("test")
+    return ranked.select(*df.columns, split.alias("split"))
+
+
 def timeline(df: DataFrame, duration: str, doc: str = "doc", idx: str = "seg_idx", pause: float = 0.5) -> DataFrame:
     """Adds ``offset``: where each piece begins when pieces of positive length follow each other with a pause."""
     order = _by(doc, idx)
@@ -152,11 +197,14 @@ def fix_length(x: Column, n: int, pad: Column) -> Column:
 
 
 def best_window(df: DataFrame, flag: Column, size: int, hop: int, doc: str = "doc", idx: str = "frame_idx") -> DataFrame:
-    """(doc, start, share): the window with the largest share of flagged frames, the first of equals."""
-    order = _by(doc, idx)
-    w = df.select(doc, idx, F.sum(flag.cast("int")).over(order.rowsBetween(0, size - 1)).alias("k"), F.count("*").over(order.rowsBetween(0, size - 1)).alias("n"))
-    full = w.where((F.col("n") == size) & (F.col(idx) % hop == 0))
-    return full.groupBy(doc).agg(F.max_by(F.struct(F.col(idx).alias("start"), (F.col("k") / size).alias("share")), F.struct("k", -F.col(idx))).alias("w")).select(doc, "w.*")
+    """(doc, start, share, n_padded): the window with the largest share of flagged frames, the first of equals. A document
+    shorter than the window is one window from 0, with frames without a flag behind its own, ``n_padded`` of them."""
+    order = _by(doc, idx).rowsBetween(0, size - 1)
+    w = df.select(doc, idx, F.sum(flag.cast("int")).over(order).alias("k"), F.count("*").over(order).alias("n"))
+    # the first frame's window is the only one of a short document
+    full = w.where(((F.col("n") == size) | (F.col(idx) == 0)) & (F.col(idx) % hop == 0))
+    best = full.groupBy(doc).agg(F.max_by(F.struct(F.col(idx).alias("start"), (F.col("k") / size).alias("share"), (size - F.col("n")).alias("n_padded")), F.struct(F.coalesce("k", F.lit(0)), -F.col(idx))).alias("w"))
+    return best.select(doc, "w.start", F.coalesce("w.share", F.lit(0.0)).alias("share"), "w.n_padded")
 
 
 # --- interval and nearest joins ---------------------------------------------------------------------------------
@@ -184,11 +232,10 @@ def join_nearest_midpoint(left: DataFrame, right: DataFrame, tolerance: float =
 
 
 def join_nearest_switch(true: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(doc, time, error_ms): each true switch with the distance of the nearest predicted one; infinite without any."""
+    """(doc, time, error_ms): each true switch with the distance of the nearest predicted one; infinite without any. A
+    document may have any number of switches."""
     both = true.select("doc", "time", F.lit(True).alias("real")).unionByName(predicted.select("doc", "time", F.lit(False).alias("real")))
-    own = F.when(~F.col("real"), F.col("time"))
-    order = W.partitionBy("doc").orderBy("time")
-    near = both.withColumn("before", F.last(own, ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, 0))).withColumn("after", F.first(own, ignorenulls=True).over(order.rangeBetween(0, W.unboundedFollowing)))
+    near = nearest_marks(both, "doc", "time", ~F.col("real"))
     gap = F.least(F.col("time") - F.col("before"), F.col("after") - F.col("time"))
     return near.where("real").select("doc", "time", F.coalesce(gap * 1000, F.lit(float("inf"))).alias("error_ms"))
 

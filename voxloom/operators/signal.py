@@ -123,12 +123,11 @@ def power_spectrum(frames: DataFrame, size: int) -> DataFrame:
 
 
 def linear_filters(n: int, bins: int) -> list[list[float]]:
-    """Triangular filters with edges evenly spread over the bins."""
-    edges = np.linspace(0, bins - 1, n + 2).astype(int)
+    """Triangular filters with edges evenly spread over the bins; the bins of a side rise evenly from 0 to 1, or fall to 0."""
+    edges = np.linspace(0, bins - 1, n + 2, dtype=int)
     out = np.zeros((n, bins))
-    for i, (a, b, c) in enumerate(zip(edges, edges[1:], edges[2:])):
-        out[i, a:b] = (np.arange(a, b) - a) / max(b - a, 1)
-        out[i, b:c] = (c - np.arange(b, c)) / max(c - b, 1)
+    for row, a, b, c in zip(out, edges, edges[1:], edges[2:]):
+        row[a:b], row[b:c] = np.linspace(0, 1, b - a), np.linspace(1, 0, c - b)
     return out.tolist()
 
 
@@ -146,18 +145,126 @@ def dct_matrix(n: int, size: int) -> list[list[float]]:
     return [[math.sqrt((1 if k == 0 else 2) / size) * math.cos(math.pi * k * (2 * i + 1) / (2 * size)) for i in range(size)] for k in range(n)]
 
 
-def lfcc(frames: DataFrame, size: int, n: int) -> DataFrame:
-    """(clip, frame_idx, vec): logarithms of 2 n linear filters, the first n cosine coefficients, in one kernel."""
+class BadClip(ValueError):
+    """Why a clip has no features."""
+
+
+def framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """The full frames of one clip."""
+    if len(x) < size:
+        raise BadClip("shorter than a frame")
+    return np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+
+
+def lfcc(size: int, hop: int, n: int, deltas: int = 0, half: int = 4):
+    """Kernel of a clip: logarithms of 2 n linear filters, the first n cosine coefficients, and after these their deltas."""
     power, filters, cosines = spectrum(size), np.array(linear_filters(2 * n, size // 2 + 1)).T, np.array(dct_matrix(n, 2 * n)).T
-    return by_frame(frames, size, lambda x: np.log(power(x) @ filters + 1e-8) @ cosines)
 
+    def kernel(x: np.ndarray) -> np.ndarray:
+        parts = [np.log(power(framed(x, size, hop)) @ filters + 1e-8) @ cosines]
+        for _ in range(deltas):
+            parts.append(slopes(parts[-1], half))
+        return np.concatenate(parts, axis=1)
+
+    return kernel
+
+
+def slopes(x: np.ndarray, half: int = 4) -> np.ndarray:
+    """Regression slopes over 2 half + 1 frames; frames at the edges have that of the first or last full window."""
+    if len(x) < 2 * half + 1:
+        raise BadClip(f"fewer than {2 * half + 1} frames")
+    weights = np.arange(-half, half + 1)
+    inner = np.lib.stride_tricks.sliding_window_view(x, 2 * half + 1, axis=0) @ (weights / (weights @ weights))
+    return np.concatenate((np.repeat(inner[:1], half, 0), inner, np.repeat(inner[-1:], half, 0)))
 
-def logmel(frames: DataFrame, size: int, n: int, rate: float) -> DataFrame:
-    """(clip, frame_idx, vec): decibels of mel filters, relative to the loudest of the clip."""
+
+def logmel(size: int, hop: int, n: int, rate: float, deepest: float = 80.0):
+    """Kernel of a clip: decibels of mel filters relative to the loudest value of the clip, at most ``deepest`` below it."""
     power, filters = spectrum(size), np.array(mel_filters(n, size // 2 + 1, rate)).T
-    bands = by_frame(frames, size, lambda x: np.log10(np.maximum(power(x) @ filters, 1e-10)), "b")
-    top = bands.groupBy("clip").agg(F.max(F.array_max("b")).alias("top"))  # combined before it is shuffled; one row a clip
-    return bands.join(top, "clip").select("clip", "frame_idx", F.transform("b", lambda v: 10 * (v - F.col("top"))).alias("vec"))
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        level = 10 * np.log10(np.maximum(power(framed(x, size, hop)) @ filters, 1e-10))
+        return np.maximum(level - level.max(), -deepest)
+
+    return kernel
+
+
+def clip_features(clips: DataFrame, clip: str, samples: str, kernel) -> DataFrame:
+    """(clip, reason, n_frames, n_coeffs, features): one row for each clip, in one pass and without a shuffle. ``features`` holds a row of
+    coefficients for each frame. A clip that can't be used has a ``reason`` and no features, and doesn't disturb the others:
+    no samples, samples that are null or no finite numbers, too few of them, or what the kernel fails with."""
+    schema = f"clip {clips.schema[clip].dataType.simpleString()}, reason string, n_frames int, n_coeffs int, features array<array<double>>"
+
+    def one(values, valid: bool) -> tuple[str | None, np.ndarray | None]:
+        try:
+            if values is None or not len(values):
+                raise BadClip("no samples")
+            if not valid or not np.isfinite(values).all():
+                raise BadClip("not a finite number")
+            out = kernel(values)
+            if not np.isfinite(out).all():
+                raise BadClip("features are no finite numbers")
+            return None, out
+        except BadClip as why:
+            return str(why), None
+        except Exception as why:  # noqa: BLE001  whatever a clip does to a kernel concerns that clip
+            return f"{type(why).__name__}: {why}"[:200], None
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(1)
+            found = []
+            for i in range(len(batch)):
+                item = x[i]
+                values = item.values if item.is_valid else None
+                found.append(one(None if values is None else values.to_numpy(zero_copy_only=False), values is None or values.null_count == 0))
+            good = [f for _, f in found if f is not None]
+            rows, width = sum(map(len, good)), max((f.shape[1] for f in good), default=0)
+            flat = np.concatenate([f.ravel() for f in good]) if good else np.zeros(0)
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(flat))
+            counts = pa.array([None if f is None else len(f) for _, f in found], pa.int32())
+            ends = np.concatenate(([0], np.cumsum([0 if f is None else len(f) for _, f in found]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(f is None for _, f in found), False])), inner)
+            coefficients = pa.array([None if f is None else f.shape[1] for _, f in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in found], pa.string()), counts, coefficients, lists], names=["clip", "reason", "n_frames", "n_coeffs", "features"])
+
+    return clips.select(F.col(clip).alias("clip"), F.col(samples).cast("array<double>")).mapInArrow(run, schema)
+
+
+def quarantined(features: DataFrame) -> DataFrame:
+    return features.where("reason IS NOT NULL").select("clip", "reason")
+
+
+def feature_manifest(features: DataFrame) -> DataFrame:
+    """(clip, n_frames, n_coeffs) of the clips that have features."""
+    return features.where("reason IS NULL").select("clip", "n_frames", "n_coeffs")
+
+
+def feature_counts(features: DataFrame) -> DataFrame:
+    """One row: n_success, n_fail."""
+    return features.agg(F.count_if(F.col("reason").isNull()).alias("n_success"), F.count_if(F.col("reason").isNotNull()).alias("n_fail"))
+
+
+def feature_frames(features: DataFrame) -> DataFrame:
+    """(clip, frame_idx, vec)"""
+    return features.where("reason IS NULL").select("clip", F.posexplode("features").alias("frame_idx", "vec"))
+
+
+def label_frames(frames: DataFrame, labels: DataFrame, rates: tuple[int, int] | None = None) -> DataFrame:
+    """(clip, frame_idx, vec, label): the frames of features (clip, frame_idx, vec) with the labels (clip, frame_idx, label) of their own numbers;
+    the longer side is cut. With ``rates``, frames and labels a second, frame t takes the label at its time, which
+    is label floor(t * labels / frames), and frames behind the last label go."""
+    at = F.col("frame_idx") if rates is None else F.expr(f"frame_idx * {rates[1]}L div {rates[0]}L")
+    named = labels.select("clip", F.col("frame_idx").cast("long").alias("_at"), "label")
+    return frames.withColumn("_at", at.cast("long")).join(named, ["clip", "_at"]).select("clip", "frame_idx", "vec", "label")
+
+
+def label_manifest(frames: DataFrame, labels: DataFrame, labelled: DataFrame, rate: float) -> DataFrame:
+    """(clip, n_frames, n_labels, n_kept, duration): how long features, labels, and what was kept of them are."""
+    count = lambda df, name: df.groupBy("clip").agg(F.count("*").alias(name))
+    out = count(frames, "n_frames").join(count(labels, "n_labels"), "clip", "full").join(count(labelled, "n_kept"), "clip", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("clip", *map(zero, ("n_frames", "n_labels", "n_kept")), F.round(zero("n_kept") / rate, 3).alias("duration"))
 
 
 def spectral_subtraction(spectra: DataFrame, noise_frames: int = 10, over: float = 2.0, floor: float = 0.01) -> DataFrame:
@@ -179,26 +286,38 @@ def mcd(pairs: DataFrame, pair: str = "pair") -> DataFrame:
 
 def path(x: np.ndarray, y: np.ndarray, band: float = 0.25) -> list[tuple[int, int]]:
     """Dynamic time warping of two arrays of frames in a band around the diagonal: squared cost, 0 where either is NaN; going
-    back, the diagonal comes first among equals."""
+    back, the diagonal comes first among equals.
+
+    Cells of one antidiagonal depend on the two before it only, so each is one step of array arithmetic on three rows. Of a cell, only
+    where its path came from is kept, in two bits."""
     n, m = len(x), len(y)
     width = max(int(band * max(n, m)), abs(n - m) + 1)
-    total = np.full((n + 1, m + 1), np.inf)
-    total[0, 0] = 0.0
-    for i in range(1, n + 1):
-        lo, hi = max(1, i - width), min(m, i + width)
-        if lo > hi:
-            continue
-        cost = np.nan_to_num(((x[i - 1] - y[lo - 1 : hi]) ** 2).reshape(hi - lo + 1, -1).sum(1))
-        best = np.minimum(total[i - 1, lo - 1 : hi], total[i - 1, lo : hi + 1])
-        left = total[i, lo - 1]
-        for k in range(hi - lo + 1):
-            left = cost[k] + min(best[k], left)
-            total[i, lo + k] = left
+    x, y = x.reshape(n, -1), y.reshape(m, -1)[::-1]
+    older, old = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # totals by i, of the antidiagonals s - 2 and s - 1
+    older[0] = 0.0
+    came: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for s in range(2, n + m + 1):
+        lo, hi = max(1, s - m, (s - width + 1) // 2), min(n, s - 1, (s + width) // 2)
+        new = np.full(n + 1, np.inf)
+        if lo <= hi:
+            # j falls as i rises, and y is reversed
+            cost = ((x[lo - 1 : hi] - y[m - s + lo : m - s + hi + 1]) ** 2).sum(1)
+            cost[np.isnan(cost)] = 0.0
+            slant, up, left = older[lo - 1 : hi], old[lo - 1 : hi], old[lo : hi + 1]
+            best = np.minimum(np.minimum(slant, up), left)
+            new[lo : hi + 1] = cost + best
+            straight = slant > best
+            came.append((lo, np.packbits(straight), np.packbits(straight & (up > best))))
+        else:
+            came.append((lo, *[np.zeros(0, np.uint8)] * 2))
+        older, old = old, new
     out, i, j = [], n, m
     while i and j:
         out.append((i - 1, j - 1))
-        step = np.argmin([total[i - 1, j - 1], total[i - 1, j], total[i, j - 1]])
-        i, j = i - (step != 2), j - (step != 1)
+        lo, straight, leftward = came[i + j - 2]
+        at, bit = divmod(i - lo, 8)
+        aside, leftward = (bool(int(bits[at]) >> (7 - bit) & 1) for bits in (straight, leftward))
+        i, j = i - (not leftward), j - (leftward or not aside)
     return out[::-1]
 
 

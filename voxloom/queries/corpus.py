@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 
 from ..functions import text as fn
 from ..operators import corpus as op
+from ..operators import language_model as lm
 from ..operators.ordered import running_sums
+from ..sources.storage import kept
 from .registry import query
 
 _W = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')"
@@ -72,9 +74,9 @@ def agg_word_freq(t):
     return op.word_counts(t("documents"), doc_words())
 
 
-@query(f"SELECT word, cnt FROM (SELECT word, count(*) AS cnt FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY word) ORDER BY cnt DESC, word LIMIT 1000")
+@query(f"SELECT word, cnt FROM (SELECT word, count(*) AS cnt FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY word) ORDER BY cnt DESC, word")
 def sort_frequency(t):
-    return op.word_counts(t("documents"), doc_words()).orderBy(F.desc("cnt"), "word").limit(1000)
+    return op.word_counts(t("documents"), doc_words()).orderBy(F.desc("cnt"), "word")
 
 
 @query(f"SELECT DISTINCT word FROM (SELECT unnest({_U}) AS word FROM documents) ORDER BY word")
@@ -181,34 +183,42 @@ def fn_bias_4bin(t):
     return term_frequencies(t).select("term", F.round(fn.bias_4bin(F.col("freq")), 1).alias("bias"))
 
 
+_O = "list_filter({0}, lambda x: x NOT IN ('<s>', '</s>', '<unk>'))"
 _KN = (
-    _COUNTS
-    + """, f AS (SELECT gram[2:] AS gram, count(*) AS c FROM counts WHERE n > 1 GROUP BY 1),
-p1 AS (SELECT gram, c / (SELECT sum(c) FROM f WHERE len(gram) = 1) AS p FROM f WHERE len(gram) = 1),
-c2 AS (SELECT * FROM f WHERE len(gram) = 2), k2 AS (SELECT gram[1:1] AS ctx, sum(c) AS t, count(*) AS k FROM c2 GROUP BY 1),
-p2 AS (SELECT c2.gram, greatest(c - 0.75, 0) / t + 0.75 * k / t * coalesce(p1.p, 0) AS p FROM c2 JOIN k2 ON c2.gram[1:1] = ctx LEFT JOIN p1 ON p1.gram = c2.gram[2:2]),
-c3 AS (SELECT gram, cnt AS c FROM counts WHERE n = 3), k3 AS (SELECT gram[1:2] AS ctx, sum(c) AS t, count(*) AS k FROM c3 GROUP BY 1),
-p3 AS (SELECT c3.gram, greatest(c - 0.75, 0) / t + 0.75 * k / t * coalesce(p2.p, 0) AS p FROM c3 JOIN k3 ON c3.gram[1:2] = ctx LEFT JOIN p2 ON p2.gram = c3.gram[2:3]),
-p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
-b AS (SELECT ctx AS gram, 0.75 * k / t AS backoff FROM k2 UNION ALL SELECT ctx, 0.75 * k / t FROM k3),
-model AS (SELECT len(p.gram) AS n, p.gram, p, coalesce(backoff, 1) AS backoff FROM p LEFT JOIN b USING (gram))"""
+    f"""WITH d AS (SELECT list_concat(['<s>'], t, ['</s>']) AS t FROM (SELECT {_O.format(_W)} AS t FROM documents) WHERE len(t) > 0), g AS (
+  SELECT 1 AS n, [x] AS gram FROM (SELECT unnest(t) AS x FROM d)
+  UNION ALL SELECT 2, t[i:i+1] FROM (SELECT t, unnest(range(1, len(t))) AS i FROM d)
+  UNION ALL SELECT 3, t[i:i+2] FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM d)),
+counts AS (SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram),
+a AS (SELECT n, gram, cnt AS c FROM counts WHERE n = 3 OR n = 2 AND gram[1] = '<s>' UNION ALL SELECT n - 1, gram[2:], count(*) FROM counts WHERE n > 1 GROUP BY ALL),
+t AS (SELECT n, count(*) FILTER (c = 1) AS t1, count(*) FILTER (c = 2) AS t2, count(*) FILTER (c = 3) AS t3, count(*) FILTER (c = 4) AS t4 FROM a GROUP BY n),
+e AS (SELECT n, 1 - 2 * y * t2 / nullif(t1, 0) AS e1, 2 - 3 * y * t3 / nullif(t2, 0) AS e2, 3 - 4 * y * t4 / nullif(t3, 0) AS e3 FROM (SELECT *, t1 / nullif(t1 + 2 * t2, 0) AS y FROM t)),
+f AS (SELECT *, coalesce(e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3, FALSE) AS ok FROM e),
+r AS (SELECT a.*, CASE WHEN ok THEN CASE c WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END ELSE CASE c WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 1.5 END END::DOUBLE AS d FROM a JOIN f USING (n)),
+x AS (SELECT n, gram[1:n-1] AS ctx, sum(c) AS t, sum(d) / sum(c) AS rest, count(*) + 1 AS kinds FROM r GROUP BY n, gram[1:n-1]),
+p1 AS (SELECT gram, (c - d) / t + rest / kinds AS p FROM r JOIN x ON r.n = 1 AND x.n = 1),
+p2 AS (SELECT r.gram, (c - d) / t + rest * p1.p AS p FROM r JOIN x ON r.n = 2 AND x.n = 2 AND ctx = r.gram[1:1] JOIN p1 ON p1.gram = r.gram[2:2]),
+p3 AS (SELECT r.gram, (c - d) / t + rest * p2.p AS p FROM r JOIN x ON r.n = 3 AND x.n = 3 AND ctx = r.gram[1:2] JOIN p2 ON p2.gram = r.gram[2:3]),
+p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT ['<unk>'], rest / kinds FROM x WHERE n = 1 UNION ALL SELECT ['<s>'], 0.0),
+model AS (SELECT len(p.gram) AS n, p.gram, p, coalesce(rest, 1) AS backoff FROM p LEFT JOIN x ON x.n > 1 AND x.ctx = p.gram)"""
 )
 _SCORE = (
     _KN
-    + f""", s AS (SELECT item_id, {_W} AS t FROM benchmark), w AS (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS i FROM s),
-r AS (SELECT item_id, coalesce(m3.p, m2.p * coalesce(b2.backoff, 1), coalesce(m1.p, 1e-7) * coalesce(b1.backoff, 1) * coalesce(b2.backoff, 1)) AS p FROM w
-  LEFT JOIN model m1 ON m1.gram = t[i:i] LEFT JOIN model m2 ON i > 1 AND m2.gram = t[i-1:i] LEFT JOIN model m3 ON i > 2 AND m3.gram = t[i-2:i]
-  LEFT JOIN model b1 ON i > 1 AND b1.gram = t[i-1:i-1] LEFT JOIN model b2 ON i > 2 AND b2.gram = t[i-2:i-1]),
-score AS (SELECT item_id, count(*) AS n_words, sum(log10(p)) AS score FROM r GROUP BY item_id)"""
+    + f""", s AS (SELECT item_id, {_O.format(_W)} AS own FROM benchmark), b AS (SELECT item_id, list_concat(['<s>'], own, ['</s>']) AS t FROM s WHERE len(own) > 0),
+w AS (SELECT item_id, t, unnest(range(2, len(t) + 1)) AS i FROM b),
+q AS (SELECT item_id, coalesce(m3.p, m2.p * coalesce(b2.backoff, 1), coalesce(m1.p, (SELECT p FROM model WHERE gram = ['<unk>'])) * coalesce(b1.backoff, 1) * coalesce(b2.backoff, 1)) AS p FROM w
+  LEFT JOIN model m1 ON m1.gram = t[i:i] LEFT JOIN model m2 ON m2.gram = t[i-1:i] LEFT JOIN model m3 ON i > 2 AND m3.gram = t[i-2:i]
+  LEFT JOIN model b1 ON b1.gram = t[i-1:i-1] LEFT JOIN model b2 ON i > 2 AND b2.gram = t[i-2:i-1]),
+score AS (SELECT s.item_id, len(own) AS n_words, coalesce(sum(log10(p)), 0) AS score FROM s LEFT JOIN q USING (item_id) GROUP BY ALL)"""
 )
 
 
 def language_model(t):
-    return op.kneser_ney(op.ngram_counts(t("documents"), doc_words()))
+    return lm.kneser_ney(lm.sentence_grams(t("documents"), doc_words()))
 
 
 def benchmark_scores(t):
-    return op.lm_scores(t("benchmark"), language_model(t), "item_id", doc_words())
+    return lm.lm_scores(t("benchmark"), kept(language_model(t), "model"), "item_id", doc_words())
 
 
 @query(_KN + " SELECT n, array_to_string(gram, ' ') AS gram, round(p, 7) AS p, round(backoff, 7) AS backoff FROM model")
@@ -223,7 +233,7 @@ def join_lm_score(t):
 
 @query(_SCORE + " SELECT item_id, round(pow(10, -score / greatest(n_words, 1)), 3) AS perplexity FROM score")
 def agg_perplexity(t):
-    return benchmark_scores(t).select("item_id", F.round(op.perplexity(F.col("score"), F.col("n_words")), 3).alias("perplexity"))
+    return benchmark_scores(t).select("item_id", F.round(lm.perplexity(F.col("score"), F.col("n_words")), 3).alias("perplexity"))
 
 
 @query(

@@ -163,9 +163,17 @@ def agg_coverage_checks(t):
     return op.coverage(rows, "source", F.col("quality").isNotNull(), 0.4)
 
 
-@query("SELECT source, count(*) FILTER (WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')) AS entries, count(*) FILTER (WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')) >= 500 AS pass FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source")
+@query(
+    """WITH l AS (SELECT source, doc_id, i, lines[i] AS line FROM (SELECT source, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+ok AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS k, replace(line, ' | ', chr(9)) AS line FROM l WHERE regexp_matches(line, '\\S') AND NOT starts_with(line, '#')),
+h AS (SELECT source, count(*) AS n, any_value(contains(line, chr(9)) AND len(list_filter(string_split(trim(line, ' ' || chr(9) || chr(10) || chr(13)), chr(9)), lambda c: NOT regexp_matches(replace(replace(c, '_', ''), ' ', ''), '^\\p{L}+$'))) = 0) FILTER (WHERE k = 1) AS header FROM ok GROUP BY source)
+SELECT d.source, coalesce(n - header::INT, 0) AS entries, coalesce(n - header::INT, 0) >= 500 AS pass FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN h USING (source)"""
+)
 def agg_dictionary_size(t):
-    return op.dictionary_size(t("documents").select("source", F.explode(F.split("text", "\n")).alias("line")), "source", "line")
+    """The lines of a source's documents are its dictionary; cells are set apart by bars in them."""
+    lines = t("documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    rows = lines.select("source", F.struct("doc_id", "i").alias("at"), F.replace("line", F.lit(" | "), F.lit("\t")).alias("line"))
+    return op.dictionary_size(rows, "source", "line", "at")
 
 
 @query("SELECT source, count(*) AS n_required, count(*) FILTER (WHERE quality IS NULL) AS n_missing, bool_and(quality IS NOT NULL) AS complete FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")

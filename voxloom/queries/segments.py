@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -76,13 +78,21 @@ def win_median_smooth(t):
     return op.median_smooth(frames(t).withColumn("label", F.length("label"))).select("doc", "frame_idx", F.col("smooth").cast("long").alias("smooth"))
 
 
-@query(
-    """WITH e AS (SELECT label AS doc, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding[1]::DOUBLE AS x FROM embeddings),
-s AS (SELECT *, (lead(x, 1) OVER w - lag(x, 1) OVER w + 2 * (lead(x, 2) OVER w - lag(x, 2) OVER w) + 3 * (lead(x, 3) OVER w - lag(x, 3) OVER w) + 4 * (lead(x, 4) OVER w - lag(x, 4) OVER w)) / 60 AS d FROM e WINDOW w AS (PARTITION BY doc ORDER BY frame_idx))
-SELECT doc, frame_idx, round(coalesce(d, CASE WHEN frame_idx < 4 THEN (SELECT arg_min(d, frame_idx) FROM s q WHERE q.doc = s.doc AND d IS NOT NULL) ELSE (SELECT arg_max(d, frame_idx) FROM s q WHERE q.doc = s.doc AND d IS NOT NULL) END), 6) AS delta FROM s"""
-)
+def _slope(x, d, source):
+    terms = " + ".join(f"{k} * (lead({x}, {k}) OVER w - lag({x}, {k}) OVER w)" for k in (1, 2, 3, 4))
+    whole = "(PARTITION BY doc ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    edge = f"CASE WHEN frame_idx < 4 THEN first_value(r IGNORE NULLS) OVER {whole} ELSE last_value(r IGNORE NULLS) OVER {whole} END"
+    return f"SELECT * EXCLUDE r, coalesce(r, {edge}) AS {d} FROM (SELECT *, ({terms}) / 60 AS r FROM {source} WINDOW w AS (PARTITION BY doc ORDER BY frame_idx))"
+
+
+_DELTAS = f"""WITH e AS (SELECT label AS doc, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding[1]::DOUBLE AS x FROM embeddings),
+d1 AS ({_slope('x', 'd', 'e')}), d2 AS ({_slope('d', 'dd', 'd1')})"""
+
+
+@query(_DELTAS + " SELECT doc, frame_idx, CASE WHEN x + d + dd IS NOT NULL THEN [round(x, 6), round(d, 6), round(dd, 6)] END AS features FROM d2")
 def win_delta(t):
-    return op.delta(vectors(t), "x").select("doc", "frame_idx", F.round("delta", 6).alias("delta"))
+    """The value with its first and second delta."""
+    return op.with_deltas(vectors(t), "x").select("doc", "frame_idx", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
 
 
 def vectors(t):
@@ -95,11 +105,30 @@ def win_stride_downsample(t):
     return op.stride(frames(t), 20).select("doc", "frame_idx", "stride")
 
 
+_RANKED = "SELECT doc_id, {1} AS c, row_number() OVER (PARTITION BY {1} ORDER BY {2}) AS k, count(*) OVER (PARTITION BY {1}) AS n FROM {0}"
+_HASHED = "md5(doc_id || '42'), doc_id"
+_PLACED = "SELECT '{0}' AS rule, doc_id, CASE WHEN k <= {1} THEN 'train' WHEN k <= {1} + {2} THEN 'valid' ELSE 'test' END AS split FROM ({3})"
+_SPLITS = [
+    _PLACED.format("exact", "floor(n * 0.8::DOUBLE)", "floor(n * 0.1::DOUBLE)", _RANKED.format("documents", "0", _HASHED)),
+    _PLACED.format("ordered", "floor(n * 0.8::DOUBLE)", "floor(n * 0.1::DOUBLE)", _RANKED.format("documents", "0", "doc_id")),
+    _PLACED.format("per_class", "greatest(floor(n * 0.7::DOUBLE), 1)", "greatest(floor(n * 0.15::DOUBLE), 1)", _RANKED.format("documents", "lang", _HASHED)),
+]
+
+
 @query(
-    """SELECT doc_id, CASE WHEN k < 800 THEN 'train' WHEN k < 900 THEN 'valid' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(md5(source || '42'), 1, 6))::INT % 1000 AS k FROM documents)"""
+    """SELECT 'group' AS rule, doc_id, CASE WHEN k < 800 THEN 'train' WHEN k < 900 THEN 'valid' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(md5(source || '42'), 1, 6))::INT % 1000 AS k FROM documents) UNION ALL """
+    + " UNION ALL ".join(_SPLITS)
 )
 def win_split(t):
-    return op.split_by_group(t("documents").select("doc_id", "source"), F.col("source")).select("doc_id", "split")
+    """By the hash of a group, exactly by a seeded hash or in order, and exactly within each class with one row at least."""
+    d = t("documents").select("doc_id", "source", "lang")
+    rules = {
+        "group": op.split_by_group(d, F.col("source")),
+        "exact": op.split_exact(d, "doc_id"),
+        "ordered": op.split_exact(d, "doc_id", seed=None),
+        "per_class": op.split_exact(d, "doc_id", (0.7, 0.15), "lang", least=1),
+    }
+    return reduce(lambda a, b: a.union(b), (x.select(F.lit(rule).alias("rule"), "doc_id", "split") for rule, x in rules.items()))
 
 
 @query(
@@ -150,7 +179,7 @@ def slice_middle(t):
 @query(
     _S
     + """, w AS (SELECT doc, seg_idx, sum((language = 'view')::INT) OVER f AS k, count(*) OVER f AS n FROM spine WINDOW f AS (PARTITION BY doc ORDER BY seg_idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
-SELECT doc, start, share FROM (SELECT doc, seg_idx AS start, k / 10 AS share, row_number() OVER (PARTITION BY doc ORDER BY k DESC, seg_idx) AS q FROM w WHERE n = 10 AND seg_idx % 2 = 0) WHERE q = 1"""
+SELECT doc, start, share, n_padded FROM (SELECT doc, seg_idx AS start, k / 10 AS share, 10 - n AS n_padded, row_number() OVER (PARTITION BY doc ORDER BY k DESC, seg_idx) AS q FROM w WHERE (n = 10 OR seg_idx = 0) AND seg_idx % 2 = 0) WHERE q = 1"""
 )
 def slice_best(t):
     return op.best_window(frames(t), F.col("label") == "view", 10, 2)

@@ -20,14 +20,14 @@ def rounded(column, digits=6):
 
 @query(
     f"""WITH n AS (SELECT vec_id, {_X} AS x, list_transform(list_zip({_X}, lead({_X}) OVER (ORDER BY vec_id)), lambda p: p[1] - p[2]) AS d FROM embeddings)
-SELECT vec_id, round(10 * log10({_SUM2.format('x')} / {_SUM2.format('d')}), 4) AS snr_db FROM n WHERE {_SUM2.format('d')} > 1e-20"""
+SELECT vec_id, CASE WHEN {_SUM2.format('d')} < 1e-20 THEN 'infinity'::DOUBLE ELSE round(10 * log10({_SUM2.format('x')} / {_SUM2.format('d')}), 4) END AS snr_db FROM n WHERE d[1] IS NOT NULL"""
 )
 def agg_snr(t):
     """Noise is the difference from the next vector by id."""
     e = t("embeddings").select("vec_id", "embedding")
     later = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     d = e.join(later, "vec_id").select("vec_id", op.energy(F.col("embedding")).alias("s"), op.energy(F.zip_with("embedding", "other", lambda a, b: a.cast("double") - b.cast("double"))).alias("n"))
-    return d.where("n > 1e-20").select("vec_id", F.round(op.snr_db(F.col("s"), F.col("n")), 4).alias("snr_db"))
+    return d.select("vec_id", F.round(op.snr_db(F.col("s"), F.col("n")), 4).alias("snr_db"))
 
 
 _STATS = """WITH p AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS p FROM embeddings),
@@ -116,14 +116,73 @@ def _apply_sql(x, matrix):
     return f"list_transform({_matrix_sql(matrix)}, lambda r: list_sum(list_transform(list_zip({x}, r), lambda p: p[1] * p[2])))"
 
 
-@query(_POWER + f", b AS (SELECT clip, frame_idx, list_transform({_apply_sql('power', op.mel_filters(8, 33, 16000.0))}, lambda v: greatest(v, 1e-10)) AS b FROM sp), m AS (SELECT clip, max(list_max(b)) AS top FROM b GROUP BY clip) SELECT clip, frame_idx, list_transform(b, lambda v: round(10 * log10(v / top), 5)) AS vec FROM b JOIN m USING (clip)")
+# clips of one embedding: 16 samples a second, frames of 16 with a hop of 4, so 4 frames a second and 13 of them; some have null
+# samples, some a sample that is no number, and some are too short for a delta
+RATE, SIZE, HOP = 16, 16, 4
+_CLIPS = f"""WITH clips AS (SELECT vec_id AS clip, CASE vec_id % 40 WHEN 7 THEN NULL WHEN 11 THEN list_concat({_X}[1:63], ['nan'::DOUBLE]) WHEN 19 THEN {_X}[1:40] WHEN 23 THEN {_X}[1:9] ELSE {_X} END AS x FROM embeddings),
+fr AS (SELECT clip, i AS frame_idx, list_transform(range(0, 16), lambda j: x[4 * i + j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 16))) AS v
+  FROM (SELECT clip, x, unnest(range(0, (len(x) - 16) // 4 + 1)) AS i FROM clips WHERE NOT isnan(x[len(x)]) AND len(x) >= 16)),
+sp AS (SELECT clip, frame_idx, list_transform(range(0, 9), lambda k: pow(list_sum(list_transform(range(0, 16), lambda j: v[j + 1] * cos(2 * pi() * k * j / 16))), 2) + pow(list_sum(list_transform(range(0, 16), lambda j: v[j + 1] * sin(2 * pi() * k * j / 16))), 2)) AS power FROM fr)"""
+
+
+def clips(t):
+    x, k = F.col("embedding").cast("array<double>"), F.col("vec_id") % 40
+    nan = F.concat(F.slice(x, 1, 63), F.array(F.lit(float("nan"))))
+    samples = F.when(k == 7, None).when(k == 11, nan).when(k == 19, F.slice(x, 1, 40)).when(k == 23, F.slice(x, 1, 9)).otherwise(x)
+    return t("embeddings").select(F.col("vec_id").alias("clip"), samples.alias("x"))
+
+
+_MEL = _CLIPS + f""", b AS (SELECT clip, frame_idx, list_transform({_apply_sql('power', op.mel_filters(6, 9, 16.0))}, lambda v: 10 * log10(greatest(v, 1e-10))) AS b FROM sp), m AS (SELECT clip, max(list_max(b)) AS top FROM b GROUP BY clip),
+mel AS (SELECT clip, frame_idx, list_transform(b, lambda v: round(greatest(v - top, -80), 5)) AS vec FROM b JOIN m USING (clip)),
+lb AS (SELECT clip, j AS frame_idx, CASE WHEN x[floor(j * 16 / 3)::INT + 1] >= 0 THEN 'up' ELSE 'down' END AS label FROM (SELECT clip, x, unnest(range(0, len(x) * 3 // 16)) AS j FROM clips)),
+own AS (SELECT mel.*, lb.label FROM mel JOIN lb USING (clip, frame_idx)), timed AS (SELECT mel.*, lb.label FROM mel JOIN lb ON lb.clip = mel.clip AND lb.frame_idx = mel.frame_idx * 3 // 4)"""
+
+
+def mel_frames(t):
+    """Frames four times a second, and labels three times a second: the sign of the sample at the label's time."""
+    c = clips(t)
+    mel = op.feature_frames(op.clip_features(c, "clip", "x", op.logmel(SIZE, HOP, 6, 16.0)))
+    n = F.floor(F.size("x") * 3 / RATE).cast("int")
+    labels = c.where("size(x) * 3 >= 16").select("clip", "x", F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_idx"))
+    sign = F.when(F.get("x", F.floor(F.col("frame_idx") * RATE / 3).cast("int")) >= 0, "up").otherwise("down")
+    return mel, labels.select("clip", "frame_idx", sign.alias("label"))
+
+
+@query(
+    _MEL
+    + """ SELECT a.clip, a.frame_idx::INT AS frame_idx, a.vec, b.label AS same_number, a.label AS same_time, m.n_frames, m.n_labels, m.n_kept, m.duration
+FROM timed a LEFT JOIN own b USING (clip, frame_idx) JOIN (
+  SELECT clip, f.n AS n_frames, coalesce(l.n, 0) AS n_labels, coalesce(k.n, 0) AS n_kept, round(coalesce(k.n, 0) / 4, 3) AS duration FROM (SELECT clip, count(*) AS n FROM mel GROUP BY clip) f
+  LEFT JOIN (SELECT clip, count(*) AS n FROM lb GROUP BY clip) l USING (clip) LEFT JOIN (SELECT clip, count(*) AS n FROM timed GROUP BY clip) k USING (clip)) m USING (clip)"""
+)
 def job_logmel(t):
-    return op.logmel(frames(t), 64, 8, 16000.0).select("clip", "frame_idx", rounded("vec", 5).alias("vec"))
+    """Frames with the label of their number (the shorter of both sides) and that of their time, and the clip's lengths."""
+    mel, labels = mel_frames(t)
+    timed = op.label_frames(mel, labels, (RATE // HOP, 3))
+    own = op.label_frames(mel, labels).select("clip", "frame_idx", F.col("label").alias("same_number"))
+    out = timed.withColumnRenamed("label", "same_time").join(own, ["clip", "frame_idx"], "left").join(op.label_manifest(mel, labels, timed, RATE / HOP), "clip")
+    return out.withColumn("vec", rounded("vec", 5))
+
+
+_LFCC = (
+    _CLIPS
+    + f""", b AS (SELECT clip, frame_idx, list_transform({_apply_sql('power', op.linear_filters(8, 9))}, lambda v: ln(v + 1e-8)) AS b FROM sp), c AS (SELECT clip, frame_idx, {_apply_sql('b', op.dct_matrix(4, 8))} AS c FROM b),
+w AS (SELECT clip, array_agg(c ORDER BY frame_idx) AS s FROM c GROUP BY clip HAVING count(*) >= 9)"""
+)
+_DELTA_SQL = "list_transform(range(0, len({0})), lambda t: list_transform(range(1, 5), lambda k: list_sum(list_transform(range(-4, 5), lambda n: n * {0}[greatest(4, least(t, len({0}) - 5)) + n + 1][k])) / 60))"
 
 
-@query(_POWER + f", b AS (SELECT clip, frame_idx, list_transform({_apply_sql('power', op.linear_filters(8, 33))}, lambda v: ln(v + 1e-8)) AS b FROM sp) SELECT clip, frame_idx, list_transform({_apply_sql('b', op.dct_matrix(4, 8))}, lambda v: round(v, 5)) AS vec FROM b")
+@query(
+    _LFCC
+    + f""", d AS (SELECT clip, s, {_DELTA_SQL.format('s')} AS d FROM w), dd AS (SELECT clip, s, d, {_DELTA_SQL.format('d')} AS dd FROM d)
+SELECT clip, i::INT AS frame_idx, list_transform(list_concat(s[i + 1], d[i + 1], dd[i + 1]), lambda v: round(v, 5)) AS vec, NULL AS reason FROM (SELECT *, unnest(range(0, len(s))) AS i FROM dd)
+UNION ALL SELECT clip, NULL, NULL, CASE WHEN x IS NULL THEN 'no samples' WHEN isnan(x[len(x)]) THEN 'not a finite number' WHEN len(x) < 16 THEN 'shorter than a frame' ELSE 'fewer than 9 frames' END FROM clips WHERE clip NOT IN (SELECT clip FROM w)"""
+)
 def job_lfcc(t):
-    return op.lfcc(frames(t), 64, 4).select("clip", "frame_idx", rounded("vec", 5).alias("vec"))
+    """Coefficients with first and second deltas, and the clips that have none with the reason."""
+    features = op.clip_features(clips(t), "clip", "x", op.lfcc(SIZE, HOP, 4, deltas=2))
+    frames = op.feature_frames(features).select("clip", "frame_idx", rounded("vec", 5).alias("vec"), F.lit(None).cast("string").alias("reason"))
+    return frames.unionByName(op.quarantined(features), allowMissingColumns=True)
 
 
 @query(

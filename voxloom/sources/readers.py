@@ -56,3 +56,14 @@ def metric_documents(spark: SparkSession, path: str) -> DataFrame:
 def dataset_registry(spark: SparkSession, path: str) -> DataFrame:
     """The registry of corpora, one JSON object a corpus, with its languages, splits and tasks as arrays."""
     return spark.read.schema(schemas.REGISTRY).json(path)
+
+
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """``df``, dealt to all cores if it has fewer partitions than these and ``least`` bytes or more: a file of one row group
+    is one task otherwise, whatever is exploded from it. Tables of many files stay as they are."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution()
+    cores = spark.sparkContext.defaultParallelism
+    if plan.optimizedPlan().stats().sizeInBytes() < least or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,4 +24,27 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/voxloom-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/voxloom-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder: several later joins read it, and none of them computes it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this driver has written to the shared folder, from its ``since``-th path on, once no result that reads it
+    is needed any more. How many paths there were; ``len_scratch()`` before a run gives its ``since``."""
+    paths, jvm = _made[since:], spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _made[since:]
+    return len(paths)
+
+
+def len_scratch() -> int:
+    return len(_made)
