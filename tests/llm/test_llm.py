@@ -144,6 +144,29 @@ def test_components(spark):
     assert {r.node: r.root for r in components.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_made_for_polynomial_hashes(spark):
+    """Such words agree modulo 2^64 under any base."""
+    rows = [(i, thue_morse(n, i % 2)) for i, n in enumerate((1024, 1024, 2048, 2048, 4096, 4096))] + [(9, thue_morse(2048, 1))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.op1(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {**{i: i for i in range(6)}, 9: 3}
+
+
+def test_piece_hashes_of_all_lengths():
+    from voxloom.llm.hashing import piece_hashes
+
+    data = np.frombuffer(bytes(range(1, 60)) + b"\0" * 30, np.uint8)
+    spans = [(a, b) for a in range(len(data)) for b in range(a + 1, min(a + 27, len(data)) + 1)]
+    start, end = np.array(spans).T
+    one, two = piece_hashes(data, start, end), piece_hashes(data, start, end, 1)
+    text = [data[a:b].tobytes() for a, b in spans]
+    assert len(set(one.tolist())) == len(set(text)) == len(set(two.tolist())) and not set(one.tolist()) & set(two.tolist())
+    assert len({(t, h) for t, h in zip(text, one.tolist())}) == len(set(text))
+
+
 # --- 2 ---
 
 
@@ -266,7 +289,8 @@ def plain_fingerprints(texts, looked):
         return x ^ x >> 31
 
     def term(w):
-        return mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) & mask)
+        pieces = [int.from_bytes(w[i : i + 8], "little") for i in range(0, len(w), 8)]
+        return mix(sum(mix(v ^ mix((2 * k + 0xD6E8FEB86659FD93) & mask)) for k, v in enumerate(pieces)) + mix(len(w)) & mask)
 
     terms = lambda t: set(re.findall(rb"[^\x20\x09-\x0d]+", t.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))))
     df = Counter(w for t in texts for w in terms(t))
@@ -349,11 +373,32 @@ def test_suffix_dedup_across_bounds(spark, monkeypatch, hot):
     assert got == {(i, *v) for i, v in removed(rows[:-1]).items()}
 
 
+def test_suffix_dedup_where_minimisers_hash_alike(spark, monkeypatch):
+    """Contents are told apart by hashes of their own: eight bits of the minimiser are enough for right results."""
+    for name, v in (("CHUNK", 1500), ("BLOCK", 4000), ("HOME_BYTES", 5000), ("_LOW", np.uint64(255))):
+        monkeypatch.setattr(suffix_dedup, name, v)
+    line = "permission is granted to any person who gets a copy of this"
+    rows = [(i, f"{sentence(int(RNG.integers(5, 40)))} {line if i % 3 else ''} {sentence(int(RNG.integers(5, 40)))}") for i in range(120)] + [(200 + i, sentence(40)) for i in range(4)] * 2
+    rows = [(i, t) for i, t in dict(rows).items()] + [(400 + i, t) for i, t in rows[::7]]
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op5(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == {(i, *v) for i, v in removed(rows).items()}
+
+
+def test_contents_that_agreed_in_forty_bits(spark):
+    line = "xtiovbqqozttxlajyava"
+    pair = [f"dsrzqofbugvfzygzwspu{line}kpswwakoxqpwwwsxofs", f"kawbtuoychzeqaoxbial{line}zdbrhfnqhpqffwzyfwah"]
+    rows = list(enumerate(pair, 1))
+    got = suffix_dedup.op5(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2, "doc_id")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    bits = lambda text: suffix_dedup.stretches(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[4] & np.uint64((1 << 40) - 1)
+    assert set(bits(pair[0]).tolist()).isdisjoint(bits(pair[1]).tolist())
+
+
 def test_parts_of_equal_strings_have_equal_keys():
     data = np.frombuffer((sentence(80) + "a" * 120 + sentence(80)).encode(), np.uint8)
     both = np.concatenate((data, data[100:-60]))
     bounds = np.array([0, len(data), len(both)])
-    row, start, size, _, _ = suffix_dedup.stretches(both, bounds)
+    row, start, size, *_ = suffix_dedup.stretches(both, bounds)
     nth, begin, n, key = suffix_dedup.parted(both, start, size)
     of = {int(p): int(k) for s, m, k in zip(begin, n, key) for p in range(s, s + m - 49)}
     assert sorted(of) == [p for a, b in zip(bounds, bounds[1:]) for p in range(a, b - 49)]
@@ -579,6 +624,8 @@ def test_exceptions_of_clean_rows(spark):
         ("<body><header>site</header><article><header>title</header><p>text</article>", "title\n\ntext"),
         ("<p>never <b>closed <i>tags", "never closed tags"),
         ("</div></p><p>stray</p><!-- c --", "stray"),
+        # a reference ends with its text
+        ("AT&<b>amp;</b> &am<!-- -->p; &lt;b&gt;", "AT&amp; &amp; <b>"),
     ],
 )
 def test_main_text(html, want):
@@ -630,6 +677,9 @@ LINKS = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(12))
         (f"<body><div><h1>Title</h1><div><p>{P1}<p>{P2}</div></div><ul>{LINKS}</ul>", ["Title", P1, P2]),
         # names of classes: whole ones, of containers, that don't hold the text
         (f"<body><div class='page has-sidebar'><p>{P1}<p>{P2}</div>", [P1, P2]),
+        # named containers that hold all the text, or all but a title
+        (f"<body><div><div class='widget'><p>{P1}</div><div class='widget'><p>{P2}</div></div>", [P1, P2]),
+        (f"<body><h1>Title</h1><div><div class='widget'><p>{P1}</div><div class='widget'><p>{P2} {P3}</div></div><div class='menu'><ul>{LINKS}</ul></div>", [P1, f"{P2} {P3}"]),
         (f"<body><div class='sidebar'><p>{P1}<p>{P2}</div>", [P1, P2]),
         (f"<article><p>{P1}</p><p class='social'>Kept.</p><div class='ad'>Buy this.</div><p>{P2}</p></article>", [P1, "Kept.", P2]),
         (f"<body><div><p>{P1}<p>{P2}</div><div id='comments'>" + "".join(f"<div class=comment><p>{P3} {P3}</p></div>" for _ in range(9)) + "</div>", [P1, P2]),

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,12 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sampled(hashed: Column, wanted: int, n: int) -> Column:
+    """Whether a row is one of about ``wanted`` of ``n``, by a hash of it; the hash is cut as finely as so many rows need."""
+    fine = max(1_000_000, n)
+    return F.pmod(hashed, F.lit(fine).cast("bigint")) < min(fine, wanted * fine // max(n, 1))
+
+
 def groups_for(docs: DataFrame, text_col: str, each: int) -> int:
     """How many groups of about ``each`` bytes the texts make: as many as there are shuffle partitions at least."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0

@@ -12,6 +12,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _tables: list[np.ndarray] = []
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,7 +49,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from each start to its end."""
+    """Hashes of the bytes from each start to its end; for spans below a thousand bytes, as longer ones can be made to agree."""
     n = len(data)
     power, inverse = _powers(max(n, 1))
     total = np.zeros(n + 1, np.uint64)
@@ -56,6 +57,25 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * inverse[start])
 
 
+def piece_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of the bytes from each start to its end, as sums of mixed pieces of eight bytes. Unlike ``span_hashes``, which is
+    a polynomial and made for overlapping spans, it has no algebra that texts could be built against, whatever their length;
+    other salts give independent hashes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    pieces = np.maximum(-(-size // 8), 1)
+    first = np.cumsum(pieces) - pieces
+    nth = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    at = np.repeat(start, pieces) + 8 * nth
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    value = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at].astype(np.uint64)  # eight bytes from any byte on
+    value &= _MASKS[np.minimum(np.repeat(end, pieces) - at, 8)]
+    key = mix(np.arange(int(pieces.max()), dtype=np.uint64) * np.uint64(2) + np.uint64((2 * salt + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
+    total = np.add.reduceat(mix(value ^ key[nth]), first)
+    return mix(total + mix(size.astype(np.uint64) + np.uint64(salt)))
+
+
 def edges(gap: np.ndarray, bounds: np.ndarray, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs outside ``gap``; runs end where a row ends, and between bytes i and i + 1 if ``split[i]``."""
     n = len(gap)
@@ -81,7 +101,7 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     if lower:
         data = LOWER[data]
     start, end = edges(SPACE[data], bounds)
-    return span_hashes(data, start, end), np.searchsorted(start, bounds)
+    return piece_hashes(data, start, end), np.searchsorted(start, bounds)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

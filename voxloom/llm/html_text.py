@@ -226,23 +226,42 @@ def _path(node: Node, body: Node) -> list[Node]:
     return out
 
 
+def _outermost(nodes: list[Node], kind: str) -> tuple[list[Node], set[int]]:
+    """The containers of a kind that lie in no other of it, and all nodes inside of these; parents come first in ``nodes``."""
+    inside: set[int] = set()
+    outer = []
+    for x in nodes:
+        if id(x.parent) in inside:
+            inside.add(id(x))
+        elif x.named == kind:
+            inside.add(id(x))
+            outer.append(x)
+    return outer, inside
+
+
 def _without_named(body: Node) -> list[Node]:
-    """The nodes left without containers whose names and densities say that they are no main text; measured."""
+    """The nodes left without containers whose names and densities say that they are no main text; measured. Containers that hold
+    all the text of a page are its main text, whatever they are called; so are those that hold all but a tenth of the text
+    outside links, if they are as dense as the path to the core."""
     nodes = _walk(body)
     for kind in ("comments", "other"):
         named = [x for x in nodes if x.named == kind]
         if not named:
             continue
         _measure(nodes, body)
-        if kind == "comments":
-            inside: set[int] = set()
-            for x in nodes:  # parents come first
-                if x.named == kind or id(x.parent) in inside:
-                    inside.add(id(x))
-            outermost = sum(x.chars for x in named if id(x.parent) not in inside)
-            held = inside if outermost >= body.chars else set()
+        outer, inside = _outermost(nodes, kind)
+        if sum(x.chars for x in outer) >= body.chars:
+            held = inside
+        elif kind == "comments":
+            held = set()
         else:
-            held = set(map(id, _path(_core(nodes), body)))
+            path = _path(_core(nodes), body)
+            held = set(map(id, path))
+            plain = lambda x: x.chars - x.link_chars
+            if 10 * (plain(body) - sum(map(plain, outer))) < plain(body):
+                threshold = min(x.density for x in path)
+                kept = [x for x in outer if x.density >= threshold > 0]
+                held |= {id(x) for node in kept for x in _walk(node)}
         for x in named:
             x.cut = id(x) not in held
         nodes = _walk(body)
@@ -278,7 +297,7 @@ def blocks(node: Node) -> list[str]:
     held: list[str] = []
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         if text:
             out.append(text)
         held.clear()
@@ -289,7 +308,7 @@ def blocks(node: Node) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            held.append(x)
+            held.append(entities.unescape(x))  # a reference doesn't go on in another text
         else:
             if x.tag == "br":
                 held.append(" ")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import arrow_schema, n_parts, stored, tidy
+from ._common import arrow_schema, n_parts, sampled, stored, tidy
 
 ROTATIONS = 8  # bits for each coordinate
 BLOCK_ROWS = 1 << 16
@@ -103,9 +103,7 @@ def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def fit(vectors: DataFrame, k: int, recall: float, fit_rows: int = 20_000, probes: int = 200) -> tuple[Codes, int] | None:
     """The codes and the radius, from a sample by a hash of the id."""
-    n = vectors.count()
-    share = int(min(1.0, fit_rows / max(n, 1)) * 1_000_000)
-    sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("id", "v").toPandas().sort_values("id")
+    sample = vectors.where(sampled(F.xxhash64("id"), fit_rows, vectors.count())).select("id", "v").toPandas().sort_values("id")
     if sample.empty:
         return None
     width = sample.v.map(len).mode()[0]

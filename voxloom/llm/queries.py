@@ -104,8 +104,9 @@ def _secret_sql() -> str:
     found = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS nth, '{k}' AS kind, regexp_extract_all(text, {p}) AS hits, string_split_regex(text, {p}) AS gaps FROM d" for i, (k, p) in enumerate(kinds.items())
     )
-    n, words = len(secret_scan.ALPHABET), quote(secret_scan.WORD)
-    digest = "sha256(doc_id::VARCHAR)"
+    n, prior, words = len(secret_scan.ALPHABET), secret_scan.PRIOR, quote(secret_scan.WORD)
+    digests = [f"sha256(doc_id || ':{k}')" for k in range(secret_scan.DIGESTS)]
+    made = ", ".join([*digests, *(f"rtrim(base64(unhex({d})), '=')" for d in digests)])
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({found}),
@@ -117,8 +118,8 @@ sample AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(text, {kinds['assign']}, ' ', 'g'), {kinds['access']}, ' ', 'g'), {kinds['hex']}, ' ', 'g') AS rest
   FROM d WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0 < {secret_scan.FIT_DOCS} / (SELECT count(*) FROM documents)::DOUBLE),
 items AS (
-  SELECT FALSE AS random, unnest(regexp_extract_all(rest, {words})) AS item FROM sample
-  UNION ALL SELECT TRUE, unnest([{digest}, rtrim(base64(unhex({digest})), '=')]) FROM sample
+  SELECT FALSE AS random, unnest(list_filter(regexp_extract_all(rest, {words}), lambda w: length(w) < {secret_scan.LEAST} OR regexp_matches(w, '{secret_scan.PLAIN}'))) AS item FROM sample
+  UNION ALL SELECT TRUE, unnest([{made}]) FROM sample
   UNION ALL SELECT TRUE, unnest(regexp_extract_all(text, {kinds['access']})) FROM sample
   UNION ALL SELECT TRUE, unnest(regexp_extract_all(text, {kinds['hex']})) FROM sample),
 pairs AS (
@@ -129,10 +130,14 @@ pairs AS (
 grid AS (
   SELECT a, b FROM (SELECT unnest(list_append(string_split('{secret_scan.ALPHABET}', ''), '')) AS a), (SELECT unnest(string_split('{secret_scan.ALPHABET}', '')) AS b)),
 counts AS (
-  SELECT g.a, g.b, 1 + coalesce(r.n, 0) AS r, 1 + coalesce(o.n, 0) AS o,
-    sum(1 + coalesce(r.n, 0)) OVER (PARTITION BY g.a) AS rs, sum(1 + coalesce(o.n, 0)) OVER (PARTITION BY g.a) AS os
+  SELECT g.a, g.b, coalesce(r.n, 0) AS r, coalesce(o.n, 0) AS o,
+    sum(coalesce(r.n, 0)) OVER (PARTITION BY g.a) AS rs, sum(coalesce(o.n, 0)) OVER (PARTITION BY g.a) AS os,
+    1 + sum(coalesce(r.n, 0)) OVER (PARTITION BY g.b) AS rb, 1 + sum(coalesce(o.n, 0)) OVER (PARTITION BY g.b) AS ob,
+    {n} + sum(coalesce(r.n, 0)) OVER () AS rt, {n} + sum(coalesce(o.n, 0)) OVER () AS ot
   FROM grid g LEFT JOIN pairs r ON r.random AND r.a = g.a AND r.b = g.b LEFT JOIN pairs o ON NOT o.random AND o.a = g.a AND o.b = g.b),
-weights AS (SELECT a, b, floor(1000 * (ln(r::DOUBLE / rs::DOUBLE) - ln(o::DOUBLE / os::DOUBLE)) + 0.5)::BIGINT AS w FROM counts),
+weights AS (
+  SELECT a, b, floor(1000 * (ln((r::DOUBLE + {prior} * rb::DOUBLE / rt::DOUBLE) / (rs::DOUBLE + {prior})) - ln((o::DOUBLE + {prior} * ob::DOUBLE / ot::DOUBLE) / (os::DOUBLE + {prior}))) + 0.5)::BIGINT AS w
+  FROM counts),
 scores AS (
   SELECT hit FROM (
     SELECT hit, CASE WHEN i = 1 THEN '' ELSE hit[i - 1] END AS a, hit[i] AS b FROM (SELECT hit, unnest(range(1, length(hit) + 1)) AS i FROM (SELECT DISTINCT hit FROM placed WHERE kind = 'markov')))

@@ -6,7 +6,8 @@ scored by the log-likelihood ratio of its characters, each given the one before,
 functions. The models have a row and a column for each character of the alphabet, whatever the size of the table.
 
 Training samples: of about ``fit_docs`` documents, chosen by a hash of their ids, the stretches of four characters or more
-outside the fixed forms are ordinary identifiers, each as often as it occurs; the hexadecimal and base64 digests of their ids
+outside the fixed forms that are too short to be scored, or all letters or all digits, are ordinary identifiers, each as often
+as it occurs; hexadecimal and base64 digests of their ids
 and what the forms for keys and hexadecimal numbers find in them are random strings.
 
 Defined cases: null text is empty and has no spans; letters of the names are ASCII letters in either case; a base match that
@@ -36,11 +37,16 @@ VALUE = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 LEAST = 16
 LONG, WORD = f"[A-Za-z0-9+/_-]{{{LEAST},}}", "[A-Za-z0-9+/_-]{4,}"
+PLAIN = "^([A-Za-z]+|[0-9]+)$"
 #: Kinds in the order in which spans with one start are listed.
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": LONG}
 #: Thousandths of a nat that a random string's characters have in favour of it, on average.
-THRESHOLD = 1000
+THRESHOLD = 2000
 FIT_DOCS = 20_000
+#: Random strings made of each sampled id, in each of two alphabets.
+DIGESTS = 4
+#: A character after another is expected so many times as it is after any, before it is counted.
+PRIOR = 8
 #: Spans are gathered in pieces of so many, as an array is copied whenever it grows.
 _PIECE = 512
 
@@ -87,10 +93,12 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     name = F.col("id").cast("string")
     some = rows.where(F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("double") / 2.0**48 < share)
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    digest = F.sha2(name.cast("binary"), 256)
-    random = F.concat(F.array(digest, F.rtrim(F.base64(F.unhex(digest)), F.lit("="))), _found(F.col("text"), ACCESS), _found(F.col("text"), HEX))
+    digests = [F.sha2(F.concat(name, F.lit(f":{k}")).cast("binary"), 256) for k in range(DIGESTS)]
+    made = F.array(*digests, *(F.rtrim(F.base64(F.unhex(d)), F.lit("=")) for d in digests))
+    random = F.concat(made, _found(F.col("text"), ACCESS), _found(F.col("text"), HEX))
     item = lambda kind, c: some.select(F.lit(kind).alias("random"), F.explode(c).alias("item"))
-    return item(False, _found(rest, WORD)).unionAll(item(True, random))
+    ordinary = F.filter(_found(rest, WORD), lambda w: (F.length(w) < LEAST) | w.rlike(PLAIN))
+    return item(False, ordinary).unionAll(item(True, random))
 
 
 def fit(samples: DataFrame) -> list[int]:
@@ -101,12 +109,17 @@ def fit(samples: DataFrame) -> list[int]:
     counts = samples.groupBy("random", "item").agg(F.count("*").alias("n")).select("random", "n", F.explode(pairs).alias("pair")).where("pair IS NOT NULL").groupBy("random", "pair").agg(F.sum("n").alias("n"))
     number = {c: i for i, c in enumerate(ALPHABET, 1)}
     size = len(ALPHABET)
-    table = {kind: [[1] * size for _ in range(size + 1)] for kind in (False, True)}
+    table = {kind: [[0] * size for _ in range(size + 1)] for kind in (False, True)}
     for r in counts.collect():
         row, column = (number[c] for c in r["pair"]) if len(r["pair"]) == 2 else (0, number[r["pair"]])
         table[r["random"]][row][column - 1] += r["n"]
-    share = lambda kind, row, k: math.log(table[kind][row][k] / sum(table[kind][row]))
-    return [math.floor(1000 * (share(True, row, k) - share(False, row, k)) + 0.5) for row in range(size + 1) for k in range(size)]
+
+    def likelihoods(rows: list[list[int]]) -> list[list[float]]:
+        alone = [sum(column) + 1 for column in zip(*rows)]
+        return [[(n + PRIOR * alone[k] / sum(alone)) / (sum(row) + PRIOR) for k, n in enumerate(row)] for row in rows]
+
+    random, ordinary = likelihoods(table[True]), likelihoods(table[False])
+    return [math.floor(1000 * (math.log(x) - math.log(y)) + 0.5) for row in zip(random, ordinary) for x, y in zip(*row)]
 
 
 def score(item: Column, weights: list[int]) -> Column:

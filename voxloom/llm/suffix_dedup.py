@@ -6,7 +6,7 @@ a stretch of text.
 
 1. Within a block of documents, a stretch that a smaller document has byte by byte is removed, and one copy
    stays to stand for all. So a passage of very many documents gives one entry a block from here on.
-   The entries go out as two hashes (of the minimiser and of the content), packed, and are counted by
+   The entries go out as hashes (40 bits of the minimiser's, 96 bits of the content's), packed, and are counted by
    minimiser. A minimiser of one document only is done. A stretch whose whole content a smaller document of another
    block has, by both hashes, is removed. Of each other content that shares its minimiser with different ones, the stretch
    of its smallest document goes on to the next step.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._common import arrow_schema, dealt, groups_for, id_type, parted_batch, slices, stored, tidy
-from .hashing import mix, span_hashes, text_bytes
+from .hashing import mix, piece_hashes, span_hashes, text_bytes
 from .suffix_array import permuted_common_prefixes, suffix_array
 from .words import pack_ints, unpack_ints
 
@@ -64,18 +64,18 @@ def _seeds(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed: int = SEED):
-    """Of all rows: row, start, bytes, minimiser and content hash of each stretch, in text order."""
+    """Of all rows: row, start, bytes, minimiser and both content hashes (64 and 32 bits) of each stretch, in text order."""
     count = np.maximum(np.diff(bounds) - length + 1, 0)
     if not count.any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.uint32),)
     least = _seeds(data, length, seed)[1]
     at = np.repeat(bounds[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     row = np.repeat(np.arange(len(count)), count)
     value = least[at]
     first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]))))
     start, end = at[first], at[np.append(first[1:], len(at)) - 1] + length
-    content = mix(span_hashes(data, start, end) + (end - start).astype(np.uint64))
-    return row[first], start, end - start, mix(value[first]), content
+    content, other = (piece_hashes(data, start, end, salt) for salt in (0, 1))
+    return row[first], start, end - start, mix(value[first]), content, other.astype(np.uint32)
 
 
 def parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int = LENGTH, seed: int = SEED):
@@ -161,14 +161,14 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, parts: int, keep: list
 # --- 1: hashes of stretches ---------------------------------------------------------------------------------
 
 # rows of entries have a bucket; rows of removed stretches have starts and ends, and the number of their home as bucket
-_HASHES = "bucket int, home int, homes binary, ids binary, subs binary, counts binary, minimisers binary, contents binary, starts binary, ends binary"
+_HASHES = "bucket int, home int, homes binary, ids binary, subs binary, counts binary, minimisers binary, contents binary, others binary, starts binary, ends binary"
 # rows of what is to go to the shards have tags; the others are removed stretches
 _REPLY = "home int, ids binary, subs binary, counts binary, tags binary, kinds binary, starts binary, ends binary"
 
 
-def _tags(minimiser: np.ndarray, content: np.ndarray, key: np.ndarray, sub: np.ndarray) -> np.ndarray:
+def _tags(minimiser: np.ndarray, content: np.ndarray, other: np.ndarray, key: np.ndarray, sub: np.ndarray) -> np.ndarray:
     """What a stretch of a document is asked for by."""
-    return mix(mix((minimiser & _LOW) + (content & _LOW) * np.uint64(0x9E3779B97F4A7C15)) + key.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + sub.astype(np.uint64))
+    return mix(mix(minimiser + mix(content + mix(other.astype(np.uint64)))) + key.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + sub.astype(np.uint64))
 
 
 def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def _hash_blocks(parts: int):
             base = np.concatenate([h[4][:-1] + b for h, b in zip(held, bytes_)])
             row = np.concatenate([h[5] + s for h, s in zip(held, rows)])
             start = np.concatenate([h[6] + b for h, b in zip(held, bytes_)])
-            length, minimiser, content = (np.concatenate([h[i] for h in held]) for i in (7, 8, 9))
+            length, minimiser, content, other = (np.concatenate([h[i] for h in held]) for i in (7, 8, 9, 10))
             columns: list[list] = [[] for _ in arrow.names]
 
             def add(**x):
@@ -227,14 +227,14 @@ def _hash_blocks(parts: int):
                 who, at = row[mine], start[mine] - base[row[mine]]
                 packed = dict(zip(("ids", "subs", "starts", "ends"), _pack_spans(key[who], sub[who], at, at + length[mine])))
                 add(bucket=int(where[order[f]]), home=int(where[order[f]]), **packed)
-            row, minimiser, content = row[kept], minimiser[kept], content[kept]
+            row, minimiser, content, other = row[kept], minimiser[kept], content[kept], other[kept]
             bucket = _bucket(minimiser, parts)
             order = np.argsort(bucket, kind="stable")
             for f, e in zip(*_groups(bucket[order])):
                 mine = order[f:e]
                 first, end = _groups(row[mine])
                 who = row[mine][first]
-                add(bucket=int(bucket[mine[0]]), homes=home[who].tobytes(), ids=key[who].tobytes(), subs=sub[who].tobytes(), counts=(end - first).astype(np.int32).tobytes(), minimisers=_planes(minimiser[mine] & _LOW), contents=_planes(content[mine] & _LOW))
+                add(bucket=int(bucket[mine[0]]), homes=home[who].tobytes(), ids=key[who].tobytes(), subs=sub[who].tobytes(), counts=(end - first).astype(np.int32).tobytes(), minimisers=_planes(minimiser[mine] & _LOW), contents=content[mine].tobytes(), others=other[mine].tobytes())
             return _batch(columns, arrow)
 
         for batch in batches:
@@ -264,16 +264,17 @@ def _judge(parts: int):
         table = table.filter(pc.is_null(table.column("home")))
         count = _join(table, "counts", np.int32)
         home, key, sub = (np.repeat(_join(table, c, k), count) for c, k in (("homes", np.int32), ("ids", np.int64), ("subs", np.int32)))
-        minimiser, content = (np.concatenate([np.zeros(0, np.uint64), *(_unplane(b) for b in table.column(c).to_pylist())]) for c in ("minimisers", "contents"))
+        minimiser = np.concatenate([np.zeros(0, np.uint64), *(_unplane(b) for b in table.column("minimisers").to_pylist())])
+        content, other = _join(table, "contents", np.uint64), _join(table, "others", np.uint32)
         order = np.argsort(minimiser, kind="stable")
         first, end = _groups(minimiser[order])
         if len(first):
             low, high = np.minimum.reduceat(key[order], first), np.maximum.reduceat(key[order], first)
             order = order[np.repeat(low != high, end - first)]  # minimisers of several documents
         if len(order):
-            order = order[np.lexsort((content[order], minimiser[order]))]
-            m, c, k = minimiser[order], content[order], key[order]
-            new = np.concatenate(([True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])))
+            order = order[np.lexsort((other[order], content[order], minimiser[order]))]
+            m, c, o, k = minimiser[order], content[order], other[order], key[order]
+            new = np.concatenate(([True], (m[1:] != m[:-1]) | (c[1:] != c[:-1]) | (o[1:] != o[:-1])))
             least = np.minimum.reduceat(k, np.flatnonzero(new))[np.cumsum(new) - 1]
             first, end = _groups(m)
             contents = np.repeat(np.add.reduceat(new.astype(np.int64), first), end - first)
@@ -281,7 +282,7 @@ def _judge(parts: int):
             order, kind = order[kind < 3], kind[kind < 3]
             again = np.argsort(home[order], kind="stable")
             order, kind = order[again], kind[again]
-            tags = _tags(minimiser[order], content[order], key[order], sub[order])
+            tags = _tags(minimiser[order], content[order], other[order], key[order], sub[order])
             for f, e in zip(*_groups(home[order])):
                 for column, v in zip(columns, (int(home[order[f]]), None, None, None, tags[f:e].tobytes(), kind[f:e].tobytes(), None, None)):
                     column.append(v)
@@ -382,8 +383,8 @@ def _cut(parts: int):
                 part_ids, part_subs, ok = ids[lo:hi], subs[lo:hi], valid[lo:hi]
                 part, inner = data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
                 lo = hi
-                row, start, size, minimiser, content = stretches(part, inner)
-                own = _tags(minimiser, content, part_ids[row], part_subs[row])
+                row, start, size, minimiser, content, other = stretches(part, inner)
+                own = _tags(minimiser & _LOW, content, other, part_ids[row], part_subs[row])
                 at = np.minimum(np.searchsorted(tags, own), len(tags) - 1)
                 asked = (tags[at] == own) & ok[row]
                 kind = np.where(asked, kinds[at], 3)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, id_type, keyed_text, slices, stored, tidy
+from ._common import arrow_schema, id_type, keyed_text, sampled, slices, stored, tidy
 
 # fixed values: letters that look like Latin ones, and digits and signs written for letters
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһκονρτυχαεικпмтвнк", "aeopcyxijsdhkovptuxaeiknmtbhk")
@@ -103,8 +103,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, train: Column | None, fit_rows
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     if train is not None:
         known = known.where(train)
-    share = min(1.0, fit_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.where(sampled(F.xxhash64("id", F.lit("fit")), fit_rows, known.count()))
     rows = keyed_text(docs, id_col, text_col).join(known, "id").select("text", (F.col("label") > 0).cast("int").alias("label"))
     arrow = arrow_schema("text string, label int")
 
