@@ -28,14 +28,6 @@ def test_ngrams_of_short_sentences(spark):
     assert rows(got, "n", "cnt") == [(1, "b", 1), (1, "a", 2), (2, "a b", 1)]
 
 
-def test_language_model_sums_to_one(spark):
-    d = spark.createDataFrame([("a b a c",), ("b a b",), ("c a b a",)], "text string")
-    model = corpus.kneser_ney(corpus.ngram_counts(d, fn.words(F.col("text")))).collect()
-    p = {tuple(r.gram.split(" ")): r.p for r in model}
-    assert {r.gram: r.n for r in model} == {" ".join(g): len(g) for g in p} and max(map(len, p)) == 3
-    assert sum(v for g, v in p.items() if len(g) == 1) == pytest.approx(1)
-
-
 def test_balance_and_script(spark):
     d = spark.createDataFrame([(i, int(i < 3)) for i in range(40)], "k int, y int")
     got = corpus.balance_classes(d, "y", "k").groupBy("y").count()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..sources.storage import kept
 
 #: Phrases are found by so many letters on each side of their first space.
 SIDE = 6
@@ -15,18 +18,17 @@ def _clean(terms: DataFrame) -> DataFrame:
     return terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
 
 
-def _in_words(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term) for terms without a space that are substrings of the distinct words ``vocabulary``: every piece of a word
-    that is as long as some term is looked up, so each joined row is a pair."""
+def _in_words(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds ``term`` to rows of distinct words: every term without a space that is a substring of ``word``. Every piece of a word that is
+    as long as some term is looked up, so each joined row is a pair (twice, if the word has the term twice)."""
     lengths = terms.agg(F.collect_set(F.length("term"))).scalar()
-    rows = vocabulary.where("word <> ''").withColumn("_n", lengths)
-    sizes = F.filter("_n", lambda n: n <= F.length("word"))
-    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring("word", i, n))))
-    return rows.select("word", F.explode(F.array_distinct(pieces)).alias("term")).join(terms, "term").select("word", "term")
+    pieces = rows.where("word <> ''").withColumn("_n", F.explode(lengths)).where(F.col("_n") <= F.length("word"))
+    pieces = pieces.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1)))
+    return pieces.withColumn("term", F.substring("word", F.col("_i"), F.col("_n"))).drop("_n", "_i").join(terms, "term")
 
 
 def _phrases(body: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, _v, term) for terms of several words: joined on the letters around the term's first space, at most ``SIDE`` on each
+    """(key, term) for terms of several words: joined on the letters around the term's first space, at most ``SIDE`` on each
     side, which the text has at one of its spaces, then verified. Only numbers of letters that some term has are
     looked up, none without such terms."""
     first, rest = F.substring_index("term", " ", 1), F.split("term", " ")[1]
@@ -42,37 +44,38 @@ def _phrases(body: DataFrame, terms: DataFrame) -> DataFrame:
     cut = near.select("s", "_z").distinct().select("s", F.explode(F.array_distinct(F.transform(fits(F.col("s")), lambda z: around(F.col("s.a"), F.col("s.b"), z["i"], z["j"])))).alias("_g"))
     pairs = cut.join(heads, "_g").select("s", "term").distinct()
     found = near.join(pairs, "s").select("key", "term").distinct()
-    return found.join(body, "key").where(F.contains("_t", "term")).select("key", "_v", "term")
+    return found.join(body, "key").where(F.contains("_t", "term")).select("key", "term")
 
 
 def _all_words(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, _v, term) for terms of several words all of which the text has, anywhere."""
+    """(key, term) for terms of several words all of which the text has, anywhere."""
     own = terms.select("term", F.array_distinct(fn.words(F.col("term"))).alias("w")).select("term", F.size("w").alias("_n"), F.explode("w").alias("word"))
-    return words.join(own, "word").groupBy("key", "term", "_n").agg(F.count("*").alias("_c"), F.first("_v").alias("_v")).where("_c = _n").select("key", "_v", "term")
+    return words.join(own, "word").groupBy("key", "term", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("key", "term")
 
 
-def _found(corpus: DataFrame, terms: DataFrame, key: str, text: str, value: str | None, words: bool, word_boundary: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words of each text (key, _v, word), the terms in them (word, term), and phrases of each text (key, _v, term)."""
-    body = corpus.select(F.col(key).alias("key"), (F.col(value) if value else F.lit(None)).alias("_v"), F.lower(F.trim(text)).alias("_t"))
+def _found(corpus: DataFrame, terms: DataFrame, key: str, text: str, words: bool, word_boundary: bool) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame]:
+    """Words of each text (key, word), how rows of words get the terms in them, and phrases of each text (key, term). Terms are stored
+    first: they are read several times, and joins with them are planned by their true size."""
+    body = corpus.select(F.col(key).alias("key"), F.lower(F.trim(text)).alias("_t"))
     terms = _clean(terms)
+    spaced = lambda c: F.array_join(fn.words(F.col(c)), " ")
     if word_boundary:
-        spaced = lambda c: F.array_join(fn.words(F.col(c)), " ")
         body, terms = body.withColumn("_t", spaced("_t")), terms.select(spaced("term").alias("term")).where("term <> ''").distinct()
-    several = terms.where(F.contains("term", F.lit(" ")))
-    single = terms.where(~F.contains("term", F.lit(" ")))
-    tokens = body.select("key", "_v", F.explode(F.array_distinct(F.split("_t", " "))).alias("word"))
+    terms = kept(terms, "terms")
+    several, single = terms.where(F.contains("term", F.lit(" "))), terms.where(~F.contains("term", F.lit(" ")))
+    tokens = body.select("key", F.explode(F.array_distinct(F.split("_t", " "))).alias("word"))
     if word_boundary:
-        pairs = single.select(F.col("term").alias("word"), "term")
+        named = lambda rows: rows.join(single.withColumn("word", F.col("term")), "word")
         whole = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
         phrases = _phrases(body.withColumn("_t", whole("_t")), several.withColumn("term", F.concat("term", F.lit(" ")))).withColumn("term", F.rtrim("term"))
-        phrases = phrases.join(body.select("key", "_t"), "key").where(F.contains(whole("_t"), whole("term"))).drop("_t")
+        phrases = phrases.join(body, "key").where(F.contains(whole("_t"), whole("term"))).drop("_t")
     else:
-        pairs = _in_words(tokens.select("word").distinct(), single)
+        named = lambda rows: _in_words(rows, single)
         phrases = _phrases(body, several)
     if words:
-        own = body.select("key", "_v", F.explode(F.array_distinct(fn.words(F.col("_t")))).alias("word"))
+        own = body.select("key", F.explode(F.array_distinct(fn.words(F.col("_t")))).alias("word"))
         phrases = phrases.union(_all_words(own, several))
-    return tokens, pairs, phrases
+    return tokens, named, phrases
 
 
 def matches(corpus: DataFrame, terms: DataFrame, key: str, text: str, words: bool = False, word_boundary: bool = False) -> DataFrame:
@@ -80,17 +83,19 @@ def matches(corpus: DataFrame, terms: DataFrame, key: str, text: str, words: boo
     whose words the text has; with ``word_boundary`` a term has to be whole words of the text. Terms of one word are looked
     for in the distinct words of the corpus, so that the work on them grows with the vocabulary; all joins
     are on equal keys, however many terms there are. Keys are distinct."""
-    tokens, pairs, phrases = _found(corpus, terms, key, text, None, words, word_boundary)
+    tokens, named, phrases = _found(corpus, terms, key, text, words, word_boundary)
+    pairs = named(tokens.select("word").distinct()).select("word", "term")
     return tokens.join(pairs, "word").select("key", "term").union(phrases.select("key", "term")).distinct().withColumnRenamed("key", key)
 
 
-def term_first(corpus: DataFrame, terms: DataFrame, key: str, text: str, value: str, **how) -> DataFrame:
+def term_first(corpus: DataFrame, terms: DataFrame, key: str, text: str, value: str, words: bool = False, word_boundary: bool = False) -> DataFrame:
     """(term, value, key) from the first row, by key, that has the term: the first row of each word is known before the
-    words are joined to terms."""
-    tokens, pairs, phrases = _found(corpus, terms, key, text, value, how.pop("words", False), how.pop("word_boundary", False), **how)
-    first = tokens.groupBy("word").agg(F.min("key").alias("key"), F.min_by("_v", "key").alias("_v"))
-    hits = first.join(pairs, "word").select("term", "key", "_v").union(phrases.select("term", "key", "_v"))
-    return hits.groupBy("term").agg(F.min_by("_v", "key").alias(value), F.min("key").alias(key))
+    words meet the terms, and only keys are compared. Keys are distinct."""
+    tokens, named, phrases = _found(corpus, terms, key, text, words, word_boundary)
+    first = tokens.groupBy("word").agg(F.min("key").alias("key"))
+    hits = named(first).select("term", "key").union(phrases.select("term", "key"))
+    found = hits.groupBy("term").agg(F.min("key").alias(key))
+    return found.join(corpus.select(key, value), key).select("term", value, key)
 
 
 def unmined(terms: DataFrame, found: DataFrame) -> DataFrame:
