@@ -246,7 +246,9 @@ def test_pigeonhole_finds_every_code_within_the_radius():
     for i in range(0, 500, 25):
         distance = neighbours.hamming(codes, codes[i])
         for radius in (0, 1, 4, 5, 9, 10, 23, 40, 80):
-            assert tables.within(codes[i], radius).tolist() == np.flatnonzero(distance <= radius).tolist()
+            for prune in (True, False):
+                assert tables.within(codes[i], radius, prune).tolist() == np.flatnonzero(distance <= radius).tolist()
+    assert tables.prune(codes[:8], 4) and not tables.prune(codes[:8], 40)
 
 
 def test_neighbours_do_not_depend_on_the_blocks(spark, monkeypatch):

@@ -34,6 +34,7 @@ from ._common import arrow_schema, n_parts, sampled, stored, tidy
 
 ROTATIONS = 8  # bits for each coordinate
 BLOCK_ROWS = 1 << 16
+PROBED, WORTH = 8, 0.25  # queries of a block on which the tables are tried, and the share of rows that they may leave
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -77,24 +78,45 @@ def hamming(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ code).sum(1, dtype=np.int64)
 
 
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Codes as whole 64-bit words, filled up with zeros."""
+    return np.ascontiguousarray(np.pad(codes, [*[(0, 0)] * (codes.ndim - 1), (0, -codes.shape[-1] % 4)])).view(np.uint64)
+
+
 class Tables:
     """The tables of substrings of one block: the values that occur, and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.codes, self.words = codes, _words(codes)
         self.order = [np.argsort(c, kind="stable") for c in codes.T]
         self.values, self.counts = zip(*(np.unique(c, return_counts=True) for c in codes.T))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code is within the radius: looked up in every table, checked on whole codes."""
+    def _near(self, code: np.ndarray, radius: int):
+        """For each table, which of its values are within its threshold; the thresholds add up to radius - m + 1."""
         m = len(code)
-        low, more = divmod(max(radius - m + 1, -m), m)  # the thresholds of the tables add up to radius - m + 1
-        hit = np.zeros(len(self.codes), bool)
+        low, more = divmod(max(radius - m + 1, -m), m)
         for t in range(m):
-            near = np.bitwise_count(self.values[t] ^ code[t]) <= low + (t < more)
+            yield t, np.bitwise_count(self.values[t] ^ code[t]) <= low + (t < more)
+
+    def prune(self, codes: np.ndarray, radius: int) -> bool:
+        """Whether the tables leave few of the rows to be compared, told from the first of the queries."""
+        left = [self._hit(code, radius).mean() for code in codes[:PROBED]]
+        return bool(left) and float(np.mean(left)) < WORTH
+
+    def _hit(self, code: np.ndarray, radius: int) -> np.ndarray:
+        hit = np.zeros(len(self.codes), bool)
+        for t, near in self._near(code, radius):
             hit[self.order[t][np.repeat(near, self.counts[t])]] = True
-        rows = np.flatnonzero(hit)
-        return rows[hamming(self.codes[rows], code) <= radius]
+        return hit
+
+    def within(self, code: np.ndarray, radius: int, prune: bool = True) -> np.ndarray:
+        """All rows whose code is within the radius: looked up in every table, checked on whole codes. Where the tables leave
+        most rows, whole codes are one table, which gives the same rows sooner."""
+        word = _words(code)
+        if not prune:
+            return np.flatnonzero(np.bitwise_count(self.words ^ word).sum(1, dtype=np.uint16) <= radius)
+        rows = np.flatnonzero(self._hit(code, radius))
+        return rows[np.bitwise_count(self.words[rows] ^ word).sum(1, dtype=np.uint16) <= radius]
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -151,8 +173,10 @@ def search(rows: DataFrame, queries: Column, k: int = 10, recall: float = 0.97,
             found = ([], [], [])
             if len(ids) and len(q_ids):
                 tables = Tables(codes(x))
-                for query, v, code in zip(q_ids.tolist(), q, codes(q)):
-                    near = tables.within(code, radius)
+                asked = codes(q)
+                prune = tables.prune(asked, radius)
+                for query, v, code in zip(q_ids.tolist(), q, asked):
+                    near = tables.within(code, radius, prune)
                     near = near[ids[near] != query]
                     d = _distances(x[near], v)
                     if len(d) > k:

@@ -6,7 +6,7 @@ a stretch of text.
 
 1. Within a block of documents, a stretch that a smaller document has byte by byte is removed, and one copy
    stays to stand for all. So a passage of very many documents gives one entry a block from here on.
-   The entries go out as hashes (40 bits of the minimiser's, 96 bits of the content's), packed, and are counted by
+   The entries go out as hashes (32 bits of the minimiser's, 80 bits of the content's), packed, and are counted by
    minimiser. A minimiser of one document only is done. A stretch whose whole content a smaller document of another
    block has, by both hashes, is removed. Of each other content that shares its minimiser with different ones, the stretch
    of its smallest document goes on to the next step.
@@ -44,10 +44,10 @@ from .words import pack_ints, unpack_ints
 LENGTH, SEED = 50, 20
 SHARDS = 4  # for each bucket of minimisers
 HOME_BYTES = 16 << 20  # of text for each home, and for each bucket
-CHUNK, BLOCK = 1 << 20, 8 << 20
+CHUNK, CUT, BLOCK = 1 << 20, 2 << 20, 8 << 20
 NEARLY = 4  # places of a minimiser within a string that are dealt together
 HOT = 2048  # entries of a minimiser from which its strings are dealt by the bytes around it
-_LOW = np.uint64((1 << 40) - 1)
+_LOW = np.uint64((1 << 32) - 1)  # of minimisers within a bucket, where two that agree only give the shards more to do
 
 
 def _seeds(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +64,10 @@ def _seeds(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed: int = SEED):
-    """Of all rows: row, start, bytes, minimiser and both content hashes (64 and 32 bits) of each stretch, in text order."""
+    """Of all rows: row, start, bytes, minimiser and both content hashes (64 and 16 bits) of each stretch, in text order."""
     count = np.maximum(np.diff(bounds) - length + 1, 0)
     if not count.any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.uint32),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.uint16),)
     least = _seeds(data, length, seed)[1]
     at = np.repeat(bounds[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     row = np.repeat(np.arange(len(count)), count)
@@ -75,7 +75,7 @@ def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed:
     first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]))))
     start, end = at[first], at[np.append(first[1:], len(at)) - 1] + length
     content, other = (piece_hashes(data, start, end, salt) for salt in (0, 1))
-    return row[first], start, end - start, mix(value[first]), content, other.astype(np.uint32)
+    return row[first], start, end - start, mix(value[first]), content, other.astype(np.uint16)
 
 
 def parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int = LENGTH, seed: int = SEED):
@@ -98,15 +98,6 @@ def parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int =
     return owner[first], at[first], at[last] + length - at[first], key[first]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes()
-
-
-def _unplane(b: bytes) -> np.ndarray:
-    n = len(b) // 5
-    return np.frombuffer(b, "<u4", n).astype(np.uint64) | np.frombuffer(b, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
-
-
 def _pack_spans(key: np.ndarray, sub: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     """Spans of documents as four columns: ids and subs once for each run of spans of a document, starts, and lengths
     with the numbers of spans of these runs."""
@@ -234,7 +225,7 @@ def _hash_blocks(parts: int):
                 mine = order[f:e]
                 first, end = _groups(row[mine])
                 who = row[mine][first]
-                add(bucket=int(bucket[mine[0]]), homes=home[who].tobytes(), ids=key[who].tobytes(), subs=sub[who].tobytes(), counts=(end - first).astype(np.int32).tobytes(), minimisers=_planes(minimiser[mine] & _LOW), contents=content[mine].tobytes(), others=other[mine].tobytes())
+                add(bucket=int(bucket[mine[0]]), homes=home[who].tobytes(), ids=key[who].tobytes(), subs=sub[who].tobytes(), counts=(end - first).astype(np.int32).tobytes(), minimisers=(minimiser[mine] & _LOW).astype(np.uint32).tobytes(), contents=content[mine].tobytes(), others=other[mine].tobytes())
             return _batch(columns, arrow)
 
         for batch in batches:
@@ -264,8 +255,8 @@ def _judge(parts: int):
         table = table.filter(pc.is_null(table.column("home")))
         count = _join(table, "counts", np.int32)
         home, key, sub = (np.repeat(_join(table, c, k), count) for c, k in (("homes", np.int32), ("ids", np.int64), ("subs", np.int32)))
-        minimiser = np.concatenate([np.zeros(0, np.uint64), *(_unplane(b) for b in table.column("minimisers").to_pylist())])
-        content, other = _join(table, "contents", np.uint64), _join(table, "others", np.uint32)
+        minimiser = _join(table, "minimisers", np.uint32).astype(np.uint64)
+        content, other = _join(table, "contents", np.uint64), _join(table, "others", np.uint16)
         order = np.argsort(minimiser, kind="stable")
         first, end = _groups(minimiser[order])
         if len(first):
@@ -353,6 +344,28 @@ def _unpack_texts(table: pa.Table):
         yield np.frombuffer(ids, np.int64), np.frombuffer(valid, bool), np.frombuffer(subs, np.int32), data, bounds, extra
 
 
+def _in_parts(table: pa.Table, limit: int):
+    """The same texts in parts of about ``limit`` bytes, whatever the rows that they came in: ids, valid, subs, data, bounds."""
+
+    def joined(held: list):
+        ids, valid, subs, data, sizes = (np.concatenate(c) for c in zip(*held))
+        return ids, valid, subs, data, np.concatenate(([0], np.cumsum(sizes)))
+
+    held, size = [], 0
+    for ids, valid, subs, data, bounds, _ in _unpack_texts(table):
+        lo = 0
+        while lo < len(ids):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit - size, "right")) - 1)
+            held.append((ids[lo:hi], valid[lo:hi], subs[lo:hi], data[bounds[lo] : bounds[hi]], np.diff(bounds[lo : hi + 1])))
+            size += int(bounds[hi] - bounds[lo])
+            lo = hi
+            if size >= limit:
+                yield joined(held)
+                held, size = [], 0
+    if held:
+        yield joined(held)
+
+
 # --- 2: shards ----------------------------------------------------------------------------------------------
 
 _CUT = "home int, ids binary, subs binary, starts binary, ends binary, shard int, blob binary"
@@ -376,42 +389,36 @@ def _cut(parts: int):
         order = np.argsort(tags, kind="stable")
         tags, kinds = tags[order], kinds[order]
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for ids, valid, subs, data, bounds, _ in _unpack_texts(texts) if len(tags) else ():
-            lo = 0
-            while lo < len(ids):  # a bounded number of bytes at a time
-                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + CHUNK, "right")) - 1)
-                part_ids, part_subs, ok = ids[lo:hi], subs[lo:hi], valid[lo:hi]
-                part, inner = data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
-                lo = hi
-                row, start, size, minimiser, content, other = stretches(part, inner)
-                own = _tags(minimiser & _LOW, content, other, part_ids[row], part_subs[row])
-                at = np.minimum(np.searchsorted(tags, own), len(tags) - 1)
-                asked = (tags[at] == own) & ok[row]
-                kind = np.where(asked, kinds[at], 3)
-                gone = np.flatnonzero(kind == 0)
-                if len(gone):
-                    who, s = row[gone], start[gone] - inner[row[gone]]
-                    add(*_pack_spans(part_ids[who], part_subs[who], s, s + size[gone]), -1, b"")
-                plain, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-                shard = (_bucket(minimiser[plain], parts).astype(np.int64) * SHARDS + (minimiser[plain] % np.uint64(SHARDS)).astype(np.int64)).astype(np.int32)
-                row_, start_, size_ = row[plain], start[plain], size[plain]
-                if len(hot):
-                    nth, s, n, k = parted(part, start[hot], size[hot])
-                    who = row[hot][nth]
-                    # parts of a common passage are the same in very many documents: one stands for all of these
-                    lost, kept = _copies(part, part_ids[who], part_subs[who], s, n, k, span_hashes(part, s, s + n))
-                    if len(lost):
-                        by = lost[np.argsort(who[lost], kind="stable")]
-                        add(*_pack_spans(part_ids[who[by]], part_subs[who[by]], s[by] - inner[who[by]], s[by] - inner[who[by]] + n[by]), -1, b"")
-                    row_, start_, size_ = np.concatenate((row_, who[kept])), np.concatenate((start_, s[kept])), np.concatenate((size_, n[kept]))
-                    shard = np.concatenate((shard, (k[kept] % np.uint64(parts * SHARDS)).astype(np.int32)))
-                again = np.argsort(shard, kind="stable")
-                for f, e in zip(*_groups(shard[again])):
-                    mine = again[f:e]
-                    who, s, n = row_[mine], start_[mine], size_[mine]
-                    at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    s = s - inner[who]
-                    add(*_pack_spans(part_ids[who], part_subs[who], s, s + n), int(shard[mine[0]]), squeeze(part[at].tobytes()))
+        for part_ids, ok, part_subs, part, inner in _in_parts(texts, CUT) if len(tags) else ():
+            row, start, size, minimiser, content, other = stretches(part, inner)
+            own = _tags(minimiser & _LOW, content, other, part_ids[row], part_subs[row])
+            at = np.minimum(np.searchsorted(tags, own), len(tags) - 1)
+            asked = (tags[at] == own) & ok[row]
+            kind = np.where(asked, kinds[at], 3)
+            gone = np.flatnonzero(kind == 0)
+            if len(gone):
+                who, s = row[gone], start[gone] - inner[row[gone]]
+                add(*_pack_spans(part_ids[who], part_subs[who], s, s + size[gone]), -1, b"")
+            plain, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+            shard = (_bucket(minimiser[plain], parts).astype(np.int64) * SHARDS + (minimiser[plain] % np.uint64(SHARDS)).astype(np.int64)).astype(np.int32)
+            row_, start_, size_ = row[plain], start[plain], size[plain]
+            if len(hot):
+                nth, s, n, k = parted(part, start[hot], size[hot])
+                who = row[hot][nth]
+                # parts of a common passage are the same in very many documents: one stands for all of these
+                lost, kept = _copies(part, part_ids[who], part_subs[who], s, n, k, span_hashes(part, s, s + n))
+                if len(lost):
+                    by = lost[np.argsort(who[lost], kind="stable")]
+                    add(*_pack_spans(part_ids[who[by]], part_subs[who[by]], s[by] - inner[who[by]], s[by] - inner[who[by]] + n[by]), -1, b"")
+                row_, start_, size_ = np.concatenate((row_, who[kept])), np.concatenate((start_, s[kept])), np.concatenate((size_, n[kept]))
+                shard = np.concatenate((shard, (k[kept] % np.uint64(parts * SHARDS)).astype(np.int32)))
+            again = np.argsort(shard, kind="stable")
+            for f, e in zip(*_groups(shard[again])):
+                mine = again[f:e]
+                who, s, n = row_[mine], start_[mine], size_[mine]
+                at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                s = s - inner[who]
+                add(*_pack_spans(part_ids[who], part_subs[who], s, s + n), int(shard[mine[0]]), squeeze(part[at].tobytes()))
         return pa.Table.from_batches([_batch(columns, arrow)], schema=arrow)
 
     return run
