@@ -56,8 +56,8 @@ def test_alignment_of_whole_contours(spark, tmp_path):
     events = [(1000 * u + i, start + timedelta(seconds=i), u, "view", v) for u, x in values.items() for i, v in enumerate(x)]
     table(spark, tmp_path, "events", events, EVENT)
     rng = np.random.default_rng(3)
-    clips = {0: rng.normal(size=(620, 2)), 1: rng.normal(size=(610, 2))}
-    table(spark, tmp_path, "embeddings", [(1000 * c + i, v.tolist(), c) for c, x in clips.items() for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    clips = {0: rng.normal(size=(50, 2)), 1: rng.normal(size=(44, 2))}
+    table(spark, tmp_path, "embeddings", [(50 * c + i, v.tolist(), c) for c, x in clips.items() for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
     want = signal.path(np.array(values[0]), np.array(values[1]))
     got = entry.queries()["job_align_series"](spark, str(tmp_path)).orderBy("path_ord").collect()
     assert [(r.src_idx, r.tgt_idx) for r in got] == want

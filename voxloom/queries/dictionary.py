@@ -158,10 +158,18 @@ def select_grapheme_overrides(t):
     return op.grapheme_overrides(vocabulary(t).withColumn("v", F.concat(F.lit("/"), "word", F.lit("!/"))), "word", "v", "[À-ÿ]")
 
 
-@query()
+# from each place of a word, the longest entry of the table or the letter itself
+_G2P = f"""WITH RECURSIVE w AS (SELECT word FROM {_DW}), g AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _GRAPHEMES)}) AS g(key, value)),
+walk AS (
+  SELECT word, 1 AS i, '' AS ipa FROM w
+  UNION ALL SELECT word, i + CASE WHEN g3.key IS NOT NULL THEN 3 WHEN g2.key IS NOT NULL THEN 2 ELSE 1 END, ipa || coalesce(g3.value, g2.value, g1.value, substr(word, i, 1))
+  FROM walk LEFT JOIN g g3 ON length(g3.key) = 3 AND g3.key = substr(word, i, 3) LEFT JOIN g g2 ON length(g2.key) = 2 AND g2.key = substr(word, i, 2) LEFT JOIN g g1 ON g1.key = substr(word, i, 1) WHERE i <= length(word))
+SELECT word, CASE WHEN length(word) = 2 THEN '<' || word || '>' ELSE ipa END AS ipa FROM walk WHERE i > length(word)"""
+
+
+@query(_G2P)
 def job_g2p_table(t):
-    """Greedy longest-match phonetisation: its walk over a word's letters is beyond plain SQL; unit tests hold it against a loop."""
-    spark = t.spark
-    table = spark.createDataFrame(_GRAPHEMES, "key string, value string")
-    over = vocabulary(t).where("length(word) = 2").select(F.col("word").alias("key"), F.upper("word").alias("value"))
+    """Greedy longest-match phonetisation of all words; words of two letters are overridden."""
+    table = t.spark.createDataFrame(_GRAPHEMES, "key string, value string")
+    over = vocabulary(t).where("length(word) = 2").select(F.col("word").alias("key"), F.concat(F.lit("<"), "word", F.lit(">")).alias("value"))
     return op.phonetise(vocabulary(t), table, over)

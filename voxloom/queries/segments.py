@@ -78,6 +78,9 @@ def win_median_smooth(t):
     return op.median_smooth(frames(t).withColumn("label", F.length("label"))).select("doc", "frame_idx", F.col("smooth").cast("long").alias("smooth"))
 
 
+CLIP = 50  # vectors in a row
+
+
 def _slope(x, d, source):
     terms = " + ".join(f"{k} * (lead({x}, {k}) OVER w - lag({x}, {k}) OVER w)" for k in (1, 2, 3, 4))
     whole = "(PARTITION BY doc ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
@@ -85,7 +88,7 @@ def _slope(x, d, source):
     return f"SELECT * EXCLUDE r, coalesce(r, {edge}) AS {d} FROM (SELECT *, ({terms}) / 60 AS r FROM {source} WINDOW w AS (PARTITION BY doc ORDER BY frame_idx))"
 
 
-_DELTAS = f"""WITH e AS (SELECT label AS doc, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding[1]::DOUBLE AS x FROM embeddings),
+_DELTAS = f"""WITH e AS (SELECT vec_id // {CLIP} AS doc, row_number() OVER (PARTITION BY vec_id // {CLIP} ORDER BY vec_id) - 1 AS frame_idx, embedding[1]::DOUBLE AS x FROM embeddings),
 d1 AS ({_slope('x', 'd', 'e')}), d2 AS ({_slope('d', 'dd', 'd1')})"""
 
 
@@ -96,8 +99,10 @@ def win_delta(t):
 
 
 def vectors(t):
-    idx = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    return t("embeddings").select(F.col("label").alias("doc"), idx.alias("frame_idx"), F.get("embedding", F.lit(0)).cast("double").alias("x"), "embedding")
+    """Neighbouring vectors are a clip's frames, so that more vectors are more clips."""
+    clip = F.floor(F.col("vec_id") / CLIP)
+    idx = F.row_number().over(W.partitionBy(clip).orderBy("vec_id")) - 1
+    return t("embeddings").select(clip.alias("doc"), idx.alias("frame_idx"), F.get("embedding", F.lit(0)).cast("double").alias("x"), "embedding")
 
 
 @query(_S + " SELECT doc, seg_idx AS frame_idx, stride::BIGINT AS stride FROM (SELECT *, greatest(1, count(*) OVER (PARTITION BY doc) // 20) AS stride FROM spine) WHERE seg_idx % stride = 0")

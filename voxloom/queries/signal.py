@@ -1,4 +1,4 @@
-"""Queries on signals: an embedding is a clip of 64 samples or one frame, and a label's embeddings are its frames."""
+"""Queries on signals: an embedding is a clip of 64 samples or one frame, and neighbouring embeddings are the frames of a clip."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from ..operators import segments
 from ..operators import signal as op
 from .registry import query
-from .segments import spine, vectors
+from .segments import _S, CLIP, spine, vectors
 
 _X = "list_transform(embedding, lambda x: x::DOUBLE)"
 _SUM2 = "list_sum(list_transform({}, lambda x: x * x))"
@@ -87,7 +87,7 @@ def job_frame_energy(t):
     return op.frame_energy(t("embeddings"), "vec_id", "embedding", 16, 8).select("vec_id", "frame_idx", F.round("rms", 6).alias("rms"))
 
 
-_FR = "WITH fr AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding AS v FROM embeddings)"
+_FR = f"WITH fr AS (SELECT vec_id // {CLIP} AS clip, row_number() OVER (PARTITION BY vec_id // {CLIP} ORDER BY vec_id) - 1 AS frame_idx, embedding AS v FROM embeddings)"
 _POWER = (
     _FR
     + """, w AS (SELECT clip, frame_idx, list_transform(range(0, 64), lambda i: v[i + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * i / 64))) AS x FROM fr),
@@ -233,19 +233,49 @@ def contours(t):
     return s.where("side = 0").drop("side"), s.where("side = 1").drop("side")
 
 
-@query()
+def _aligned_sql(rows):
+    """Dynamic time warping in SQL, from rows (pair, side, frame_idx, value): the totals of an antidiagonal are a list, made from
+    the two lists before it; then each pair goes back from its end."""
+    return f"""WITH RECURSIVE fr AS ({rows}), n AS (SELECT pair, count(*) FILTER (side = 0) AS n, count(*) FILTER (side = 1) AS m FROM fr GROUP BY pair HAVING n > 0 AND m > 0),
+k AS (SELECT pair, greatest(1, greatest(n, m) // 5000) AS k FROM n),
+l AS (SELECT pair, any_value(k) AS k, array_agg(value ORDER BY frame_idx) FILTER (side = 0) AS x, array_agg(value ORDER BY frame_idx) FILTER (side = 1) AS y FROM fr JOIN k USING (pair) WHERE frame_idx % k = 0 GROUP BY pair),
+z AS (SELECT *, len(x) AS nx, len(y) AS ny, greatest(floor(0.25::DOUBLE * greatest(len(x), len(y)))::INT, abs(len(x) - len(y)) + 1) AS w FROM l),
+t AS (
+  SELECT pair, 1 AS s, list_transform(range(0, nx + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 'infinity'::DOUBLE END) AS o, list_transform(range(0, nx + 1), lambda i: 'infinity'::DOUBLE) AS c FROM z
+  UNION ALL SELECT t.pair, s + 1, c, list_transform(range(0, nx + 1), lambda i: CASE WHEN i >= 1 AND s + 1 - i BETWEEN 1 AND ny AND abs(2 * i - s - 1) <= w THEN pow(x[i] - y[s + 1 - i], 2) + least(o[i], c[i], c[i + 1]) ELSE 'infinity'::DOUBLE END)
+  FROM t JOIN z USING (pair) WHERE s < nx + ny),
+b AS (
+  SELECT pair, 1 AS step, nx AS i, ny AS j FROM z
+  UNION ALL SELECT b.pair, step + 1, CASE WHEN o[i] <= least(c[i], c[i + 1]) OR c[i] <= c[i + 1] THEN i - 1 ELSE i END, CASE WHEN o[i] <= least(c[i], c[i + 1]) OR c[i + 1] < c[i] THEN j - 1 ELSE j END
+  FROM b JOIN t ON t.pair = b.pair AND t.s = i + j - 1 WHERE i > 0 AND j > 0),
+path AS (SELECT pair, (row_number() OVER (PARTITION BY pair ORDER BY step DESC) - 1)::INT AS path_ord, ((i - 1) * k)::INT AS src_idx, ((j - 1) * k)::INT AS tgt_idx FROM b JOIN k USING (pair) WHERE i > 0 AND j > 0)"""
+
+
+_CONTOURS = _S + " SELECT doc // 2 AS pair, doc % 2 AS side, seg_idx AS frame_idx, value FROM spine"
+_ALIGNED = _aligned_sql(_CONTOURS)
+
+
+@query(_ALIGNED + " SELECT pair, path_ord, src_idx, tgt_idx FROM path")
 def job_align_series(t):
-    """Dynamic time warping: beyond SQL; unit tests hold it against a plain recurrence."""
+    """Dynamic time warping of the values of neighbouring users."""
     return op.align(*segments.stride_pair(*contours(t)))
 
 
-@query()
+@query(
+    _ALIGNED
+    + """, last AS (SELECT pair, src_idx, arg_max(tgt_idx, path_ord) AS tgt_idx FROM path GROUP BY pair, src_idx)
+SELECT a.pair, a.frame_idx, coalesce(b.value, a.value) AS value FROM fr a LEFT JOIN last ON last.pair = a.pair AND last.src_idx = a.frame_idx LEFT JOIN fr b ON b.pair = a.pair AND b.side = 1 AND b.frame_idx = last.tgt_idx WHERE a.side = 0"""
+)
 def job_warp_contour(t):
     a, b = contours(t)
     return op.warp(op.align(*segments.stride_pair(a, b)), a, b)
 
 
-@query()
+@query(
+    _aligned_sql(_FR + " SELECT clip // 2 AS pair, clip % 2 AS side, frame_idx, v[1]::DOUBLE AS value, v FROM fr")
+    + """ SELECT path.pair, round(10 * sqrt(2) / ln(10) * avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))))), 4) AS mcd
+FROM path JOIN fr a ON a.pair = path.pair AND a.side = 0 AND a.frame_idx = src_idx JOIN fr b ON b.pair = path.pair AND b.side = 1 AND b.frame_idx = tgt_idx GROUP BY path.pair"""
+)
 def job_mcd_corpus(t):
     """Distortion of aligned pairs of clips, frames matched by their first coefficient."""
     v = vectors(t).select(F.floor(F.col("doc") / 2).alias("pair"), "frame_idx", F.col("x").alias("value"), F.col("embedding").alias("vec"), "doc")
