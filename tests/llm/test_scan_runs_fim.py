@@ -190,6 +190,8 @@ def test_runs_against_every_period(spark):
     rows = list(enumerate(run_texts()))
     rows += [(100 + i, " ".join(RNG.choice(words if i % 3 else list("abc"), int(RNG.integers(1, 90))))) for i in range(150)]
     rows += [(300 + i, " ".join(f"w{j}" for j in range(int(RNG.integers(1, 120))))) for i in range(60)] + [(None, "c c c c c c c"), (5, "a a a a a a"), (5, "a a a a a a")]
+    repeated = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += list(zip(repeated, [None, "", " \t", "one", "a b c", "a b c d e f g h i j k l m"]))
     got = sorted((tuple(r) for r in periodic_runs.op12(frame(spark, rows)).collect()), key=key)
     want = sorted((plain_op12(*r) for r in rows), key=key)
     assert got == want and sum(w[1] > 0 for w in want) > 60
