@@ -28,10 +28,6 @@ def sentence_grams(df: DataFrame, tokens: Column, order: int = ORDER) -> DataFra
     return ngram_counts(rows, F.col("_s"), order)
 
 
-def _head(gram: Column) -> Column:
-    return F.regexp_replace(gram, r" [^ ]*\z", "")
-
-
 def _tail(gram: Column) -> Column:
     return F.substring(gram, F.locate(" ", gram) + 1, F.length(gram))
 
@@ -75,7 +71,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     known = [p.union(total.select(F.lit(UNKNOWN), even)), total.select(F.lit(BEGIN).alias("gram"), F.lit(0.0).alias("p"))]
     weights = []
     for n in range(2, order + 1):
-        own = rows.where(F.col("n") == n).select("gram", "c", "d", _head(F.col("gram")).alias("ctx"), _tail(F.col("gram")).alias("low"))
+        own = rows.where(F.col("n") == n).select("gram", "c", "d", F.substring_index("gram", " ", n - 1).alias("ctx"), _tail(F.col("gram")).alias("low"))
         context = own.groupBy("ctx").agg(*share())
         lower = p.select(F.col("gram").alias("low"), F.col("p").alias("q"))
         p = own.join(context, "ctx").join(lower, "low").select("gram", ((F.col("c") - F.col("d")) / F.col("t") + F.col("left") * F.col("q")).alias("p"))
