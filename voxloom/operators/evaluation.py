@@ -105,28 +105,29 @@ def roc(df: DataFrame, truth: str, score: str) -> DataFrame:
     return c.select("score", ((k - tp) / F.nullif(F.col("all_n") - F.col("all_p"), F.lit(0))).alias("fpr"), (tp / F.nullif(F.col("all_p"), F.lit(0))).alias("tpr"))
 
 
-def eer(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """One row: the root of 1 - x - TPR(x) on the interpolated curve; 0.5 with one class only."""
-    c = roc(df, truth, score)
+def rates_meet(curve: DataFrame) -> DataFrame:
+    """One row from ``roc``: ``eer``, the root of 1 - x - TPR(x) on the interpolated curve, 0.5 with one class only; and ``det_eer``, the mean of
+    both error rates where they are closest, at the highest score of equals. The curve is read once."""
     past = F.col("fpr") + F.col("tpr") >= 1
-    at = c.agg(
+    fnr = 1 - F.col("tpr")
+    at = curve.agg(
         F.min_by(F.struct("fpr", "tpr"), F.when(past, -F.col("score"))).alias("b"),
         F.max_by(F.struct("fpr", "tpr"), F.when(~past, -F.col("score"))).alias("a"),
+        F.min_by((F.col("fpr") + fnr) / 2, F.struct(F.abs(F.col("fpr") - fnr), -F.col("score"))).alias("det_eer"),
     )
     f0, t0 = F.coalesce("a.fpr", F.lit(0.0)), F.coalesce("a.tpr", F.lit(0.0))
     f1, t1 = F.col("b.fpr"), F.col("b.tpr")
     # where the segment from (f0, t0) to (f1, t1) meets fpr + tpr = 1
     share = (1 - f0 - t0) / F.nullif(f1 + t1 - f0 - t0, F.lit(0.0))
-    return at.select(F.coalesce(f0 + share * (f1 - f0), F.lit(0.5)).alias("eer"))
+    return at.select(F.coalesce(f0 + share * (f1 - f0), F.lit(0.5)).alias("eer"), "det_eer")
 
 
-def det_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
-    return roc(df, truth, score).select("score", "fpr", (1 - F.col("tpr")).alias("fnr"))
+def eer(df: DataFrame, truth: str, score: str) -> DataFrame:
+    return rates_meet(roc(df, truth, score)).select("eer")
 
 
-def det_eer(curve: DataFrame) -> DataFrame:
-    """The mean of both rates where they are closest; the highest score of equals."""
-    return curve.agg(F.min_by((F.col("fpr") + F.col("fnr")) / 2, F.struct(F.abs(F.col("fpr") - F.col("fnr")), -F.col("score"))).alias("eer"))
+def det_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
+    return roc(df, truth, score).select("score", "fpr", (1 - F.col("tpr")).alias("fnr"))
 
 
 def min_flip(df: DataFrame, group: str, epsilon: str, snr: str, flipped: Column, least_snr: float = 40.0) -> DataFrame:

@@ -120,9 +120,8 @@ def agg_det_curve(t):
 SELECT round(f0 + (1 - f0 - t0) / (f1 + t1 - f0 - t0) * (f1 - f0), 5) AS eer, (SELECT round((fpr + 1 - tpr) / 2, 5) FROM roc ORDER BY abs(fpr - 1 + tpr), score DESC LIMIT 1) AS det_eer FROM a, b"""
 )
 def agg_eer(t):
-    s = scored(t)
-    e = op.eer(s, "quality", "n_chars").select(F.round("eer", 5).alias("eer"))
-    return e.join(F.broadcast(op.det_eer(op.det_curve(s, "quality", "n_chars")).select(F.round("eer", 5).alias("det_eer"))))
+    e = op.rates_meet(op.roc(scored(t), "quality", "n_chars"))
+    return e.select(F.round("eer", 5).alias("eer"), F.round("det_eer", 5).alias("det_eer"))
 
 
 @query(_S + " SELECT doc, min(value) AS min_epsilon, arg_min(seg_idx, value)::DOUBLE AS snr_at_min, arg_min(seg_idx, value) >= 40 AS meets_snr FROM spine WHERE language = 'purchase' GROUP BY doc")
