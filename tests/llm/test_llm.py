@@ -681,7 +681,7 @@ LINKS = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(12))
         (f"<body><div class='page has-sidebar'><p>{P1}<p>{P2}</div>", [P1, P2]),
         # named containers that hold all the text, or all but a title
         (f"<body><div><div class='widget'><p>{P1}</div><div class='widget'><p>{P2}</div></div>", [P1, P2]),
-        (f"<body><h1>Title</h1><div><div class='widget'><p>{P1}</div><div class='widget'><p>{P2} {P3}</div></div><div class='menu'><ul>{LINKS}</ul></div>", [P1, f"{P2} {P3}"]),
+        (f"<body><h1>Title</h1><div><div class='widget'><p>{P1}</div><div class='widget'><p>{P2} {P3}</div></div><div class='menu'><ul>{LINKS}</ul></div>", ["Title", P1, f"{P2} {P3}"]),
         (f"<body><div class='sidebar'><p>{P1}<p>{P2}</div>", [P1, P2]),
         (f"<article><p>{P1}</p><p class='social'>Kept.</p><div class='ad'>Buy this.</div><p>{P2}</p></article>", [P1, "Kept.", P2]),
         (f"<body><div><p>{P1}<p>{P2}</div><div id='comments'>" + "".join(f"<div class=comment><p>{P3} {P3}</p></div>" for _ in range(9)) + "</div>", [P1, P2]),
