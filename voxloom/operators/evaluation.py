@@ -131,8 +131,10 @@ def det_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 
 def min_flip(df: DataFrame, group: str, epsilon: str, snr: str, flipped: Column, least_snr: float = 40.0) -> DataFrame:
+    """The smallest epsilon that flips, and the ratio there: of equal ones the smallest."""
     f = df.where(flipped)
-    return f.groupBy(group).agg(F.min(epsilon).alias("min_epsilon"), F.min_by(snr, epsilon).alias("snr_at_min")).withColumn("meets_snr", F.col("snr_at_min") >= least_snr)
+    first = F.when(F.col(epsilon).isNotNull(), F.struct(epsilon, snr))
+    return f.groupBy(group).agg(F.min(epsilon).alias("min_epsilon"), F.min_by(snr, first).alias("snr_at_min")).withColumn("meets_snr", F.col("snr_at_min") >= least_snr)
 
 
 def best_epoch(df: DataFrame, group: str, epoch: str, metric: str, largest: bool = True) -> DataFrame:
