@@ -1,10 +1,26 @@
-"""Ties as in SQL: cases where Spark's own functions give something else."""
+"""Rounding and ties as in SQL: cases where Spark's own functions give something else."""
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
+from voxloom.functions.numbers import rounded
 from voxloom.operators import evaluation
 
 
+def test_rounded_like_sql(spark):
+    """Signs of zero, halves that have no binary notation, and what is no number or too large to scale."""
+    r = random.Random(3)
+    values = [-1e-9, -0.0, 0.0, 1e-9, 0.12345, 2.675, -2.675, 0.5e-6, 1.5e-6, 0.49999999999999994e-6, 1e300, float("inf"), float("nan"), None]
+    values += [(2 * r.randrange(-(10**7), 10**7) + 1) / 2e6 for _ in range(3000)] + [r.gauss(0, 1) for _ in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").repartition(1)
+    for digits in (1, 3, 6):
+        got = [x[0] for x in rows.select(rounded("x", digits), "i").orderBy("i").collect()]
+        want = [duckdb.execute(f"SELECT round(?::DOUBLE, {digits})", [v]).fetchone()[0] for v in values]
+        assert [repr(x) for x in got] == [repr(x) for x in want]
+
+
 def test_min_flip_ties(spark):
     rows = [("a", 0.5, float(k)) for k in (3, 1, 2)] + [("a", 0.7, 0.0), ("b", 0.1, 50.0), ("b", 0.1, 45.0), ("b", None, 1.0), ("c", None, 1.0)]
     for order in (rows, rows[::-1]):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as fn
+from ..functions.numbers import rounded
 
 
 def normalize_pairs(df: DataFrame, source: list[str], target: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -78,7 +79,7 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
 def speaker_stats(df: DataFrame, speaker: str, duration: str, gender: str, order: str) -> DataFrame:
     return (
         df.groupBy(F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker_id"))
-        .agg(F.min_by(gender, order).alias("gender"), F.count("*").alias("num_utterances"), F.round(F.sum(duration), 2).alias("total_duration_sec"), F.round(F.avg(duration), 2).alias("avg_duration_sec"))
+        .agg(F.min_by(gender, order).alias("gender"), F.count("*").alias("num_utterances"), F.round(F.sum(duration), 2).alias("total_duration_sec"), rounded(F.avg(duration), 2).alias("avg_duration_sec"))
         .orderBy("speaker_id")
     )
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from .ordered import running_sums
 
 #: Masks of words that are kept; those of rarer words are made again from their few places.
@@ -62,7 +63,7 @@ def wer(pairs: DataFrame, group: str, reference: str, hypothesis: str, overall:
     an empty side don't count."""
     p = pairs.where((F.size(reference) > 0) & (F.size(hypothesis) > 0)).select(F.coalesce(F.col(group), F.lit("")).alias(group), word_edits(F.col(reference), F.col(hypothesis)).alias("e"), F.size(reference).alias("n"))
     out = p.rollup(group).agg(F.sum("e").alias("edits"), F.sum("n").alias("words"), F.grouping(group).alias("_all")).where("words IS NOT NULL")
-    return out.select(F.when(F.col("_all") == 1, overall).otherwise(F.col(group)).alias(group), "edits", "words", F.round(F.col("edits") / F.col("words"), 4).alias("wer"))
+    return out.select(F.when(F.col("_all") == 1, overall).otherwise(F.col(group)).alias(group), "edits", "words", rounded(F.col("edits") / F.col("words"), 4).alias("wer"))
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
@@ -152,7 +153,7 @@ def metric_gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def coverage(df: DataFrame, group: str, filled: Column, least: float = 0.8) -> DataFrame:
     share = F.count_if(filled) / F.greatest(F.count("*"), F.lit(1))
-    return df.groupBy(group).agg(F.count("*").alias("total"), F.count_if(filled).alias("filled"), F.round(share, 3).alias("coverage"), (share >= least).alias("pass"))
+    return df.groupBy(group).agg(F.count("*").alias("total"), F.count_if(filled).alias("filled"), rounded(share, 3).alias("coverage"), (share >= least).alias("pass"))
 
 
 def dictionary_size(lines: DataFrame, group: str, line: str, order: str, least: int = 500) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.numbers import rounded
 from .ordered import nearest_marks, ranged
 
 
@@ -241,7 +242,7 @@ def join_nearest_switch(true: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def switch_accuracy(nearest: DataFrame, predicted: DataFrame, within_ms: float = 200.0, share: float = 0.5) -> DataFrame:
-    e = nearest.agg(F.count("*").alias("n_true"), F.round(F.avg("error_ms"), 2).alias("mean_error_ms"), F.round(100 * F.avg((F.col("error_ms") <= within_ms).cast("double")), 2).alias("pct_within"))
+    e = nearest.agg(F.count("*").alias("n_true"), rounded(F.avg("error_ms"), 2).alias("mean_error_ms"), rounded(100 * F.avg((F.col("error_ms") <= within_ms).cast("double")), 2).alias("pct_within"))
     p = predicted.agg(F.count("*").alias("n_predicted"))
     return e.join(F.broadcast(p)).withColumn("pass", F.col("pct_within") >= 100 * share)
 

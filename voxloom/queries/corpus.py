@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import numbers
 from ..functions import text as fn
 from ..operators import corpus as op
 from ..operators import language_model as lm
@@ -170,7 +171,7 @@ def term_frequencies(t):
 
 @query(_FREQ + " SELECT term, cnt, round(freq, 9) AS freq FROM f")
 def join_term_frequency(t):
-    return term_frequencies(t).select("term", "cnt", F.round("freq", 9).alias("freq"))
+    return term_frequencies(t).select("term", "cnt", numbers.rounded("freq", 9).alias("freq"))
 
 
 @query(_FREQ + " SELECT term, CASE WHEN freq < 1e-5 THEN 5.0 WHEN freq < 1e-4 THEN 2.5 ELSE 0.5 END::DOUBLE AS bias FROM f")
@@ -180,7 +181,7 @@ def fn_bias_3bin(t):
 
 @query(_FREQ + " SELECT term, CASE WHEN freq < 1e-5 THEN 5.0 WHEN freq < 1e-4 THEN 3.0 WHEN freq < 1e-3 THEN 2.0 ELSE 1.0 END::DOUBLE AS bias FROM f")
 def fn_bias_4bin(t):
-    return term_frequencies(t).select("term", F.round(fn.bias_4bin(F.col("freq")), 1).alias("bias"))
+    return term_frequencies(t).select("term", numbers.rounded(fn.bias_4bin(F.col("freq")), 1).alias("bias"))
 
 
 _O = "list_filter({0}, lambda x: x NOT IN ('<s>', '</s>', '<unk>'))"
@@ -223,17 +224,17 @@ def benchmark_scores(t):
 
 @query(_KN + " SELECT n, array_to_string(gram, ' ') AS gram, round(p, 7) AS p, round(backoff, 7) AS backoff FROM model")
 def agg_lm_estimate(t):
-    return language_model(t).select("n", "gram", F.round("p", 7).alias("p"), F.round("backoff", 7).alias("backoff"))
+    return language_model(t).select("n", "gram", numbers.rounded("p", 7).alias("p"), numbers.rounded("backoff", 7).alias("backoff"))
 
 
 @query(_SCORE + " SELECT item_id, n_words, round(score, 5) AS score FROM score")
 def join_lm_score(t):
-    return benchmark_scores(t).select("item_id", "n_words", F.round("score", 5).alias("score"))
+    return benchmark_scores(t).select("item_id", "n_words", numbers.rounded("score", 5).alias("score"))
 
 
 @query(_SCORE + " SELECT item_id, round(pow(10, -score / greatest(n_words, 1)), 3) AS perplexity FROM score")
 def agg_perplexity(t):
-    return benchmark_scores(t).select("item_id", F.round(lm.perplexity(F.col("score"), F.col("n_words")), 3).alias("perplexity"))
+    return benchmark_scores(t).select("item_id", numbers.rounded(lm.perplexity(F.col("score"), F.col("n_words")), 3).alias("perplexity"))
 
 
 @query(
@@ -247,7 +248,7 @@ def job_nbest_rescore(t):
     cand = t("benchmark").select(F.floor(F.col("item_id") / 5).alias("utt"), "item_id", (F.length("text") / 100.0).alias("base"))
     top = cand.withColumn("k", F.row_number().over(W.partitionBy("utt").orderBy(F.desc("base"), "item_id"))).where("k <= 3")
     scored = top.join(benchmark_scores(t), "item_id").withColumn("total", fn.combine_scores(F.col("base"), F.col("score"), (F.col("item_id") % 2).cast("double")))
-    return scored.groupBy("utt").agg(F.max_by("item_id", "total").alias("item_id"), F.round(F.max("total"), 5).alias("total"))
+    return scored.groupBy("utt").agg(F.max_by("item_id", "total").alias("item_id"), numbers.rounded(F.max("total"), 5).alias("total"))
 
 
 @query(

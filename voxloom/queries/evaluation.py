@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import numbers
 from ..functions import text as fn
 from ..operators import evaluation as op
 from ..sources import sinks
@@ -59,7 +60,7 @@ def agg_wer(t):
 SELECT conv_id, turn, round(levenshtein({_LETTERS.format('rc')}, {_LETTERS.format('hc')}) / greatest(length(rc), 1), 4) AS cer FROM q"""
 )
 def agg_cer(t):
-    return turn_pairs(t).select("conv_id", "turn", F.round(op.cer(F.col("rc"), F.col("hc")), 4).alias("cer"))
+    return turn_pairs(t).select("conv_id", "turn", numbers.rounded(op.cer(F.col("rc"), F.col("hc")), 4).alias("cer"))
 
 
 @query("WITH " + _P + " SELECT conv_id, turn FROM p WHERE trim(rc) <> '' AND trim(hc) <> ''")
@@ -92,7 +93,7 @@ m AS (SELECT label, CASE WHEN pp > 0 THEN tp / pp ELSE 0 END AS p, CASE WHEN ap
 SELECT label, round(p, 4) AS precision, round(r, 4) AS recall, round(f1, 4) AS f1, round(accuracy, 4) AS accuracy, round((SELECT avg(f1) FROM f), 4) AS macro_f1 FROM f"""
 )
 def agg_prf(t):
-    return op.prf(gold(t), "gold", "pred", [0, 1, 2]).select("label", *(F.round(c, 4).alias(c) for c in ("precision", "recall", "f1", "accuracy", "macro_f1")))
+    return op.prf(gold(t), "gold", "pred", [0, 1, 2]).select("label", *(numbers.rounded(c, 4).alias(c) for c in ("precision", "recall", "f1", "accuracy", "macro_f1")))
 
 
 @query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality >= 0")
@@ -111,7 +112,7 @@ def scored(t):
 
 @query(_ROC + " SELECT score, round(fpr, 6) AS fpr, round(1 - tpr, 6) AS fnr FROM roc")
 def agg_det_curve(t):
-    return op.det_curve(scored(t), "quality", "n_chars").select("score", F.round("fpr", 6).alias("fpr"), F.round("fnr", 6).alias("fnr"))
+    return op.det_curve(scored(t), "quality", "n_chars").select("score", numbers.rounded("fpr", 6).alias("fpr"), numbers.rounded("fnr", 6).alias("fnr"))
 
 
 @query(
@@ -121,7 +122,7 @@ SELECT round(f0 + (1 - f0 - t0) / (f1 + t1 - f0 - t0) * (f1 - f0), 5) AS eer, (S
 )
 def agg_eer(t):
     e = op.rates_meet(op.roc(scored(t), "quality", "n_chars"))
-    return e.select(F.round("eer", 5).alias("eer"), F.round("det_eer", 5).alias("det_eer"))
+    return e.select(numbers.rounded("eer", 5).alias("eer"), numbers.rounded("det_eer", 5).alias("det_eer"))
 
 
 @query(_S + " SELECT doc, min(value) AS min_epsilon, arg_min(seg_idx, value)::DOUBLE AS snr_at_min, arg_min(seg_idx, value) >= 40 AS meets_snr FROM spine WHERE language = 'purchase' GROUP BY doc")
@@ -138,7 +139,7 @@ def agg_best_epoch(t):
 def agg_best_model(t):
     m = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size("embedding")
     per = t("embeddings").select("label", m.alias("m")).groupBy("label").agg(F.avg("m").alias("mean"))
-    return per.agg(F.min_by("label", "mean").alias("label"), F.round(F.min("mean"), 6).alias("mean"))
+    return per.agg(F.min_by("label", "mean").alias("label"), numbers.rounded(F.min("mean"), 6).alias("mean"))
 
 
 def source_metrics(t):
@@ -153,7 +154,7 @@ _GATES = """WITH m AS (SELECT source AS metric, avg(n_chars) AS value, CASE WHEN
 
 @query(_GATES + ' SELECT metric, round(value, 3) AS value, threshold, value <= threshold AS pass FROM m')
 def agg_metric_gates(t):
-    return source_metrics(t).select("metric", F.round("value", 3).alias("value"), "threshold", "pass")
+    return source_metrics(t).select("metric", numbers.rounded("value", 3).alias("value"), "threshold", "pass")
 
 
 @query("SELECT source, count(*) AS total, count(quality) AS filled, round(count(quality) / greatest(count(*), 1), 3) AS coverage, count(quality) / greatest(count(*), 1) >= 0.4 AS pass FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
@@ -205,8 +206,8 @@ def evaluated(t):
     """(metric, value, threshold, pass): every measure is a row of its own table; the table of gates has a row for each."""
     of = lambda name: QUERIES[name](t.spark, t.sf_dir)
     rates = error_rates(t).where("mode = 'concatenated'")
-    one = lambda df, name, value: df.select(F.lit(name).alias("metric"), F.round(value.cast("double"), 4).alias("value"))
-    wer = rates.where(F.col("role").isin("assistant", "user", "overall")).select(F.concat(F.lit("wer_"), "role").alias("metric"), F.round("wer", 4).alias("value"))
+    one = lambda df, name, value: df.select(F.lit(name).alias("metric"), numbers.rounded(value.cast("double"), 4).alias("value"))
+    wer = rates.where(F.col("role").isin("assistant", "user", "overall")).select(F.concat(F.lit("wer_"), "role").alias("metric"), numbers.rounded("wer", 4).alias("value"))
     prf = op.prf(gold(t), "gold", "pred", [0, 1, 2]).agg(F.max("accuracy").alias("accuracy"), F.max("macro_f1").alias("macro_f1"))
     parts = [
         wer,
@@ -216,7 +217,7 @@ def evaluated(t):
         one(of("agg_min_flip").agg(F.min("snr_at_min").alias("v")), "snr_at_min", F.col("v")),
         one(of("agg_dictionary_size").agg(F.min("entries").alias("v")), "dictionary", F.col("v")),
         one(of("join_required_inventory").agg(F.avg((F.col("n_missing") == 0).cast("int")).alias("v")), "required", F.col("v")),
-        prf.unpivot([], ["accuracy", "macro_f1"], "metric", "value").withColumn("value", F.round("value", 4)),
+        prf.unpivot([], ["accuracy", "macro_f1"], "metric", "value").withColumn("value", numbers.rounded("value", 4)),
     ]
     gates = t.spark.createDataFrame([(name, float(limit) if limit else None, largest) for name, _, limit, largest in _MEASURED], "metric string, threshold double, largest boolean")
     return op.metric_gates(reduce(lambda a, b: a.union(b), parts), gates)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import numbers
 from ..functions import text as fn
 from ..operators import segments as op
 from ..operators.dictionary import tag_terms
@@ -31,7 +32,7 @@ def frames(t):
 
 @query(_RUNS + " SELECT doc, run::BIGINT AS run, any_value(language) AS language, round(arg_min(start_time, seg_idx), 3) AS start_time, round(arg_max(end_time, seg_idx), 3) AS end_time, count(*) AS n FROM r GROUP BY doc, run")
 def win_merge_runs(t):
-    return op.merge_runs(spine(t)).withColumns({c: F.round(c, 3) for c in ("start_time", "end_time")})
+    return op.merge_runs(spine(t)).withColumns({c: numbers.rounded(c, 3) for c in ("start_time", "end_time")})
 
 
 _FRAME_RUNS = _RUNS + ", f AS (SELECT doc, run::BIGINT AS run, any_value(language) AS label, min(seg_idx) AS start_frame, max(seg_idx) + 1 AS end_frame, avg(value) AS confidence FROM r GROUP BY doc, run)"
@@ -39,7 +40,7 @@ _FRAME_RUNS = _RUNS + ", f AS (SELECT doc, run::BIGINT AS run, any_value(languag
 
 @query(_FRAME_RUNS + " SELECT doc, run, label, start_frame, end_frame, round(confidence, 6) AS confidence FROM f")
 def win_frame_runs(t):
-    return op.frame_runs(frames(t)).withColumn("confidence", F.round("confidence", 6))
+    return op.frame_runs(frames(t)).withColumn("confidence", numbers.rounded("confidence", 6))
 
 
 @query(
@@ -48,7 +49,7 @@ def win_frame_runs(t):
 SELECT doc, seg::BIGINT AS seg, arg_min(label, run) AS label, min(start_frame) AS start_frame, max(end_frame) AS end_frame, round(arg_min(confidence, run), 6) AS confidence FROM g GROUP BY doc, seg"""
 )
 def win_absorb_short(t):
-    return op.absorb_short(op.frame_runs(frames(t)), 2).withColumn("confidence", F.round("confidence", 6))
+    return op.absorb_short(op.frame_runs(frames(t)), 2).withColumn("confidence", numbers.rounded("confidence", 6))
 
 
 _SWITCH = _S + ", b AS (SELECT *, lag(language) OVER (PARTITION BY doc ORDER BY seg_idx) AS p FROM spine), sw AS (SELECT doc, seg_idx, start_time AS time, p AS from_language, language AS to_language FROM b WHERE p <> language)"
@@ -56,7 +57,7 @@ _SWITCH = _S + ", b AS (SELECT *, lag(language) OVER (PARTITION BY doc ORDER BY
 
 @query(_SWITCH + " SELECT doc, seg_idx, round(time, 3) AS time, from_language, to_language FROM sw")
 def win_switch_points(t):
-    return op.switch_points(spine(t)).withColumn("time", F.round("time", 3))
+    return op.switch_points(spine(t)).withColumn("time", numbers.rounded("time", 3))
 
 
 @query(
@@ -95,7 +96,7 @@ d1 AS ({_slope('x', 'd', 'e')}), d2 AS ({_slope('d', 'dd', 'd1')})"""
 @query(_DELTAS + " SELECT doc, frame_idx, CASE WHEN x + d + dd IS NOT NULL THEN [round(x, 6), round(d, 6), round(dd, 6)] END AS features FROM d2")
 def win_delta(t):
     """The value with its first and second delta."""
-    return op.with_deltas(vectors(t), "x").select("doc", "frame_idx", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
+    return op.with_deltas(vectors(t), "x").select("doc", "frame_idx", F.transform("features", lambda v: numbers.rounded(v, 6)).alias("features"))
 
 
 def vectors(t):
@@ -141,7 +142,7 @@ def win_split(t):
 )
 def win_timeline(t):
     rows = t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("seg_idx"), (F.length("text") / 10).alias("d"))
-    return op.timeline(rows, "d").select(F.col("doc").alias("conv_id"), F.col("seg_idx").alias("turn"), F.round("offset", 4).alias("offset"))
+    return op.timeline(rows, "d").select(F.col("doc").alias("conv_id"), F.col("seg_idx").alias("turn"), numbers.rounded("offset", 4).alias("offset"))
 
 
 def _sliced(t, windows):
@@ -226,7 +227,7 @@ def join_max_overlap(t):
 SELECT doc, seg_idx, ref_idx, round(dist, 3) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY doc, seg_idx ORDER BY dist, ref_idx) AS k FROM d WHERE dist <= 7200) WHERE k = 1"""
 )
 def join_nearest_midpoint(t):
-    return op.join_nearest_midpoint(intervals(t, "purchase"), intervals(t, "view"), 7200.0).withColumn("dist", F.round("dist", 3))
+    return op.join_nearest_midpoint(intervals(t, "purchase"), intervals(t, "view"), 7200.0).withColumn("dist", numbers.rounded("dist", 3))
 
 
 _NEAR = _SWITCH + """, tr AS (SELECT doc, time FROM sw WHERE to_language = 'purchase'), pr AS (SELECT doc, time FROM sw WHERE to_language = 'view'),
@@ -241,7 +242,7 @@ def switches(t):
 @query(_NEAR + " SELECT doc, round(time, 3) AS time, CASE WHEN error_ms < 1e300 THEN round(error_ms, 1) ELSE -1 END AS error_ms FROM ne")
 def join_nearest_switch(t):
     n = op.join_nearest_switch(*switches(t))
-    return n.select("doc", F.round("time", 3).alias("time"), F.when(F.col("error_ms") < 1e300, F.round("error_ms", 1)).otherwise(-1.0).alias("error_ms"))
+    return n.select("doc", numbers.rounded("time", 3).alias("time"), F.when(F.col("error_ms") < 1e300, numbers.rounded("error_ms", 1)).otherwise(-1.0).alias("error_ms"))
 
 
 @query(
@@ -270,7 +271,7 @@ def join_frame_labels(t):
 
 @query(_S + " SELECT doc, count(*) AS num_segments, round(coalesce(max(end_time), 0), 3) AS total_duration, count(DISTINCT language) AS n_languages FROM spine GROUP BY doc")
 def agg_transcript_rollup(t):
-    return op.rollup(spine(t)).withColumn("total_duration", F.round("total_duration", 3))
+    return op.rollup(spine(t)).withColumn("total_duration", numbers.rounded("total_duration", 3))
 
 
 @query(_S + " SELECT doc, max(end_time) > 60 AND count(DISTINCT language) <= 1 AS discard FROM spine GROUP BY doc")
@@ -290,19 +291,19 @@ def agg_majority(t):
 
 @query(_S + " SELECT doc, seg_idx, round(end_time - start_time, 4) AS d FROM spine WHERE end_time - start_time >= 0.5")
 def filter_min_duration(t):
-    return spine(t).where(F.col("end_time") - F.col("start_time") >= 0.5).select("doc", "seg_idx", F.round(F.col("end_time") - F.col("start_time"), 4).alias("d"))
+    return spine(t).where(F.col("end_time") - F.col("start_time") >= 0.5).select("doc", "seg_idx", numbers.rounded(F.col("end_time") - F.col("start_time"), 4).alias("d"))
 
 
 @query(_S + " SELECT doc, seg_idx, round((start_time + end_time) / 2, 3) AS mid FROM spine")
 def fn_segment_midpoint(t):
-    return spine(t).select("doc", "seg_idx", F.round((F.col("start_time") + F.col("end_time")) / 2, 3).alias("mid"))
+    return spine(t).select("doc", "seg_idx", numbers.rounded((F.col("start_time") + F.col("end_time")) / 2, 3).alias("mid"))
 
 
 @query(_S + " SELECT doc, seg_idx, round(greatest(0, least(end_time, n_end) - greatest(start_time, n_start)), 4) AS overlap FROM (SELECT *, lead(start_time) OVER w AS n_start, lead(end_time) OVER w AS n_end FROM spine WINDOW w AS (PARTITION BY doc ORDER BY seg_idx)) WHERE n_start IS NOT NULL")
 def fn_overlap(t):
     w = W.partitionBy("doc").orderBy("seg_idx")
     s = spine(t).withColumn("a", F.lead("start_time").over(w)).withColumn("b", F.lead("end_time").over(w)).where("a IS NOT NULL")
-    return s.select("doc", "seg_idx", F.round(F.greatest(F.lit(0.0), F.least("end_time", "b") - F.greatest("start_time", "a")), 4).alias("overlap"))
+    return s.select("doc", "seg_idx", numbers.rounded(F.greatest(F.lit(0.0), F.least("end_time", "b") - F.greatest("start_time", "a")), 4).alias("overlap"))
 
 
 @query(_S + " SELECT doc, seg_idx, trunc(value * 50)::INT AS frame, trunc(value * 50)::INT / 50 AS seconds FROM spine")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import numbers
 from ..operators import segments
 from ..operators import signal as op
 from .registry import query
@@ -15,7 +16,7 @@ _SUM2 = "list_sum(list_transform({}, lambda x: x * x))"
 
 
 def rounded(column, digits=6):
-    return F.transform(column, lambda v: F.round(v, digits))
+    return F.transform(column, lambda v: numbers.rounded(v, digits))
 
 
 @query(
@@ -27,7 +28,7 @@ def agg_snr(t):
     e = t("embeddings").select("vec_id", "embedding")
     later = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     d = e.join(later, "vec_id").select("vec_id", op.energy(F.col("embedding")).alias("s"), op.energy(F.zip_with("embedding", "other", lambda a, b: a.cast("double") - b.cast("double"))).alias("n"))
-    return d.select("vec_id", F.round(op.snr_db(F.col("s"), F.col("n")), 4).alias("snr_db"))
+    return d.select("vec_id", numbers.rounded(op.snr_db(F.col("s"), F.col("n")), 4).alias("snr_db"))
 
 
 _STATS = """WITH p AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS p FROM embeddings),
@@ -40,7 +41,7 @@ def stats(t):
 
 @query(_STATS + " SELECT vec_id, duration, round(rms, 6) AS rms, round(noise, 8) AS noise, round(snr, 4) AS snr FROM st")
 def agg_clip_stats(t):
-    return stats(t).select("vec_id", "duration", F.round("rms", 6).alias("rms"), F.round("noise", 8).alias("noise"), F.round("snr", 4).alias("snr"))
+    return stats(t).select("vec_id", "duration", numbers.rounded("rms", 6).alias("rms"), numbers.rounded("noise", 8).alias("noise"), numbers.rounded("snr", 4).alias("snr"))
 
 
 @query(_STATS + " SELECT vec_id FROM st WHERE duration BETWEEN 2 AND 15 AND rms >= 1e-6 AND (noise = 0 OR snr >= 20)")
@@ -69,7 +70,7 @@ def fn_interp_resample(t):
 @query("SELECT event_id, round(least(greatest(pow(10, (value - avg(value) OVER (PARTITION BY user_id)) / 20), 0.25), 4), 5) AS gain FROM events")
 def fn_energy_gain(t):
     mean = t("events").groupBy("user_id").agg(F.avg("value").alias("m"))
-    return t("events").join(mean, "user_id").select("event_id", F.round(op.energy_gain(F.col("value"), F.col("m")), 5).alias("gain"))
+    return t("events").join(mean, "user_id").select("event_id", numbers.rounded(op.energy_gain(F.col("value"), F.col("m")), 5).alias("gain"))
 
 
 @query(
@@ -79,12 +80,12 @@ SELECT user_id, round(greatest(least(12 * log2(target / own), 12), -12), 5) AS s
 def fn_semitone_shift(t):
     of = lambda kind: F.coalesce(F.median(F.when(F.col("event_type") == kind, F.col("value"))), F.lit(200.0))
     m = t("events").where("value > 0").groupBy("user_id").agg(of("view").alias("own"), of("purchase").alias("target"))
-    return m.select("user_id", F.round(op.semitone_shift(F.col("target"), F.col("own")), 5).alias("shift"))
+    return m.select("user_id", numbers.rounded(op.semitone_shift(F.col("target"), F.col("own")), 5).alias("shift"))
 
 
 @query("SELECT vec_id, i::INT AS frame_idx, round(sqrt(list_sum(list_transform(embedding[i * 8 + 1:i * 8 + 16], lambda x: x::DOUBLE * x::DOUBLE)) / 16), 6) AS rms FROM (SELECT vec_id, embedding, unnest(range(0, 7)) AS i FROM embeddings)")
 def job_frame_energy(t):
-    return op.frame_energy(t("embeddings"), "vec_id", "embedding", 16, 8).select("vec_id", "frame_idx", F.round("rms", 6).alias("rms"))
+    return op.frame_energy(t("embeddings"), "vec_id", "embedding", 16, 8).select("vec_id", "frame_idx", numbers.rounded("rms", 6).alias("rms"))
 
 
 _FR = f"WITH fr AS (SELECT vec_id // {CLIP} AS clip, row_number() OVER (PARTITION BY vec_id // {CLIP} ORDER BY vec_id) - 1 AS frame_idx, embedding AS v FROM embeddings)"
@@ -191,7 +192,7 @@ def job_lfcc(t):
 SELECT clip, frame_idx, bin::INT AS bin, round(greatest(p - 2 * n * n, pow(0.01 * n, 2)), 6) AS power FROM z JOIN nz USING (clip, bin)"""
 )
 def job_denoise(t):
-    return op.spectral_subtraction(spectra(t)).select("clip", "frame_idx", "bin", F.round("power", 6).alias("power"))
+    return op.spectral_subtraction(spectra(t)).select("clip", "frame_idx", "bin", numbers.rounded("power", 6).alias("power"))
 
 
 _PAIR = _FR + ", pr AS (SELECT a.clip // 2 AS pair, a.frame_idx, a.v AS va, b.v AS vb FROM fr a JOIN fr b ON b.clip = a.clip + 1 AND a.clip % 2 = 0 AND b.frame_idx = a.frame_idx)"
@@ -209,14 +210,14 @@ def join_frames(t):
 
 @query(_PAIR + " SELECT pair, round(10 * sqrt(2) / ln(10) * avg(sqrt(list_sum(list_transform(list_zip(va, vb), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))))), 4) AS mcd FROM pr GROUP BY pair")
 def agg_mcd(t):
-    return op.mcd(clip_pairs(t)).select("pair", F.round("mcd", 4).alias("mcd"))
+    return op.mcd(clip_pairs(t)).select("pair", numbers.rounded("mcd", 4).alias("mcd"))
 
 
 @query("SELECT vec_id, round(abs(embedding[1]::DOUBLE) * 4, 5) AS p_en, round(abs(embedding[2]::DOUBLE) * 4, 5) AS p_hi, CASE WHEN abs(embedding[1]) > abs(embedding[2]) THEN 'en' ELSE 'hi' END AS language FROM embeddings WHERE greatest(abs(embedding[1]), abs(embedding[2])) * 4 >= 0.6")
 def filter_confident_language(t):
     p = lambda i: F.abs(F.get("embedding", F.lit(i)).cast("double"))
     rows = t("embeddings").select("vec_id", p(0).alias("a"), p(1).alias("b")).where(F.greatest("a", "b") * 4 >= 0.6)
-    return rows.select("vec_id", F.round(F.col("a") * 4, 5).alias("p_en"), F.round(F.col("b") * 4, 5).alias("p_hi"), F.when(F.col("a") > F.col("b"), "en").otherwise("hi").alias("language"))
+    return rows.select("vec_id", numbers.rounded(F.col("a") * 4, 5).alias("p_en"), numbers.rounded(F.col("b") * 4, 5).alias("p_hi"), F.when(F.col("a") > F.col("b"), "en").otherwise("hi").alias("language"))
 
 
 @query(_STATS + f", q AS (SELECT vec_id, duration FROM st WHERE rms >= 1e-6 AND (noise = 0 OR snr >= 15)) SELECT vec_id, label, duration, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS peak FROM q JOIN embeddings USING (vec_id)")
@@ -224,7 +225,7 @@ def job_curate_tts(t):
     """Good clips, normalised, as a manifest."""
     good = op.good_clips(op.clip_stats(t("embeddings").select("vec_id", "label", "embedding"), "embedding", F.lit(16)))
     level = good.withColumn("x", op.peak_normalize(F.col("embedding")))
-    return level.select("vec_id", "label", "duration", F.round(F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double")))), 6).alias("peak"))
+    return level.select("vec_id", "label", "duration", numbers.rounded(F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double")))), 6).alias("peak"))
 
 
 def contours(t):
@@ -282,4 +283,4 @@ def job_mcd_corpus(t):
     a, b = segments.stride_pair(v.where("doc % 2 = 0"), v.where("doc % 2 = 1"))
     p = op.align(a, b)
     pairs = p.join(a.select("pair", F.col("frame_idx").alias("src_idx"), F.col("vec").alias("vec_a")), ["pair", "src_idx"]).join(b.select("pair", F.col("frame_idx").alias("tgt_idx"), F.col("vec").alias("vec_b")), ["pair", "tgt_idx"])
-    return op.mcd(pairs).select("pair", F.round("mcd", 4).alias("mcd"))
+    return op.mcd(pairs).select("pair", numbers.rounded("mcd", 4).alias("mcd"))
