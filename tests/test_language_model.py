@@ -100,3 +100,24 @@ def test_estimated_discounts(spark):
 
 def test_no_sentences(spark):
     assert model_of(spark, ["", None, " "]).count() == 0
+
+
+def test_wanted_grams_only(spark):
+    """Estimates of some grams are those of the whole model, with the tails and weights that they need."""
+    counts = lm.sentence_grams(sentences(spark, TEXTS), fn.words(F.col("text")))
+    assert [r.n for r in counts.select("n").distinct().collect()] == [3]  # shorter grams are made from these
+    whole = {r.gram: r for r in model_of(spark, TEXTS).collect()}
+    asked = sorted(whole)[::3]
+    got = {r.gram: r for r in lm.kneser_ney(counts, wanted=spark.createDataFrame([(g,) for g in [*asked, "no such gram"]], "gram string")).collect()}
+    assert set(asked) <= set(got) and lm.UNKNOWN in got and len(got) < len(whole)
+    assert all(r.n == whole[g].n and abs(r.p - whole[g].p) < 1e-12 and abs(r.backoff - whole[g].backoff) < 1e-12 for g, r in got.items())
+
+
+def test_short_sentences_in_long_grams(spark):
+    """Of four words: counts of sentences with three come from the sentences themselves."""
+    counts = lm.sentence_grams(sentences(spark, ["a", "a", "a b", "b a b"]), fn.words(F.col("text")), 4)
+    levels = [{r.gram: r.c for r in level.collect()} for level in lm.adjusted_counts(counts, 4)]
+    assert levels[3] == {"<s> a b </s>": 1, "<s> b a b": 1, "b a b </s>": 1}
+    assert levels[2] == {"<s> a </s>": 2, "<s> a b": 1, "<s> b a": 1, "a b </s>": 2, "b a b": 1}
+    assert levels[1] == {"<s> a": 3, "<s> b": 1, "a </s>": 1, "a b": 2, "b </s>": 1, "b a": 1}
+    assert levels[0] == {"a": 2, "b": 2, "</s>": 2}

@@ -214,12 +214,14 @@ score AS (SELECT s.item_id, len(own) AS n_words, coalesce(sum(log10(p)), 0) AS s
 )
 
 
-def language_model(t):
-    return lm.kneser_ney(lm.sentence_grams(t("documents"), doc_words()))
+def language_model(t, wanted=None):
+    return lm.kneser_ney(lm.sentence_grams(t("documents"), doc_words()), wanted=wanted)
 
 
 def benchmark_scores(t):
-    return lm.lm_scores(t("benchmark"), kept(language_model(t), "model"), "item_id", doc_words())
+    """The model is estimated for the grams of the benchmark, from the counts of all documents."""
+    wanted = kept(lm.asked_grams(t("benchmark"), doc_words()), "asked")
+    return lm.lm_scores(t("benchmark"), kept(language_model(t, wanted), "model"), "item_id", doc_words())
 
 
 @query(_KN + " SELECT n, array_to_string(gram, ' ') AS gram, round(p, 7) AS p, round(backoff, 7) AS backoff FROM model")
