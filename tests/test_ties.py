@@ -27,3 +27,37 @@ def test_min_flip_ties(spark):
         df = spark.createDataFrame(order, "g string, e double, s double").coalesce(1)
         got = {r.g: (r.min_epsilon, r.snr_at_min, r.meets_snr) for r in evaluation.min_flip(df, "g", "e", "s", F.lit(True)).collect()}
         assert got == {"a": (0.5, 1.0, False), "b": (0.1, 45.0, True), "c": (None, None, None)}
+
+
+def test_word_edits_hold_one_pair(monkeypatch):
+    """The kernel of the edit distance makes Python strings of one pair at a time, whatever the batch."""
+    import pyarrow as pa
+
+    live, most = [0], [0]
+
+    class Words(list):
+        def __init__(self, x):
+            super().__init__(x)
+            live[0] += 1
+            most[0] = max(most[0], live[0])
+
+        def __del__(self):
+            live[0] -= 1
+
+    class Item:
+        is_valid = True
+
+        def as_py(self):
+            return Words(["a", "b"])
+
+    class Column(list):
+        def to_pylist(self):
+            return [x.as_py() for x in self]
+
+    kernels = []
+    monkeypatch.setattr(evaluation.F, "arrow_udf", lambda kind: lambda f: kernels.append(f) or (lambda *columns: None))
+    evaluation.word_edits(None, None)
+    assert kernels[0](Column([Item()] * 50), Column([Item()] * 50)).to_pylist() == [0] * 50
+    assert most[0] <= 4
+    got = kernels[0](pa.array([["a", "b"], None, ["a"]]), pa.array([["a", "c"], ["a"], ["b", "a"]]))
+    assert got.to_pylist() == [1, None, 1]

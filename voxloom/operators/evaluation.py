@@ -53,7 +53,8 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
 
     @F.arrow_udf("int")
     def distance(r: pa.Array, h: pa.Array) -> pa.Array:
-        return pa.array([None if a is None or b is None else edits(a, b) for a, b in zip(r.to_pylist(), h.to_pylist())], pa.int32())
+        # pair by pair: the words of a whole batch as Python strings take many times its size
+        return pa.array((edits(a.as_py(), b.as_py()) if a.is_valid and b.is_valid else None for a, b in zip(r, h)), pa.int32())
 
     return distance(reference, hypothesis)
 
