@@ -61,3 +61,17 @@ def test_word_edits_hold_one_pair(monkeypatch):
     assert most[0] <= 4
     got = kernels[0](pa.array([["a", "b"], None, ["a"]]), pa.array([["a", "c"], ["a"], ["b", "a"]]))
     assert got.to_pylist() == [1, None, 1]
+
+
+def test_terms_without_phrases_leave_texts_where_they_are(spark):
+    """Without terms of several words no text is shuffled, and words that are too short for any term aren't either."""
+    from voxloom.operators import dictionary
+
+    texts = spark.createDataFrame([(1, "a bb outermost"), (2, "rmost x"), (3, "bb"), (4, None)], "k int, t string")
+    terms = spark.createDataFrame([("most",), ("term",), ("BB outer",)], "term string")
+    single = terms.where("term <> 'BB outer'")
+    for given, more in ((single, []), (terms, [(1, "bb outer")])):
+        got = sorted(tuple(r) for r in dictionary.matches(texts, given, "k", "t").collect())
+        assert got == sorted([(1, "most"), (1, "term"), (2, "most"), *more]), got
+    plan = dictionary.matches(texts, single, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_z#" not in plan  # the shapes of phrases

@@ -63,14 +63,19 @@ def _found(corpus: DataFrame, terms: DataFrame, key: str, text: str, words: bool
         body, terms = body.withColumn("_t", spaced("_t")), terms.select(spaced("term").alias("term")).where("term <> ''").distinct()
     terms = kept(terms, "terms")
     several, single = terms.where(F.contains("term", F.lit(" "))), terms.where(~F.contains("term", F.lit(" ")))
-    tokens = body.select("key", F.explode(F.array_distinct(F.split("_t", " "))).alias("word"))
+    shortest = single.agg(F.min(F.length("term"))).scalar()  # shorter words have no term and needn't travel
+    tokens = body.select("key", F.explode(F.array_distinct(F.split("_t", " "))).alias("word")).where(F.length("word") >= shortest)
     if word_boundary:
         named = lambda rows: rows.join(single.withColumn("word", F.col("term")), "word")
+    else:
+        named = lambda rows: _in_words(rows, single)
+    if several.isEmpty():  # then no text has to meet a phrase
+        return tokens, named, body.select("key", F.col("_t").alias("term")).where(F.lit(False))
+    if word_boundary:
         whole = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
         phrases = _phrases(body.withColumn("_t", whole("_t")), several.withColumn("term", F.concat("term", F.lit(" ")))).withColumn("term", F.rtrim("term"))
         phrases = phrases.join(body, "key").where(F.contains(whole("_t"), whole("term"))).drop("_t")
     else:
-        named = lambda rows: _in_words(rows, single)
         phrases = _phrases(body, several)
     if words:
         own = body.select("key", F.explode(F.array_distinct(fn.words(F.col("_t")))).alias("word"))
