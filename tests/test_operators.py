@@ -1,6 +1,7 @@
 """Hand-made edge rows for the operators."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import text as fn
 from voxloom.operators import corpus, dictionary, evaluation, segments, signal
 from voxloom.operators.ordered import running_sums
+from voxloom.sources import readers
 
 
 def rows(df, *order):
@@ -28,6 +30,22 @@ def test_ngrams_of_short_sentences(spark):
     assert rows(got, "n", "cnt") == [(1, "b", 1), (1, "a", 2), (2, "a b", 1)]
 
 
+def test_ngrams_are_made_without_lambdas_and_counted_in_bounded_tasks(spark, tmp_path):
+    texts = ["a b a b a", "x", None, " ", "a  b\tc d e"] + ["b a"] * 40
+    spark.createDataFrame([(t, "y" * 300) for t in texts], "text string, other string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    for max_n in (1, 2, 4):
+        got = corpus.ngram_counts(d, fn.words(F.col("text")), max_n)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and "zip_with" not in plan
+        tokens = [(t or "").split() for t in texts]
+        want = Counter((n, " ".join(w[i : i + n])) for w in tokens for n in range(1, max_n + 1) for i in range(len(w) - n + 1))
+        assert {(r.n, r.gram): r.cnt for r in got.collect()} == want
+    parts = readers.dealt(d, 100)
+    assert parts.rdd.getNumPartitions() > 1 == readers.dealt(d).rdd.getNumPartitions()
+    assert sorted(rows(parts), key=str) == sorted(rows(d), key=str)
+
+
 def test_balance_and_script(spark):
     d = spark.createDataFrame([(i, int(i < 3)) for i in range(40)], "k int, y int")
     got = corpus.balance_classes(d, "y", "k").groupBy("y").count()

@@ -39,9 +39,13 @@ def gram_size(gram: Column) -> Column:
 
 
 def ngram_counts(df: DataFrame, tokens: Column, max_n: int = 3) -> DataFrame:
-    """(n, gram, cnt) of all grams inside a sentence, tokens joined by spaces (tokens have none), from one scan and one shuffle."""
-    grams = F.concat(*(fn.ngrams(F.col("t"), n) for n in range(1, max_n + 1)))
-    g = df.select(tokens.alias("t")).select(F.explode(grams).alias("gram"))
+    """(n, gram, cnt) of all grams inside a sentence, tokens joined by spaces (tokens have none), from one scan and one shuffle. Each token
+    comes with those after it, and is made grams row by row in compiled code, which lambdas on whole arrays are not."""
+    t, words = F.col("t"), [f"w{k}" for k in range(max_n)]
+    rest = [t, *(F.slice(t, F.lit(k + 1), F.greatest(F.size(t) - k, F.lit(0))) for k in range(1, max_n))]
+    rows = df.select(tokens.alias("t")).select(F.inline(F.arrays_zip(*(r.alias(w) for r, w in zip(rest, words)))).alias(*words))
+    grams = F.array(*(reduce(lambda a, w: F.concat(a, F.lit(" "), F.col(w)), words[1:n], F.col("w0")) for n in range(1, max_n + 1)))
+    g = rows.select(F.explode(grams).alias("gram")).where("gram IS NOT NULL")
     return g.groupBy("gram").agg(F.count("*").alias("cnt")).select(gram_size(F.col("gram")).alias("n"), "gram", "cnt")
 
 

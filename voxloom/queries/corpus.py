@@ -10,6 +10,7 @@ from ..functions import text as fn
 from ..operators import corpus as op
 from ..operators import language_model as lm
 from ..operators.ordered import running_sums
+from ..sources.readers import dealt
 from ..sources.storage import kept
 from .registry import query
 
@@ -67,7 +68,7 @@ counts AS (SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram)"""
 
 @query(_COUNTS + " SELECT n, array_to_string(gram, ' ') AS gram, cnt FROM counts")
 def agg_ngram_counts(t):
-    return op.ngram_counts(t("documents"), doc_words())
+    return op.ngram_counts(dealt(t("documents")), doc_words())
 
 
 @query(f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY word")

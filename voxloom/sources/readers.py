@@ -67,3 +67,10 @@ def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
     if plan.optimizedPlan().stats().sizeInBytes() < least or plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def dealt(df: DataFrame, each: int = 4 << 20) -> DataFrame:
+    """A table, dealt to tasks of about ``each`` bytes of its files if its partitions are larger: what a task counts of its rows stays in memory."""
+    plan = df._jdf.queryExecution()
+    wanted = -(-int(plan.optimizedPlan().stats().sizeInBytes()) // each)
+    return df.repartition(wanted) if plan.toRdd().getNumPartitions() < wanted < 1 << 31 else df  # tables of unknown size stay
