@@ -407,6 +407,28 @@ def test_parts_of_equal_strings_have_equal_keys():
     assert all(of[100 + p] == of[len(data) + p] for p in range(len(both) - len(data) - 49)) and len(set(of.values())) > 20
 
 
+def test_stretches_take_little_memory_beside_the_text(monkeypatch):
+    import tracemalloc
+
+    rows = np.random.default_rng(1).integers(97, 123, (2000, 1000)).astype(np.uint8)
+    data, bounds = rows.ravel(), np.arange(2001) * 1000
+
+    def traced():
+        tracemalloc.start()
+        row, start, size, *rest = suffix_dedup.stretches(data, bounds)
+        parts = suffix_dedup.parted(data, start, size)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, [row, start, size, *rest, *parts]
+
+    suffix_dedup.span_hashes(data[:50], np.arange(1), np.arange(1, 2))  # the tables of powers, once
+    most, got = traced()
+    monkeypatch.setattr(suffix_dedup, "STEP", 1 << 30)
+    at_once, want = traced()
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, want))
+    assert most < 60 * len(data) < at_once
+
+
 def test_long_runs_take_little_time():
     import time
 

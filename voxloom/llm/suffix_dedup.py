@@ -47,6 +47,7 @@ HOME_BYTES = 16 << 20  # of text for each home, and for each bucket
 CHUNK, CUT, BLOCK = 1 << 20, 2 << 20, 8 << 20
 NEARLY = 4  # places of a minimiser within a string that are dealt together
 HOT = 2048  # entries of a minimiser from which its strings are dealt by the bytes around it
+STEP = 256 << 10  # bytes that are hashed at a time, whatever a block has
 _LOW = np.uint64((1 << 32) - 1)  # of minimisers within a bucket, where two that agree only give the shards more to do
 
 
@@ -64,7 +65,18 @@ def _seeds(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed: int = SEED):
-    """Of all rows: row, start, bytes, minimiser and both content hashes (64 and 16 bits) of each stretch, in text order."""
+    """Of all rows: row, start, bytes, minimiser and both content hashes (64 and 16 bits) of each stretch, in text order. Rows are
+    taken in turns of about ``STEP`` bytes: what is needed for each byte is many times the text."""
+    out, lo = [], 0
+    while lo < len(bounds) - 1:
+        hi = min(max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + STEP, "right")) - 1), len(bounds) - 1)
+        row, start, *rest = _stretches(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], length, seed)
+        out.append((row + lo, start + bounds[lo], *rest))
+        lo = hi
+    return tuple(map(np.concatenate, zip(*out))) if out else _stretches(data, bounds, length, seed)
+
+
+def _stretches(data: np.ndarray, bounds: np.ndarray, length: int, seed: int):
     count = np.maximum(np.diff(bounds) - length + 1, 0)
     if not count.any():
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.uint16),)
@@ -81,7 +93,18 @@ def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed:
 def parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int = LENGTH, seed: int = SEED):
     """Stretches, each of one minimiser, in parts: number of the stretch, start, bytes and key of each part. Strings
     whose minimiser is at nearly the same place within them are a part, and the key is the hash of the bytes that all these have, so
-    that equal strings have equal keys, and what is around a common line tells its strings apart."""
+    that equal strings have equal keys, and what is around a common line tells its strings apart. The stretches are in text order."""
+    out, i = [], 0
+    while i < len(start):
+        j = int(np.searchsorted(start, start[i] + STEP, "right"))
+        low = start[i]
+        owner, at, *rest = _parted(data[low : (start[i:j] + size[i:j]).max()], start[i:j] - low, size[i:j], length, seed)
+        out.append((owner + i, at + low, *rest))
+        i = j
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, seed: int):
     n = size - length + 1
     owner = np.repeat(np.arange(len(start)), n)
     at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -180,8 +203,8 @@ def _copies(data: np.ndarray, key: np.ndarray, sub: np.ndarray, start: np.ndarra
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     later = np.flatnonzero((key[order] > key[head]) & (size[order] == size[head]))
     lost = np.zeros(len(order), bool)
-    for f in range(0, len(later), 1 << 16):
-        part = later[f : f + (1 << 16)]
+    for f in range(0, len(later), 1 << 13):
+        part = later[f : f + (1 << 13)]
         lost[part] = _same_bytes(data, start[order[part]], start[head[part]], size[order[part]])
     rest, once = order[~lost], ~lost
     k, s = key[rest], sub[rest]
@@ -204,6 +227,7 @@ def _hash_blocks(parts: int):
             row = np.concatenate([h[5] + s for h, s in zip(held, rows)])
             start = np.concatenate([h[6] + b for h, b in zip(held, bytes_)])
             length, minimiser, content, other = (np.concatenate([h[i] for h in held]) for i in (7, 8, 9, 10))
+            held.clear()
             columns: list[list] = [[] for _ in arrow.names]
 
             def add(**x):
