@@ -14,6 +14,7 @@ documents longer than a sequence, and only those, are cut.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections import Counter
@@ -202,6 +203,12 @@ class WordIds:
         return [ids[ends[i] : ends[i + 1]] if x is None else x for i, x in enumerate(out)]
 
 
+@functools.lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, crc32, part, rank): the pieces of each document; ``rank`` counts the
     pieces of one length in one stored part. Stored, as ranks hold for this one run only."""
@@ -213,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         from pyspark import TaskContext
 
         part, seen, close = TaskContext.get().partitionId(), Counter(), np.array([end_id], "<u4").tobytes()
-        encode = WordIds(tokenizer)  # a task's own, as workers stay for other stages, and would keep it through these
+        encode = word_ids(tokenizer)
         for batch in batches:
             for i, j in slices(batch.column(1), CHUNK):
                 rows: list[list] = [[] for _ in arrow.names]
