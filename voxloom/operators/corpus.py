@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as fn
 from ..functions.numbers import rounded
+from . import gram_blocks as blocks
 
 
 def normalize_pairs(df: DataFrame, source: list[str], target: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -39,14 +42,53 @@ def gram_size(gram: Column) -> Column:
 
 
 def ngram_counts(df: DataFrame, tokens: Column, max_n: int = 3) -> DataFrame:
-    """(n, gram, cnt) of all grams inside a sentence, tokens joined by spaces (tokens have none), from one scan and one shuffle. Each token
-    comes with those after it, and is made grams row by row in compiled code, which lambdas on whole arrays are not."""
-    t, words = F.col("t"), [f"w{k}" for k in range(max_n)]
-    rest = [t, *(F.slice(t, F.lit(k + 1), F.greatest(F.size(t) - k, F.lit(0))) for k in range(1, max_n))]
-    rows = df.select(tokens.alias("t")).select(F.inline(F.arrays_zip(*(r.alias(w) for r, w in zip(rest, words)))).alias(*words))
-    grams = F.array(*(reduce(lambda a, w: F.concat(a, F.lit(" "), F.col(w)), words[1:n], F.col("w0")) for n in range(1, max_n + 1)))
-    g = rows.select(F.explode(grams).alias("gram")).where("gram IS NOT NULL")
-    return g.groupBy("gram").agg(F.count("*").alias("cnt")).select(gram_size(F.col("gram")).alias("n"), "gram", "cnt")
+    """(n, gram, cnt) of all grams inside a sentence, tokens joined by spaces (tokens have none), from one scan and one shuffle. Only grams of
+    ``max_n`` words, shorter ones at the ends of sentences, and words are sent, counted within blocks; grams of two words or more that begin with the same two
+    meet in one bucket, where those between are their heads."""
+    buckets = blocks.bucket_count(df)
+
+    def counted(batches):
+        def rows():
+            for numbers, rest, words in blocks.word_blocks(batches, max_n - 1):
+                n, none = len(rest), len(words)
+                columns = [numbers[:n]]
+                for k in range(1, max_n):
+                    c = np.full(n, none, np.int32)
+                    own = numbers[k : k + n]
+                    c[: len(own)] = np.where(rest[: len(own)] >= k, own, none)
+                    columns.append(c)
+                hashed = blocks.hashes(words)
+                single = np.bincount(columns[0], minlength=none)
+                found = np.flatnonzero(single)
+                grams, cnt = [[found], *([np.full(len(found), none)] for _ in range(max_n - 1))], [single[found]]
+                if max_n > 1:
+                    longer = rest > 0
+                    own, c = blocks.distinct([c[longer] for c in columns], none + 1)
+                    grams, cnt = [[*g, o] for g, o in zip(grams, own)], [*cnt, c]
+                grams, cnt = [np.concatenate(g) for g in grams], np.concatenate(cnt)
+                key = hashed[grams[0]] if max_n == 1 else hashed[grams[0]] << np.uint64(32) | hashed[grams[1]]
+                yield from blocks.packed(blocks.deal(key, buckets), grams, [cnt], words)
+
+        yield from blocks.sent(rows(), pa.schema([("bucket", pa.int32()), ("grams", pa.binary())]))
+
+    def summed(batches):
+        words, columns, (cnt,) = blocks.merged((r for b in batches for r in b.column(1).to_pylist()), max_n, 1)
+        none = len(words)
+        columns, cnt = blocks.distinct(columns, none + 1, cnt)
+        words = blocks.bare(words)
+        for n in range(max_n, 0, -1):
+            # rows are sorted, so that those with the same head are neighbours; words come by themselves
+            has = columns[n - 1] < none if n > 1 else columns[1] == none if max_n > 1 else np.ones(len(cnt), bool)
+            own, c = [g[has] for g in columns[:n]], cnt[has]
+            first = blocks.runs(own)
+            total = np.add.reduceat(c, first) if len(first) else c
+            for at in range(0, len(first), blocks.BATCH):
+                here = first[at : at + blocks.BATCH]
+                gram = blocks.joined(words, [g[here] for g in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), n, np.int32)), gram, pa.array(total[at : at + blocks.BATCH])], names=["n", "gram", "cnt"])
+
+    texts = df.select(blocks.line(tokens).alias("words"))
+    return texts.mapInArrow(counted, "bucket int, grams binary").repartitionById(buckets, F.col("bucket")).select("bucket", "grams").mapInArrow(summed, "n int, gram string, cnt bigint")
 
 
 def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
