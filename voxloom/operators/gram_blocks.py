@@ -27,10 +27,14 @@ def line(tokens: Column) -> Column:
     return F.concat(F.array_join(tokens, " "), F.lit(" "))
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of a table's files, as Spark plans with them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def bucket_count(df: DataFrame) -> int:
     """Two for each core, more for larger tables; those of unknown size take the number of shuffle partitions."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    spark = df.sparkSession
+    size, spark = bytes_of(df), df.sparkSession
     wanted = -(-size // BUCKET) if size < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(2 * spark.sparkContext.defaultParallelism, wanted)
 
@@ -79,9 +83,9 @@ def word_blocks(batches: Iterable[pa.RecordBatch], ahead: int) -> Iterator[tuple
 def hashes(words: pa.Array) -> np.ndarray:
     """A hash of each word, and 0 at the end for none; it only deals grams to buckets."""
     offsets, data = _strings(words)
-    raw = data.tobytes()
+    all_ = data.tobytes()
     at = offsets.tolist()
-    return np.append(np.fromiter((zlib.crc32(raw[i:j]) for i, j in zip(at, at[1:])), np.uint64, len(words)), np.uint64(0))
+    return np.append(np.fromiter((zlib.crc32(all_[i:j]) for i, j in zip(at, at[1:])), np.uint64, len(words)), np.uint64(0))
 
 
 def deal(hashed: np.ndarray, buckets: int) -> np.ndarray:
@@ -134,6 +138,10 @@ def runs(columns: list[np.ndarray]) -> np.ndarray:
 _CODEC = pa.Codec("zstd", 1)
 
 
+def raw(words: pa.Array) -> bytes:
+    return _strings(words)[1].tobytes()
+
+
 def pack(words: bytes, columns: list[np.ndarray]) -> bytes:
     """Bytes of words (each with its space) and of columns of whole numbers from 0 of one length, each in as few bytes a number as it takes."""
     sizes = [1 if not len(c) or c.max() < 1 << 8 else 2 if c.max() < 1 << 16 else 4 if c.max() < 1 << 32 else 8 for c in columns]
@@ -167,7 +175,7 @@ def packed(bucket: np.ndarray, grams: list[np.ndarray], more: list[np.ndarray],
         once = np.sort(once[once < len(words)])
         scratch[len(words)] = 0
         scratch[once] = np.arange(1, len(once) + 1)
-        yield int(bucket[lo]), pack(_strings(words.take(pa.array(once)))[1].tobytes(), [*(scratch[g[own]] for g in grams), *(m[own] for m in more)])
+        yield int(bucket[lo]), pack(raw(words.take(pa.array(once))), [*(scratch[g[own]] for g in grams), *(m[own] for m in more)])
 
 
 def sent(rows: Iterable[tuple[int, bytes]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from ..functions import numbers
 from ..functions import text as fn
 from ..operators import corpus as op
 from ..operators import language_model as lm
+from ..operators import whole_model
 from ..operators.ordered import running_sums
 from ..sources.storage import kept
 from .registry import query
@@ -214,19 +215,15 @@ score AS (SELECT s.item_id, len(own) AS n_words, coalesce(sum(log10(p)), 0) AS s
 )
 
 
-def language_model(t, wanted=None):
-    return lm.kneser_ney(lm.sentence_grams(t("documents"), doc_words()), wanted=wanted)
-
-
 def benchmark_scores(t):
     """The model is estimated for the grams of the benchmark, from the counts of all documents."""
     wanted = kept(lm.asked_grams(t("benchmark"), doc_words()), "asked")
-    return lm.lm_scores(t("benchmark"), kept(language_model(t, wanted), "model"), "item_id", doc_words())
+    return lm.lm_scores(t("benchmark"), kept(lm.kneser_ney(lm.sentence_grams(t("documents"), doc_words()), wanted=wanted), "model"), "item_id", doc_words())
 
 
 @query(_KN + " SELECT n, array_to_string(gram, ' ') AS gram, round(p, 7) AS p, round(backoff, 7) AS backoff FROM model")
 def agg_lm_estimate(t):
-    return language_model(t).select("n", "gram", numbers.rounded("p", 7).alias("p"), numbers.rounded("backoff", 7).alias("backoff"))
+    return whole_model.estimate(t("documents"), doc_words()).select("n", "gram", numbers.rounded("p", 7).alias("p"), numbers.rounded("backoff", 7).alias("backoff"))
 
 
 @query(_SCORE + " SELECT item_id, n_words, round(score, 5) AS score FROM score")

@@ -48,3 +48,14 @@ def remove_scratch(spark: SparkSession, since: int = 0) -> int:
 
 def len_scratch() -> int:
     return len(_made)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like ``kept``, in ``buckets`` buckets by ``key``: grouping by it needs no shuffle of these rows. Rows of a key should come together, as a task
+    writes a file for each bucket that its rows fall in."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and the frame knows them
+    return out
