@@ -41,6 +41,14 @@ def test_blocks_go_over_their_ends(monkeypatch, block):
     assert got == Counter((t[i], *(t[i + k] if i + k < len(t) else None for k in (1, 2))) for t in texts for i in range(len(t)))
 
 
+def test_texts_are_cut_at_white_space(spark):
+    texts = ["a  b\tC d\r\n", None, "", " \n", "É\u00a0é a b", "\n\nx\fy <s> z", "b\x00 a"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {(r.n, r.gram): r.cnt for r in corpus.text_ngram_counts(d, F.col("text")).collect()}
+    assert got == {(r.n, r.gram): r.cnt for r in corpus.ngram_counts(d, fn.words(F.col("text"))).collect()}
+    assert got[3, "a b c"] == 1 and got[2, "a b"] == 2 and got[1, "é\u00a0é"] == got[1, "x\fy"] == 1
+
+
 def test_numbers_too_large_to_be_packed():
     r = np.random.default_rng(1)
     columns = [r.integers(0, 9, 500) << 40 for _ in range(4)]

@@ -42,9 +42,18 @@ def gram_size(gram: Column) -> Column:
 
 
 def ngram_counts(df: DataFrame, tokens: Column, max_n: int = 3) -> DataFrame:
-    """(n, gram, cnt) of all grams inside a sentence, tokens joined by spaces (tokens have none), from one scan and one shuffle. Only grams of
-    ``max_n`` words, shorter ones at the ends of sentences, and words are sent, counted within blocks; grams of two words or more that begin with the same two
-    meet in one bucket, where those between are their heads."""
+    """(n, gram, cnt) of all grams inside a sentence, tokens joined by spaces (tokens have none). See ``text_ngram_counts``."""
+    return _ngram_counts(df, F.concat(F.array_join(tokens, " "), F.lit(" ")), max_n)
+
+
+def text_ngram_counts(df: DataFrame, text: Column, max_n: int = 3) -> DataFrame:
+    """(n, gram, cnt) of all grams of the words of a text, in lower case, from one scan and one shuffle. Only grams of ``max_n`` words, shorter ones at the ends
+    of sentences, and words are sent, counted within blocks; grams of two words or more that begin with the same two meet in one bucket, where those between
+    are their heads."""
+    return _ngram_counts(df, blocks.line(text), max_n)
+
+
+def _ngram_counts(df: DataFrame, line: Column, max_n: int) -> DataFrame:
     buckets = blocks.bucket_count(df)
 
     def counted(batches):
@@ -87,8 +96,7 @@ def ngram_counts(df: DataFrame, tokens: Column, max_n: int = 3) -> DataFrame:
                 gram = blocks.joined(words, [g[here] for g in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), n, np.int32)), gram, pa.array(total[at : at + blocks.BATCH])], names=["n", "gram", "cnt"])
 
-    texts = df.select(blocks.line(tokens).alias("words"))
-    return texts.mapInArrow(counted, "bucket int, grams binary").repartitionById(buckets, F.col("bucket")).select("bucket", "grams").mapInArrow(summed, "n int, gram string, cnt bigint")
+    return df.select(line.alias("words")).mapInArrow(counted, "bucket int, grams binary").repartitionById(buckets, F.col("bucket")).select("bucket", "grams").mapInArrow(summed, "n int, gram string, cnt bigint")
 
 
 def word_counts(df: DataFrame, tokens: Column) -> DataFrame:

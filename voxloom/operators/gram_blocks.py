@@ -1,13 +1,12 @@
 """Grams of words in blocks: a task numbers the words of its texts, sorts their grams as numbers, and sends each bucket one row with the
 grams of a block that fall into it and their words. A gram is a row of word numbers; those of one bucket are merged by one task.
 
-Blocks and buckets are bounded, whatever the size of the tables; the words of a row end with a space each, so that cutting it at spaces is all
-that there is to reading it."""
+Blocks and buckets are bounded, whatever the size of the tables. Texts are cut at white space by whole arrays of their bytes; words are kept with a space
+after each."""
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,9 +21,9 @@ BLOCK, BATCH = 1 << 21, 1 << 16
 BUCKET = 8 << 20
 
 
-def line(tokens: Column) -> Column:
-    """The tokens, each with a space after it; these have none."""
-    return F.concat(F.array_join(tokens, " "), F.lit(" "))
+def line(text: Column, before: str = "", after: str = "") -> Column:
+    """A text, in lower case, with words before and after it, as ``word_blocks`` reads them."""
+    return F.concat(F.lit(before and before + " "), F.lower(F.coalesce(text, F.lit(""))), F.lit(f" {after} " if after else " "))
 
 
 def bytes_of(df: DataFrame) -> int:
@@ -51,9 +50,34 @@ def cut(data: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data))
 
 
-def word_blocks(batches: Iterable[pa.RecordBatch], ahead: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """(numbers of words, how many words follow in the row, the distinct words) of blocks of rows made by ``line``. A block holds up to
-    ``ahead`` words more than it has numbers of followers: those of the next block."""
+_SPACE = np.isin(np.arange(256), [9, 10, 13, 32])  # as functions.text.SPACE
+
+
+def _words(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of rows that end at ``ends`` with white space, and how many there are up to the end of each."""
+    space = _SPACE[data]
+    last = space.copy()
+    last[1:] &= ~space[:-1]
+    last[:1] = False  # white space before the first word
+    up_to = np.searchsorted(np.flatnonzero(last), ends)
+    keep = ~space | last
+    words = data[keep]
+    words[last[keep]] = 32
+    return cut(words), up_to
+
+
+def _without(words: pa.Array, ends: np.ndarray, names: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Leave ``names`` out, but for the first and the last word of each row."""
+    keep = ~pc.is_in(words, pa.array([f"{n} " for n in names], pa.string())).to_numpy(zero_copy_only=False)
+    keep[ends - 1] = True
+    keep[np.append(0, ends[:-1])] = True
+    return words.filter(pa.array(keep)), np.cumsum(keep)[ends - 1]
+
+
+def word_blocks(batches: Iterable[pa.RecordBatch], ahead: int, marks: list[str] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(numbers of words, how many words follow in the row, the distinct words) of blocks of rows made by ``line``. A block has the numbers of up to
+    ``ahead`` words more than it tells followers of: those of the next block. Each row begins and ends with one of ``marks``, if there are any, which are
+    left out elsewhere."""
 
     def blocks():
         words = pa.concat_arrays([w for w, _ in held])
@@ -64,14 +88,15 @@ def word_blocks(batches: Iterable[pa.RecordBatch], ahead: int) -> Iterator[tuple
 
     held: list[tuple[pa.Array, np.ndarray]] = []
     for batch in batches:
-        texts = batch.column(0)
-        offsets, data = _strings(texts.filter(pc.greater(pc.binary_length(texts), 1)))  # a row without words is one space
-        # a batch is at most a few million words at a time, unless a single row has more
+        offsets, data = _strings(batch.column(0))
+        # a few million words at a time, unless a single row has more
         cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, len(data), 8 * BLOCK)), len(offsets) - 1))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             own = offsets[lo : hi + 1]
-            words = cut(data[own[0] : own[-1]])
-            ends = np.searchsorted(_strings(words)[0], own[1:] - own[0])  # words up to the end of each row
+            words, ends = _words(part := data[own[0] : own[-1]], own[1:] - own[0])
+            # those that a row must have are found as often as there are rows
+            if marks and any(part.tobytes().count(m.encode()) > (hi - lo if m in (marks[0], marks[1]) else 0) for m in marks):
+                words, ends = _without(words, ends, marks)
             held.append((words, np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(words)) - 1))
             if sum(len(w) for w, _ in held) >= BLOCK:
                 yield from blocks()
@@ -81,11 +106,17 @@ def word_blocks(batches: Iterable[pa.RecordBatch], ahead: int) -> Iterator[tuple
 
 
 def hashes(words: pa.Array) -> np.ndarray:
-    """A hash of each word, and 0 at the end for none; it only deals grams to buckets."""
+    """A hash of 32 bits for each word, and 0 at the end for none; it only deals grams to buckets."""
     offsets, data = _strings(words)
-    all_ = data.tobytes()
-    at = offsets.tolist()
-    return np.append(np.fromiter((zlib.crc32(all_[i:j]) for i, j in zip(at, at[1:])), np.uint64, len(words)), np.uint64(0))
+    if not len(words):
+        return np.zeros(1, np.uint64)
+    sizes = np.diff(offsets)
+    powers = np.cumprod(np.full(sizes.max(), 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(offsets[:-1], sizes)
+    h = np.add.reduceat((data + np.uint64(1)) * powers[place], offsets[:-1])
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return np.append(h >> np.uint64(32), np.uint64(0))
 
 
 def deal(hashed: np.ndarray, buckets: int) -> np.ndarray:

@@ -13,10 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as fn
 from ..sources.storage import bucketed, kept
 from . import gram_blocks as blocks
 from .corpus import word_counts
-from .language_model import BEGIN, END, UNKNOWN, bounded
+from .language_model import BEGIN, END, UNKNOWN
 
 #: Kinds of rows that a site writes: its grams, entries for other sites, numbers of all its grams, and of words with several sites: the words, their grams of
 #: two words by the word before, and by the word after.
@@ -75,10 +76,10 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def common_words(df: DataFrame, tokens: Column, buckets: int, size: int) -> dict[str, int]:
+def common_words(df: DataFrame, text: Column, buckets: int, size: int) -> dict[str, int]:
     """Words with more than a bucket's share of a sample, and how many sites each has: as many words as buckets at most."""
     part = df if size <= SAMPLE else df.sample(max(0.001, SAMPLE / size), seed=1)
-    counts = kept(word_counts(part, tokens), "sample")
+    counts = kept(word_counts(part, fn.words(text)), "sample")
     total = counts.agg(F.sum("cnt")).first()[0] or 0
     return {r.word: -(-r.cnt * buckets // total) for r in counts.where(F.col("cnt") * buckets > total).collect()}
 
@@ -86,7 +87,7 @@ def common_words(df: DataFrame, tokens: Column, buckets: int, size: int) -> dict
 def _send(sites: dict[str, int], buckets: int):
     def run(batches):
         def rows():
-            for numbers, rest, words in blocks.word_blocks(batches, 2):
+            for numbers, rest, words in blocks.word_blocks(batches, 2, [BEGIN, END, UNKNOWN]):
                 at = np.flatnonzero(rest >= 2)
                 (b, a, c), counts = blocks.distinct([numbers[at + 1], numbers[at], numbers[at + 2]], len(words))
                 hashed, splits = blocks.hashes(words), _found(words, list(sites), list(sites.values()), 1).astype(np.uint64)
@@ -229,14 +230,14 @@ def _estimate(common: dict[str, int], d: dict[int, tuple], total: int, even: flo
     return run
 
 
-def estimate(df: DataFrame, tokens: Column, sites: dict[str, int] | None = None, buckets: int | None = None) -> DataFrame:
-    """(n, gram, p, backoff) as ``language_model.kneser_ney`` of ``sentence_grams`` has them, of order 3. ``sites`` (words and numbers of sites) are read from a sample if
+def estimate(df: DataFrame, text: Column, sites: dict[str, int] | None = None, buckets: int | None = None) -> DataFrame:
+    """(n, gram, p, backoff) of the words of texts, as ``language_model.kneser_ney`` of ``sentence_grams`` has them, of order 3. ``sites`` (words and numbers of sites) are read from a sample if
     they aren't given. Without sentences only the mark of the beginning is left."""
     spark = df.sparkSession
     buckets = buckets or 2 * blocks.bucket_count(df)
-    sites = common_words(df, tokens, buckets, blocks.bytes_of(df)) if sites is None else sites
+    sites = common_words(df, text, buckets, blocks.bytes_of(df)) if sites is None else sites
     sites = {w: k for w, k in sites.items() if k > 1 and w not in (BEGIN, END, UNKNOWN)}
-    sent = df.select(blocks.line(bounded(tokens)).alias("words")).mapInArrow(_send(sites, buckets), "bucket int, grams binary")
+    sent = df.select(blocks.line(text, BEGIN, END).alias("words")).mapInArrow(_send(sites, buckets), "bucket int, grams binary")
     table = bucketed(sent.repartitionById(buckets, F.col("bucket")).select("bucket", "grams").mapInArrow(_count(sites, buckets), _SITE), "site", buckets, "sites")
     of_kind = lambda k: table.where(F.col("kind") == k)
     s = of_kind(SUMS).select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()

@@ -68,7 +68,7 @@ counts AS (SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram)"""
 
 @query(_COUNTS + " SELECT n, array_to_string(gram, ' ') AS gram, cnt FROM counts")
 def agg_ngram_counts(t):
-    return op.ngram_counts(t("documents"), doc_words())
+    return op.text_ngram_counts(t("documents"), F.col("text"))
 
 
 @query(f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_W}) AS word FROM documents) GROUP BY word")
@@ -223,7 +223,7 @@ def benchmark_scores(t):
 
 @query(_KN + " SELECT n, array_to_string(gram, ' ') AS gram, round(p, 7) AS p, round(backoff, 7) AS backoff FROM model")
 def agg_lm_estimate(t):
-    return whole_model.estimate(t("documents"), doc_words()).select("n", "gram", numbers.rounded("p", 7).alias("p"), numbers.rounded("backoff", 7).alias("backoff"))
+    return whole_model.estimate(t("documents"), F.col("text")).select("n", "gram", numbers.rounded("p", 7).alias("p"), numbers.rounded("backoff", 7).alias("backoff"))
 
 
 @query(_SCORE + " SELECT item_id, n_words, round(score, 5) AS score FROM score")
