@@ -173,11 +173,15 @@ def raw(words: pa.Array) -> bytes:
     return _strings(words)[1].tobytes()
 
 
+def narrow(c: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes each as the largest takes."""
+    return c.astype(np.min_scalar_type(int(c.max()) if len(c) else 0))
+
+
 def pack(words: bytes, columns: list[np.ndarray]) -> bytes:
-    """Bytes of words (each with its space) and of columns of whole numbers from 0 of one length, each in as few bytes a number as it takes."""
-    sizes = [1 if not len(c) or c.max() < 1 << 8 else 2 if c.max() < 1 << 16 else 4 if c.max() < 1 << 32 else 8 for c in columns]
-    body = words + b"".join(c.astype(f"<u{s}").tobytes() for c, s in zip(columns, sizes))
-    return struct.pack(f"<3I{len(sizes)}B", len(body), len(words), len(columns[0]), *sizes) + _CODEC.compress(body, asbytes=True)
+    """Bytes of words (each with its space) and of columns of one length, which are ``narrow``."""
+    body = words + b"".join([c.tobytes() for c in columns])
+    return struct.pack(f"<3I{len(columns)}B", len(body), len(words), len(columns[0]), *(c.itemsize for c in columns)) + _CODEC.compress(body, asbytes=True)
 
 
 def unpack(row: bytes, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -194,19 +198,19 @@ def packed(bucket: np.ndarray, grams: list[np.ndarray], more: list[np.ndarray],
     """(bucket, row) of each bucket's grams, which are numbers of ``words`` or, for none, ``len(words)``, and of ``more`` numbers beside them. In a
     row, words are numbered anew from 1, and 0 is none."""
     order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-    bucket = bucket[order]
+    bucket, grams, more = bucket[order], np.stack([g[order] for g in grams]), [narrow(m[order]) for m in more]
     at = runs([bucket])
-    scratch = np.zeros(len(words) + 1, np.int64)
-    for lo, hi in zip(at, [*at[1:], len(bucket)]):
-        own = order[lo:hi]
-        numbers = np.concatenate([g[own] for g in grams])
-        where = np.arange(len(numbers))
+    scratch = np.zeros(len(words) + 1, np.int32)
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(bucket)]):
+        numbers = grams[:, lo:hi].ravel()
+        where = np.arange(len(numbers), dtype=np.int32)
         scratch[numbers] = where
         once = numbers[scratch[numbers] == where]
         once = np.sort(once[once < len(words)])
         scratch[len(words)] = 0
-        scratch[once] = np.arange(1, len(once) + 1)
-        yield int(bucket[lo]), pack(raw(words.take(pa.array(once))), [*(scratch[g[own]] for g in grams), *(m[own] for m in more)])
+        scratch[once] = np.arange(1, len(once) + 1, dtype=np.int32)
+        own = scratch[numbers].astype(np.min_scalar_type(len(once))).reshape(len(grams), -1)
+        yield int(bucket[lo]), pack(raw(words.take(pa.array(once))), [*own, *(m[lo:hi] for m in more)])
 
 
 def sent(rows: Iterable[tuple[int, bytes]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -110,7 +110,7 @@ def _count(sites: dict[str, int], buckets: int):
         hashed = blocks.hashes(words)
         splits = _found(words, list(sites), list(sites.values()), 1).astype(np.uint64)
         common, begin, end = splits > 1, _number(words, BEGIN), _number(words, END)
-        yield batch(1, kind=[GRAMS], site=[site], grams=[blocks.pack(blocks.raw(words), [b, a, c, counts])])
+        yield batch(1, kind=[GRAMS], site=[site], grams=[blocks.pack(blocks.raw(words), [blocks.narrow(x) for x in (b, a, c, counts)])])
         first = blocks.runs([b, a])
         context, cb, ca = _levels(counts, first), b[first], a[first]
         word = blocks.runs([cb])
